@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, language, mixing, packing, quality, token_output
+from . import extraction, jaccard, language, mixing, packing, quality, token_output
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), words=5, percent=80)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 #: Target shares of the tokens by domain.
 MIX_TARGETS = {"clean": 0.93, "poor": 0.05, "toxic": 0.02}
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_html_extraction": op5_html_extraction,
     "op7_source_mixing": op7_source_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
