@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, extraction, jaccard, language, licences, mixing, packing, quality, token_output
+from . import embeddings, extraction, jaccard, language, licences, mixing, packing, quality, search, token_output
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 #: Target shares of the tokens by domain.
 MIX_TARGETS = {"clean": 0.93, "poor": 0.05, "toxic": 0.02}
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_html_extraction": op5_html_extraction,
+    "op6_topk_search": op6_topk_search,
     "op7_source_mixing": op7_source_mixing,
     "op8_license_scan": op8_license_scan,
     "op9_quality_classifier": op9_quality_classifier,
