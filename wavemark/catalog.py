@@ -1,4 +1,4 @@
 """Every query of the library with its oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import scalar_queries  # noqa: F401
+from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
