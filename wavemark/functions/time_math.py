@@ -40,14 +40,11 @@ def time_to_frame(t: Column, fps: Column, total: Column | None = None) -> Column
 def parse_time(text: Column) -> Column:
     """Signed seconds, MM:SS or HH:MM:SS as decimal(28,9), below 10^13; null where the text is none of them."""
     value = F.trim(text)
-    body = F.regexp_replace(value, "^[+-]", "")
-    number = lambda c: F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), c).try_cast("decimal(22,9)")
-    parts = F.split(body, ":")
-    first, second, third = (number(F.get(parts, k)) for k in (0, 1, 2))
-    n = F.size(parts)
-    minutes = F.when((first >= 0) & (second >= 0) & (second < 60), first * 60 + second)
-    hours = F.when((first >= 0) & (second >= 0) & (second < 60) & (third >= 0) & (third < 60), first * 3600 + second * 60 + third)
-    size = F.when(n == 1, first.cast("decimal(28,9)")).when(n == 2, minutes.cast("decimal(28,9)")).when(n == 3, hours.cast("decimal(28,9)"))
+    parts = F.split(F.regexp_replace(value, "^[+-]", ""), ":")
+    numbers = F.transform(parts, lambda c: F.when(c.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), c).try_cast("decimal(22,9)"))
+    whole = F.aggregate(numbers, F.lit(0).cast("decimal(28,9)"), lambda sum_, x: (sum_ * F.lit(60).cast("decimal(2,0)") + x).cast("decimal(28,9)"))
+    plain = F.forall(F.slice(numbers, 2, 3), lambda x: x < 60) & F.forall(numbers, lambda x: x >= 0) & (F.size(parts) <= 3)
+    size = F.when((F.size(parts) == 1) | plain, whole)
     return F.when(value.startswith("-"), -size).otherwise(size)
 
 
