@@ -64,11 +64,27 @@ def format_display_time(t: Column) -> Column:
     return F.concat(F.when(t < 0, "-").otherwise(""), format_time(F.abs(t)))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """Text with so many decimals, rounded from the number's exact binary value (ties, which are rare there, to even).
+
+    The product with the power of ten is taken with its rounding error (Dekker's splitting), so a number whose shortest
+    text ends in 5 goes the way its binary value lies. Good below 2^53 / 10^digits; larger numbers are written as they are.
+    """
+    scale = float(10**digits)
+    p, c = x * scale, x * 134217729.0
+    high = c - (c - x)
+    error = (high * scale - p) + (x - high) * scale
+    whole = F.floor(p)
+    rest = p - whole
+    up = (rest > 0.5) | (rest == 0.5) & ((error > 0) | (error == 0) & (F.pmod(whole, F.lit(2).cast("long")) == 1))
+    return F.when(F.abs(p) < 2.0**53, F.format_string(f"%.{digits}f", (whole + up.cast("long")) / scale)).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def format_tick(t: Column, origin: Column) -> Column:
     """No, one or two decimals from 100, from 10 and below."""
     x = relative_time(t, origin)
     v = F.when(F.abs(x) < 0.0005, 0.0).otherwise(x)
-    return F.when(F.abs(v) >= 100, F.format_string("%.0f", F.bround(v, 0))).when(F.abs(v) >= 10, F.format_string("%.1f", F.bround(v, 1))).otherwise(F.format_string("%.2f", F.bround(v, 2)))
+    return F.when(F.abs(v) >= 100, fixed(v, 0)).when(F.abs(v) >= 10, fixed(v, 1)).otherwise(fixed(v, 2))
 
 
 def clamp_range(left: Column, right: Column, full_left: Column, full_right: Column) -> tuple[Column, Column]:
