@@ -36,6 +36,11 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert test_words_give_the_ids_of_the_whole_text.encoder.ids(text).tolist() == direct_ids(text)
 
 
+@given(st.text("aZé É!.'%|<>09sßÿİΣKÅ\u0301\xad\x85\n", max_size=60))
+def test_words_near_the_short_way(text):
+    assert test_words_give_the_ids_of_the_whole_text.encoder.ids(text).tolist() == direct_ids(text)
+
+
 def direct_ids(text):
     return test_words_give_the_ids_of_the_whole_text.encoder.tokenizer.encode(text, add_special_tokens=False).ids
 

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Table
-from .tokens import Encoder, crc
+from .tokens import crc, encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank_in_part long"
 
@@ -115,11 +115,11 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int, by_word: bool):
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = Encoder(tokenizer_path, by_word), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        worker, part, seen = encoder(tokenizer_path, by_word), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.ids(text.as_py()).astype("<u4"), np.uint32(end_id))
+                ids = np.append(worker.ids(text.as_py()).astype("<u4"), np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
                     for column, value in zip(rows, (doc_id, k, at, len(some), crc(some), part, int(seen[len(some)])), strict=True):

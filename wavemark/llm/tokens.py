@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 
 import numpy as np
 
 from .common import cpu_env
 
-#: Distinct words whose ids a worker keeps; the table is emptied when it is full.
-CACHED_WORDS = 400_000
+#: Distinct words whose ids a worker keeps, in each of two generations: words seen since the last change outlive it.
+CACHED_WORDS = 100_000
 #: Longer words are encoded without being kept.
 CACHED_WORD_CHARS = 48
 
+#: Fixed value: the pre-tokenizer pattern of the word tokenizers whose letters and other signs never join.
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Lower-case Latin letters that normal form C keeps, then ASCII signs but the apostrophe.
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies write bytes that don't print as the characters from 256.
+_HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
+
+
+class _Known(dict):
+    """word -> packed ids; a word that isn't there is encoded once, or taken over from the generation before."""
+
+    def __init__(self, learn, older: dict):
+        super().__init__({"": b""})
+        self.learn, self.older = learn, older
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.learn(word)
+        if len(word) <= CACHED_WORD_CHARS:
+            self[word] = found
+        return found
+
 
 class Encoder:
     """Encodes texts with a `tokenizers` file whose pre-tokenizer never joins across blanks.
 
     A text is split at blanks, each distinct word goes through the tokenizer once, and the ids of a text are the
     ids of its words in order. `by_word=False` encodes each text as one string, for tokenizers that see blanks.
+    Where the file's own description says that letters and signs are apart and case is dropped, a Latin word
+    goes straight to the file's model, once for all cases and signs around it.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -28,11 +56,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.by_word = by_word
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        self.known = _Known(self._learn, {})
+        self.plain: dict[str, bytes] = {"": b""}
+        told = json.loads(self.tokenizer.to_str())
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
+        lower = any(x["type"] == "Lowercase" for x in (told["normalizer"] or {}).get("normalizers", []))
+        self.apart = lower and len(steps) == 2 and steps[0].get("pattern") == {"Regex": LETTERS_APART} and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
+        self.model = self.tokenizer.model
+
+    def _part(self, part: str) -> bytes:
+        """The ids of letters alone or signs alone."""
+        if (found := self.plain.get(part)) is None:
+            if len(self.plain) > CACHED_WORDS:
+                self.plain = {"": b""}
+            text = part if part.isascii() else part.encode().decode("latin-1").translate(_HIDDEN)
+            found = self.plain[part] = array(self.code, [x.id for x in self.model.tokenize(text)]).tobytes()
+        return found
+
+    def _learn(self, word: str) -> bytes:
+        if self.apart and (m := _PLAIN.fullmatch(word.lower())):
+            return self._part(m[1]) + self._part(m[2])
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of the whole text; a null text counts as empty."""
@@ -40,18 +86,21 @@ class Encoder:
             return np.empty(0, self.dtype)
         if not self.by_word:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+        if len(self.known) > CACHED_WORDS:
+            self.known.older = {}  # the generation before the last one goes
+            self.known = _Known(self._learn, self.known)
         words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            self.known = known = {"": b""}
-        if new := {w for w in set(words) if w not in known}:
-            new = list(new)
-            known.update(zip(new, self._encode(new), strict=True))
-        out = np.frombuffer(b"".join(map(known.__getitem__, words)), self.dtype)
-        for w in new:
-            if len(w) > CACHED_WORD_CHARS:
-                del known[w]
-        return out
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
+
+
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder(path: str, by_word: bool = True) -> Encoder:
+    """This worker process's encoder of the file; it outlives a task, as workers do."""
+    if (path, by_word) not in _encoders:
+        _encoders[path, by_word] = Encoder(path, by_word)
+    return _encoders[path, by_word]
 
 
 def crc(ids: np.ndarray) -> int:
