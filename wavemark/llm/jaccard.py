@@ -24,7 +24,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Table
 from .components import components
@@ -134,26 +134,66 @@ def _short_lists(words: int, percent: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, level = Shingler(words), np.frombuffer(classes.value, np.uint8)
         for batch in batches:
-            sizes, lists = [], []
+            sizes, lists, ends = [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 found = shingles(text.as_py())
                 k = short_length(len(found), percent) if len(found) else 0
-                rare = np.argsort(level[(found & np.uint64(BINS - 1)).astype(np.int64)], kind="stable")[:k]
+                order = level[(found & np.uint64(BINS - 1)).astype(np.int64)]
+                rare = np.argsort(order, kind="stable")[:k]
                 sizes.append(len(found))
                 lists.append(found[rare].view(np.int64))
+                ends.append((int(order[rare[-1]]) << 56) | (int(found[rare[-1]]) >> 8) if k else 0)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), flat], names=["doc_id", "n", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), flat, pa.array(ends, pa.int64())], names=["doc_id", "n", "short", "short_end"])
 
     return run
 
 
-def _sets(words: int):
+def _marks(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """One-hash Bloom filter of the ids, as 64-bit words: 16 bits an id, but never over 16 MB.
+
+    Beyond 8 million ids it lets more rows through; a join on the ids follows it, so it only saves work.
+    """
+    bits = 1 << max(16, min(27, int(16 * ids.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[_marks(batch.column(0).to_numpy(), bits)] = True
+        words = np.packbits(seen, bitorder="little").view("<i8")
+        used = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(words[used])], names=["word", "mask"])
+
+    found = ids.coalesce(16).mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("word").to_numpy()] = found.column("mask").to_numpy()
+    return np.unpackbits(words.view(np.uint8), bitorder="little").view(bool), bits
+
+
+def _only(held, bits: int):
+    """Passes the rows on whose id the filter holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
+        wanted = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
         for batch in batches:
-            found = [shingles(t.as_py()).tobytes() for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            yield batch.take(pa.array(np.flatnonzero(wanted[_marks(batch.column(0).to_numpy(), bits)])))
+
+    return run
+
+
+def _sets(words: int, held, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, wanted = Shingler(words), np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
+        for batch in batches:
+            rows = np.flatnonzero(wanted[_marks(batch.column(0).to_numpy(), bits)])
+            some = batch.take(pa.array(rows))
+            found = [shingles(t.as_py()).tobytes() for t in some.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
@@ -162,7 +202,7 @@ def _compare(percent: int):
     names, types = ["x", "y", "overlap"], [pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by (x, part, y); the row whose y is null holds x's own set."""
+        """Rows come ordered by (x, part) and x's own set, where y is x, first."""
         query, key, ids, sets = None, None, [], []
 
         def flush() -> pa.RecordBatch:
@@ -172,10 +212,10 @@ def _compare(percent: int):
 
         for batch in batches:
             for x, y, own in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("shingles"), strict=True):
-                if ids and (x != key or y is None or len(ids) >= BLOCK_ROWS):
+                if ids and (y == x or len(ids) >= BLOCK_ROWS):
                     yield flush()
                     ids, sets = [], []
-                if y is None:
+                if y == x:
                     query, key = np.frombuffer(own.as_py(), np.uint64), x
                     continue
                 ids.append(y)
@@ -186,18 +226,41 @@ def _compare(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+
+
+def _plausible(pairs: DataFrame, short: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose short lists have enough in common for a link.
+
+    Of two documents one has its short lists end first; what both share is in both short lists or among its long ones.
+    `short_end` compares where they end, up to ties.
+    """
+    seen, bits = _filter_of(_ids_of(pairs))
+    held = pairs.sparkSession.sparkContext.broadcast(np.packbits(seen, bitorder="little").tobytes())
+    some = short.mapInArrow(_only(held, bits), short.schema)
+    x, y = (some.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("short").alias(f"short_{c}"), F.col("short_end").alias(f"end_{c}")) for c in "xy")
+    long_x, long_y = F.col("n_x") - F.size("short_x"), F.col("n_y") - F.size("short_y")
+    rest = F.when(F.col("end_x") < F.col("end_y"), long_x).when(F.col("end_x") > F.col("end_y"), long_y).otherwise(F.greatest(long_x, long_y))
+    most = F.least(F.size(F.array_intersect("short_x", "short_y")) + rest, F.col("n_x"), F.col("n_y"))
+    both = pairs.join(x, "x").join(y, "y").where(most.cast("long") * (100 + percent) >= F.lit(percent) * (F.col("n_x").cast("long") + F.col("n_y")))
+    return both.select("x", "y").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The links among candidate pairs (x, y), compared on whole sets.
 
-    A query with many candidates is dealt out in parts by their number.
+    Texts stay where they are read; only the sets that the pairs ask for are moved. A query with many candidates is
+    dealt out in parts by their number.
     """
-    ids = pairs.select(F.col("x").alias("doc_id")).unionByName(pairs.select(F.col("y").alias("doc_id"))).distinct()
-    sets = Table(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary"), "sets", batch=128, codec="lz4").read()
     sizes = pairs.groupBy("x").agg(F.count("*").alias("m"))
-    dealt = pairs.join(sizes, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / (4 * BLOCK_ROWS))))
-    rows = dealt.select("x", "part", F.col("y")).join(sets, F.col("y") == F.col("doc_id")).select("x", "part", "y", "shingles")
-    heads = dealt.select("x", "part").distinct().join(sets, F.col("x") == F.col("doc_id")).select("x", "part", F.lit(None).cast("long").alias("y"), "shingles")
-    grouped = rows.unionByName(heads).repartition("x", "part").sortWithinPartitions("x", "part", F.col("y").asc_nulls_first())
+    dealt = pairs.join(sizes, "x").select("x", F.pmod(F.xxhash64("y"), F.ceil(F.col("m") / (4 * BLOCK_ROWS))).alias("part"), "y")
+    asked = dealt.unionByName(dealt.select("x", "part", F.col("x").alias("y")).distinct())
+    seen, bits = _filter_of(_ids_of(pairs))
+    held = rows.sparkSession.sparkContext.broadcast(np.packbits(seen, bitorder="little").tobytes())
+    sets = rows.mapInArrow(_sets(words, held, bits), "doc_id long, shingles binary")
+    found = asked.join(sets, F.col("y") == F.col("doc_id")).select("x", "part", "y", "shingles")
+    grouped = found.repartition("x", "part").sortWithinPartitions("x", "part", F.col("y") != F.col("x"), "y")
     return grouped.mapInArrow(_compare(percent), "x long, y long, overlap long")
 
 
@@ -207,6 +270,63 @@ def _release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _size(place: str) -> Column:
+    return F.shiftright(F.col(place), 32)
+
+
+def _rest(place: str) -> Column:
+    """How many of the document's shingles stand at this place of its order or after it."""
+    return _size(place) - F.col(place).bitwiseAND(F.lit((1 << 32) - 1))
+
+
+def _early(percent: int) -> Column:
+    """Whether this can be the first common shingle with a document that is at least as large."""
+    return _rest("place") * (100 + percent) >= 2 * percent * _size("place")
+
+
+def _short_table(rows: DataFrame, same: DataFrame, counts: DataFrame, words: int, percent: int) -> Table:
+    """doc_id, n, short, short_end: the representatives' short lists, rarest shingle first, and where their order ends."""
+    classes = rows.sparkSession.sparkContext.broadcast(_frequency_classes(counts))
+    lists = rows.mapInArrow(_short_lists(words, percent, classes), "doc_id long, n int, short array<long>, short_end long")
+    chosen = same.select(F.col("first_id").alias("doc_id"), "n").distinct()
+    return Table(lists.join(chosen, ["doc_id", "n"], "left_semi"), "short-lists", batch=128, codec="none")
+
+
+def _shared_lists(short: DataFrame, percent: int) -> DataFrame:
+    """h, doc_id, place (size and position in one number), lo, hi: the entries of short lists that can hold a link, with
+    each list's end documents. Of two linked documents the smaller one has their first common shingle early.
+    """
+    entries = short.select("doc_id", "n", F.posexplode("short").alias("pos", "h"))
+    entries = entries.select("h", "doc_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
+    ends = entries.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(_early(percent)).alias("any")).where("lo < hi and any")
+    return entries.join(ends, "h").select("h", "doc_id", "place", "lo", "hi")
+
+
+def _reach(percent: int) -> Column:
+    """Whether two documents whose first common shingle stands at these places can share as many as they need."""
+    both = _size("place_x") + _size("place_y")
+    return F.least(_rest("place_x"), _rest("place_y")) * (100 + percent) >= percent * both
+
+
+def _end_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Each list's documents paired with its first and its last one, where the sizes and places allow a link."""
+    ends = shared.where("doc_id = lo or doc_id = hi").select("h", F.col("doc_id").alias("x"), F.col("place").alias("place_x"))
+    pairs = shared.select("h", F.col("doc_id").alias("y"), F.col("place").alias("place_y")).join(ends, "h").where("x <> y").where(_reach(percent))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _cross_pairs(shared: DataFrame, united: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list whose documents are in different components, could reach the overlap and were not compared yet."""
+    named = shared.select("h", "doc_id", "place").join(united, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "place", F.coalesce("component", "doc_id").alias("c"), _early(percent).alias("early"))
+    several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("early").alias("any")).where("lo < hi and any").select("h")
+    open_lists = Table(named.join(several, "h"), "open-lists", codec="lz4").read()
+    less = open_lists.where("early").select("h", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "place", "c")))
+    more = open_lists.select("h", *(F.col(c).alias(f"{c}_y") for c in ("doc_id", "place", "c")))
+    near = (F.col("c_x") != F.col("c_y")) & (_size("place_x") <= _size("place_y")) & _reach(percent)
+    pair = less.join(more, (less.h == more.h) & near).select(F.least("doc_id_x", "doc_id_y").alias("x"), F.greatest("doc_id_x", "doc_id_y").alias("y")).distinct()
+    return pair.join(tried, ["x", "y"], "left_anti")
+
+
 def jaccard_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links), is_first (it is that id).
 
@@ -215,34 +335,24 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    known = rows.where("doc_id is not null")
     schema = "doc_id long, n int, f1 long, f2 long, block int, part int, counts binary"
     first = Table(rows.mapInArrow(_signatures(words), schema), "signatures", batch=128).read()
-    classes = spark.sparkContext.broadcast(_frequency_classes(first.where("block is not null").select("block", "part", "counts")))
     signatures = first.where("block is null").select("doc_id", "n", "f1", "f2")
     same = signatures.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id"))
-
-    lists = rows.where("doc_id is not null").mapInArrow(_short_lists(words, percent, classes), "doc_id long, n int, short array<long>")
-    chosen = same.select(F.col("first_id").alias("doc_id"), "n").distinct()
-    short = Table(lists.join(chosen, ["doc_id", "n"], "left_semi"), "short-lists", batch=128, codec="lz4").read()
-    entries = short.select("doc_id", "n", F.explode("short").alias("h"))
-    ends = entries.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = Table(entries.join(ends, "h").select("h", "doc_id", "n", "lo", "hi"), "shared-lists", codec="lz4").read()
+    short = _short_table(known, same, first.where("block is not null").select("block", "part", "counts"), words, percent).read()
     _release(spark)
-
-    ends = shared.select(F.col("lo").alias("x"), F.col("doc_id").alias("y")).unionByName(shared.select(F.col("hi").alias("x"), F.col("doc_id").alias("y")))
-    ends = Table(ends.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "end-pairs").read()
-    links = Table(_verified(ends, rows, words, percent), "links-1", batch=256).read()
+    shared = Table(_shared_lists(short, percent), "shared-lists", codec="lz4").read()
     _release(spark)
 
+    ends = Table(_end_pairs(shared, percent), "end-pairs").read()
+    likely = Table(_plausible(ends, short, percent), "likely-pairs-1").read()
+    links = Table(_verified(likely, known, words, percent), "links-1", batch=256).read()
+    _release(spark)
     united = Table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components-1").read()
-    named = shared.select("h", "doc_id", "n").join(united, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    mixed_lists = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    open_lists = Table(named.join(mixed_lists, "h"), "open-lists", codec="lz4").read()
-    left, right = (open_lists.select("h", *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "c"))) for side in ("x", "y"))
-    near = (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y")) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    across = left.join(right, (left.h == right.h) & near).select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y")).distinct()
-    across = Table(across.join(ends, ["x", "y"], "left_anti"), "cross-pairs").read()
-    more = Table(_verified(across, rows, words, percent), "links-2", batch=256).read()
+    across = Table(_cross_pairs(shared, united, ends, percent), "cross-pairs").read()
+    likely = Table(_plausible(across, short, percent), "likely-pairs-2").read()
+    more = Table(_verified(likely, known, words, percent), "links-2", batch=256).read()
     _release(spark)
 
     every = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
