@@ -7,21 +7,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.time_math import record_time_parts
 
 #: Spellings of the record time's column, in lower case.
-RECORD_NAMES = ("record_time(us)", "record_time_us", "record_time")
+RECORD_NAMES = ("record_time(us)", "recording_time(us)", "record time(us)")
 
 
 def columns_of(names: list[str]) -> tuple[str, str]:
-    """(absolute, record): the first name that ends with `_time(us)` as written, a known record name in any case; else the first two.
-
-    A record column named `record_time(us)` that comes first serves both, as its name fits both.
+    """(absolute, record): the first name that ends with `_time(us)` as written, else the first; a known record name in
+    any case, else the second. A column named `record_time(us)` that comes first serves both.
     """
-    absolute = next((n for n in names if n.endswith("_time(us)")), None)
-    record = next((n for n in names if n.strip().lower() in RECORD_NAMES), None)
-    if absolute is None or record is None:
-        if len(names) < 2:
-            raise ValueError("a TTL file needs two columns")
-        absolute, record = names[0], names[1]
-    return absolute, record
+    if len(names) < 2:
+        raise ValueError("a TTL file needs two columns")
+    absolute = next((n for n in names if n.endswith("_time(us)")), names[0])
+    return absolute, next((n for n in names if n.lower() in RECORD_NAMES), names[1])
 
 
 def _whole(text: Column) -> Column:
