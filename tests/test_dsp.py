@@ -120,3 +120,11 @@ def test_settings_rules():
             dsp.validate(bad, RATE)
     assert dsp.padding(Settings(True, bandpass=True, low_hz=5.0), 625.0) == 375
     assert dsp.regressed_frequencies(Settings(True, method="regression", frequencies=(60.0, 120.0), all_harmonics=True), RATE) == [60, 120, 180, 240]
+
+
+def test_prominence_by_windows_equals_the_kernel(spark):
+    from wavemark.operators import windows as W
+
+    x = np.random.default_rng(9).normal(size=400)
+    got = {r.sample_index: r.prominence for r in W.prominences(W.local_extrema(table(spark, x), 0.5, -9.0), 15).collect()}
+    assert got and all(abs(v - dsp.prominence(x, k, 15)) < 1e-12 for k, v in got.items())

@@ -314,3 +314,13 @@ def win_notch_gap_interp(spark, sf_dir):
     bins = A.vectors(spark, sf_dir).select(F.col("vec_id").alias("channel"), F.posexplode("v").alias("bin", "db"))
     rows = bins.select("channel", F.col("bin").cast("long").alias("bin"), (F.col("bin") * 7.8125).alias("freq"), "db")
     return W.bridge_notches(rows, [60.0, 400.0], 30.0).select("channel", "bin", "freq", F.round("db", 9).alias("db"))
+
+
+_SIDES = """tops AS (SELECT *, lag(value) OVER o AS p, lead(value) OVER o AS q, list(value) OVER (PARTITION BY channel ORDER BY sample_index ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS a,
+list(value) OVER (PARTITION BY channel ORDER BY sample_index ROWS BETWEEN 1 FOLLOWING AND 12 FOLLOWING) AS b FROM samples WINDOW o AS (PARTITION BY channel ORDER BY sample_index)),
+cut AS (SELECT *, coalesce(nullif(list_position(list_transform(list_reverse(a), lambda v: v > value), true), 0), 99) AS i, coalesce(nullif(list_position(list_transform(b, lambda v: v > value), true), 0), 99) AS j FROM tops WHERE value >= p AND value >= q AND value >= 50)"""
+
+
+@query("win_prominence", _V("SELECT channel, sample_index, value, value - greatest(least(value, coalesce(list_min((list_reverse(a))[1:i - 1]), value)), least(value, coalesce(list_min(b[1:j - 1]), value))) AS prominence FROM cut", _SIDES))
+def win_prominence(spark, sf_dir):
+    return W.prominences(W.local_extrema(A.samples(spark, sf_dir), 50.0, -1.0), 12)
