@@ -3,42 +3,29 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from ..sources.shared import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only a local session (tests) may leave the setting unset; it then gets a temporary folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = getattr(spark.sparkContext, "_wavemark_shared", None)
-    if own is None:
-        own = "file://" + tempfile.mkdtemp(prefix="wavemark-")
-        spark.sparkContext._wavemark_shared = own
-    return own
+#: Rows of an Arrow batch, and of a batch that the Parquet reader holds; their defaults suit narrow rows.
+BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Holds the rows of an Arrow batch down while an action over wide rows (whole texts) runs."""
-    before = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(rows))
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Holds the rows of a batch down while an action over wide rows (whole texts, blocks of ids) runs."""
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    for name in BATCHES:
+        spark.conf.set(name, str(min(rows, int(before[name]))))
     try:
         yield
     finally:
-        spark.conf.set(ARROW_ROWS, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Table:
@@ -48,7 +35,7 @@ class Table:
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        with arrow_rows(self.spark, batch):
+        with batch_rows(self.spark, batch):
             writer = df.write.option("compression", codec)
             if partition_by:
                 writer = writer.partitionBy(*partition_by)

@@ -16,20 +16,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Table
-from .tokens import Encoder, crc, pack_bits, unpack_bits, width_of
+from .tokens import crc, encoder, pack_bits, unpack_bits, width_of
 
 BLOCK_SCHEMA = "shard int, block int, first long, n_ids long, width int, payload binary, doc_ids array<long>, doc_first array<long>, doc_len array<long>"
 #: A block is closed once it holds so many ids.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 15
 
 
 def _blocks(tokenizer_path: str, end_id: int | None, by_word: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer_path, by_word), TaskContext.get().partitionId()
-        width = width_of(encoder.vocabulary)
+        worker, shard = encoder(tokenizer_path, by_word), TaskContext.get().partitionId()
+        width = width_of(worker.vocabulary)
         if end_id is not None and end_id >> width:
             raise ValueError(f"end id {end_id} does not fit in {width} bits")
-        tail = np.array([] if end_id is None else [end_id], encoder.dtype)
+        tail = np.array([] if end_id is None else [end_id], worker.dtype)
         block, first, held, ids, lengths = 0, 0, 0, [], []
         parts: list[np.ndarray] = []
 
@@ -41,7 +41,7 @@ def _blocks(tokenizer_path: str, end_id: int | None, by_word: bool):
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.concatenate((encoder.ids(text.as_py()), tail))
+                found = np.concatenate((worker.ids(text.as_py()), tail))
                 parts.append(found)
                 ids.append(doc_id)
                 lengths.append(len(found))

@@ -12,7 +12,7 @@ import numpy as np
 from .common import cpu_env
 
 #: Distinct words whose ids a worker keeps, in each of two generations: words seen since the last change outlive it.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 250_000
 #: Longer words are encoded without being kept.
 CACHED_WORD_CHARS = 48
 
@@ -76,8 +76,12 @@ class Encoder:
         return found
 
     def _learn(self, word: str) -> bytes:
-        if self.apart and (m := _PLAIN.fullmatch(word.lower())):
-            return self._part(m[1]) + self._part(m[2])
+        if self.apart:
+            lower = word.lower()
+            if (found := self.plain.get(lower)) is not None:
+                return found
+            if m := _PLAIN.fullmatch(lower):
+                return self._part(m[1]) + self._part(m[2])
         return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str | None) -> np.ndarray:
