@@ -25,7 +25,7 @@ DIMENSIONS = 1 << 18
 class _Buckets(dict):
     def __missing__(self, word: str) -> int:
         found = zlib.crc32(word.encode("utf-8", "replace")) % DIMENSIONS
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = found
         return found
 
@@ -88,14 +88,14 @@ def _posteriors(model, at: int, names: list[str]):
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, sample_rows: int = 20_000, parts: int = 4, passes: int = 3, rate: float = 0.05):
     """(weights, offsets) of the classifier, fitted on about `sample_rows` rows of `labelled` (doc_id, domain), drawn by a hash of the id."""
-    known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain").dropDuplicates(["doc_id"])
+    known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     total = known.count()
     some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) < int(min(1, sample_rows / max(1, total)) * (1 << 30)))
     texts = docs.join(F.broadcast(some), "doc_id")  # at most about sample_rows short rows
-    dealt = texts.select("text", "domain", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(parts)).alias("p")).repartition(parts, "p").select("text", "domain")
+    dealt = texts.select("doc_id", "text", "domain", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(parts)).alias("p")).repartition(parts, "p").sortWithinPartitions("doc_id", "text").select("text", "domain")
     found = dealt.mapInArrow(_fit(domains, passes, rate), "n long, used binary, w binary, b binary").collect()
     w, b, n = np.zeros((DIMENSIONS, len(domains)), np.float32), np.zeros(len(domains)), max(1, sum(r.n for r in found))
-    for r in found:
+    for r in sorted(found, key=lambda r: (r.n, bytes(r.used), bytes(r.w))):  # sums of floats depend on their order
         w[np.frombuffer(r.used, "<i8")] += np.frombuffer(r.w, np.float32).reshape(-1, len(domains)) * (r.n / n)
         b += np.frombuffer(r.b) * (r.n / n)
     return w, b

@@ -123,7 +123,7 @@ class _Shapes(dict):
             return "a" if x[0].islower() else "A" if x[0].isupper() and len(x) == 1 else "U" if x[0].isupper() else "9" if x[0].isdigit() else x[0] if len(x) == 1 else x[0] * 2 if len(x) == 2 else x[0] * 3
 
         found = zlib.crc32(_SHAPE.sub(sign, word[:200]).encode()) % (DIMENSIONS // 2)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = found
         return found
 
@@ -205,14 +205,15 @@ def learn(rows: DataFrame, *, sample_rows: int = 20_000, parts: int = 4, passes:
     The scorer is fitted on about `sample_rows` of them, drawn by a hash of the id, in `parts` parts whose weights are averaged.
     """
     counted = rows.select("text").mapInArrow(_votes, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    patterns = {tuple(map(int, r.pattern)): r.n for r in counted}
+    patterns = {tuple(map(int, r.pattern)): r.n for r in sorted(counted)}
     chance, good = fit_accuracies(patterns)
     total = sum(patterns.values())
     draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))
     some = rows.where(draw < int(min(1, sample_rows / max(1, total)) * (1 << 30)))
-    found = some.select("text", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(parts)).alias("p")).repartition(parts, "p").select("text").mapInArrow(_train(chance, good, passes, rate), "n long, weights binary").collect()
+    found = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(parts)).alias("p")).repartition(parts, "p").sortWithinPartitions("doc_id", "text").select("text").mapInArrow(_train(chance, good, passes, rate), "n long, weights binary").collect()
     if not found:
         return np.zeros(DIMENSIONS + 1)
+    found.sort(key=lambda r: (r.n, bytes(r.weights)))  # sums of floats depend on their order
     return sum(r.n * np.frombuffer(r.weights) for r in found) / sum(r.n for r in found)
 
 
