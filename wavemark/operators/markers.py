@@ -53,7 +53,7 @@ def sync(df: DataFrame, ttl_id: str | None = None, video_id: str | None = None)
         ttl, video = ttl & (F.col("marker_id") == ttl_id), F.col("kind").isin("led_on", "action_start") & (F.col("domain") == "video") & (F.col("marker_id") == video_id)
     pick = lambda c: F.min(F.when(c, F.struct("time_sec", "seq", "marker_id")))
     r = df.agg(pick(ttl).alias("t"), pick(video).alias("v"))
-    return r.select(F.col("t.marker_id").alias("ttl_id"), F.col("v.marker_id").alias("video_id"), (F.col("v.time_sec") - F.col("t.time_sec")).alias("offset_sec"), F.greatest(F.col("v.time_sec"), F.lit(None).cast("double")).alias("video_origin_sec"))
+    return r.select(F.col("t.marker_id").alias("ttl_id"), F.col("v.marker_id").alias("video_id"), (F.col("v.time_sec") - F.col("t.time_sec")).alias("offset_sec"), F.col("v.time_sec").alias("video_origin_sec"))
 
 
 def with_offset(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def overlay(line: DataFrame, exact: DataFrame) -> DataFrame:
     return both.withColumn("k", best).where("k = 1").select("channel", "time_us", "value", (F.col("rank") == 1).alias("is_exact"))
 
 
-def replace_where(df: DataFrame, old: Column, new: DataFrame, bucket_rows: int = 1_000_000) -> DataFrame:
+def replace_where(df: DataFrame, old: Column, new: DataFrame) -> DataFrame:
     """The table without the rows of `old`, the new rows appended after its last place."""
     last = df.agg(F.max("seq").alias("last_seq"))
     moved = new.crossJoin(F.broadcast(last)).withColumn("seq", F.coalesce(F.col("last_seq"), F.lit(0)) + 1 + F.col("seq")).drop("last_seq")

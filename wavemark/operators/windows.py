@@ -7,13 +7,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .samples import finite
 
 
-def _before(keys: list[str], order: list[str]):
+def before(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
 def local_extrema(df: DataFrame, high: Column | float, low: Column | float) -> DataFrame:
     """positive/negative candidate masks: a finite triple, not under (over) either neighbour, threshold included."""
-    w = _before(["channel"], ["sample_index"])
+    w = before(["channel"], ["sample_index"])
     a, v, b = F.lag("value").over(w), F.col("value"), F.lead("value").over(w)
     whole = finite(a) & finite(v) & finite(b)
     high, low = (x if isinstance(x, Column) else F.lit(x) for x in (high, low))
@@ -23,11 +23,11 @@ def local_extrema(df: DataFrame, high: Column | float, low: Column | float) -> D
 
 def plateaus(df: DataFrame) -> DataFrame:
     """Each flat maximum's middle (rounded down): runs of equal values strictly above both neighbours, edges excluded."""
-    w = _before(["channel"], ["sample_index"])
+    w = before(["channel"], ["sample_index"])
     starts = df.withColumn("starts", F.when(F.lag("value").over(w) == F.col("value"), 0).otherwise(1))
     runs = starts.withColumn("run", F.sum("starts").over(w))
     edges = runs.groupBy("channel", "run").agg(F.min("sample_index").alias("left"), F.max("sample_index").alias("right"), F.first("value").alias("value"))
-    r = _before(["channel"], ["run"])
+    r = before(["channel"], ["run"])
     outer = edges.withColumn("before", F.lag("value").over(r)).withColumn("after", F.lead("value").over(r))
     return outer.where("value > before and value > after").select("channel", F.floor((F.col("left") + F.col("right")) / 2).alias("sample_index"), "left", "right", "value")
 
@@ -35,8 +35,8 @@ def plateaus(df: DataFrame) -> DataFrame:
 def fill_gaps(df: DataFrame) -> DataFrame:
     """Values that aren't finite become linear in the index; ends take the nearest value, channels without any take 0."""
     good = F.when(finite(F.col("value")), F.struct("sample_index", "value"))
-    back = _before(["channel"], ["sample_index"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = _before(["channel"], ["sample_index"]).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = before(["channel"], ["sample_index"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = before(["channel"], ["sample_index"]).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = df.withColumn("a", F.last(good, True).over(back)).withColumn("b", F.first(good, True).over(ahead))
     i, a, b = F.col("sample_index"), F.col("a"), F.col("b")
     line = a["value"] + (b["value"] - a["value"]) * (i - a["sample_index"]) / (b["sample_index"] - a["sample_index"])
@@ -55,7 +55,7 @@ def regression_windows(df: DataFrame, window: int, hop: int, columns: int) -> Da
 
 def merge_ranges(df: DataFrame, touch: float = 1e-9) -> DataFrame:
     """Ranges (channel, left, right) that overlap or touch, united."""
-    w = _before(["channel"], ["left", "right"])
+    w = before(["channel"], ["left", "right"])
     far = F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1))
     starts = df.withColumn("starts", F.when(F.col("left") <= far + touch, 0).otherwise(1))
     return starts.withColumn("island", F.sum("starts").over(w)).groupBy("channel", "island").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("island")
@@ -69,7 +69,7 @@ def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float =
     radius = max(float(context_sec), 0.0)
     span = max(float(longest_sec), 2 * radius)
     times = df.where(finite(F.col("time_sec"))).select("channel", "time_sec").distinct()
-    w = _before(["channel"], ["time_sec"])
+    w = before(["channel"], ["time_sec"])
     apart = F.coalesce(F.col("time_sec") - radius > F.lag("time_sec").over(w) + radius, F.lit(True))
     runs = times.withColumn("run", F.sum(apart.cast("int")).over(w)).groupBy("channel", "run").agg(F.array_sort(F.collect_list("time_sec")).alias("times"))
     empty = F.array().cast("array<struct<left: double, right: double>>")
@@ -91,13 +91,13 @@ def allocate_points(df: DataFrame, budget: int) -> DataFrame:
     share = F.when(F.col("whole") > 0, F.col("length") * (F.lit(float(budget)) / F.col("whole"))).otherwise(F.lit(float(budget)) / F.col("k"))
     rows = rows.withColumn("share", share).withColumn("base", F.floor("share"))
     left_over = F.lit(budget) - F.sum("base").over(all_)
-    place = F.row_number().over(_before(["channel"], [F.desc(F.col("share") - F.col("base")), "left"]))
+    place = F.row_number().over(before(["channel"], [F.desc(F.col("share") - F.col("base")), "left"]))
     return rows.withColumn("points", F.col("base") + F.when(place <= left_over, 1).otherwise(0)).select("channel", "left", "right", "points")
 
 
 def even_sample(df: DataFrame, most: int) -> DataFrame:
     """At most `most` rows of each channel, evenly spread over the row numbers, ends included."""
-    w = _before(["channel"], ["sample_index"])
+    w = before(["channel"], ["sample_index"])
     rows = df.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("channel")))
     if most < 1:
         return df.limit(0)
@@ -109,7 +109,7 @@ def even_sample(df: DataFrame, most: int) -> DataFrame:
 
 def carry_concat(df: DataFrame) -> DataFrame:
     """Partial chunks (channel, left, right) in order, with a separator row where one doesn't start at the last one's end."""
-    end = F.lag("right").over(_before(["channel"], ["left"]))
+    end = F.lag("right").over(before(["channel"], ["left"]))
     rows = df.withColumn("end", end)
     breaks = rows.where("end < left").select("channel", F.col("end").alias("left"), F.col("left").alias("right"), F.lit(True).alias("is_gap"))
     return rows.select("channel", "left", "right", F.lit(False).alias("is_gap")).unionByName(breaks)
@@ -120,7 +120,7 @@ def bridge_notches(df: DataFrame, notches: list[float], quality: float) -> DataF
 
     A bin is near if it is within max(notch / (2 quality), 2 bins) of it; runs at an edge of the spectrum stay.
     """
-    w = _before(["channel"], ["bin"])
+    w = before(["channel"], ["bin"])
     rows = df.withColumn("step", F.col("freq") - F.lag("freq").over(w))
     width = rows.where("step > 0").groupBy("channel").agg(F.median("step").alias("bin_hz"))
     rows = rows.join(F.broadcast(width), "channel")
@@ -148,7 +148,7 @@ def prominences(df: DataFrame, context: int) -> DataFrame:
     On each side the base is the lowest value before higher ground, within `context` samples; the prominence is the
     height over the higher base. Meant for short contexts; long ones are cheaper in `signal_blocks.find_peaks`.
     """
-    w = _before(["channel"], ["sample_index"])
+    w = before(["channel"], ["sample_index"])
     x = F.col("value")
 
     def base(side: Column) -> Column:

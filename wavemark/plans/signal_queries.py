@@ -324,7 +324,7 @@ def sp_peak_display(spark, sf_dir):
     # an interval is at most 3000 s long: rows and intervals meet on 3000 s buckets
     k = F.explode(F.sequence(F.floor(F.col("left") / 3000), F.floor(F.col("right") / 3000)))
     inside = rows.withColumn("k", F.floor(F.col("time_us") / 3000e6)).join(spans.withColumn("k", k), ["channel", "k"]).where((F.col("time_us") / 1e6).between(F.col("left"), F.col("right")))
-    w = F.row_number().over(W._before(["channel", "left"], ["sample_index"]))
+    w = F.row_number().over(W.before(["channel", "left"], ["sample_index"]))
     return inside.withColumn("r", w).where(F.col("r") <= F.col("points")).select("channel", "sample_index", "value")
 
 
