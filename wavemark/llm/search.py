@@ -12,7 +12,6 @@ import io
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -21,9 +20,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import Table
 
 #: Documents and list entries of a shard at most; documents of a block.
-SHARD_DOCS, SHARD_ENTRIES, BLOCK = 32_768, 12_000_000, 128
-#: Queries of a task.
-QUERY_BLOCK = 16_384
+SHARD_DOCS, SHARD_ENTRIES, BLOCK = 16_384, 4_000_000, 128
+#: A round of lists has about a ROUND-th as many entries as the shard has documents.
+ROUND = 1
+#: Bytes of a shard's rows of long lists.
+ROW_BYTES = 48 << 20
+#: Queries that are sent to all tasks at a time: some 5 kB each, with a few hundred terms.
+QUERY_BLOCK = 8192
 K1, B = 1.2, 0.75
 #: ASCII letters are lower-cased, other ASCII signs but digits are blanks, other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -41,7 +44,7 @@ def terms(text: bytes | None, known: _Words) -> tuple[np.ndarray, np.ndarray, in
     """(sorted term hashes, their counts, number of terms in all)."""
     found = text.translate(_FOLD).split() if text else []
     keys, counts = np.unique(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), return_counts=True)
-    return keys, counts, len(found)
+    return keys, counts.astype(np.int32), len(found)
 
 
 class Shard:
@@ -54,11 +57,11 @@ class Shard:
     def of(cls, held: list[tuple[np.ndarray, np.ndarray, int]], ids: list[int]) -> Shard:
         key = np.concatenate([k for k, _, _ in held])
         tf = np.concatenate([c for _, c, _ in held])
-        doc = np.repeat(np.arange(len(held)), [len(k) for k, _, _ in held])
+        doc = np.repeat(np.arange(len(held), dtype=np.uint16), [len(k) for k, _, _ in held])
         order = np.argsort(key, kind="stable")
         found, starts = np.unique(key[order], return_index=True)
         small = np.uint16 if tf.max(initial=0) < 1 << 16 else np.int32
-        return cls(found, np.append(starts, len(key)).astype(np.int64), doc[order].astype(np.uint16), tf[order].astype(small), np.array(ids, np.int64), np.array([n for _, _, n in held], np.int64))
+        return cls(found, np.append(starts, len(key)).astype(np.int64), doc[order], tf[order].astype(small), np.array(ids, np.int64), np.array([n for _, _, n in held], np.int64))
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
@@ -70,11 +73,25 @@ class Shard:
         return cls(**np.load(io.BytesIO(data)))
 
     def prepare(self, average: float) -> None:
-        """Impacts (scores without the idf), each list's largest, and block maxima of lists longer than a block."""
-        norm = K1 * (1 - B + B * self.lengths / average)
-        self.impact = (self.tfs * (K1 + 1) / (self.tfs + norm[self.docs])).astype(np.float32)
+        """Impacts (scores without the idf), each list's largest, and every document's own terms and counts."""
+        self.norm, self.maxima, self.blocks = K1 * (1 - B + B * self.lengths / average), {}, -(-len(self.ids) // BLOCK)
+        self.sizes = np.diff(self.starts)
+        tf = self.tfs.astype(np.float32)
+        self.impact = tf * np.float32(K1 + 1) / (tf + self.norm.astype(np.float32)[self.docs])
         self.most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.impact) else np.empty(0, np.float32)
-        self.norm, self.maxima, self.blocks = norm, {}, -(-len(self.ids) // BLOCK)
+        # The longest lists also as rows over all documents: adding a row is faster than adding its entries one by one.
+        self.row_of = np.full(len(self.terms), -1, np.int32)
+        longest = np.argsort(-self.sizes, kind="stable")[: ROW_BYTES // (4 * max(1, len(self.ids)))]
+        longest = longest[self.sizes[longest] >= max(32, len(self.ids) // 32)]
+        self.row_of[longest] = np.arange(len(longest))
+        self.rows = np.zeros((len(longest), len(self.ids)), np.float32)
+        for r, x in enumerate(longest):
+            span = slice(self.starts[x], self.starts[x + 1])
+            self.rows[r, self.docs[span]] = self.impact[span]
+        by_doc = np.argsort(self.docs, kind="stable")
+        self.own_terms = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)[by_doc]
+        self.own_tfs = self.tfs[by_doc]
+        self.own_starts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids))))).astype(np.int64)
 
     def block_maxima(self, t: int) -> np.ndarray:
         if t not in self.maxima:
@@ -89,10 +106,20 @@ class Shard:
     def look_up(self, t: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the sorted documents are in the list, their entries)."""
         a, b = int(self.starts[t]), int(self.starts[t + 1])
-        at = np.minimum(np.searchsorted(self.docs[a:b], docs), b - a - 1) + a
+        at = np.minimum(np.searchsorted(self.docs[a:b], docs.astype(self.docs.dtype)), b - a - 1) + a  # one type: else the list is cast
         hit = self.docs[at] == docs
         return hit, at[hit]
 
+    def exact(self, docs: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Scores in double precision, added in the order of the terms, which is the same in every shard."""
+        a, n = self.own_starts[docs], self.own_starts[docs + 1] - self.own_starts[docs]
+        owner, entry = _ranges(a, n)
+        term = self.own_terms[entry]
+        at = np.minimum(np.searchsorted(t, term), len(t) - 1)
+        hit = t[at] == term
+        owner, at, tf = owner[hit], at[hit], self.own_tfs[entry[hit]].astype(np.float64)
+        return np.bincount(owner, w[at] * (tf * (K1 + 1) / (tf + self.norm[docs[owner]])), len(docs))
+
     def top(self, query: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(document numbers, scores) of the k best under (score, smaller id), or fewer if fewer score above 0."""
         at = np.searchsorted(self.terms, query)
@@ -104,41 +131,51 @@ class Shard:
         bound = w * self.most[t]
         order = np.argsort(-bound, kind="stable")
         rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
-        size = np.diff(self.starts)[t][order]
-        n, done, acc, floor = len(self.ids), 0, np.zeros(len(self.ids)), 0.0
-        slack = 1e-5 * max(1.0, float(rest[0]))  # impacts are in single precision here
+        size, n, done, floor = self.sizes[t][order], len(self.ids), 0, 0.0
+        reach, acc, part = np.cumsum(size), np.zeros(n, np.float32), np.empty(n, np.float32)
+        slack = 1e-4 * max(1.0, float(rest[0]))  # sums are in single precision here
         while done < len(order) and (done == 0 or rest[done] >= floor):
-            upto = max(done + 1, int(np.searchsorted(np.cumsum(size[done:]), n // 2, "right")) + done)
-            some = order[done:upto]
-            spans = [slice(self.starts[x], self.starts[x + 1]) for x in t[some]]
-            weight = np.repeat(w[some], size[done:upto])
-            acc += np.bincount(np.concatenate([self.docs[s] for s in spans]), weight * np.concatenate([self.impact[s] for s in spans]), n)
+            upto = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + n // ROUND, "right")))
+            some, n_in = order[done:upto], size[done:upto]
+            row = self.row_of[t[some]]
+            short = row < 0
+            if short.any():
+                _, entry = _ranges(self.starts[t[some[short]]], n_in[short])
+                acc += np.bincount(self.docs[entry], np.repeat(w[some[short]], n_in[short]) * self.impact[entry], n).astype(np.float32)
+            for j, r in zip(some[~short].tolist(), row[~short].tolist(), strict=True):
+                np.multiply(self.rows[r], np.float32(w[j]), out=part)
+                acc += part
             done = upto
             if n > k:
                 floor = float(np.partition(acc, n - k)[n - k])
         best = np.flatnonzero((acc > 0) & (acc + rest[done] >= floor - slack))
         if done < len(order) and len(best):
-            left = order[done:]
-            value = acc[best]
-            ahead = value + sum(w[j] * self.block_maxima(t[j])[best // BLOCK] for j in left)
-            best, value = best[ahead >= floor - slack], value[ahead >= floor - slack]
-            for j, after in zip(left, rest[done + 1 :], strict=True):
+            left, value = order[done:], acc[best]
+            if len(best) > k:
+                ahead = value + sum(w[j] * self.block_maxima(t[j])[best // BLOCK] for j in left)
+                best, value = best[ahead >= floor - slack], value[ahead >= floor - slack]
+            for step, (j, after) in enumerate(zip(left, rest[done + 1 :], strict=True)):
+                if len(best) <= 2 * k:
+                    break  # few enough to be scored as they are
                 there, entry = self.look_up(t[j], best)
                 value[there] += w[j] * self.impact[entry]
-                if len(best) > 4 * k:
+                if step % 8 == 7:
                     floor = max(floor, float(np.partition(value, len(value) - k)[len(value) - k]))
                     keep = value + after >= floor - slack
                     best, value = best[keep], value[keep]
-        score = np.zeros(len(best))
-        for x, weight in sorted(zip(t.tolist(), w.tolist(), strict=True)):  # by term: one order in every shard
-            there, entry = self.look_up(x, best)
-            tf = self.tfs[entry].astype(np.float64)
-            score[there] += weight * (tf * (K1 + 1) / (tf + self.norm[best[there]]))
+        score = self.exact(best, t, w)
         rank = np.lexsort((self.ids[best], -score))[:k]
         rank = rank[score[rank] > 0]
         return best[rank], score[rank]
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of all positions of the given ranges, one range after another."""
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    shift = np.repeat((starts - np.concatenate(([0], np.cumsum(sizes)[:-1]))).astype(np.int32), sizes)  # a shard has far fewer than 2^31 entries
+    return owner, np.arange(len(owner), dtype=np.int32) + shift
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, part, number, held, ids, entries = _Words(), TaskContext.get().partitionId(), 0, [], [], 0
 
@@ -175,23 +212,42 @@ def _list_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(shard.terms[a : a + (1 << 17)]), pa.array(sizes[a : a + (1 << 17)])], names=["term", "df"])
 
 
-def _search(documents: int, average: float, k: int):
-    def run(queries: pd.DataFrame, lists: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(queries) and len(lists):
-            shard = Shard.loads(lists["lists"].iloc[0])
-            shard.prepare(average)
-            for query_id, term, df in zip(queries["query_id"], queries["terms"], queries["dfs"], strict=True):
-                term, df = np.asarray(term, np.int64), np.asarray(df, np.float64)
-                order = np.argsort(term)
-                idf = np.log1p((documents - df[order] + 0.5) / (df[order] + 0.5))
-                docs, scores = shard.top(term[order], idf, k)
-                out.extend(zip([query_id] * len(docs), shard.ids[docs].tolist(), scores.tolist(), strict=True))
-        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"]).astype({"query_id": np.int64, "doc_id": np.int64, "score": np.float64})
+def _search(block, k: int):
+    names, types = ["query_id", "doc_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row is a shard; all queries of the block run against it."""
+        ids, starts, terms, idfs, average = block.value
+        for batch in batches:
+            for data in batch.column(0):
+                shard = Shard.loads(data.as_py())
+                shard.prepare(average)
+                out: list[list] = [[], [], []]
+                for row, query_id in enumerate(ids.tolist()):
+                    span = slice(starts[row], starts[row + 1])
+                    docs, scores = shard.top(terms[span], idfs[span], k)
+                    for column, values in zip(out, ([query_id] * len(docs), shard.ids[docs].tolist(), scores.tolist()), strict=True):
+                        column.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
     return run
 
 
+def _block(pairs: DataFrame, part: int, documents: int, average: float) -> tuple:
+    """The queries of a block: ids, where each one's terms start, sorted terms and their idf. QUERY_BLOCK bounds its rows."""
+    found = pairs.where(F.col("part") == part).select("query_id", "pairs.term", "pairs.df").toArrow()
+    ids, starts, terms, idfs = [], [0], [], []
+    for query_id, term, df in zip(found.column(0).to_pylist(), found.column(1), found.column(2), strict=True):
+        term, df = term.values.to_numpy(), df.values.to_numpy().astype(np.float64)
+        order = np.argsort(term)
+        ids.append(query_id)
+        starts.append(starts[-1] + len(term))
+        terms.append(term[order])
+        idfs.append(np.log1p((documents - df[order] + 0.5) / (df[order] + 0.5)))
+    empty = [np.empty(0)]
+    return np.array(ids, np.int64), np.array(starts), np.concatenate(terms or empty).astype(np.int64), np.concatenate(idfs or empty), average
+
+
 def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, rank (from 1), doc_id, score: the k best documents of each query, ties to the smaller id.
 
@@ -211,12 +267,13 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "do
     sizes = index.select("lists").mapInArrow(_list_sizes, "term long, df long")
     counted = sizes.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     pairs = wanted.join(counted, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("pairs"))  # a query's own terms
-    blocks = max(1, -(-pairs.count() // QUERY_BLOCK))
-    offered = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "lists")
-    shards = index.select("shard").distinct()  # a row per SHARD_DOCS documents
-    names = [r.shard for r in shards.collect()]
-    dealt = pairs.select("query_id", F.col("pairs.term").alias("terms"), F.col("pairs.df").alias("dfs"), F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long")).cast("int").alias("part"), F.explode(F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")).alias("shard"))
-    found = dealt.groupBy("shard", "part").cogroup(offered.groupBy("shard", "part")).applyInPandas(_search(documents, average, k), "query_id long, doc_id long, score double")
-    found = Table(found, "shard-tops").read()
+    blocks = max(1, -(-wanted.select("query_id").distinct().count() // QUERY_BLOCK))
+    pairs = Table(pairs.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long"))), "queries", batch=256).read()
+    tops = []
+    for part in range(blocks):  # a job a block of queries; the index stays where it is
+        block = spark.sparkContext.broadcast(_block(pairs, part, documents, average))
+        tops.append(Table(index.select("lists").mapInArrow(_search(block, k), "query_id long, doc_id long, score double"), "shard-tops", batch=1))
+        block.unpersist()
+    found = spark.read.schema(tops[0].schema).parquet(*(t.path for t in tops))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
