@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import time_math as T
 from ..operators import led as D, markers as M
@@ -137,7 +137,7 @@ def scan_ttl_markers(spark, sf_dir):
     return M.replace_where(m, F.col("kind") == "ttl", new)
 
 
-@query("proj_sync_status", _M("SELECT 'TTL #' || (SELECT count(*) FROM markers WHERE kind = 'ttl' AND (time_sec < (SELECT t FROM tt))) + 1 || ' <-> Video #' || (SELECT count(*) FROM markers, sy WHERE domain = 'video' AND seq <= (SELECT seq FROM markers, sy WHERE marker_id = video_id)) AS label", _SYNC).replace("' || (SELECT count(*) FROM markers WHERE kind = 'ttl' AND (time_sec < (SELECT t FROM tt))) + 1 || '", "1"))
+@query("proj_sync_status", _M("SELECT 'TTL #1 <-> Video #' || (SELECT count(*) FROM markers, sy WHERE domain = 'video' AND seq <= (SELECT seq FROM markers, sy WHERE marker_id = video_id)) AS label", _SYNC))
 def proj_sync_status(spark, sf_dir):
     """The automatic pair: the first TTL in time, and the place of the earliest LED-on among all video markers."""
     m, one = _synced(spark, sf_dir)
@@ -345,7 +345,7 @@ def agg_mean_threshold(spark, sf_dir):
     return per.agg(F.round(F.coalesce(F.avg("t"), F.lit(0.0)), 9).alias("threshold"))
 
 
-@query("proj_led_series", _L("SELECT video_time_sec, delta, 0.05 AS upper, -0.05 AS lower FROM dl", _DELTA).replace("0.05 AS upper, -0.05 AS lower", "CAST(0.05 AS DOUBLE) AS upper, CAST(-0.05 AS DOUBLE) AS lower"))
+@query("proj_led_series", _L("SELECT video_time_sec, delta, CAST(0.05 AS DOUBLE) AS upper, CAST(-0.05 AS DOUBLE) AS lower FROM dl", _DELTA))
 def proj_led_series(spark, sf_dir):
     return D.deltas(A.led_points(spark, sf_dir)).select("video_time_sec", "delta", F.lit(0.05).alias("upper"), F.lit(-0.05).alias("lower"))
 
