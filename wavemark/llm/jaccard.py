@@ -107,7 +107,10 @@ def _signatures(words: int):
 
 
 def _frequency_classes(rows: DataFrame) -> bytes:
-    """Bit lengths of the counts of all bins: a table of BINS bytes, whatever the input's size."""
+    """Bit lengths of how far each bin's count lies above the usual one: a table of BINS bytes, whatever the input's size.
+
+    The more documents there are, the more every bin holds; what stands out of that are frequent shingles.
+    """
     import pandas as pd
 
     per = BINS // BLOCKS
@@ -119,10 +122,12 @@ def _frequency_classes(rows: DataFrame) -> bytes:
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [zlib.compress(total.astype("<u4").tobytes(), 1)]})
 
     def last(pdf):
-        total = np.zeros(per, np.uint64)
+        total = np.zeros(per)
         for x in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(x), "<u4")
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.ceil(np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
+        usual = float(np.median(total))  # what rare shingles alone put into a bin
+        above = np.maximum(total - usual - 2 * np.sqrt(usual), 0)
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "counts": [np.ceil(np.log2(above + 1)).astype(np.uint8).tobytes()]})
 
     schema = "block int, counts binary"
     some = rows.withColumn("some", F.floor(F.col("part") / 128)).groupBy("block", "some").applyInPandas(first, schema)
