@@ -15,6 +15,10 @@ from ..sources.shared import shared_folder
 BATCHES = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
 
 
+#: Bytes of a row group: what a writing task holds of whole texts and blocks.
+ROW_GROUP = 32 << 20
+
+
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Holds the rows of a batch down while an action over wide rows (whole texts, blocks of ids) runs."""
@@ -36,7 +40,7 @@ class Table:
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
         with batch_rows(self.spark, batch):
-            writer = df.write.option("compression", codec)
+            writer = df.write.option("compression", codec).option("parquet.block.size", ROW_GROUP)
             if partition_by:
                 writer = writer.partitionBy(*partition_by)
             writer.parquet(self.path)

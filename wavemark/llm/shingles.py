@@ -26,7 +26,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Lower-cases A-Z, splits at blank, tab, newline, vertical tab, form feed and return, and hashes word windows."""
 
-    def __init__(self, words: int = 5, cached: int = 500_000):
+    def __init__(self, words: int = 5, cached: int = 250_000):
         self.words, self.cached, self.known = words, cached, _Words()
         self.powers = [np.uint64(pow(int(_STEP), k, 1 << 64)) for k in range(words)]
 
