@@ -298,13 +298,13 @@ def _short_table(rows: DataFrame, same: DataFrame, counts: DataFrame, words: int
 
 
 def _shared_lists(short: DataFrame, percent: int) -> DataFrame:
-    """h, doc_id, place (size and position in one number), lo, hi: the entries of short lists that can hold a link, with
-    each list's end documents. Of two linked documents the smaller one has their first common shingle early.
+    """h, doc_id, place (size and position in one number), lo, hi, m: the entries of short lists that can hold a link, with
+    each list's end documents and length. Of two linked documents the smaller one has their first common shingle early.
     """
     entries = short.select("doc_id", "n", F.posexplode("short").alias("pos", "h"))
     entries = entries.select("h", "doc_id", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("place"))
-    ends = entries.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max(_early(percent)).alias("any")).where("lo < hi and any")
-    return entries.join(ends, "h").select("h", "doc_id", "place", "lo", "hi")
+    ends = entries.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("m"), F.max(_early(percent)).alias("any")).where("lo < hi and any")
+    return entries.join(ends, "h").select("h", "doc_id", "place", "lo", "hi", "m")
 
 
 def _reach(percent: int) -> Column:
@@ -321,8 +321,11 @@ def _end_pairs(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _cross_pairs(shared: DataFrame, united: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list whose documents are in different components, could reach the overlap and were not compared yet."""
-    named = shared.select("h", "doc_id", "place").join(united, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "place", F.coalesce("component", "doc_id").alias("c"), _early(percent).alias("early"))
+    """Pairs of a list whose documents are in different components, could reach the overlap and were not compared yet.
+
+    In a list of up to three documents every pair has an end document, so it was.
+    """
+    named = shared.where("m > 3").select("h", "doc_id", "place").join(united, F.col("doc_id") == F.col("node"), "left").select("h", "doc_id", "place", F.coalesce("component", "doc_id").alias("c"), _early(percent).alias("early"))
     several = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("early").alias("any")).where("lo < hi and any").select("h")
     open_lists = Table(named.join(several, "h"), "open-lists", codec="lz4").read()
     less = open_lists.where("early").select("h", *(F.col(c).alias(f"{c}_x") for c in ("doc_id", "place", "c")))
