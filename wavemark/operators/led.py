@@ -60,10 +60,9 @@ def nearest_points(queries: DataFrame, points: DataFrame, camera: list[str] = ()
     """Each query frame's nearest point, the earlier one on ties: one ordered pass over both tables, no join of ranges."""
     q = queries.select(*camera, F.col("frame_index").alias("f"), F.col("query_id"), F.lit(None).cast("struct<frame_index: bigint, brightness: double>").alias("p"))
     p = points.select(*camera, F.col("frame_index").alias("f"), F.lit(None).cast("long").alias("query_id"), F.struct(F.col("frame_index").cast("long").alias("frame_index"), "brightness").alias("p"))
-    w = Window.partitionBy(*camera).orderBy("f") if camera else Window.orderBy("f")
+    order = lambda c: (Window.partitionBy(*camera).orderBy(c) if camera else Window.orderBy(c)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     both = q.unionByName(p)
-    below = F.last("p", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("p", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    below, above = F.last("p", True).over(order(F.col("f"))), F.last("p", True).over(order(F.desc("f")))
     rows = both.withColumn("a", below).withColumn("b", above).where("query_id is not null")
     far = F.col("b").isNull() | (F.col("f") - F.col("a.frame_index") <= F.col("b.frame_index") - F.col("f"))
     best = F.when(F.col("a").isNotNull() & far, F.col("a")).otherwise(F.col("b"))

@@ -36,8 +36,9 @@ def fill_gaps(df: DataFrame) -> DataFrame:
     """Values that aren't finite become linear in the index; ends take the nearest value, channels without any take 0."""
     good = F.when(finite(F.col("value")), F.struct("sample_index", "value"))
     back = before(["channel"], ["sample_index"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = before(["channel"], ["sample_index"]).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = df.withColumn("a", F.last(good, True).over(back)).withColumn("b", F.first(good, True).over(ahead))
+    # what follows is what comes before in the other order: a frame up to the end is computed anew for every row
+    ahead = before(["channel"], [F.desc("sample_index")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = df.withColumn("a", F.last(good, True).over(back)).withColumn("b", F.last(good, True).over(ahead))
     i, a, b = F.col("sample_index"), F.col("a"), F.col("b")
     line = a["value"] + (b["value"] - a["value"]) * (i - a["sample_index"]) / (b["sample_index"] - a["sample_index"])
     filled = F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b["value"]).when(b.isNull(), a["value"]).when(a["sample_index"] == b["sample_index"], a["value"]).otherwise(line)
@@ -129,7 +130,7 @@ def bridge_notches(df: DataFrame, notches: list[float], quality: float) -> DataF
         near = near | (F.abs(F.col("freq") - f) <= F.greatest(F.lit(f / (2 * quality)), 2 * F.col("bin_hz")))
     good = F.when(~near, F.struct("freq", "db"))
     a = F.last(good, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    b = F.first(good, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    b = F.last(good, True).over(before(["channel"], [F.desc("bin")]).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("near", near).withColumn("a", a).withColumn("b", b)
     line = F.col("a.db") + (F.col("b.db") - F.col("a.db")) * (F.col("freq") - F.col("a.freq")) / (F.col("b.freq") - F.col("a.freq"))
     sound = F.col("near") & F.col("a").isNotNull() & F.col("b").isNotNull() & finite(F.col("a.db")) & finite(F.col("b.db"))
