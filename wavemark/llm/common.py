@@ -32,6 +32,12 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
+def hold_wide_rows(spark: SparkSession, rows: int = 512) -> None:
+    """Keeps batches small for the session, for rows of whole texts that the caller writes."""
+    for name in BATCHES:
+        spark.conf.set(name, str(min(rows, int(spark.conf.get(name)))))
+
+
 class Table:
     """A table written once to the shared folder; it cuts the lineage and survives lost executors."""
 
