@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 LEAST = 1e-6
+#: Frames of a curve that are compared in one task.
+FRAMES = 100_000
 
 
 def frame_brightness(pixels: DataFrame) -> DataFrame:
@@ -13,9 +15,20 @@ def frame_brightness(pixels: DataFrame) -> DataFrame:
 
 
 def deltas(points: DataFrame, camera: list[str] = ()) -> DataFrame:
-    """Change from the frame before, for all frames but the first."""
-    w = Window.partitionBy(*camera).orderBy("frame_index") if camera else Window.orderBy("frame_index")
-    return points.withColumn("delta", F.col("brightness") - F.lag("brightness").over(w)).where("delta is not null")
+    """Change from the frame before, for all frames but the first.
+
+    A curve without cameras is cut into buckets of frames; the first frame of each is compared with the last of the
+    bucket before it, and only those (a row a bucket) meet in one window.
+    """
+    if camera:
+        before = F.lag("brightness").over(Window.partitionBy(*camera).orderBy("frame_index"))
+        return points.withColumn("delta", F.col("brightness") - before).where("delta is not null")
+    rows = points.withColumn("_bucket", F.floor(F.col("frame_index") / FRAMES))
+    ends = rows.groupBy("_bucket").agg(F.max_by("brightness", "frame_index").alias("_last"))
+    ends = ends.select("_bucket", F.lag("_last").over(Window.orderBy("_bucket")).alias("_last"))
+    w = Window.partitionBy("_bucket").orderBy("frame_index")
+    before = F.when(F.row_number().over(w) == 1, F.col("_last")).otherwise(F.lag("brightness").over(w))
+    return rows.join(ends, "_bucket").withColumn("delta", F.col("brightness") - before).where("delta is not null").drop("_bucket", "_last")
 
 
 def threshold(changes: DataFrame) -> DataFrame:

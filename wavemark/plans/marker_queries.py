@@ -373,19 +373,19 @@ def scan_led_brightness_gpu(spark, sf_dir):
 
 @query("topk_led_pairs")
 def topk_led_pairs(spark, sf_dir):
-    changes = D.deltas(A.led_points(spark, sf_dir))
+    changes = D.deltas(A.led_curve(spark, sf_dir))
     pairs = D.choose_pairs(D.on_off_pairs(changes, 0.02), 3, 15)
     return spark.createDataFrame(pairs, "on_frame long, off_frame long")
 
 
 @query("sp_led_detect")
 def sp_led_detect(spark, sf_dir):
-    return D.detect(A.led_points(spark, sf_dir), most=3)
+    return D.detect(A.led_curve(spark, sf_dir), most=3)
 
 
 @query("sp_led_refine")
 def sp_led_refine(spark, sf_dir):
-    points = A.led_points(spark, sf_dir)
+    points = A.led_curve(spark, sf_dir)
     coarse = D.choose_pairs(D.on_off_pairs(D.deltas(points.where("frame_index % 5 = 0")), 0.01), 3, 15)
     pairs = spark.createDataFrame([(k, a / FPS, b / FPS) for k, (a, b) in enumerate(coarse)], "pair_id int, on_sec double, off_sec double")
     return D.refine(points, pairs)

@@ -1,13 +1,15 @@
 """The library's canonical tables over the star schema's `events` and `embeddings`, in Spark and as oracle SQL.
 
 samples(channel, sample_index, time_us, value, event_id), samples_dirty (gaps and repeated times), markers, peaks,
-led_points and vectors. Recordings that were imported by `signal_csv` carry sample_index already.
+led_points, led_curve and vectors. Recordings that were imported by `signal_csv` carry sample_index already.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.markers import number_rows
+
 #: Events stand in for channels and for marker kinds.
 CHANNELS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
 KINDS = {"signup": "ttl", "click": "led_on", "view": "led_off", "purchase": "action_start", "error": "action_end"}
@@ -68,7 +70,14 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def led_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as one frame of a single curve, numbered in buckets of a day."""
+    rows = number_rows(events(spark, sf_dir), F.floor(F.col("time_us") / 86_400e6), ["time_us", "event_id"])
+    return rows.select((F.col("number") - 1).cast("long").alias("frame_index"), (F.col("value") / 500).alias("brightness"), "event_id").withColumn("video_time_sec", F.col("frame_index") / FPS)
+
+
 def led_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The curve of two users' events that the oracle SQL of six queries is written for; `led_curve` has all events."""
     order = Window.orderBy("time_us", "event_id")
     rows = events(spark, sf_dir).where("user_id = 8 or user_id = 46")  # one camera's curve is a sequence of its own
     return rows.select((F.row_number().over(order).cast("long") - 1).alias("frame_index"), (F.col("value") / 500).alias("brightness"), "event_id").withColumn("video_time_sec", F.col("frame_index") / FPS)
