@@ -19,6 +19,8 @@ BAND = Settings(True, bandpass=True, low_hz=5.0, high_hz=100.0)
 NOTCH = Settings(True, method="notch", frequencies=(60.0,))
 SINES = Settings(True, method="regression", frequencies=(60.0,), window_sec=0.5)
 BLOCK = 1000
+#: Channel ids in recordings, by the number of the samples' channel from 1.
+IDS = (2, 5, 260, 8, 13)
 
 
 def samples(spark, sf_dir):
@@ -26,11 +28,12 @@ def samples(spark, sf_dir):
 
 
 def recording(spark: SparkSession, sf_dir: str) -> str:
-    """A three-channel recording as metadata-prefixed CSV, made from the events."""
-    rows = samples(spark, sf_dir).where("channel <= 3").groupBy("sample_index").pivot("channel", [1, 2, 3]).agg(F.first("value"))
-    wide = rows.where("sample_index < 1500").select(F.col("sample_index").alias("row"), (F.col("sample_index") * 1000.0).alias("time_us"), F.col("1").alias("channel_2"), F.col("2").alias("channel_5"), F.col("3").alias("channel_260"))
+    """Every sample of all channels as metadata-prefixed CSV; cells after the end of a shorter channel are empty."""
+    numbers = range(1, len(IDS) + 1)
+    rows = samples(spark, sf_dir).groupBy("sample_index").pivot("channel", list(numbers)).agg(F.first("value"))
+    wide = rows.select(F.col("sample_index").alias("row"), (F.col("sample_index") * 1000.0).alias("time_us"), *(F.col(str(k)).alias(f"channel_{c}") for k, c in zip(numbers, IDS, strict=True)))
     path = fresh_path(spark, "recording")
-    C.write_csv(wide, path, [2, 5, 260], RATE_HZ)
+    C.write_csv(wide, path, list(IDS), RATE_HZ)
     return path
 
 
@@ -92,7 +95,7 @@ def filter_cache_valid(spark, sf_dir):
     path = recording(spark, sf_dir)
     store, rows = fresh_path(spark, "signal-store"), C.read(spark, path)
     C.store(C.to_long(rows), store)
-    return C.stored_valid(spark, store, [2, 5, 260, 999], rows.count())
+    return C.stored_valid(spark, store, [*IDS, 999], rows.count())
 
 
 @query("sink_ttl_csv")
@@ -125,10 +128,10 @@ def scan_led_brightness_cpu(spark, sf_dir):
 
 @query("scan_led_cache")
 def scan_led_cache(spark, sf_dir):
-    """Curves are found by the struct of what they were made from."""
+    """Every event's curve is looked up by the struct of what it was made from, among the curves of all events."""
     key = F.struct((F.col("user_id") % 3).alias("roi"), (F.col("user_id") % 2).alias("rotation"), F.lit(30.0).alias("fps"))
-    known = A.events(spark, sf_dir).where("event_id < 500").select(key.alias("key"), "event_id")
-    return known.join(known.where("event_id < 3").select("key").distinct(), "key", "left_semi").select("event_id")
+    known = A.events(spark, sf_dir).select(key.alias("key"), "event_id")
+    return known.join(known.select("key").distinct(), "key", "left_semi").select("event_id")
 
 
 def archive(spark, sf_dir) -> str:
