@@ -84,27 +84,28 @@ def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float =
     return runs.select("channel", F.explode(F.aggregate("times", empty, step)).alias("i")).select("channel", "i.left", "i.right")
 
 
-def allocate_points(df: DataFrame, budget: int) -> DataFrame:
-    """A point budget dealt to the ranges (channel, left, right) by duration: largest remainders get what is left over."""
+def allocate_points(df: DataFrame, budget: Column | int) -> DataFrame:
+    """A point budget (a column: each channel's own) dealt to the ranges (channel, left, right) by duration: largest remainders get what is left over."""
     length = F.greatest(F.col("right") - F.col("left"), F.lit(0.0))
     all_ = Window.partitionBy("channel")
     rows = df.withColumn("length", length).withColumn("whole", F.sum("length").over(all_)).withColumn("k", F.count("*").over(all_))
-    share = F.when(F.col("whole") > 0, F.col("length") * (F.lit(float(budget)) / F.col("whole"))).otherwise(F.lit(float(budget)) / F.col("k"))
+    points = F.lit(budget).cast("double")
+    share = F.when(F.col("whole") > 0, F.col("length") * (points / F.col("whole"))).otherwise(points / F.col("k"))
     rows = rows.withColumn("share", share).withColumn("base", F.floor("share"))
     left_over = F.lit(budget) - F.sum("base").over(all_)
     place = F.row_number().over(before(["channel"], [F.desc(F.col("share") - F.col("base")), "left"]))
     return rows.withColumn("points", F.col("base") + F.when(place <= left_over, 1).otherwise(0)).select("channel", "left", "right", "points")
 
 
-def even_sample(df: DataFrame, most: int) -> DataFrame:
-    """At most `most` rows of each channel, evenly spread over the row numbers, ends included."""
-    w = before(["channel"], ["sample_index"])
-    rows = df.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("channel")))
-    if most < 1:
-        return df.limit(0)
+def even_sample(df: DataFrame, most: Column | int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """At most `most` rows (a column: each group's own number) of each channel, or of each group of `keys`, evenly spread
+    over the row numbers, ends included."""
+    w = before(list(keys), ["sample_index"])
+    rows = df.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    most, last = F.lit(most).cast("long"), F.greatest(F.col("n") - 1, F.lit(1))
     # row r is taken if some k has floor(k (n-1) / (most-1)) = r: the least such k is the one to test
-    k = F.ceil(F.col("r") * F.lit(most - 1) / (F.col("n") - 1))
-    taken = (F.col("n") <= most) | (F.lit(most) == 1) & (F.col("r") == 0) | (F.lit(most) > 1) & (F.floor(k * (F.col("n") - 1) / F.lit(max(most - 1, 1))) == F.col("r"))
+    k = F.ceil(F.col("r") * (most - 1) / last)
+    taken = (F.col("n") <= most) | (most == 1) & (F.col("r") == 0) | (most > 1) & (F.floor(k * last / F.greatest(most - 1, F.lit(1))) == F.col("r"))
     return rows.where(taken).drop("r", "n")
 
 

@@ -320,15 +320,20 @@ def topk_peak_distance(spark, sf_dir):
 
 @query("sp_peak_display")
 def sp_peak_display(spark, sf_dir):
-    """Samples around high values, evenly thinned to a quarter of the budget an interval."""
+    """High values, evenly thinned to a quarter of a channel's 2000 points, and the samples around them, each interval
+    evenly thinned to its share of the points that are left. A sample may come as both, as in the reference."""
+    budget = 2000
     rows = samples(spark, sf_dir)
-    intervals = W.peak_intervals(rows.where("value > 100").select("channel", (F.col("time_us") / 1e6).alias("time_sec")), 300.0, 3000.0)
-    spans = W.allocate_points(intervals, 2000).select("channel", "left", "right", "points")
+    tops = rows.where("value > 100")
+    markers = W.even_sample(tops, budget // 4)
+    left_over = tops.groupBy("channel").agg((F.lit(budget) - F.least(F.count("*"), F.lit(budget // 4))).alias("budget"))
+    intervals = W.peak_intervals(tops.select("channel", (F.col("time_us") / 1e6).alias("time_sec")), 300.0, 3000.0)
+    spans = W.allocate_points(intervals.join(F.broadcast(left_over), "channel"), F.col("budget"))
     # an interval is at most 3000 s long: rows and intervals meet on 3000 s buckets
     k = F.explode(F.sequence(F.floor(F.col("left") / 3000), F.floor(F.col("right") / 3000)))
     inside = rows.withColumn("k", F.floor(F.col("time_us") / 3000e6)).join(spans.withColumn("k", k), ["channel", "k"]).where((F.col("time_us") / 1e6).between(F.col("left"), F.col("right")))
-    w = F.row_number().over(W.before(["channel", "left"], ["sample_index"]))
-    return inside.withColumn("r", w).where(F.col("r") <= F.col("points")).select("channel", "sample_index", "value")
+    names = ["channel", "sample_index", "value"]
+    return W.even_sample(inside, F.col("points"), ("channel", "left")).select(*names).unionByName(markers.select(*names))
 
 
 def _stream(spark, sf_dir) -> tuple[DataFrame, str]:
