@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("script style noscript template textarea title svg iframe object head select option button canvas math audio video".split())
+HIDDEN = frozenset("script style noscript template textarea title svg iframe object head select datalist button canvas math audio video".split())
 #: Hidden elements whose content is not markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Elements that start a block of their own.
@@ -37,7 +38,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
     linked: list[str] = []
-    links = hidden = 0
+    links, hidden, opened = 0, [], Counter()
     page = page or ""
 
     def flush() -> None:
@@ -66,12 +67,17 @@ def blocks(page: str | None) -> list[Block]:
             end = _CLOSE[name].search(page, at)
             at = end.end() if end else len(page)
         elif name in HIDDEN:
-            if not attributes.endswith("/"):
-                hidden = max(0, hidden - 1) if closing else hidden + 1
-            if name == "head" and closing:
-                hidden = 0
+            if closing and name == "head":
+                hidden, opened = [], Counter()
+            elif closing and opened[name]:  # it ends with all that was left open in it
+                while (last := hidden.pop()) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
+            elif not closing and not attributes.endswith("/"):
+                hidden.append(name)
+                opened[name] += 1
         elif name == "body":
-            hidden = 0  # whatever the head left open ends here
+            hidden, opened = [], Counter()  # whatever the head left open ends here
             flush()
         elif name == "a":
             links = 0 if closing else 1
@@ -88,7 +94,7 @@ def blocks(page: str | None) -> list[Block]:
             elif name not in VOID:
                 if stack and stack[-1][0] == "p":
                     stack.pop()
-                if name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                if name in ("li", "dt", "dd", "tr", "td", "th"):
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == name:
                             del stack[k:]
