@@ -207,26 +207,32 @@ def _compare(percent: int):
     names, types = ["x", "y", "overlap"], [pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by (x, part) and x's own set, where y is x, first."""
-        query, key, ids, sets = None, None, [], []
+        """Rows come ordered by (x, part) and x's own sets, where y is x, first: one of each text that has the id."""
+        queries, key, asked, ids, sets = {}, None, False, [], []
 
-        def flush() -> pa.RecordBatch:
-            found = divide_skip(query, sets, percent)
-            hit = np.flatnonzero(found)
-            return pa.RecordBatch.from_arrays([pa.array([key] * len(hit), types[0]), pa.array([ids[k] for k in hit], types[1]), pa.array(found[hit], types[2])], names=names)
+        def flush() -> Iterator[pa.RecordBatch]:
+            for query in queries.values():
+                found = divide_skip(query, sets, percent)
+                hit = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(hit), types[0]), pa.array([ids[k] for k in hit], types[1]), pa.array(found[hit], types[2])], names=names)
 
         for batch in batches:
             for x, y, own in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("shingles"), strict=True):
                 if ids and (y == x or len(ids) >= BLOCK_ROWS):
-                    yield flush()
+                    yield from flush()
                     ids, sets = [], []
+                found = own.as_py()
                 if y == x:
-                    query, key = np.frombuffer(own.as_py(), np.uint64), x
+                    if asked or x != key:
+                        queries, key, asked = {}, x, False
+                    if found:
+                        queries[found] = np.frombuffer(found, np.uint64)
                     continue
+                asked = True
                 ids.append(y)
-                sets.append(np.frombuffer(own.as_py(), np.uint64))
+                sets.append(np.frombuffer(found, np.uint64))
         if ids:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -335,6 +341,14 @@ def _cross_pairs(shared: DataFrame, united: DataFrame, tried: DataFrame, percent
     return pair.join(tried, ["x", "y"], "left_anti")
 
 
+def _shared_ids(signatures: DataFrame, same: DataFrame) -> DataFrame:
+    """Links (a, b) of ids that have several texts with the representatives of those texts."""
+    sound = signatures.where("n > 0 and doc_id is not null")
+    text = F.struct("f1", "f2", "n")
+    several = sound.groupBy("doc_id").agg(F.min(text).alias("lo"), F.max(text).alias("hi")).where("lo < hi").select("doc_id")
+    return sound.join(several, "doc_id").join(same, ["f1", "f2", "n"]).where("doc_id <> first_id").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b")).distinct()
+
+
 def jaccard_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links), is_first (it is that id).
 
@@ -363,7 +377,7 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     more = Table(_verified(likely, known, words, percent), "links-2", batch=256).read()
     _release(spark)
 
-    every = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    every = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(_shared_ids(signatures, same))
     final = Table(components(every), "components-2").read()
     by_class = same.join(final, F.col("first_id") == F.col("node"), "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("component", "first_id").alias("found"))
     joined = signatures.join(by_class, (signatures.f1 == by_class.f1) & (signatures.f2 == by_class.f2) & (signatures.n == by_class.m) & (signatures.n > 0), "left")
