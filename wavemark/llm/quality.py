@@ -122,8 +122,8 @@ class _Shapes(dict):
             x = m[0]
             return "a" if x[0].islower() else "A" if x[0].isupper() and len(x) == 1 else "U" if x[0].isupper() else "9" if x[0].isdigit() else x[0] if len(x) == 1 else x[0] * 2 if len(x) == 2 else x[0] * 3
 
-        found = zlib.crc32(_SHAPE.sub(sign, word[:200]).encode()) % (DIMENSIONS // 2)
-        if len(self) < 100_000:
+        found = zlib.crc32(_SHAPE.sub(sign, word).encode()) % (DIMENSIONS // 2)
+        if len(self) < 100_000 and len(word) <= 200:  # longer words are seldom seen again
             self[word] = found
         return found
 
