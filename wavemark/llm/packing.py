@@ -118,8 +118,8 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int, by_word: bool):
         worker, part, seen = encoder(tokenizer_path, by_word), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(worker.ids(text.as_py()).astype("<u4"), np.uint32(end_id))
+            for doc_id, found in zip(batch.column(0).to_pylist(), worker.many(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(found.astype("<u4"), np.uint32(end_id))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     some = ids[at : at + capacity]
                     for column, value in zip(rows, (doc_id, k, at, len(some), crc(some), part, int(seen[len(some)])), strict=True):

@@ -40,8 +40,8 @@ def _blocks(tokenizer_path: str, end_id: int | None, by_word: bool):
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _TYPES, strict=True)], names=_NAMES)
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = np.concatenate((worker.ids(text.as_py()), tail))
+            for doc_id, found in zip(batch.column(0).to_pylist(), worker.many(batch.column(1).to_pylist()), strict=True):
+                found = np.concatenate((found, tail))
                 parts.append(found)
                 ids.append(doc_id)
                 lengths.append(len(found))
@@ -62,11 +62,14 @@ _TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(
 def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", by_word: bool = True) -> Table:
     """Encodes every whole text and writes the ids in ascending `id_col` order.
 
-    Null and empty texts give the end id alone; rows with a null id come first; repeated rows are written as often as
-    they occur; other columns are ignored. An empty table gives an empty folder.
+    Null and empty texts give the end id alone; rows with a null id come first; rows that share an id follow each other
+    in the order of their texts' hashes, so that every run gives them the same places; repeated rows are written as often
+    as they occur, dealt to several tasks where there are many. Other columns are ignored, whatever their names. An empty
+    table gives an empty folder. Very long texts are looked up in pieces.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    told_apart = rows.withColumn("print", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    ordered = told_apart.repartitionByRange("doc_id", "print", "part").sortWithinPartitions("doc_id", "print", "part").select("doc_id", "text")
     return Table(ordered.mapInArrow(_blocks(tokenizer_path, end_id, by_word), BLOCK_SCHEMA), "tokens", batch=128, codec="none")
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 
 import numpy as np
 
 from .common import cpu_env
+from .latin_units import LatinUnits
 
 #: Distinct words whose ids a worker keeps, in each of two generations: words seen since the last change outlive it.
 CACHED_WORDS = 250_000
@@ -18,35 +18,16 @@ CACHED_WORD_CHARS = 48
 
 #: Fixed value: the pre-tokenizer pattern of the word tokenizers whose letters and other signs never join.
 LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Lower-case Latin letters that normal form C keeps, then ASCII signs but the apostrophe.
-_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-#: Byte-level vocabularies write bytes that don't print as the characters from 256.
-_HIDDEN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
-
-
-class _Known(dict):
-    """word -> packed ids; a word that isn't there is encoded once, or taken over from the generation before."""
-
-    def __init__(self, learn, older: dict):
-        super().__init__({"": b""})
-        self.learn, self.older = learn, older
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = self.learn(word)
-        if len(word) <= CACHED_WORD_CHARS:
-            self[word] = found
-        return found
+#: Characters of texts that are encoded at a time.
+PIECE_CHARS = 1 << 21
 
 
 class Encoder:
     """Encodes texts with a `tokenizers` file whose pre-tokenizer never joins across blanks.
 
-    A text is split at blanks, each distinct word goes through the tokenizer once, and the ids of a text are the
-    ids of its words in order. `by_word=False` encodes each text as one string, for tokenizers that see blanks.
-    Where the file's own description says that letters and signs are apart and case is dropped, a Latin word
-    goes straight to the file's model, once for all cases and signs around it.
+    Where the file's own description says that letters, digits and signs are apart and case is dropped, Latin-1 texts go
+    to LatinUnits. Others are split at blanks, and the distinct words that a batch of texts has and the worker doesn't
+    know yet go through the tokenizer once. `by_word=False` encodes each text as one string, for tokenizers that see blanks.
     """
 
     def __init__(self, path: str, by_word: bool = True):
@@ -58,43 +39,83 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.by_word = by_word
-        self.known = _Known(self._learn, {})
-        self.plain: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         told = json.loads(self.tokenizer.to_str())
+        self.special = [x["content"] for x in told["added_tokens"]]
         steps = (told["pre_tokenizer"] or {}).get("pretokenizers", [])
-        lower = any(x["type"] == "Lowercase" for x in (told["normalizer"] or {}).get("normalizers", []))
-        self.apart = lower and len(steps) == 2 and steps[0].get("pattern") == {"Regex": LETTERS_APART} and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
-        self.model = self.tokenizer.model
-
-    def _part(self, part: str) -> bytes:
-        """The ids of letters alone or signs alone."""
-        if (found := self.plain.get(part)) is None:
-            if len(self.plain) > CACHED_WORDS:
-                self.plain = {"": b""}
-            text = part if part.isascii() else part.encode().decode("latin-1").translate(_HIDDEN)
-            found = self.plain[part] = array(self.code, [x.id for x in self.model.tokenize(text)]).tobytes()
-        return found
-
-    def _learn(self, word: str) -> bytes:
-        if self.apart:
-            lower = word.lower()
-            if (found := self.plain.get(lower)) is not None:
-                return found
-            if m := _PLAIN.fullmatch(lower):
-                return self._part(m[1]) + self._part(m[2])
-        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        kinds = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        apart = kinds == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0].get("pattern") == {"Regex": LETTERS_APART} and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
+        apart = apart and told["model"]["type"] == "BPE" and told["model"].get("end_of_word_suffix") == "</w>"
+        self.latin = LatinUnits(self.tokenizer, self.dtype, self._list) if apart else None
 
-    def ids(self, text: str | None) -> np.ndarray:
-        """The ids of the whole text; a null text counts as empty."""
-        if not text:
-            return np.empty(0, self.dtype)
-        if not self.by_word:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+    def _list(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _words(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text by its words. Words live through two generations of the cache; long ones are never kept."""
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known.older = {}  # the generation before the last one goes
-            self.known = _Known(self._learn, self.known)
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.dtype)
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        fresh = set().union(*split).difference(known)
+        for w in fresh:
+            found = older.get(w)
+            known[w] = array(self.code, self._list(w)).tobytes() if found is None else found
+        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), self.dtype) for words in split]
+        for w in fresh:
+            if len(w) > CACHED_WORD_CHARS:
+                del known[w]
+        return out
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each whole text; a null text counts as empty. Some texts, or a piece of a long one, are encoded at a time."""
+        if not self.by_word:
+            return [np.array(self._list(t) if t else [], self.dtype) for t in texts]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        latin: list[tuple[int, str]] = []
+        other: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            for held, encode in ((latin, self.latin and self.latin.encode), (other, self._words)):
+                if held:
+                    for (row, _), found in zip(held, encode([t for _, t in held]), strict=True):
+                        out[row].append(found)
+                    held.clear()
+
+        for row, text in enumerate(texts):
+            at, text = 0, text or ""
+            while at < len(text):
+                end = len(text)
+                if end - at > PIECE_CHARS:  # a text is cut at a blank
+                    end = text.find(" ", at + PIECE_CHARS) + 1 or end
+                piece = text[at:end]
+                if self.latin and _is_latin(piece) and not any(x in piece for x in self.special):
+                    latin.append((row, piece.lower()))
+                else:
+                    other.append((row, piece))
+                size += end - at
+                at = end
+                if size >= PIECE_CHARS:
+                    flush()
+                    size = 0
+        flush()
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.empty(0, self.dtype) for x in out]
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The ids of one whole text."""
+        return self.many([text])[0]
+
+
+def _is_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
