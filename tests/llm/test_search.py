@@ -1,8 +1,10 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from wavemark.llm import search
 from wavemark.llm.search import top_k
@@ -54,21 +56,52 @@ def test_same_as_brute_force(spark, monkeypatch):
     assert top_k(docs.limit(0), docs.limit(0)).count() == 0
 
 
-def test_pruning_changes_nothing():
-    rows, known = corpus(2000, 2), search._Words()
-    held = [search.terms((t or "").encode(), known) for _, t in rows]
-    shard = search.Shard.loads(search.Shard.of(held, [i for i, _ in rows]).dumps())
-    average = sum(n for _, _, n in held) / len(held)
-    shard.prepare(average)
-    df = dict(zip(shard.terms.tolist(), np.diff(shard.starts).tolist(), strict=True))
-    for i in range(0, 2000, 37):
-        keys = held[i][0]
-        idf = np.array([math.log1p((len(rows) - df[t] + 0.5) / (df[t] + 0.5)) for t in keys.tolist()])
-        docs, scores = shard.top(keys, idf, 10)
-        full = np.zeros(len(rows))
-        for t, w in zip(keys.tolist(), idf.tolist(), strict=True):
-            x = int(np.searchsorted(shard.terms, t))
-            s = slice(shard.starts[x], shard.starts[x + 1])
-            full[shard.docs[s]] += w * (shard.tfs[s] * 2.2 / (shard.tfs[s] + shard.norm[shard.docs[s]]))
-        want = [d for d in np.lexsort((shard.ids, -np.round(full, 9)))[:10] if full[d] > 0]
-        assert np.allclose(scores, full[want]) and len(docs) == len(want)
+def test_terms_of_pieces(monkeypatch):
+    texts = ["A b, b2 É.É  a" * 5, None, "", "z" * 200, "one two one", "  !!  "]
+    want = [sorted(Counter(tokens(t)).values()) for t in texts]
+    for most in (8, 1 << 20):
+        monkeypatch.setattr(search, "TEXT_BYTES", most)
+        row, key, times = search.terms([t and t.encode() for t in texts])
+        assert [sorted(times[row == k].tolist()) for k in range(len(texts))] == want
+        assert all(len(set(key[row == k].tolist())) == (row == k).sum() for k in range(len(texts)))
+
+
+def whole_shard(rows, order):
+    doc, key, tf = search.terms([(rows[i][1] or "").encode() for i in order])
+    lengths = np.bincount(doc, tf, len(order)).astype(np.int64)
+    shard = search.Shard.loads(search.Shard.of(doc, key, tf, [rows[i][0] for i in order], lengths).dumps())
+    return shard
+
+
+@pytest.mark.parametrize("at_a_time", [1 << 20, 300])
+def test_pruning_changes_nothing(monkeypatch, at_a_time):
+    """Two shards one after another, queries together, against all scores."""
+    monkeypatch.setattr(search, "ENTRIES_AT_A_TIME", at_a_time)
+    rows = corpus(2000, 2)
+    shards = [whole_shard(rows, range(0, 1200)), whole_shard(rows, range(1200, len(rows)))]
+    average = sum(s.lengths.sum() for s in shards) / len(rows)
+    asked = list(range(0, 2000, 37))
+    row, key, _ = search.terms([(rows[i][1] or "").encode() for i in asked])
+    starts = np.searchsorted(row, np.arange(len(asked) + 1))
+    df = Counter()
+    for s in shards:
+        df.update(dict(zip(s.terms.tolist(), np.diff(s.starts).tolist(), strict=True)))
+    idf = np.array([math.log1p((len(rows) - df[t] + 0.5) / (df[t] + 0.5)) for t in key.tolist()])
+    best, pivots = [(np.empty(0), np.empty(0, np.int64))] * len(asked), []
+    for s in shards:
+        s.prepare(average)
+        pivots.append(s.top(starts, key, idf, 10, best))
+    assert pivots[1] < len(asked) * shards[1].blocks  # some blocks are skipped
+    for n in range(len(asked)):
+        scores, ids = np.zeros(len(rows)), np.concatenate([s.ids for s in shards])
+        for a in range(starts[n], starts[n + 1]):
+            base = 0
+            for s in shards:
+                x = int(np.searchsorted(s.terms, key[a]))
+                if x < len(s.terms) and s.terms[x] == key[a]:
+                    span = slice(s.starts[x], s.starts[x + 1])
+                    tf = s.tfs[span].astype(float)
+                    scores[base + s.docs[span].astype(int)] += idf[a] * (tf * 2.2 / (tf + s.norm[s.docs[span]]))
+                base += len(s.ids)
+        want = [d for d in np.lexsort((ids, -np.round(scores, 9)))[:10] if scores[d] > 0]
+        assert np.allclose(best[n][0], scores[want]) and len(best[n][0]) == len(want)

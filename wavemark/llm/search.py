@@ -1,9 +1,12 @@
 """Exact top-k BM25: inverted indexes per shard, block-max WAND pruning, merged under global statistics.
 
-A shard is scored a list at a time. Lists with the largest upper bounds go first; once the bounds of the rest add up to
-less than the k-th best score so far, no document outside the lists read can enter the top k (WAND's pivot rule). The
-documents left are checked against the block maxima of the other lists, and only those that still reach the k-th
-score are looked up in them. The scores returned are summed anew in one fixed order, so shards don't change them.
+A shard's documents lie in an order that puts similar ones together, in blocks of BLOCK. For a query, the bound of a
+block is the sum of the block maxima of the query's long lists and the largest sum that a document of the block has in
+its short lists. A block whose bound is below the query's k-th score so far is no pivot: its entries in the long lists
+are never touched. Each query's best block goes first, so that the k-th score is high from the start, and a task carries
+the k best of each query from one shard to the next. Blocks are scored for all queries that have them as pivots at a
+time, in single precision; whatever comes near the k-th score is summed anew in double precision and one fixed order, so
+that shards and blocks don't change a score.
 """
 
 from __future__ import annotations
@@ -13,38 +16,88 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .byte_words import hashes
 from .common import Table
 
 #: Documents and list entries of a shard at most; documents of a block.
-SHARD_DOCS, SHARD_ENTRIES, BLOCK = 16_384, 4_000_000, 128
-#: A round of lists has about a ROUND-th as many entries as the shard has documents.
-ROUND = 1
+SHARD_DOCS, SHARD_ENTRIES, BLOCK = 16_384, 2_000_000, 64
 #: Bytes of a shard's rows of long lists.
-ROW_BYTES = 48 << 20
-#: Queries that are sent to all tasks at a time: some 5 kB each, with a few hundred terms.
-QUERY_BLOCK = 8192
+ROW_BYTES = 32 << 20
+#: Queries that are sent to all tasks at a time (some 5 kB each, with a few hundred terms), and that a shard handles at a time.
+QUERY_BLOCK, AT_A_TIME = 8192, 256
+#: Entries of short lists that are added at a time.
+ENTRIES_AT_A_TIME = 1 << 19
+#: Bytes of texts that are split into terms at a time; longer texts are cut at blanks.
+TEXT_BYTES = 1 << 21
 K1, B = 1.2, 0.75
 #: ASCII letters are lower-cased, other ASCII signs but digits are blanks, other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word) >> 1
-        if len(self) < 500_000:
-            self[word] = found
-        return found
-
-
-def terms(text: bytes | None, known: _Words) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted term hashes, their counts, number of terms in all)."""
-    found = text.translate(_FOLD).split() if text else []
-    keys, counts = np.unique(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), return_counts=True)
-    return keys, counts.astype(np.int32), len(found)
+def _split(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the text, hash of the term) of every term of some texts."""
+    raw = np.frombuffer(b" ".join(texts).translate(_FOLD) + b" ", np.uint8)
+    inside = raw != 32
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    at, size = edge[::2], edge[1::2] - edge[::2]
+    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return np.searchsorted(bounds, at, "right") - 1, (hashes(raw, at, size) >> np.uint64(1)).astype(np.int64)
+
+
+def _counted(doc: np.ndarray, key: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, term) with how often it occurs, in that order."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.empty(0, np.int64)
+    count = np.diff(first, append=len(doc)) if times is None else np.add.reduceat(times[order], first) if len(first) else first
+    return doc[first], key[first], count.astype(np.int64)
+
+
+def terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of whole texts: (number of the text, term hash, how often), sorted by the first two."""
+    found: list[tuple] = []
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        row, key = _split([t for _, t in held])
+        found.append(_counted(np.array([n for n, _ in held])[row], key))
+        held.clear()
+
+    for n, text in enumerate(texts):
+        at, text = 0, text or b""
+        while at < len(text):
+            end = len(text)
+            if end - at > TEXT_BYTES:
+                end = text.find(b" ", at + TEXT_BYTES) + 1 or end
+            held.append((n, text[at:end]))
+            size += end - at
+            at = end
+            if size >= TEXT_BYTES:
+                flush()
+                size = 0
+    if held:
+        flush()
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return found[0] if len(found) == 1 else _counted(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+def alike_together(terms: np.ndarray, starts: np.ndarray, docs: np.ndarray, lengths: np.ndarray, lists: int = 256, axes: int = 3) -> np.ndarray:
+    """An order of the documents that makes block maxima tight: by the sides of the main axes of the longest lists, then by length."""
+    sizes, n = np.diff(starts), len(lengths)
+    if n <= BLOCK or not len(sizes):
+        return np.argsort(lengths, kind="stable")
+    there = np.zeros((min(lists, len(sizes)), n), np.float32)
+    for r, x in enumerate(np.argsort(-sizes, kind="stable")[: len(there)]):
+        there[r, docs[starts[x] : starts[x + 1]]] = 1
+    there -= there.mean(1, keepdims=True)
+    main = np.linalg.eigh(there @ there.T)[1][:, ::-1][:, :axes]
+    side = (main.T @ there > 0).astype(np.int64)
+    return np.lexsort((lengths, (side << np.arange(len(side))[:, None]).sum(0)))
 
 
 class Shard:
@@ -54,14 +107,19 @@ class Shard:
         self.terms, self.starts, self.docs, self.tfs, self.ids, self.lengths = terms, starts, docs, tfs, ids, lengths
 
     @classmethod
-    def of(cls, held: list[tuple[np.ndarray, np.ndarray, int]], ids: list[int]) -> Shard:
-        key = np.concatenate([k for k, _, _ in held])
-        tf = np.concatenate([c for _, c, _ in held])
-        doc = np.repeat(np.arange(len(held), dtype=np.uint16), [len(k) for k, _, _ in held])
+    def of(cls, doc: np.ndarray, key: np.ndarray, tf: np.ndarray, ids: list[int], lengths: np.ndarray) -> Shard:
+        """From the entries in the order of documents; the documents get new numbers."""
         order = np.argsort(key, kind="stable")
         found, starts = np.unique(key[order], return_index=True)
+        starts = np.append(starts, len(key)).astype(np.int64)
+        doc, tf = doc[order], tf[order]
+        placed = alike_together(found, starts, doc, lengths)
+        number = np.empty(len(placed), np.int64)
+        number[placed] = np.arange(len(placed))
+        doc = number[doc]
+        order = np.lexsort((doc, np.repeat(np.arange(len(found)), np.diff(starts))))
         small = np.uint16 if tf.max(initial=0) < 1 << 16 else np.int32
-        return cls(found, np.append(starts, len(key)).astype(np.int64), doc[order], tf[order].astype(small), np.array(ids, np.int64), np.array([n for _, _, n in held], np.int64))
+        return cls(found, starts, doc[order].astype(np.uint16), tf[order].astype(small), np.array(ids, np.int64)[placed], lengths[placed])
 
     def dumps(self) -> bytes:
         out = io.BytesIO()
@@ -73,42 +131,27 @@ class Shard:
         return cls(**np.load(io.BytesIO(data)))
 
     def prepare(self, average: float) -> None:
-        """Impacts (scores without the idf), each list's largest, and every document's own terms and counts."""
-        self.norm, self.maxima, self.blocks = K1 * (1 - B + B * self.lengths / average), {}, -(-len(self.ids) // BLOCK)
+        """Impacts (scores without the idf), block maxima of long lists, and every document's own terms and counts."""
+        n = len(self.ids)
+        self.blocks = -(-n // BLOCK)
+        self.norm = K1 * (1 - B + B * self.lengths / average)
         self.sizes = np.diff(self.starts)
         tf = self.tfs.astype(np.float32)
         self.impact = tf * np.float32(K1 + 1) / (tf + self.norm.astype(np.float32)[self.docs])
-        self.most = np.maximum.reduceat(self.impact, self.starts[:-1]) if len(self.impact) else np.empty(0, np.float32)
-        # The longest lists also as rows over all documents: adding a row is faster than adding its entries one by one.
+        # Long lists are rows over all documents: a block of them is then one matrix.
+        longest = np.argsort(-self.sizes, kind="stable")[: ROW_BYTES // (4 * self.blocks * BLOCK) if n else 0]
+        longest = longest[self.sizes[longest] >= max(32, n // 32)]
         self.row_of = np.full(len(self.terms), -1, np.int32)
-        longest = np.argsort(-self.sizes, kind="stable")[: ROW_BYTES // (4 * max(1, len(self.ids)))]
-        longest = longest[self.sizes[longest] >= max(32, len(self.ids) // 32)]
         self.row_of[longest] = np.arange(len(longest))
-        self.rows = np.zeros((len(longest), len(self.ids)), np.float32)
+        self.rows = np.zeros((len(longest), self.blocks * BLOCK), np.float32)
         for r, x in enumerate(longest):
             span = slice(self.starts[x], self.starts[x + 1])
             self.rows[r, self.docs[span]] = self.impact[span]
+        self.maxima = self.rows.reshape(len(longest), self.blocks, BLOCK).max(2)
         by_doc = np.argsort(self.docs, kind="stable")
         self.own_terms = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)[by_doc]
         self.own_tfs = self.tfs[by_doc]
-        self.own_starts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=len(self.ids))))).astype(np.int64)
-
-    def block_maxima(self, t: int) -> np.ndarray:
-        if t not in self.maxima:
-            a, b = self.starts[t], self.starts[t + 1]
-            out = np.zeros(self.blocks, np.float32)
-            block = self.docs[a:b] // BLOCK
-            first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-            out[block[first]] = np.maximum.reduceat(self.impact[a:b], first)
-            self.maxima[t] = out
-        return self.maxima[t]
-
-    def look_up(self, t: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(which of the sorted documents are in the list, their entries)."""
-        a, b = int(self.starts[t]), int(self.starts[t + 1])
-        at = np.minimum(np.searchsorted(self.docs[a:b], docs.astype(self.docs.dtype)), b - a - 1) + a  # one type: else the list is cast
-        hit = self.docs[at] == docs
-        return hit, at[hit]
+        self.own_starts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n)))).astype(np.int64)
 
     def exact(self, docs: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Scores in double precision, added in the order of the terms, which is the same in every shard."""
@@ -120,53 +163,92 @@ class Shard:
         owner, at, tf = owner[hit], at[hit], self.own_tfs[entry[hit]].astype(np.float64)
         return np.bincount(owner, w[at] * (tf * (K1 + 1) / (tf + self.norm[docs[owner]])), len(docs))
 
-    def top(self, query: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, scores) of the k best under (score, smaller id), or fewer if fewer score above 0."""
-        at = np.searchsorted(self.terms, query)
+    def _short_sums(self, owner: np.ndarray, t: np.ndarray, w: np.ndarray, queries: int) -> np.ndarray:
+        """Each query's sums over the lists t, for every document."""
+        width = self.blocks * BLOCK
+        out = np.zeros((queries, width), np.float32)
+        load = np.concatenate(([0], np.cumsum(np.bincount(owner, self.sizes[t], queries))))
+        a = 0
+        while a < queries:
+            b = max(a + 1, int(np.searchsorted(load, load[a] + ENTRIES_AT_A_TIME, "right")) - 1)
+            some = slice(*np.searchsorted(owner, (a, b)))
+            size = self.sizes[t[some]]
+            _, entry = _ranges(self.starts[t[some]], size)
+            place = self.docs[entry] + np.repeat((owner[some] - a) * width, size)
+            out[a:b] = np.bincount(place, np.repeat(w[some], size) * self.impact[entry], (b - a) * width).reshape(b - a, width)
+            a = b
+        return out
+
+    def top(self, starts: np.ndarray, terms: np.ndarray, idfs: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> int:
+        """Improves each query's `best` (scores, ids: at most k, best first, ties by id). Returns how many blocks were pivots."""
+        queries, width, n = len(best), self.blocks * BLOCK, len(self.ids)
+        at = np.searchsorted(self.terms, terms)
         hit = at < len(self.terms)
-        hit[hit] = self.terms[at[hit]] == query[hit]
-        t, w = at[hit], idf[hit]
+        hit[hit] = self.terms[at[hit]] == terms[hit]
+        owner, t, w = np.repeat(np.arange(queries), np.diff(starts))[hit], at[hit], idfs[hit]
         if not len(t):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = w * self.most[t]
-        order = np.argsort(-bound, kind="stable")
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
-        size, n, done, floor = self.sizes[t][order], len(self.ids), 0, 0.0
-        reach, acc, part = np.cumsum(size), np.zeros(n, np.float32), np.empty(n, np.float32)
-        slack = 1e-4 * max(1.0, float(rest[0]))  # sums are in single precision here
-        while done < len(order) and (done == 0 or rest[done] >= floor):
-            upto = max(done + 1, int(np.searchsorted(reach, (reach[done - 1] if done else 0) + n // ROUND, "right")))
-            some, n_in = order[done:upto], size[done:upto]
-            row = self.row_of[t[some]]
-            short = row < 0
-            if short.any():
-                _, entry = _ranges(self.starts[t[some[short]]], n_in[short])
-                acc += np.bincount(self.docs[entry], np.repeat(w[some[short]], n_in[short]) * self.impact[entry], n).astype(np.float32)
-            for j, r in zip(some[~short].tolist(), row[~short].tolist(), strict=True):
-                np.multiply(self.rows[r], np.float32(w[j]), out=part)
-                acc += part
-            done = upto
-            if n > k:
-                floor = float(np.partition(acc, n - k)[n - k])
-        best = np.flatnonzero((acc > 0) & (acc + rest[done] >= floor - slack))
-        if done < len(order) and len(best):
-            left, value = order[done:], acc[best]
-            if len(best) > k:
-                ahead = value + sum(w[j] * self.block_maxima(t[j])[best // BLOCK] for j in left)
-                best, value = best[ahead >= floor - slack], value[ahead >= floor - slack]
-            for step, (j, after) in enumerate(zip(left, rest[done + 1 :], strict=True)):
-                if len(best) <= 2 * k:
-                    break  # few enough to be scored as they are
-                there, entry = self.look_up(t[j], best)
-                value[there] += w[j] * self.impact[entry]
-                if step % 8 == 7:
-                    floor = max(floor, float(np.partition(value, len(value) - k)[len(value) - k]))
-                    keep = value + after >= floor - slack
-                    best, value = best[keep], value[keep]
-        score = self.exact(best, t, w)
-        rank = np.lexsort((self.ids[best], -score))[:k]
-        rank = rank[score[rank] > 0]
-        return best[rank], score[rank]
+            return 0
+        row = self.row_of[t]
+        long = row >= 0
+        weight = np.zeros((queries, len(self.rows)), np.float32)
+        weight[owner[long], row[long]] = w[long]
+        short = self._short_sums(owner[~long], t[~long], w[~long].astype(np.float32), queries)
+        bound = weight @ self.maxima + short.reshape(queries, self.blocks, BLOCK).max(2)
+        slack = (1e-5 * np.maximum(1.0, weight.sum(1) * (K1 + 1) + short.max(1))).astype(np.float32)  # sums are in single precision here
+        top = np.full((queries, k), -np.inf, np.float32)
+        for q, (scores, _) in enumerate(best):
+            top[q, : len(scores)] = scores
+        floor = top.min(1) - slack
+        pivot = (bound > 0) & (bound >= floor[:, None] - slack[:, None])
+        first = np.where(pivot.any(1), bound.argmax(1), -1)
+        found_q: list[np.ndarray] = []
+        found_d: list[np.ndarray] = []
+        found_s: list[np.ndarray] = []
+        scored = 0
+
+        def score(b: int, who: np.ndarray) -> None:
+            span = slice(b * BLOCK, (b + 1) * BLOCK)
+            some = weight[who] @ self.rows[:, span] + short[who, span]
+            near = (some > 0) & (some >= floor[who, None])
+            r, c = np.nonzero(near)
+            if not len(r):
+                return
+            found_q.append(who[r])
+            found_d.append(b * BLOCK + c)
+            found_s.append(some[r, c])
+            better = np.flatnonzero((some > top[who].min(1)[:, None]).any(1))
+            if len(better):
+                both = np.concatenate((top[who[better]], some[better]), 1)
+                top[who[better]] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                floor[who[better]] = top[who[better]].min(1) - slack[who[better]]
+
+        for b in np.unique(first[first >= 0]).tolist():
+            who = np.flatnonzero(first == b)
+            score(b, who)
+            scored += len(who)
+        pivot[np.flatnonzero(first >= 0), first[first >= 0]] = False
+        for b in range(self.blocks):
+            who = np.flatnonzero(pivot[:, b])
+            who = who[bound[who, b] >= floor[who] - slack[who]]
+            if len(who):
+                score(b, who)
+                scored += len(who)
+        if not found_q:
+            return scored
+        q, d, s = np.concatenate(found_q), np.concatenate(found_d), np.concatenate(found_s)
+        stay = s >= floor[q]
+        q, d = q[stay], d[stay]
+        order = np.argsort(q, kind="stable")
+        q, d = q[order], d[order]
+        ends = np.searchsorted(owner, np.arange(queries + 1))
+        for x, a, b in zip(*np.unique(q, return_index=True), np.append(np.unique(q, return_index=True)[1][1:], len(q)), strict=True):
+            mine = slice(ends[x], ends[x + 1])
+            scores = np.concatenate((best[x][0], self.exact(d[a:b], t[mine], w[mine])))
+            ids = np.concatenate((best[x][1], self.ids[d[a:b]]))
+            rank = np.lexsort((ids, -scores))[:k]
+            rank = rank[scores[rank] > 0]
+            best[x] = scores[rank], ids[rank]
+        return scored
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,31 +258,40 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return owner, np.arange(len(owner), dtype=np.int32) + shift
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known, part, number, held, ids, entries = _Words(), TaskContext.get().partitionId(), 0, [], [], 0
+def _index(shard_docs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, ids, entries = TaskContext.get().partitionId(), 0, [], 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def close() -> pa.RecordBatch:
-        columns = [[f"{part}-{number}"], [len(ids)], [sum(n for _, _, n in held)], [Shard.of(held, ids).dumps()]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "docs", "terms", "lists"])
+        def close() -> pa.RecordBatch:
+            doc, key, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+            lengths = np.bincount(doc, tf, len(ids)).astype(np.int64)
+            columns = [[f"{part}-{number}"], [len(ids)], [int(tf.sum())], [Shard.of(doc, key, tf, ids, lengths).dumps()]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "docs", "terms", "lists"])
 
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
-            held.append(terms(text.as_py(), known))
-            ids.append(doc_id)
-            entries += len(held[-1][0])
-            if len(ids) == SHARD_DOCS or entries >= SHARD_ENTRIES:
-                yield close()
-                number, held, ids, entries = number + 1, [], [], 0
-    if ids:
-        yield close()
+        for batch in batches:
+            at, rows = 0, batch.num_rows
+            doc, key, tf = terms(batch.column(1).cast(pa.binary()).to_pylist())
+            while at < rows:  # a batch may end one shard and begin the next
+                some = min(rows, at + shard_docs - len(ids))
+                a, b = np.searchsorted(doc, (at, some))
+                held.append((doc[a:b] - at + len(ids), key[a:b], tf[a:b]))
+                ids += batch.column(0).slice(at, some - at).to_pylist()
+                entries, at = entries + b - a, some
+                if len(ids) == shard_docs or entries >= SHARD_ENTRIES:
+                    yield close()
+                    number, ids, entries = number + 1, [], 0
+                    held.clear()
+        if ids:
+            yield close()
+
+    return run
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = _Words()
     for batch in batches:
-        found = [terms(t.as_py(), known)[0] for t in batch.column(1).cast(pa.binary())]
-        ids = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else np.empty(0, np.int64))], names=["query_id", "term"])
+        row, key, _ = terms(batch.column(1).cast(pa.binary()).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key)], names=["query_id", "term"])
 
 
 def _list_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,19 +307,22 @@ def _search(block, k: int):
     names, types = ["query_id", "doc_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row is a shard; all queries of the block run against it."""
+        """Each row is a shard. All queries of the block run against it, from the k best that the shards before left."""
         ids, starts, terms, idfs, average = block.value
+        best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
         for batch in batches:
             for data in batch.column(0):
                 shard = Shard.loads(data.as_py())
                 shard.prepare(average)
-                out: list[list] = [[], [], []]
-                for row, query_id in enumerate(ids.tolist()):
-                    span = slice(starts[row], starts[row + 1])
-                    docs, scores = shard.top(terms[span], idfs[span], k)
-                    for column, values in zip(out, ([query_id] * len(docs), shard.ids[docs].tolist(), scores.tolist()), strict=True):
-                        column.extend(values)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
+                for a in range(0, len(ids), AT_A_TIME):
+                    span = starts[a : a + AT_A_TIME + 1]
+                    some = best[a : a + AT_A_TIME]
+                    shard.top(span - span[0], terms[span[0] : span[-1]], idfs[span[0] : span[-1]], k, some)
+                    best[a : a + AT_A_TIME] = some
+        for a in range(0, len(ids), AT_A_TIME):
+            some = best[a : a + AT_A_TIME]
+            columns = np.repeat(ids[a : a + AT_A_TIME], [len(x) for x, _ in some]), np.concatenate([x for _, x in some]), np.concatenate([x for x, _ in some])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=names)
 
     return run
 
@@ -259,21 +353,26 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "do
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(text_col).cast("string").alias("text")).where("query_id is not null")
-    least = max(1, -(-rows.count() // SHARD_DOCS))
-    index = Table(rows.coalesce(least).mapInArrow(_index, "shard string, docs long, terms long, lists binary"), "text-index", batch=128, codec="none").read()
+    count, tasks = rows.count(), spark.sparkContext.defaultParallelism
+    shard_docs = max(1, min(SHARD_DOCS, -(-count // tasks)))  # a shard a core at least
+    built = Table(rows.coalesce(max(tasks, -(-count // SHARD_DOCS))).mapInArrow(_index(shard_docs), "shard string, docs long, terms long, lists binary"), "text-index", batch=128, codec="none")
+    index = built.read()
     total = index.agg(F.sum("docs").alias("docs"), F.sum("terms").alias("terms")).first()
     documents, average = total.docs or 0, max(1.0, (total.terms or 0) / max(1, total.docs or 0))
-    wanted = Table(asked.mapInArrow(_query_terms, "query_id long, term long").distinct(), "query-terms", batch=128).read()
+    split = Table(asked.mapInArrow(_query_terms, "query_id long, term long").distinct(), "query-terms", batch=128)
+    wanted = split.read()
     sizes = index.select("lists").mapInArrow(_list_sizes, "term long, df long")
     counted = sizes.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    pairs = wanted.join(counted, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("pairs"))  # a query's own terms
+    grouped = wanted.join(counted, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("pairs"))  # a query's own terms
     blocks = max(1, -(-wanted.select("query_id").distinct().count() // QUERY_BLOCK))
-    pairs = Table(pairs.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long"))), "queries", batch=256).read()
+    placed = Table(grouped.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(blocks).cast("long"))), "queries", batch=256)
     tops = []
-    for part in range(blocks):  # a job a block of queries; the index stays where it is
-        block = spark.sparkContext.broadcast(_block(pairs, part, documents, average))
-        tops.append(Table(index.select("lists").mapInArrow(_search(block, k), "query_id long, doc_id long, score double"), "shard-tops", batch=1))
+    for part in range(blocks):  # a job a block of queries; the index stays where it is, and a core walks through its shards
+        block = spark.sparkContext.broadcast(_block(placed.read(), part, documents, average))
+        tops.append(Table(index.select("lists").coalesce(tasks).mapInArrow(_search(block, k), "query_id long, doc_id long, score double"), "shard-tops", batch=1))
         block.unpersist()
+    for table in (built, split, placed):
+        table.drop()
     found = spark.read.schema(tops[0].schema).parquet(*(t.path for t in tops))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
