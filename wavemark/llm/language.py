@@ -82,13 +82,13 @@ def _partial_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def learn_profiles(rows: DataFrame, *, size: int = 300, sample_rows: int = 20_000) -> dict[str, np.ndarray]:
     """lang -> its most frequent n-grams, from a sample of `rows` (doc_id, text, lang) of about `sample_rows` rows.
 
-    The sample is drawn by a hash of the id, the same at every run. Counts are added before they leave a task; the
-    driver gets `size` rows a language.
+    The sample is drawn row by row, whatever the ids and texts, and is the same for equal runs over equal files. Counts
+    are added before they leave a task; the driver gets `size` rows a language.
     """
     known = rows.where("text is not null and lang is not null")
     total = known.count()
     if total > sample_rows:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(sample_rows / total * (1 << 30)))
+        known = known.where(F.rand(17) < sample_rows / total)
     counts = known.select("text", "lang").mapInArrow(_partial_profiles, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found: dict[str, list[int]] = {}
@@ -137,27 +137,36 @@ def _predict(profiles, size: int):
     return run
 
 
-def _filter(profiles, size: int, at: int):
+def _filter(profiles, size: int):
+    """Rows whose last column, the text, has a language; without that column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles.value, size)
         for batch in batches:
-            yield batch.filter(pa.array([judge(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
+            at = batch.num_columns - 1
+            yield batch.remove_column(at).filter(pa.array([judge(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, *, size: int = 300, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language `identify` finds; the others (`und`) go."""
+    """The rows of `docs`, with all their columns, whose language `identify` finds; the others (`und`) go.
+
+    Null, empty and very long texts, null ids, repeated rows and empty tables are as for identify. Columns of any names
+    come back as they were; the text column may be of any type that casts to a string.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     profiles = docs.sparkSession.sparkContext.broadcast(learn_profiles(rows.where(~held_out(F.col("doc_id"))), size=size, sample_rows=sample_rows))
-    return docs.mapInArrow(_filter(profiles, size, docs.columns.index(text_col)), docs.schema)
+    judged = docs.select("*", F.col(text_col).cast("string").alias("__judged text"))
+    return judged.mapInArrow(_filter(profiles, size), docs.schema)
 
 
 def identify(docs: DataFrame, *, size: int = 300, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score; learned from the rows of `docs` that are not held out.
 
     Null texts and texts without a letter are `und` with score 0, as is every row if there is nothing to learn from.
-    Repeated rows are answered each; a null id is not held out; other columns are ignored.
+    Repeated rows are answered each, very long texts by all their n-grams; a null id is not held out. An empty table
+    gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     profiles = docs.sparkSession.sparkContext.broadcast(learn_profiles(rows.where(~held_out(F.col("doc_id"))), size=size, sample_rows=sample_rows))

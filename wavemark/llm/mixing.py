@@ -2,13 +2,15 @@
 
 A linear classifier learned from a labelled table gives every document a posterior over domains. Rates r >= 0 are then
 fitted so that the expected token totals of the domains, sum of r * tokens * posterior, come near target shares of the
-token budget. The fit is projected gradient descent on least squares; a step sends one K-vector to the tasks and
-brings one back, and a document's rate is recomputed from the steps' vectors, so nothing is kept between steps.
+token budget. The fit is projected gradient descent on least squares. Posteriors are rounded to a grid, and documents
+with the same posterior have the same rate, so the tokens of each grid cell are added up once and the steps run over the
+cells; a step sends one K-vector to the tasks and brings one back.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -20,6 +22,10 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, Stru
 from .common import Table
 
 DIMENSIONS = 1 << 18
+#: Posteriors are multiples of one to this number.
+GRID = 256
+#: Cells up to this many are broadcast; with three domains there can't be more than 33,153.
+BROADCAST_CELLS = 50_000
 
 
 class _Buckets(dict):
@@ -72,27 +78,43 @@ def _words(text: str | None) -> list[str]:
     return _EDGE.sub("", (text or "").lower()).split()
 
 
-def _posteriors(model, at: int, names: list[str]):
+def on_grid(p: np.ndarray) -> np.ndarray:
+    """Rows of shares as multiples of 1 / GRID that add up to 1: rounded down, and what is left goes to the largest remainders."""
+    scaled = p * GRID
+    low = np.floor(scaled)
+    left = (GRID - low.sum(1)).round().astype(np.int64)
+    rank = np.argsort(np.argsort(low - scaled, axis=1, kind="stable"), axis=1, kind="stable")
+    return (low + (rank < left[:, None])) / GRID
+
+
+def _posteriors(model):
+    """The batch's columns but the last, the text; n_tokens and posterior after them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (w, b), buckets = model.value, _Buckets()
         for batch in batches:
             tokens, found = [], []
+            at = batch.num_columns - 1
             for text in batch.column(at).to_pylist():
                 tokens.append(len((text or "").split()))
-                found.append(_softmax(w[present(_words(text), buckets)].sum(0, dtype=np.float64) + b).tolist())
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True)) | {"n_tokens": pa.array(tokens, pa.int64()), "posterior": pa.array(found, pa.list_(pa.float64()))}
-            yield pa.RecordBatch.from_arrays([columns[x] for x in names], names=names)
+                found.append(w[present(_words(text), buckets)].sum(0, dtype=np.float64) + b)
+            shares = on_grid(_softmax(np.array(found).reshape(len(found), len(b)))).tolist()
+            columns = [*batch.columns[:at], pa.array(tokens, pa.int64()), pa.array(shares, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:at], "n_tokens", "posterior"])
 
     return run
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, sample_rows: int = 20_000, parts: int = 4, passes: int = 3, rate: float = 0.05):
-    """(weights, offsets) of the classifier, fitted on about `sample_rows` rows of `labelled` (doc_id, domain), drawn by a hash of the id."""
+    """(weights, offsets) of the classifier, fitted on at most `sample_rows` ids of `labelled` (doc_id, domain), drawn by a hash.
+
+    An id with several domains counts for the first by name; of an id with several texts one is taken, by a hash.
+    """
     known = labelled.where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull()).select("doc_id", "domain").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    total = known.count()
-    some = known.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) < int(min(1, sample_rows / max(1, total)) * (1 << 30)))
-    texts = docs.join(F.broadcast(some), "doc_id")  # at most about sample_rows short rows
-    dealt = texts.select("doc_id", "text", "domain", F.pmod(F.xxhash64("doc_id", F.lit(37)), F.lit(parts)).alias("p")).repartition(parts, "p").sortWithinPartitions("doc_id", "text").select("text", "domain")
+    some = known.orderBy(F.xxhash64("doc_id", F.lit(31)), "doc_id").limit(sample_rows)
+    texts = docs.join(F.broadcast(some), "doc_id")  # at most sample_rows short rows
+    one = texts.groupBy("doc_id", "domain").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    dealt = one.repartition(parts).sortWithinPartitions("doc_id").select("text", "domain")
     found = dealt.mapInArrow(_fit(domains, passes, rate), "n long, used binary, w binary, b binary").collect()
     w, b, n = np.zeros((DIMENSIONS, len(domains)), np.float32), np.zeros(len(domains)), max(1, sum(r.n for r in found))
     for r in sorted(found, key=lambda r: (r.n, bytes(r.used), bytes(r.w))):  # sums of floats depend on their order
@@ -123,8 +145,13 @@ def rate_column(steps: list[list[float]], ahead: float, size: float, ridge: floa
     return F.greatest(F.lit(0.0), done)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], *, ridge: float = 1e-3, most_steps: int = 40, tolerance: float = 1e-3) -> tuple[Column, list[float]]:
-    """(the rate column for `rows` (n_tokens, posterior), the domains' shares at the end)."""
+def fit_rates(rows: DataFrame, targets: dict[str, float], *, ridge: float = 1e-6, most_steps: int = 200, tolerance: float = 2e-3) -> tuple[Column, list[float], bool]:
+    """(the rate column for `rows` (n_tokens, posterior), the domains' shares at the end, whether they meet the targets).
+
+    The targets are met when no share is off by more than `tolerance` of its target. The steps end there, after
+    `most_steps`, or when ten of them together don't make the error smaller by a hundredth: targets can lie out of
+    reach, as where no document is mostly of a wanted domain, and the rates are then the least squares that there are.
+    """
     share = np.array(list(targets.values()))
     share = share / share.sum()
     k, steps, size = len(share), [], None
@@ -133,53 +160,76 @@ def fit_rates(rows: DataFrame, targets: dict[str, float], *, ridge: float = 1e-3
         r = rows.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * rate * F.col("posterior")[i]) for i in range(k)), *(F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k))).first()
         return np.array([float(x or 0) for x in r])
 
-    reached, ahead = [0.0] * k, 0.0
-    for t in range(most_steps):
+    reached, ahead, left, errors, met = [0.0] * k, 0.0, 0, [], False
+    for _ in range(most_steps):
         found = totals(rate_column(steps, ahead, size or 1.0, ridge))
         budget = max(found[0], 1.0)
-        weight = 1 / np.maximum(share, 1e-3)  # errors count in proportion to the target
         if size is None:
-            gram = found[1 + k :].reshape(k, k) / budget
-            size = float(1 / (np.linalg.eigvalsh(np.sqrt(np.outer(weight, weight)) * gram).max() + ridge))
+            size = float(1 / (np.linalg.eigvalsh(found[1 + k :].reshape(k, k) / budget).max() + ridge))
         reached = (found[1 : 1 + k] / budget).tolist()
         error = found[1 : 1 + k] / budget - share
-        if (np.abs(error) * weight).max() < tolerance:
+        errors.append(float(np.sqrt((error**2).sum())))
+        met = bool((np.abs(error) <= tolerance * share).all())
+        if met or not found[0] or len(errors) > 20 and min(errors[-10:]) > 0.99 * min(errors[:-10]):
             break
-        steps.append([*(weight * error).tolist(), ahead])
-        ahead = t / (t + 3)
-    return rate_column(steps, ahead, size or 1.0, ridge), reached
+        left = 0 if len(errors) > 1 and errors[-1] > errors[-2] else left + 1  # momentum begins anew where the error grows
+        steps.append([*error.tolist(), ahead])
+        ahead = left / (left + 3)
+    return rate_column(steps, ahead, size or 1.0, ridge), reached, met
+
+
+def _rated(table: DataFrame, targets: dict[str, float]) -> DataFrame:
+    """`table` (with n_tokens and posterior) and its rows' rate, the domains' shares reached and whether they meet the targets."""
+    cells = Table(table.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows")), "posterior-cells")
+    rate, reached, met = fit_rates(cells.read(), targets)
+    counted = cells.read().agg(F.count("*").alias("cells"), F.sum("n_tokens").alias("tokens")).first()
+    if not met and counted.tokens:
+        warnings.warn(f"the mix misses its targets: {dict(zip(targets, reached, strict=True))} instead of {targets}", stacklevel=3)
+    rates = Table(cells.read().select("posterior", rate.alias("rate")), "posterior-rates")
+    cells.drop()
+    rates = rates.read()
+    joined = table.join(F.broadcast(rates) if counted.cells <= BROADCAST_CELLS else rates, "posterior")
+    return joined.withColumn("reached", F.array(*map(F.lit, reached))).withColumn("met", F.lit(met))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_tokens (runs of non-blanks), posterior (in the targets' order), rate.
+    """Per row: doc_id, n_tokens (runs of non-blanks), posterior (in the targets' order), rate, reached, met.
 
-    `labelled` holds doc_id and domain; labels of other domains are ignored. Null and empty texts have no tokens, the
-    posterior of a text without known words, and a rate like any other. Repeated rows are rated each.
+    `reached` are the domains' shares of all tokens under the rates, `met` tells whether they are the targets; a warning
+    is given where they aren't. `labelled` holds doc_id and domain; labels of other domains are ignored. Null and empty
+    texts have no tokens, the posterior of a text without known words, and a rate like any other; so have rows with null
+    ids, which no label belongs to. Repeated rows are rated each, very long texts taken whole. An empty table gives no
+    rows; columns of other names, also those of the result, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn_domains(rows, labelled, list(targets), sample_rows=sample_rows))
-    found = rows.mapInArrow(_posteriors(model, 1, ["doc_id", "n_tokens", "posterior"]), "doc_id long, n_tokens long, posterior array<double>")
+    found = rows.mapInArrow(_posteriors(model), "doc_id long, n_tokens long, posterior array<double>")
     table = Table(found, "posteriors", batch=256).read()
-    rate, _ = fit_rates(table, targets)
-    return table.withColumn("rate", rate)
+    return _rated(table, targets).select("doc_id", "n_tokens", "posterior", "rate", "reached", "met")
 
 
 def repeat_by_rate(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, each as often as `copies` draws from its rate; no row is moved."""
+    """The rows of `docs`, with all their columns, each as often as `copies` draws from its rate; no row is moved.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as for mix; rows with null ids draw each for
+    themselves. Columns of any names and types come back as they were.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn_domains(rows, labelled, list(targets), sample_rows=sample_rows))
-    inner = {c: f"_{k}_{c}" for k, c in enumerate(docs.columns)}  # names that can't clash with the two new columns
+    inner = {c: f"_{k}_{c}" for k, c in enumerate(docs.columns)}  # names that can't clash with the new columns
     held = docs.withColumnsRenamed(inner)
-    names = [*inner.values(), "n_tokens", "posterior"]
     schema = StructType([*held.schema.fields, StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))])
-    table = Table(held.mapInArrow(_posteriors(model, docs.columns.index(text_col), names), schema), "posteriors", batch=128).read()
-    rate, _ = fit_rates(table, targets)
-    n = copies(rate, F.col(inner[id_col]))
-    again = table.withColumn("n_tokens", F.explode(F.array_repeat(F.lit(0), n)))
+    judged = held.select("*", F.col(inner[text_col]).cast("string").alias("_text"))
+    table = Table(judged.mapInArrow(_posteriors(model), schema), "posteriors", batch=128).read()
+    again = _rated(table, targets).withColumn("n_tokens", F.explode(F.array_repeat(F.lit(0), copies(F.col("rate"), F.col(inner[id_col]), F.col(inner[text_col])))))
     return again.select(*(F.col(x).alias(c) for c, x in inner.items()))
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """A whole number of copies whose mean is the rate: its floor, and one more for a hash-drawn share of the rows."""
-    draw = F.pmod(F.xxhash64(key, F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def copies(rate: Column, key: Column, text: Column) -> Column:
+    """A whole number of copies whose mean is the rate: its floor, and one more for a share of the rows.
+
+    The share is drawn by a hash of id and text; rows with a null id are drawn one by one.
+    """
+    own = F.when(key.isNull(), F.monotonically_increasing_id())
+    draw = F.pmod(F.xxhash64(key, text, own, F.lit(41)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(rate + draw).cast("int")

@@ -1,8 +1,8 @@
 """Quality by weak labels: heuristic labellers, their accuracies by expectation-maximisation, and a hashed linear scorer.
 
 Each labeller votes good, bad or nothing on a whole text. The votes of all documents are counted by vote pattern (at
-most 3 to the number of labellers rows), EM over those counts gives every labeller's accuracy on each class, and the
-posterior of a document's pattern is its soft label. A logistic scorer over hashed features learns the soft labels.
+most 3 to the number of labellers rows), EM over those counts estimates every labeller's accuracy on each class, and
+the posterior of a document's pattern is its soft label. A logistic scorer over hashed features learns the soft labels.
 """
 
 from __future__ import annotations
@@ -62,55 +62,55 @@ def measures(text: str) -> np.ndarray | None:
 def votes(m: np.ndarray | None) -> tuple[int, ...]:
     """A vote of each labeller: 0 bad, 1 good, 2 nothing. Texts without words get bad votes alone.
 
-    A detector of one kind of junk votes bad or nothing, as its silence says little; the others vote either way.
+    The first five look for one kind of junk each; their vote is good where they find none. The others vote where a
+    measure is clearly high or low. A measure that a text is too short for gives no vote.
     """
     if m is None:
         return (0,) * len(LABELLERS)
     again, signs, upper, bars, lines, letters, function, variety, length, n = m.tolist()
     few = n < 20
     return (
-        0 if again > 0.2 and n > 2 else 2,
-        0 if signs > 0.1 else 2,
-        0 if upper > 0.3 and n > 2 else 2,
-        0 if bars > 0.1 else 2,
-        0 if lines > 0.4 and not few else 2,
-        0 if letters < 0.88 and not few else 1 if letters > 0.93 else 2,
+        2 if n < 3 else 0 if again > 0.2 else 1,
+        0 if signs > 0.1 else 1,
+        2 if n < 3 else 0 if upper > 0.3 else 1,
+        0 if bars > 0.1 else 1,
+        2 if few else 0 if lines > 0.4 else 1,
+        1 if letters > 0.93 else 0 if letters < 0.75 and not few else 2,
         2 if few else 0 if function < 0.02 else 1 if function > 0.08 else 2,
         2 if few else 0 if variety < 0.25 and n < 400 or variety < 0.1 else 1 if variety > 0.35 else 2,
         0 if length > 20 or length < 1.5 else 1 if 2.5 < length < 12 else 2,
     )
 
 
-#: What is held likely before any document is seen: chances of the votes bad, good, nothing, on bad and on good documents.
-PRIOR = np.array([[[0.3, 0.001, 0.699], [0.004, 0.001, 0.995]]] * 5 + [[[0.5, 0.3, 0.2], [0.01, 0.8, 0.19]]] * 3 + [[[0.1, 0.6, 0.3], [0.01, 0.8, 0.19]]])
+#: Where EM starts: chances that a labeller which votes calls a bad and a good document bad. Which class is the bad one follows from them.
+START = np.array([[0.3, 0.002]] * 5 + [[0.5, 0.02]] * 3 + [[0.1, 0.02]])
+#: Votes of each class that START counts as, so that no chance becomes 0 or 1.
+START_VOTES = 20.0
 
 
-def fit_accuracies(patterns: dict[tuple[int, ...], int], *, rounds: int = 60, prior_good: float = 0.9, strength: float = 0.5) -> tuple[np.ndarray, float]:
-    """(how often each labeller casts each vote on bad and on good documents, the share of good ones), by EM.
+def fit_accuracies(patterns: dict[tuple[int, ...], int], *, rounds: int = 200, good: float = 0.9, start: np.ndarray = START, start_votes: float = START_VOTES) -> tuple[np.ndarray, float]:
+    """(each labeller's chance of a bad vote on bad and on good documents, the share of good ones), by EM.
 
-    `strength` is the weight of PRIOR against the documents' own votes. It keeps the two classes good and bad: kinds of
-    junk that no two labellers share would otherwise count as errors of the one that sees them.
+    A labeller's accuracies are that chance on bad documents and the rest to one on good ones. Votes are taken as
+    independent of each other within a class; a labeller without a vote says nothing about a document.
     """
-    m = len(LABELLERS)
-    seen = np.array(list(patterns), np.int64).reshape(-1, m)
+    seen = np.array(list(patterns), np.int64).reshape(-1, len(start))
     weight = np.array(list(patterns.values()), np.float64)
-    chance, good = PRIOR.copy(), prior_good
+    chance = start.copy()
     for _ in range(rounds if len(seen) else 0):
         q = posterior(seen, chance, good)
-        good = float(np.clip((weight * q).sum() / weight.sum(), 0.5, 0.99))
-        for k in range(m):
-            for v in range(3):
-                hit = weight * (seen[:, k] == v)
-                chance[k, :, v] = (hit * (1 - q)).sum(), (hit * q).sum()
-            share = weight.sum() * strength
-            chance[k] = (chance[k] + PRIOR[k] * share) / (chance[k].sum(1, keepdims=True) + share)
+        good = float(np.clip((weight * q).sum() / weight.sum(), 1e-4, 1 - 1e-4))
+        for c, share in enumerate((weight * (1 - q), weight * q)):
+            bad, cast = share @ (seen == 0), share @ (seen < 2)
+            chance[:, c] = (bad + start[:, c] * start_votes) / (cast + start_votes)
     return chance, good
 
 
 def posterior(seen: np.ndarray, chance: np.ndarray, good: float) -> np.ndarray:
+    """The chance that a document with these votes is good."""
+    log = np.log(np.stack((chance, 1 - chance, np.ones_like(chance)), 2))
     k = np.arange(seen.shape[1])
-    bad_log = np.log(chance[k, 0, seen]).sum(1) + np.log(1 - good)
-    good_log = np.log(chance[k, 1, seen]).sum(1) + np.log(good)
+    bad_log, good_log = log[k, 0, seen].sum(1) + np.log(1 - good), log[k, 1, seen].sum(1) + np.log(good)
     return 1 / (1 + np.exp(np.clip(bad_log - good_log, -500, 500)))
 
 
@@ -184,11 +184,15 @@ def _score(model):
     return run
 
 
-def _filter(model, at: int, threshold: float):
+def _filter(model, threshold: float):
+    """Rows whose last column, the text, scores enough; without that column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, shapes = np.frombuffer(model.value), _Shapes()
         for batch in batches:
-            yield batch.filter(pa.array([_chance(t.as_py(), weights[:-1], weights[-1], shapes) >= threshold for t in batch.column(at)], pa.bool_()))
+            at = batch.num_columns - 1
+            keep = pa.array([_chance(t.as_py(), weights[:-1], weights[-1], shapes) >= threshold for t in batch.column(at)], pa.bool_())
+            yield batch.remove_column(at).filter(keep)
 
     return run
 
@@ -202,15 +206,16 @@ def _chance(text: str | None, w: np.ndarray, b: float, shapes: _Shapes) -> float
 def learn(rows: DataFrame, *, sample_rows: int = 20_000, parts: int = 4, passes: int = 4, rate: float = 0.5) -> np.ndarray:
     """The scorer's weights. Accuracies come from all rows of `rows` (doc_id, text).
 
-    The scorer is fitted on about `sample_rows` of them, drawn by a hash of the id, in `parts` parts whose weights are averaged.
+    The scorer is fitted on about `sample_rows` of them (all, if there are fewer), drawn row by row whatever their ids
+    and texts, in `parts` parts of equal size whose weights are averaged. The draw depends on how the table is read, so
+    equal runs over equal files agree.
     """
     counted = rows.select("text").mapInArrow(_votes, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns = {tuple(map(int, r.pattern)): r.n for r in sorted(counted)}
     chance, good = fit_accuracies(patterns)
     total = sum(patterns.values())
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 30))
-    some = rows.where(draw < int(min(1, sample_rows / max(1, total)) * (1 << 30)))
-    found = some.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(parts)).alias("p")).repartition(parts, "p").sortWithinPartitions("doc_id", "text").select("text").mapInArrow(_train(chance, good, passes, rate), "n long, weights binary").collect()
+    some = rows if total <= sample_rows else rows.where(F.rand(23) < sample_rows / total)
+    found = some.select("doc_id", "text").repartition(parts).sortWithinPartitions("doc_id", "text").select("text").mapInArrow(_train(chance, good, passes, rate), "n long, weights binary").collect()
     if not found:
         return np.zeros(DIMENSIONS + 1)
     found.sort(key=lambda r: (r.n, bytes(r.weights)))  # sums of floats depend on their order
@@ -220,8 +225,9 @@ def learn(rows: DataFrame, *, sample_rows: int = 20_000, parts: int = 4, passes:
 def score_quality(docs: DataFrame, *, threshold: float = 0.5, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, score (0 to 1) and keep (score >= threshold).
 
-    Null texts and texts without a word get bad votes alone and are scored by one feature of their own. Repeated rows
-    are scored each; an empty table gives no rows; other columns are ignored.
+    Null texts and texts without a word get bad votes alone and are scored by one feature of their own. Rows with null
+    ids are scored like any other, repeated rows each; an empty table gives no rows; other columns are ignored, whatever
+    their names. Votes and features are taken from whole texts, however long.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn(rows, sample_rows=sample_rows).tobytes())
@@ -229,7 +235,12 @@ def score_quality(docs: DataFrame, *, threshold: float = 0.5, sample_rows: int =
 
 
 def keep_good(docs: DataFrame, *, threshold: float = 0.5, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all their columns, that score_quality would keep; each row is decided where it is read."""
+    """The rows of `docs`, with all their columns, that score_quality would keep; each row is decided where it is read.
+
+    Null, empty and very long texts, null ids, repeated rows and empty tables are as for score_quality. Columns of any
+    names come back as they were; the text column may be of any type that casts to a string.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn(rows, sample_rows=sample_rows).tobytes())
-    return docs.mapInArrow(_filter(model, docs.columns.index(text_col), threshold), docs.schema)
+    judged = docs.select("*", F.col(text_col).cast("string").alias("__judged text"))
+    return judged.mapInArrow(_filter(model, threshold), docs.schema)
