@@ -1,4 +1,5 @@
 import itertools
+from html.parser import HTMLParser
 
 import numpy as np
 
@@ -55,3 +56,60 @@ def test_very_long_page_is_read_whole():
     text = "<article>" + "".join(f"<p>Sentence number {i} of a very long article, which goes on.</p>" for i in range(5000)) + "</article>"
     assert extraction.main_text(text, extraction.train()).count("Sentence number") == 5000
     assert len(html_blocks.blocks("<div>" * 5000 + "x" + "</div>" * 5000)) == 1
+
+
+ARTICLE = "<article><h1>A fine title</h1><p>First words of the text and more of it follow here, enough for a paragraph.</p><p>Second paragraph, a bit longer than the first one was.</p></article>"
+
+
+def test_depth_changes_nothing():
+    model = extraction.train()
+    page = lambda n: f"<body><nav><ul><li><a href='/'>Home</a></ul></nav>{'<div>' * n}{ARTICLE}{'</div>' * n}<footer>© site</footer></body>"
+    want = extraction.main_text(page(1), model)
+    assert want.startswith("A fine title First words")
+    for n in (195, 199, 200, 260, 300, 5000):
+        assert extraction.main_text(page(n), model) == want, n
+    assert len(html_blocks.blocks("<div class=a>x" * 20_000 + "</p></li></td>" * 20_000)) == 20_000
+
+
+class _Plain(HTMLParser):
+    """Block texts by the standard library's parser, for pages whose elements are all closed."""
+
+    def __init__(self):
+        super().__init__()
+        self.found, self.text, self.stack, self.hidden = [], "", [], 0
+
+    def flush(self):
+        if joined := " ".join(self.text.split()):
+            self.found.append((joined, self.stack[-1] if self.stack else "body"))
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in html_blocks.HIDDEN
+        if tag in html_blocks.BLOCK:
+            self.flush()
+            if tag not in ("body", *html_blocks.VOID):
+                self.stack.append(tag)
+        if tag == "br":
+            self.text += "\n"
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in html_blocks.HIDDEN
+        if tag in html_blocks.BLOCK:
+            self.flush()
+            if tag in self.stack:
+                while self.stack.pop() != tag:
+                    pass
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.text += data
+
+
+def test_blocks_equal_those_of_the_standard_parser():
+    for seed in range(300):
+        text, _ = page_samples.page(60_000 + seed)
+        plain = _Plain()
+        plain.feed(text)
+        plain.close()
+        plain.flush()
+        assert [b.text for b in html_blocks.blocks(text)] == [t for t, _ in plain.found], seed

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ def features(b: Block, k: int, n: int) -> list[str]:
     out += [f"name={h}" for h in b.hints]
     parent = b.ancestors[-2] if len(b.ancestors) > 1 else "-"
     out += [f"tag,words={b.tag},{size}", f"named={bool(b.hints)}", f"path={parent}>{b.tag}", f"path,links={parent}>{b.tag},{link}"]
-    if "©" in b.text or "copyright" in b.text[:40].lower():
+    if "©" in b.text or words < 32 and "copyright" in b.text.lower():
         out.append("copyright")
     return out
 
@@ -103,10 +104,19 @@ def viterbi(score: list[list[float]], move: list[list[float]]) -> list[int]:
     return best[::-1]
 
 
+class _Named(NamedTuple):
+    """The hints that the model has weights for."""
+
+    weights: Mapping[str, object]
+
+    def __contains__(self, hint: object) -> bool:
+        return f"name={hint}" in self.weights
+
+
 def main_text(text: str | None, model: Model) -> str:
     """The article blocks of a page joined by one space; empty if there are none."""
     weights, move, start = model
-    found = blocks(text)
+    found = blocks(text, _Named(weights))
     score = []
     for k, b in enumerate(found):
         s0 = s1 = 0.0
@@ -132,7 +142,12 @@ def _extract(model):
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", samples: int = 1000) -> DataFrame:
-    """Per row: page_id, url, text, n_chars. Null and empty pages give an empty text; repeated rows are read each."""
+    """Per row: page_id, url, text, n_chars.
+
+    Null and empty pages give an empty text. Rows with null ids or urls are read like any other, repeated rows each;
+    pages are read whole, however long or deeply nested. An empty table gives no rows; other columns, also such as are
+    named like those of the result, are ignored.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     model = pages.sparkSession.sparkContext.broadcast(train(samples))
     return rows.mapInArrow(_extract(model), "page_id long, url string, text string, n_chars long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Container
 from typing import NamedTuple
 
 #: Elements whose text is never shown as text of the page.
@@ -18,6 +19,10 @@ BLOCK = frozenset(
 )
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that end the one before them, and those that they don't reach across.
+_ITEMS = ("li", "dt", "dd", "tr", "td", "th")
+_LISTS = ("ul", "ol", "dl", "table", "menu")
+_ROWS = (*_LISTS, "tr")
 _PARTS = re.compile(r"""<!--|<!|<\?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""")
 _HINTS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -32,10 +37,26 @@ class Block(NamedTuple):
     linked: int  # characters inside links
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The page's leaf blocks; white space inside one is a single space, and character references are decoded."""
+class _Open(NamedTuple):
+    """An open element: its name, the distinct names and hints from the root down to it."""
+
+    name: str
+    ancestors: tuple[str, ...]
+    hints: tuple[str, ...]
+
+
+_ROOT = _Open("body", (), ())
+
+
+def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
+    """The page's leaf blocks; white space inside one is a single space, and character references are decoded.
+
+    Elements may be nested as deep as they like. Of the ancestors' classes, ids and roles those in `known` are kept, and
+    those of the outermost element that has any; all, if nothing is known.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[_Open] = []
+    inside_of: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
     links, hidden, opened = 0, [], Counter()
@@ -46,10 +67,20 @@ def blocks(page: str | None) -> list[Block]:
         if text:
             if joined := " ".join(html.unescape("".join(text)).split()):
                 inside = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
-                hints = tuple(dict.fromkeys(h for _, some in stack for h in some))
-                found.append(Block(stack[-1][0] if stack else "body", tuple(dict.fromkeys(t for t, _ in stack)), hints, joined, inside))
+                found.append(Block(*(stack[-1] if stack else _ROOT), joined, inside))
             text, linked = [], []
 
+    def close(name: str, within: tuple[str, ...] = ()) -> None:
+        """Ends the innermost open element of this name with all that is open in it, unless one of `within` lies between."""
+        if inside_of[name]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name == name:
+                    inside_of.subtract(x.name for x in stack[k:])
+                    del stack[k:]
+                    break
+                if stack[k].name in within:
+                    break
+
     at = 0
     while (m := _PARTS.search(page, at)) is not None:
         if m.start() > at and not hidden:
@@ -87,25 +118,20 @@ def blocks(page: str | None) -> list[Block]:
             flush()
             links = 0
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                close(name)
             elif name not in VOID:
-                if stack and stack[-1][0] == "p":
-                    stack.pop()
-                if name in ("li", "dt", "dd", "tr", "td", "th"):
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in ("ul", "ol", "dl", "table", "menu") or name in ("td", "th") and stack[k][0] == "tr":
-                            break
-                hints = ()
+                if stack and stack[-1].name == "p":
+                    close("p")
+                if name in _ITEMS:
+                    close(name, _LISTS if name in ("li", "dt", "dd", "tr") else _ROWS)
+                above = stack[-1] if stack else _Open("", (), ())
+                hints = above.hints
                 if "=" in attributes:
-                    hints = tuple(w for x in _HINTS.findall(attributes) for w in _WORD.findall("".join(x[1:]).lower()))
-                if len(stack) < 200:
-                    stack.append((name, hints))
+                    words = (w for x in _HINTS.findall(attributes) for w in _WORD.findall("".join(x[1:]).lower()))
+                    fresh = [w for w in dict.fromkeys(words) if w not in hints and (known is None or not hints or w in known)]
+                    hints = (*hints, *fresh) if fresh else hints
+                stack.append(_Open(name, above.ancestors if name in above.ancestors else (*above.ancestors, name), hints))
+                inside_of[name] += 1
     if at < len(page) and not hidden:
         text.append(page[at:])
     flush()
