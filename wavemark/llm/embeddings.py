@@ -1,129 +1,188 @@
-"""Near-duplicate embeddings: small-world graphs per shard, every shard queried, cosines verified, components united."""
+"""Near-duplicate embeddings: small-world graphs per shard, every shard queried, cosines verified, components united.
+
+A shard's row holds its vectors and its graph. The members of a shard are queries against that shard and against each
+shard of a higher number, so that every pair of shards meets in one task; what a task returns are counts and a spanning
+forest of the links it found. The number of shards follows from a shard's bytes and from the cores, not from the rows.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil, sqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Table
 from .components import components
 from .hnsw import Graph
 
-#: Vectors of a shard, at most about so many; queries of a task.
-SHARD_ROWS, BLOCK_ROWS = 500_000, 16_384
-#: First beam, the recall an audit asks for, and the queries it compares with all vectors of the shard.
-BEAM, RECALL, AUDITED = 48, 0.995, 64
+#: Bytes that the vectors and the graph of a shard take in a worker, about.
+SHARD_BYTES = 128 << 20
+#: First beam; queries that an audit compares with all vectors of a shard; the shares of links, and of nearest others, that it asks for.
+BEAM, AUDITED, RECALL, NEAREST = 48, 64, 0.995, 0.9
 #: Single-precision searches look this much below the threshold; double precision then decides.
 SLACK = 1e-4
 
 
-def _unit(found: list) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors in double precision, and those scaled to length one."""
-    v = np.stack([np.asarray(x, np.float64) for x in found])
-    scale = np.abs(v).max(1, keepdims=True)
-    w = v / scale
-    return v, w / np.linalg.norm(w, axis=1, keepdims=True)
-
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length one, in double precision."""
+    v = v.astype(np.float64)
+    w = v / np.abs(v).max(1, keepdims=True)
+    return w / np.linalg.norm(w, axis=1, keepdims=True)
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    _, unit = _unit(pdf["embedding"].tolist())
-    graph = Graph.build(unit.astype(np.float32))
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "dims": [pdf["dims"].iloc[0]], "graph": [graph.dumps()], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "sizes": [pdf["size"].to_numpy(np.int64).tobytes()], "units": [unit.tobytes()]})
 
+def _build(narrow: bool):
+    kind = np.dtype("<f4" if narrow else "<f8")
 
-class _Sets:
-    """Union-find over hashable nodes."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.stack([np.asarray(x, kind) for x in pdf["embedding"]])
+        graph = Graph.build(_unit(v).astype(np.float32))
+        columns = {"shard": pdf["shard"].iloc[0], "dims": pdf["dims"].iloc[0], "graph": graph.dumps(), "vectors": v.tobytes()}
+        columns |= {x: pdf[x].to_numpy(np.int64).tobytes() for x in ("number", "size")}
+        return pd.DataFrame({k: [x] for k, x in columns.items()})
 
-    def find(self, x: int) -> int:
-        up = self.up
-        while (y := up.setdefault(x, x)) != x:
-            up[x] = up[y]
-            x = up[x]
-        return x
+    return run
 
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
 
+def audited(graph: Graph, q: np.ndarray, least: float, own: bool) -> tuple[int, int, int]:
+    """(beam, links found, links there are) of a sample of queries, with the beam doubled until the sample is content.
 
-def audited(graph: Graph, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Hits of all queries, from a beam doubled until a sample of queries finds its share of what brute force finds."""
+    It is content with its share of the links, and of the nearest vectors where a query has no link, that brute force
+    finds. `own`: the queries are the graph's vectors, and a query itself counts as neither.
+    """
     ef, base = BEAM, graph.layers[-1].v
-    sample = np.random.default_rng(len(q)).permutation(len(q))[:AUDITED]
-    truth = q[sample] @ base.T >= least
+    sample = np.sort(np.random.default_rng(len(q)).permutation(len(q))[:AUDITED])
+    near = q[sample] @ base.T
+    if own:
+        near[np.arange(len(sample)), sample] = -2
+    truth, best = near >= least, near.argmax(1)
+    lonely = np.flatnonzero(~truth.any(1) & (near.max(1) > -2))
     while True:
-        rows, nodes = graph.within(q[sample], least, ef)
-        hit = np.zeros_like(truth)
-        hit[rows, nodes] = True
-        if ef >= len(base) or (hit & truth).sum() >= RECALL * truth.sum():
-            return graph.within(q, least, ef)
+        hit, seen = np.zeros_like(truth), np.zeros(len(sample), bool)
+        for a, rows, nodes, beam in graph.steps(q[sample], least, ef):
+            hit[a + rows, nodes] = True
+            seen[a : a + len(beam)] = (beam == best[a : a + len(beam), None]).any(1)
+        found = int((hit & truth).sum())
+        if ef >= len(base) or found >= RECALL * truth.sum() and seen[lonely].sum() >= NEAREST * len(lonely):
+            return ef, found, int(truth.sum())
         ef = min(2 * ef, len(base))
 
 
-def _query(threshold: float):
-    def run(queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        """Per query the number of vectors it links with in this shard; and a spanning forest of the links found."""
-        empty = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "links": np.empty(0, np.int64)})
-        if not len(queries) or not len(index):
-            return empty
-        r = index.iloc[0]
-        ids, sizes = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int64)
-        units = np.frombuffer(r["units"]).reshape(len(ids), -1)
-        _, q = _unit(queries["embedding"].tolist())
-        mine = queries["vec_id"].to_numpy(np.int64)
-        rows, nodes = audited(Graph.loads(r["graph"]), q.astype(np.float32), threshold - SLACK)
-        cosine = np.concatenate([np.einsum("nd,nd->n", q[rows[k : k + 65536]], units[nodes[k : k + 65536]]) for k in range(0, len(rows), 65536)]) if len(rows) else np.empty(0)
-        good = (cosine >= threshold) & (mine[rows] != ids[nodes])
-        rows, nodes = rows[good], nodes[good]
-        links = np.bincount(rows, sizes[nodes], len(mine)).astype(np.int64)
-        sets, pairs = _Sets(), []
-        for a, b in zip(mine[rows].tolist(), ids[nodes].tolist(), strict=True):
-            if sets.find(a) != sets.find(b):
-                sets.join(a, b)
-                pairs.append((a, b))
-        found = pd.DataFrame({"a": mine, "b": mine, "links": links})
-        return pd.concat([found[found["links"] > 0], pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "links": 0}).astype(np.int64)])
+class _Sets:
+    """Union-find over numbered nodes, many at a time."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n, dtype=np.int64)
+
+    def roots(self, x: np.ndarray) -> np.ndarray:
+        found = self.up[x]
+        while not np.array_equal(above := self.up[found], found):
+            found = above
+        self.up[x] = found
+        return found
+
+    def unite(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Joins x with all others; those of them, one a set, that weren't with it."""
+        mine = int(self.roots(np.array([x]))[0])
+        root, first = np.unique(self.roots(others), return_index=True)
+        fresh = root != mine
+        self.up[root[fresh]] = mine
+        return others[first[fresh]]
+
+
+def _pair(threshold: float, narrow: bool):
+    kind, names = np.dtype("<f4" if narrow else "<f8"), ["a", "b", "links", "audited"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row is a shard's graph and the members of a shard, maybe the same, as queries."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = r["shard"] == r["other"]
+                number, size, base = np.frombuffer(r["number"], np.int64), np.frombuffer(r["size"], np.int64), _unit(np.frombuffer(r["vectors"], kind).reshape(-1, r["dims"]))
+                numbers, sizes, q = (number, size, base) if own else (np.frombuffer(r["numbers"], np.int64), np.frombuffer(r["sizes"], np.int64), _unit(np.frombuffer(r["queries"], kind).reshape(-1, r["dims"])))
+                graph, asked = Graph.loads(r["graph"], base.astype(np.float32)), q.astype(np.float32)
+                ef, found, there = audited(graph, asked, threshold - SLACK, own)
+                links, links_of_queries = np.zeros(len(base), np.int64), np.zeros(len(q), np.int64)
+                sets = _Sets(len(base) + (0 if own else len(q)))
+                forest: list[tuple[np.ndarray, np.ndarray]] = []
+                for a, rows, nodes, _ in graph.steps(asked, threshold - SLACK, ef):
+                    rows = rows + a
+                    cosine = np.concatenate([np.einsum("nd,nd->n", q[rows[k : k + 65536]], base[nodes[k : k + 65536]]) for k in range(0, len(rows), 65536)]) if len(rows) else np.empty(0)
+                    good = cosine >= threshold
+                    if own:
+                        good &= rows != nodes
+                    rows, nodes = rows[good], nodes[good]
+                    links_of_queries += np.bincount(rows, size[nodes], len(q)).astype(np.int64)
+                    if not own:
+                        links += np.bincount(nodes, sizes[rows], len(base)).astype(np.int64)
+                    for x, k, n in zip(*np.unique(rows, return_index=True, return_counts=True), strict=True):
+                        joined = sets.unite(int(x) if own else len(base) + int(x), nodes[k : k + n])
+                        if len(joined):
+                            forest.append((np.full(len(joined), numbers[x]), number[joined]))
+                counts = [(numbers, links_of_queries)] if own else [(numbers, links_of_queries), (number, links)]
+                for who, n in counts:
+                    some = n > 0
+                    yield _answer(names, who[some], who[some], n[some])
+                if forest:
+                    yield _answer(names, *(np.concatenate(x) for x in zip(*forest, strict=True)))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([found], pa.int64()), pa.array([there], pa.int64())], names=names)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, least_shards: int = 4, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Per row: vec_id, n_links (other rows it links with), component_id (smallest id reachable), kept (it is that id).
+def _answer(names: list[str], a: np.ndarray, b: np.ndarray, links: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(links) if links is not None else pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int64())], names=names)
+
+
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, least_shards: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """Per row: vec_id, n_links (other rows it links with), component_id (smallest id reachable), kept (it is that id), audit_recall.
 
     Null, empty and zero vectors and such with null or non-finite components link with nothing; vectors of different
-    length don't link. Equal vectors are one class before the search. A null id is counted as a row and gets a null
-    component. Every class is in the index and every class is a query against every shard.
+    length don't link. Equal vectors are one class before the search, and each class is in the index and a query against
+    every shard, whatever its ids. Rows that share an id are vectors of their own. A row with a null id links like any
+    other, and itself has a null component; a component of rows without an id has none. An empty table gives no rows;
+    other columns, whatever their names, are ignored. `audit_recall` is the share of the links that brute force finds
+    for the audits' queries which the graphs found, null if those have no links.
     """
     spark = vectors.sparkSession
+    kind = vectors.schema[vector_col].dataType
+    narrow = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)  # then nothing is lost in single precision
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce((F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
     keyed = rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.hash(F.reverse("embedding")))  # a short key; the vector itself decides below
-    classes = keyed.where("sound").groupBy("k1", "k2", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
-    classes = Table(classes, "vector-classes", batch=4096).read()
-    found = classes.where("vec_id is not null")
-    total = found.count()
-    shards = max(least_shards, -(-total // SHARD_ROWS))
-    parts = max(1, -(-total // BLOCK_ROWS))
-    dims = F.size("embedding").alias("dims")
-    placed = found.select("vec_id", "embedding", "size", dims, F.pmod(F.xxhash64("vec_id"), F.lit(shards).cast("long")).alias("shard"))
-    index = Table(placed.groupBy("shard", "dims").applyInPandas(_build, "shard long, dims int, graph binary, ids binary, sizes binary, units binary"), "vector-graphs", codec="none").read()
-    asked = found.select("vec_id", "embedding", dims, F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(parts).cast("long")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
-    offered = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    keys = ("shard", "dims", "part")
-    answers = asked.groupBy(*keys).cogroup(offered.groupBy(*keys)).applyInPandas(_query(threshold), "a long, b long, links long")
-    answers = Table(answers, "vector-links").read()
-    links = answers.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
+    distinct = keyed.where("sound").groupBy("k1", "k2", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("size"))
+    classes = Table(distinct.withColumn("number", F.monotonically_increasing_id()), "vector-classes", batch=4096).read()
+    dims = F.size("embedding")
+    counted = classes.agg(F.count("*").alias("n"), F.max(dims).alias("dims")).first()
+    bytes_each = (8 + (4 if narrow else 8)) * (counted.dims or 1) + 256
+    shards = max(least_shards or ceil(sqrt(4 * spark.sparkContext.defaultParallelism)), ceil(counted.n * bytes_each / SHARD_BYTES))
+    placed = classes.select("number", "embedding", "size", dims.alias("dims"), F.pmod(F.xxhash64("number"), F.lit(shards).cast("long")).alias("shard"))
+    built = Table(placed.groupBy("shard", "dims").applyInPandas(_build(narrow), "shard long, dims int, graph binary, vectors binary, number binary, size binary"), "vector-graphs", batch=1, codec="none")
+    index = built.read()
+    graphs = index.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shard"))))
+    members = index.select("dims", F.col("shard").alias("other"), F.col("vectors").alias("queries"), F.col("number").alias("numbers"), F.col("size").alias("sizes"))
+    asked = members.withColumn("shard", F.explode(F.sequence(F.col("other"), F.lit(shards - 1).cast("long"))))
+    asked = asked.select("dims", "shard", "other", *(F.when(F.col("shard") != F.col("other"), F.col(x)).alias(x) for x in ("queries", "numbers", "sizes")))  # a shard has its own members
+    keys = ["dims", "shard", "other"]
+    tasks = shards * (shards + 1)
+    pairs = graphs.repartition(tasks, *keys).join(asked.repartition(tasks, *keys), keys)
+    found = Table(pairs.mapInArrow(_pair(threshold, narrow), "a long, b long, links long, audited long"), "vector-links", batch=1)
+    answers = found.read()
+    audit = answers.where("a is null").agg(F.sum("links").alias("found"), F.sum("audited").alias("there")).first()
+    recall = audit.found / audit.there if audit.there else None
+    links = answers.where("a = b").groupBy(F.col("a").alias("number")).agg(F.sum("links").alias("others"))
     groups = Table(components(answers.where("a <> b").select("a", "b")), "vector-components").read()
-    named = classes.join(links, F.col("vec_id") == F.col("rep"), "left").join(groups, F.col("vec_id") == F.col("node"), "left")
-    named = named.select("k1", "k2", F.col("embedding").alias("own"), "size", F.coalesce("others", F.lit(0)).alias("others"), F.coalesce("component", "vec_id").alias("class_component"))
+    built.drop()
+    named = classes.join(links, "number", "left").join(groups.withColumnRenamed("node", "number"), "number", "left").withColumn("component", F.coalesce("component", "number"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = named.join(least, "component").select("k1", "k2", F.col("embedding").alias("own"), "size", F.coalesce("others", F.lit(0)).alias("others"), "component_id")
     joined = keyed.join(named, (keyed.k1 == named.k1) & (keyed.k2 == named.k2) & (keyed.embedding == named.own) & keyed.sound, "left")
     n = F.when(F.col("sound"), F.col("size") - 1 + F.col("others")).otherwise(F.lit(0)).cast("long")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("class_component", "vec_id"))
-    return joined.select("vec_id", n.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
+    return joined.select("vec_id", n.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))

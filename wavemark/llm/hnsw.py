@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -159,12 +160,15 @@ class Graph:
             at[:, 0] = np.where((at >= 0).any(1), at[:, 0], inserted[0])
         return at
 
-    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query row, node) with similarity >= least: the beam's, and all that links among such nodes lead to."""
-        base, rows, nodes = self.layers[-1], [], []
+    def steps(self, q: np.ndarray, least: float, ef: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Some queries at a time: (first row, rows from there, nodes with similarity >= least, each query's beam).
+
+        The nodes are the beam's, and all that links among such nodes lead to.
+        """
+        base = self.layers[-1]
         step = max(1, min(512, (1 << 26) // max(1, len(base.v))))
         for a in range(0, len(q), step):
-            some = q[a : a + step]
+            some, rows, nodes = q[a : a + step], [], []
             ids, sims = base.search(some, self.entries(some), ef)
             hit = (sims >= least) & (ids >= 0)
             for r in np.flatnonzero(hit.any(1)):
@@ -180,17 +184,28 @@ class Graph:
                     front = near[base.v[near] @ some[r] >= least]
                     kept.append(front)
                 found = np.concatenate(kept)
-                rows.append(np.full(len(found), a + r))
+                rows.append(np.full(len(found), r))
                 nodes.append(found)
-        return (np.concatenate(rows), np.concatenate(nodes)) if rows else (np.empty(0, np.int64), np.empty(0, np.int64))
+            empty = np.empty(0, np.int64)
+            yield a, np.concatenate(rows) if rows else empty, np.concatenate(nodes) if nodes else empty, ids
+
+    def within(self, q: np.ndarray, least: float, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query row, node) of all steps."""
+        found = [(a + rows, nodes) for a, rows, nodes, _ in self.steps(q, least, ef)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def dumps(self) -> bytes:
+        """The links; vectors are kept elsewhere."""
         out = io.BytesIO()
-        np.savez(out, n=len(self.layers), **{f"v{k}": x.v for k, x in enumerate(self.layers)}, **{f"l{k}": x.nbr for k, x in enumerate(self.layers)}, **{f"d{k}": x for k, x in enumerate(self.down)})
+        np.savez(out, n=len(self.layers), **{f"l{k}": x.nbr for k, x in enumerate(self.layers)}, **{f"d{k}": x for k, x in enumerate(self.down)})
         return out.getvalue()
 
     @classmethod
-    def loads(cls, data: bytes) -> Graph:
+    def loads(cls, data: bytes, vectors: np.ndarray) -> Graph:
+        """A graph over the vectors that it was built from."""
         x = np.load(io.BytesIO(data))
         n = int(x["n"])
-        return cls([Layer(x[f"v{k}"], x[f"l{k}"].shape[1], x[f"l{k}"]) for k in range(n)], [x[f"d{k}"] for k in range(n - 1)])
+        down, own = [x[f"d{k}"] for k in range(n - 1)], [vectors]
+        for places in reversed(down):
+            own.append(own[-1][places])
+        return cls([Layer(v, x[f"l{k}"].shape[1], x[f"l{k}"]) for k, v in enumerate(reversed(own))], down)
