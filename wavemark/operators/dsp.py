@@ -7,6 +7,7 @@ pieces' starts follow from each other by a small matrix, and the states' own res
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -294,9 +295,11 @@ def block_peaks(x: np.ndarray, mask: np.ndarray, height: float, least: float, di
 
 def strongest(index: np.ndarray, prominences: np.ndarray, values: np.ndarray, distance: int) -> np.ndarray:
     """Which candidates stay: by prominence, size, index in turn, each keeping off all nearer than the distance."""
-    keep, taken = np.zeros(len(index), bool), []
+    keep, taken = np.zeros(len(index), bool), []  # taken ones in order: only the two beside an index can be near it
     for k in np.lexsort((index, -np.abs(values), -prominences)):
-        if all(abs(index[k] - t) >= distance for t in taken):
+        x = int(index[k])
+        at = bisect_left(taken, x)
+        if (at == 0 or x - taken[at - 1] >= distance) and (at == len(taken) or taken[at] - x >= distance):
             keep[k] = True
-            taken.append(index[k])
+            taken.insert(at, x)
     return keep

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from bisect import bisect_left
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .blocks import with_largest_before, with_nearest, with_previous, with_run
 
 LEAST = 1e-6
 #: Frames of a curve that are compared in one task.
@@ -15,20 +20,9 @@ def frame_brightness(pixels: DataFrame) -> DataFrame:
 
 
 def deltas(points: DataFrame, camera: list[str] = ()) -> DataFrame:
-    """Change from the frame before, for all frames but the first.
-
-    A curve without cameras is cut into buckets of frames; the first frame of each is compared with the last of the
-    bucket before it, and only those (a row a bucket) meet in one window.
-    """
-    if camera:
-        before = F.lag("brightness").over(Window.partitionBy(*camera).orderBy("frame_index"))
-        return points.withColumn("delta", F.col("brightness") - before).where("delta is not null")
-    rows = points.withColumn("_bucket", F.floor(F.col("frame_index") / FRAMES))
-    ends = rows.groupBy("_bucket").agg(F.max_by("brightness", "frame_index").alias("_last"))
-    ends = ends.select("_bucket", F.lag("_last").over(Window.orderBy("_bucket")).alias("_last"))
-    w = Window.partitionBy("_bucket").orderBy("frame_index")
-    before = F.when(F.row_number().over(w) == 1, F.col("_last")).otherwise(F.lag("brightness").over(w))
-    return rows.join(ends, "_bucket").withColumn("delta", F.col("brightness") - before).where("delta is not null").drop("_bucket", "_last")
+    """Change from the frame before, for all frames but the first (of each camera); put in order in blocks of frames."""
+    rows = with_previous(points, F.col("brightness"), "_last", list(camera), "frame_index", FRAMES)
+    return rows.withColumn("delta", F.col("brightness") - F.col("_last")).where("delta is not null").drop("_last", "_block")
 
 
 def threshold(changes: DataFrame) -> DataFrame:
@@ -36,47 +30,56 @@ def threshold(changes: DataFrame) -> DataFrame:
     return changes.agg(F.greatest(3 * F.avg(F.abs("delta")), F.lit(LEAST)).alias("threshold"))
 
 
-def on_off_pairs(changes: DataFrame, least: DataFrame | float, *, shortest: float = 0.6, longest: float = 1.5, expected: float = 1.0, weight: float = 0.1) -> DataFrame:
+def on_off_pairs(changes: DataFrame, least: DataFrame | float | None = None, *, camera: list[str] = (), shortest: float = 0.6, longest: float = 1.5, expected: float = 1.0, weight: float = 0.1) -> DataFrame:
     """Every rise and later fall over the threshold whose distance is a pulse's, with its score.
 
-    A rise's partners are in its own or the next time bucket of the longest length, so an equal join on buckets finds
+    `least` is the threshold, a table with the one row of it, or None where the changes have a column of it. A rise's
+    partners are in its own or the next time bucket of the longest length, so an equal join on buckets (and cameras) finds
     them; falls aren't compared with rises elsewhere.
     """
-    rows = changes.crossJoin(F.broadcast(least)) if isinstance(least, DataFrame) else changes.withColumn("threshold", F.lit(least))
+    rows = changes if least is None else changes.crossJoin(F.broadcast(least)) if isinstance(least, DataFrame) else changes.withColumn("threshold", F.lit(least))
     bucket = F.floor(F.col("video_time_sec") / longest)
-    on = rows.where("delta > threshold").select(F.col("frame_index").alias("on_frame"), F.col("video_time_sec").alias("on_sec"), F.col("delta").alias("on_delta"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    off = rows.where("delta < -threshold").select(F.col("frame_index").alias("off_frame"), F.col("video_time_sec").alias("off_sec"), F.col("delta").alias("off_delta"), bucket.alias("bucket"))
-    pairs = on.join(off, "bucket").where("off_frame > on_frame").withColumn("duration_sec", F.col("off_sec") - F.col("on_sec")).where(F.col("duration_sec").between(shortest, longest))
+    on = rows.where("delta > threshold").select(*camera, "threshold", F.col("frame_index").alias("on_frame"), F.col("video_time_sec").alias("on_sec"), F.col("delta").alias("on_delta"), F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
+    off = rows.where("delta < -threshold").select(*camera, F.col("frame_index").alias("off_frame"), F.col("video_time_sec").alias("off_sec"), F.col("delta").alias("off_delta"), bucket.alias("bucket"))
+    pairs = on.join(off, [*camera, "bucket"]).where("off_frame > on_frame").withColumn("duration_sec", F.col("off_sec") - F.col("on_sec")).where(F.col("duration_sec").between(shortest, longest))
     score = F.abs("on_delta") + F.abs("off_delta") - weight * F.abs(F.col("duration_sec") - expected)
-    return pairs.select("on_frame", "off_frame", "on_sec", "off_sec", "duration_sec", score.alias("score"))
+    return pairs.select(*camera, "threshold", "on_frame", "off_frame", "on_sec", "off_sec", "duration_sec", score.alias("score"))
 
 
 def choose_pairs(pairs: DataFrame, most: int, gap_frames: int) -> list[tuple[int, int]]:
     """The best pairs in turn, none overlapping another's range widened by the gap; the first found wins ties.
 
-    Each turn is one distributed minimum over the pairs left; at most `most` turns are taken, and the ranges taken so far
-    are all the driver holds.
+    Pairs whose widened ranges don't touch can't keep each other out, so runs of touching ones are decided apart, each
+    at most `most` times, and the best of all runs are the answer.
     """
-    taken: list[tuple[int, int]] = []
-    while len(taken) < most:
-        left = pairs
-        for a, b in taken:
-            left = left.where(~((F.col("on_frame") <= b + gap_frames) & (F.col("off_frame") >= max(a - gap_frames, 0))))
-        best = left.agg(F.min(F.struct((-F.col("score")).alias("s"), "on_frame", "off_frame")).alias("m")).first().m
-        if best is None:
-            break
-        taken.append((best.on_frame, best.off_frame))
-    return taken
+    rows = with_largest_before(pairs.select("on_frame", "off_frame", "score"), "off_frame", "_far", [], "on_frame", FRAMES, ("off_frame",))
+    runs = with_run(rows, F.coalesce(F.col("on_frame") > F.col("_far") + gap_frames, F.lit(True)), "run", [], "on_frame", ("off_frame",))
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken = []
+        for _, one in pdf.sort_values(["score", "on_frame", "off_frame"], ascending=[False, True, True]).groupby("run", sort=False):
+            starts, ends, kept = [], [], []  # of the pairs taken, in order
+            for k, (a, b) in enumerate(zip(one["on_frame"].tolist(), one["off_frame"].tolist(), strict=True)):
+                at = bisect_left(starts, a)
+                if (at == 0 or a > ends[at - 1] + gap_frames) and (at == len(starts) or b < starts[at] - gap_frames):
+                    starts.insert(at, a)
+                    ends.insert(at, b)
+                    kept.append(k)
+                    if len(kept) == most:
+                        break
+            taken.append(one.iloc[kept])
+        return pd.concat(taken)[["on_frame", "off_frame", "score"]]
+
+    # whole runs, many to a group: those that begin in the same block of frames
+    chosen = runs.drop("_far").groupBy(F.floor(F.col("run") / FRAMES)).applyInPandas(decide, "on_frame long, off_frame long, score double")
+    return [(r.on_frame, r.off_frame) for r in chosen.orderBy(F.desc("score"), "on_frame", "off_frame").limit(most).collect()]
 
 
 def nearest_points(queries: DataFrame, points: DataFrame, camera: list[str] = ()) -> DataFrame:
-    """Each query frame's nearest point, the earlier one on ties: one ordered pass over both tables, no join of ranges."""
-    q = queries.select(*camera, F.col("frame_index").alias("f"), F.col("query_id"), F.lit(None).cast("struct<frame_index: bigint, brightness: double>").alias("p"))
-    p = points.select(*camera, F.col("frame_index").alias("f"), F.lit(None).cast("long").alias("query_id"), F.struct(F.col("frame_index").cast("long").alias("frame_index"), "brightness").alias("p"))
-    order = lambda c: (Window.partitionBy(*camera).orderBy(c) if camera else Window.orderBy(c)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    both = q.unionByName(p)
-    below, above = F.last("p", True).over(order(F.col("f"))), F.last("p", True).over(order(F.desc("f")))
-    rows = both.withColumn("a", below).withColumn("b", above).where("query_id is not null")
+    """Each query frame's nearest point, the earlier one on ties: both tables in one order in blocks of frames, no join of ranges."""
+    q = queries.select(*camera, F.col("frame_index").cast("long").alias("f"), F.col("query_id"), F.lit(None).cast("struct<frame_index: bigint, brightness: double>").alias("p"))
+    p = points.select(*camera, F.col("frame_index").cast("long").alias("f"), F.lit(None).cast("long").alias("query_id"), F.struct(F.col("frame_index").cast("long").alias("frame_index"), "brightness").alias("p"))
+    rows = with_nearest(q.unionByName(p), F.col("p"), "a", "b", list(camera), "f", FRAMES).where("query_id is not null")
     far = F.col("b").isNull() | (F.col("f") - F.col("a.frame_index") <= F.col("b.frame_index") - F.col("f"))
     best = F.when(F.col("a").isNotNull() & far, F.col("a")).otherwise(F.col("b"))
     return rows.select(*camera, "query_id", F.col("f").alias("query_frame"), best["frame_index"].alias("frame_index"), best["brightness"].alias("brightness"))
@@ -104,17 +107,14 @@ def refine(fine: DataFrame, coarse_events: DataFrame, *, fps: float = 30.0, wind
     One row a pulse found: on_frame, off_frame, score, threshold. Nothing found means nothing returned.
     """
     spans = coarse_events.select("pair_id", (F.col("on_sec") - window_sec).alias("a"), (F.col("off_sec") + window_sec).alias("b"))
-    inside = fine.join(F.broadcast(spans), F.col("video_time_sec").between(F.col("a"), F.col("b")))  # a row per TTL pulse at most
+    width = 1.5 + 2 * window_sec  # a pulse's longest span: it lies in two buckets at most
+    wanted = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
+    inside = fine.withColumn("bucket", F.floor(F.col("video_time_sec") / width)).join(wanted, "bucket").where(F.col("video_time_sec").between(F.col("a"), F.col("b"))).drop("bucket", "a", "b")
     changes = deltas(inside, ["pair_id"])
     limits = changes.groupBy("pair_id").agg(F.greatest(3 * F.avg(F.abs("delta")), F.lit(LEAST)).alias("threshold"))
-    rows = changes.join(F.broadcast(limits), "pair_id")
-    on = rows.where("delta > threshold").select("pair_id", "threshold", F.col("frame_index").alias("on_frame"), F.col("video_time_sec").alias("on_sec"), F.col("delta").alias("on_delta"))
-    off = rows.where("delta < -threshold").select("pair_id", F.col("frame_index").alias("off_frame"), F.col("video_time_sec").alias("off_sec"), F.col("delta").alias("off_delta"))
-    d = F.col("off_sec") - F.col("on_sec")
-    pairs = on.join(off, "pair_id").where((F.col("off_frame") > F.col("on_frame")) & d.between(0.6, 1.5))
-    pairs = pairs.withColumn("score", F.abs("on_delta") + F.abs("off_delta") - 0.1 * F.abs(d - 1.0))
+    pairs = on_off_pairs(changes.join(limits, "pair_id"), camera=["pair_id"])
     best = pairs.groupBy("pair_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "on_frame", "off_frame", "threshold")).alias("m"))
     found = best.select("pair_id", "m.on_frame", "m.off_frame", (-F.col("m.s")).alias("score"), "m.threshold")
     gap = max(int(gap_sec * fps), 1)
-    last = F.max("off_frame").over(Window.orderBy("on_frame", "pair_id").rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("last", last).where(F.col("last").isNull() | (F.col("on_frame") > F.col("last") + gap)).drop("last")
+    rows = with_largest_before(found, "off_frame", "last", [], "on_frame", FRAMES, ("pair_id",)).drop("_block")
+    return rows.where(F.col("last").isNull() | (F.col("on_frame") > F.col("last") + gap)).drop("last")

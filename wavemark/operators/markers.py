@@ -12,18 +12,18 @@ from ..functions.time_math import fixed
 VIDEO_KINDS = ("led_on", "led_off", "action_start", "action_end", "seizure_like")
 
 
-def number_rows(df: DataFrame, bucket: Column, order: list, name: str = "number") -> DataFrame:
-    """Row numbers from 1 over the whole table without one task for it: `bucket` must not fall along `order`.
+def number_rows(df: DataFrame, bucket: Column, order: list, name: str = "number", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Row numbers from 1 over the whole table (or each of `keys`) without one task for it: `bucket` must not fall along `order`.
 
     Rows are numbered within buckets; a bucket's offset is the count of the buckets before it, and only those counts
     (a row a bucket) meet in one window.
     """
     rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_bucket", before.alias("_before"))
-    inside = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)))
-    return inside.join(starts, "_bucket").withColumn(name, F.col("_before") + F.col("_k")).drop("_bucket", "_before", "_k")
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*keys, "_bucket", before.alias("_before"))
+    inside = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)))
+    return inside.join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_before") + F.col("_k")).drop("_bucket", "_before", "_k")
 
 
 def video_time(offset: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .blocks import ROWS, exact_median, ordered, with_edges, with_previous
 
 EPSILON = 2.220446049250313e-16
 
@@ -17,7 +19,7 @@ def channel(df: DataFrame, channel_id: int) -> DataFrame:
 
 
 def time_range(df: DataFrame, start_us: float, end_us: float) -> DataFrame:
-    """Rows in the range, both ends included, whichever bound comes first; bounds reach the Parquet scan."""
+    """Rows in the range, both ends included, whichever bound comes first; on a stored table the bounds reach the scan."""
     return df.where(F.col("time_us").between(min(start_us, end_us), max(start_us, end_us)))
 
 
@@ -33,9 +35,8 @@ def segment_mask(df: DataFrame, start_s: float, end_s: float) -> DataFrame:
     if not (a < b and abs(a) < float("inf") and abs(b) < float("inf")):
         raise ValueError("a segment needs two different finite bounds")
     rows = df.withColumn("record_sec", F.col("time_us") / 1e6).where(F.col("record_sec").between(a, b))
-    n = F.count("*").over(Window.partitionBy("channel"))
-    checked = F.when(n < 2, F.raise_error(F.lit("a segment needs two samples")).cast("double")).otherwise(F.col("record_sec"))
-    return rows.withColumn("record_sec", checked)
+    checked = F.when(F.col("_n") < 2, F.raise_error(F.lit("a segment needs two samples")).cast("double")).otherwise(F.col("record_sec"))
+    return rows.join(F.broadcast(rows.groupBy("channel").agg(F.count("*").alias("_n"))), "channel").withColumn("record_sec", checked).drop("_n")  # a row a channel
 
 
 def index_range(df: DataFrame, left: int, right: int) -> DataFrame:
@@ -91,8 +92,9 @@ def mean_std(df: DataFrame) -> DataFrame:
 
 def median_rate(df: DataFrame) -> DataFrame:
     """1e6 over the exact median of the positive time steps."""
-    step = F.col("time_us") - F.lag("time_us").over(Window.partitionBy("channel").orderBy("sample_index"))
-    return df.select("channel", step.alias("d")).where("d > 0").groupBy("channel").agg((1e6 / F.median("d")).alias("rate_hz"))
+    step = F.col("time_us") - F.lag("time_us").over(ordered(["channel"], "sample_index"))
+    steps = with_edges(df.select("channel", "sample_index", "time_us"), 1, 0).withColumn("d", step).where("_own and d > 0")
+    return exact_median(steps, "d", ["channel"]).select("channel", (1e6 / F.col("median")).alias("rate_hz"))
 
 
 def missing_counts(df: DataFrame) -> DataFrame:
@@ -109,12 +111,13 @@ def expected_step(rate_hz: float) -> int:
 def gaps(df: DataFrame, rate_hz: float, order: tuple[str, ...] = ("sample_index",)) -> DataFrame:
     """Each valid time's step from the valid time before it: duplicate (0), discontinuity (not the expected step), ok.
 
-    The time before always advances, so the row after a duplicate is measured from the duplicate.
+    The time before always advances, so the row after a duplicate is measured from the duplicate. Rows are put in order
+    within blocks of the first column of `order`.
     """
-    rows = df.where("time_us is not null")
-    step = F.col("time_us") - F.lag("time_us").over(Window.partitionBy("channel").orderBy(*order))
+    rows = with_previous(df.where("time_us is not null"), F.col("time_us"), "_last", ["channel"], order[0], ROWS, order[1:]).drop("_block")
+    step = F.col("time_us") - F.col("_last")
     kind = F.when(F.col("gap_us").isNull(), "first").when(F.col("gap_us") == 0, "duplicate").when(F.col("gap_us") != expected_step(rate_hz), "discontinuity").otherwise("ok")
-    return rows.withColumn("gap_us", step).withColumn("kind", kind)
+    return rows.withColumn("gap_us", step).withColumn("kind", kind).drop("_last")
 
 
 def anomaly_counts(df: DataFrame, rate_hz: float) -> DataFrame:
@@ -134,9 +137,10 @@ def data_check(df: DataFrame, rate_hz: float) -> DataFrame:
 
 def waveform(df: DataFrame, step: int, origin_sec: float) -> DataFrame:
     """The series a plot shows: a stride (0: all; none if the channel has no more rows than the step), time from an origin."""
-    n = F.count("*").over(Window.partitionBy("channel"))
-    keep = F.lit(True) if step < 1 else (n <= step) | (F.col("sample_index") % step == 0)
-    return df.withColumn("keep", keep).where("keep").select("channel", "sample_index", (F.col("time_us") / 1e6 - origin_sec).alias("plot_sec"), "value")
+    rows = df
+    if step >= 1:
+        rows = df.join(F.broadcast(counts(df)), "channel").where((F.col("n") <= step) | (F.col("sample_index") % step == 0))  # a row a channel
+    return rows.select("channel", "sample_index", (F.col("time_us") / 1e6 - origin_sec).alias("plot_sec"), "value")
 
 
 def axis_limits(df: DataFrame, margin: float = 0.05) -> DataFrame:

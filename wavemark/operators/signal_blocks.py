@@ -6,11 +6,14 @@ bounded, so one long recording spreads over the cluster.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import dsp
+from .blocks import with_previous, with_run
 from .samples import EPSILON, finite
 from .windows import overlap_add
 
@@ -137,30 +140,29 @@ def find_peaks(df: DataFrame, rate_hz: float, *, settings: dsp.Settings | None =
     schema = "channel int, sample_index long, time_sec double, value double, negative boolean, prominence double"
     halo = with_halo(rows, block, context).join(F.broadcast(stats), "channel")
     candidates = halo.groupBy("channel", "block").applyInPandas(run, schema)
-    return nms(candidates, distance)
+    return nms(candidates, distance, block)
 
 
-def nms(candidates: DataFrame, distance: int) -> DataFrame:
-    w = Window.partitionBy("channel").orderBy("sample_index", "negative")
-    apart = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(w) >= distance, F.lit(True))
-    runs = candidates.withColumn("run", F.sum(apart.cast("int")).over(w))
+def _by_runs(rows: DataFrame, ties: tuple[str, ...], distance: int, keep: Callable[[pd.DataFrame], np.ndarray], block: int) -> DataFrame:
+    """The rows that `keep` chooses of each run of rows nearer than the distance; whole runs are dealt by the block they begin in."""
+    order, names = ["sample_index", *ties], rows.columns
+    found = with_previous(rows, F.col("sample_index"), "_last", ["channel"], "sample_index", block, ties)
+    runs = with_run(found, F.coalesce(F.col("sample_index") - F.col("_last") >= distance, F.lit(True)), "run", ["channel"], "sample_index", ties)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["sample_index", "negative"])
-        keep = dsp.strongest(pdf["sample_index"].to_numpy(), pdf["prominence"].to_numpy(), pdf["value"].to_numpy(), distance)
-        return pdf[keep].drop(columns="run")
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        edges = np.flatnonzero(np.diff(pdf["run"].to_numpy(), prepend=-1))
+        parts = [pdf.iloc[a:b] for a, b in zip(edges, np.append(edges[1:], len(pdf)), strict=True)]
+        return pd.concat([one[keep(one)] for one in parts])[names]
 
-    return runs.groupBy("channel", "run").applyInPandas(run, candidates.schema)
+    return runs.drop("_last").groupBy("channel", F.floor(F.col("run") / block)).applyInPandas(decide, rows.schema)
 
 
-def distant(df: DataFrame, distance: int) -> DataFrame:
-    """Rows (channel, sample_index, value) left when higher ones take out all nearer than the distance; runs apart are decided apart."""
-    w = Window.partitionBy("channel").orderBy("sample_index")
-    apart = F.coalesce(F.col("sample_index") - F.lag("sample_index").over(w) >= distance, F.lit(True))
+def nms(candidates: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """The strongest of near candidates, over both polarities."""
+    return _by_runs(candidates, ("negative",), distance, lambda one: dsp.strongest(one["sample_index"].to_numpy(), one["prominence"].to_numpy(), one["value"].to_numpy(), distance), block)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
-        return pdf[dsp.keep_distant(pdf["sample_index"].to_numpy(), pdf["value"].to_numpy(), distance)].drop(columns="run")
 
-    rows = df.select("channel", "sample_index", "value")
-    return rows.withColumn("run", F.sum(apart.cast("int")).over(w)).groupBy("channel", "run").applyInPandas(run, rows.schema)
+def distant(df: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """Rows (channel, sample_index, value) left when higher ones take out all nearer than the distance."""
+    return _by_runs(df.select("channel", "sample_index", "value"), (), distance, lambda one: dsp.keep_distant(one["sample_index"].to_numpy(), one["value"].to_numpy(), distance), block)

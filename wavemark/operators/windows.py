@@ -1,9 +1,13 @@
-"""Ordered operators: local maxima, plateaus, gap interpolation, islands, allocation and even sampling."""
+"""Ordered operators: local maxima, plateaus, gap interpolation, islands, allocation and even sampling.
+
+Rows are put in order within (channel, block), see `blocks`; sample_index counts a channel's rows without holes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .blocks import ROWS, ordered, with_edges, with_largest_before, with_nearest, with_number, with_previous, with_run
 from .samples import finite
 
 
@@ -11,34 +15,31 @@ def before(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def local_extrema(df: DataFrame, high: Column | float, low: Column | float) -> DataFrame:
+def local_extrema(df: DataFrame, high: Column | float, low: Column | float, block: int = ROWS) -> DataFrame:
     """positive/negative candidate masks: a finite triple, not under (over) either neighbour, threshold included."""
-    w = before(["channel"], ["sample_index"])
-    a, v, b = F.lag("value").over(w), F.col("value"), F.lead("value").over(w)
+    w = ordered(["channel"], "sample_index")
+    rows = with_edges(df, 1, 1, size=block).withColumn("_a", F.lag("value").over(w)).withColumn("_b", F.lead("value").over(w)).where("_own")
+    a, v, b = F.col("_a"), F.col("value"), F.col("_b")
     whole = finite(a) & finite(v) & finite(b)
     high, low = (x if isinstance(x, Column) else F.lit(x) for x in (high, low))
     up, down = whole & (v >= a) & (v >= b) & (v >= high), whole & (v <= a) & (v <= b) & (v <= low)
-    return df.withColumn("is_high", F.coalesce(up, F.lit(False))).withColumn("is_low", F.coalesce(down, F.lit(False)))
+    return rows.withColumn("is_high", F.coalesce(up, F.lit(False))).withColumn("is_low", F.coalesce(down, F.lit(False))).drop("_a", "_b", "_block", "_own")
 
 
-def plateaus(df: DataFrame) -> DataFrame:
+def plateaus(df: DataFrame, block: int = ROWS) -> DataFrame:
     """Each flat maximum's middle (rounded down): runs of equal values strictly above both neighbours, edges excluded."""
-    w = before(["channel"], ["sample_index"])
-    starts = df.withColumn("starts", F.when(F.lag("value").over(w) == F.col("value"), 0).otherwise(1))
-    runs = starts.withColumn("run", F.sum("starts").over(w))
-    edges = runs.groupBy("channel", "run").agg(F.min("sample_index").alias("left"), F.max("sample_index").alias("right"), F.first("value").alias("value"))
-    r = before(["channel"], ["run"])
-    outer = edges.withColumn("before", F.lag("value").over(r)).withColumn("after", F.lead("value").over(r))
-    return outer.where("value > before and value > after").select("channel", F.floor((F.col("left") + F.col("right")) / 2).alias("sample_index"), "left", "right", "value")
+    w = ordered(["channel"], "sample_index")
+    rows = with_edges(df, 1, 1, size=block).withColumn("_a", F.lag("value").over(w)).withColumn("_b", F.lead("value").over(w)).where("_own").drop("_own")
+    rows = with_run(rows, ~F.coalesce(F.col("_a") == F.col("value"), F.lit(False)), "left", ["channel"], "sample_index")
+    at = F.col("sample_index")
+    edges = rows.groupBy("channel", "left").agg(F.max(at).alias("right"), F.first("value").alias("value"), F.min_by("_a", at).alias("before"), F.max_by("_b", at).alias("after"))
+    return edges.where("value > before and value > after").select("channel", F.floor((F.col("left") + F.col("right")) / 2).alias("sample_index"), "left", "right", "value")
 
 
-def fill_gaps(df: DataFrame) -> DataFrame:
+def fill_gaps(df: DataFrame, block: int = ROWS) -> DataFrame:
     """Values that aren't finite become linear in the index; ends take the nearest value, channels without any take 0."""
     good = F.when(finite(F.col("value")), F.struct("sample_index", "value"))
-    back = before(["channel"], ["sample_index"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # what follows is what comes before in the other order: a frame up to the end is computed anew for every row
-    ahead = before(["channel"], [F.desc("sample_index")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = df.withColumn("a", F.last(good, True).over(back)).withColumn("b", F.last(good, True).over(ahead))
+    rows = with_nearest(df, good, "a", "b", ["channel"], "sample_index", block)
     i, a, b = F.col("sample_index"), F.col("a"), F.col("b")
     line = a["value"] + (b["value"] - a["value"]) * (i - a["sample_index"]) / (b["sample_index"] - a["sample_index"])
     filled = F.when(a.isNull() & b.isNull(), 0.0).when(a.isNull(), b["value"]).when(b.isNull(), a["value"]).when(a["sample_index"] == b["sample_index"], a["value"]).otherwise(line)
@@ -54,25 +55,24 @@ def regression_windows(df: DataFrame, window: int, hop: int, columns: int) -> Da
     return w.withColumn("n", F.col("right") - F.col("left")).where(F.col("n") >= columns)
 
 
-def merge_ranges(df: DataFrame, touch: float = 1e-9) -> DataFrame:
-    """Ranges (channel, left, right) that overlap or touch, united."""
-    w = before(["channel"], ["left", "right"])
-    far = F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    starts = df.withColumn("starts", F.when(F.col("left") <= far + touch, 0).otherwise(1))
-    return starts.withColumn("island", F.sum("starts").over(w)).groupBy("channel", "island").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("island")
+def merge_ranges(df: DataFrame, touch: float = 1e-9, width: float = 3600.0) -> DataFrame:
+    """Ranges (channel, left, right) that overlap or touch, united. Left ends are put in order within blocks of `width`."""
+    rows = with_largest_before(df, "right", "_far", ["channel"], "left", width, ("right",))
+    islands = with_run(rows, F.coalesce(F.col("left") > F.col("_far") + touch, F.lit(True)), "_island", ["channel"], "left", ("right",))
+    return islands.groupBy("channel", "_island").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("_island")
 
 
-def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float = 30.0) -> DataFrame:
+def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float = 30.0, width: float = 3600.0) -> DataFrame:
     """Neighbourhoods of peak times united from left to right while the union stays short enough.
 
-    Times that are close enough to touch form runs by a window; only a run's times meet in one fold.
+    Times that are close enough to touch form runs, found in blocks of `width` seconds; only a run's times meet in one fold.
     """
     radius = max(float(context_sec), 0.0)
     span = max(float(longest_sec), 2 * radius)
     times = df.where(finite(F.col("time_sec"))).select("channel", "time_sec").distinct()
-    w = before(["channel"], ["time_sec"])
-    apart = F.coalesce(F.col("time_sec") - radius > F.lag("time_sec").over(w) + radius, F.lit(True))
-    runs = times.withColumn("run", F.sum(apart.cast("int")).over(w)).groupBy("channel", "run").agg(F.array_sort(F.collect_list("time_sec")).alias("times"))
+    rows = with_previous(times, F.col("time_sec"), "_last", ["channel"], "time_sec", width)
+    rows = with_run(rows, F.coalesce(F.col("time_sec") - radius > F.col("_last") + radius, F.lit(True)), "run", ["channel"], "time_sec")
+    runs = rows.groupBy("channel", "run").agg(F.array_sort(F.collect_list("time_sec")).alias("times"))
     empty = F.array().cast("array<struct<left: double, right: double>>")
 
     def step(done: Column, t: Column) -> Column:
@@ -100,8 +100,7 @@ def allocate_points(df: DataFrame, budget: Column | int) -> DataFrame:
 def even_sample(df: DataFrame, most: Column | int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:
     """At most `most` rows (a column: each group's own number) of each channel, or of each group of `keys`, evenly spread
     over the row numbers, ends included."""
-    w = before(list(keys), ["sample_index"])
-    rows = df.withColumn("r", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    rows = with_number(df, "r", "n", list(keys), "sample_index", ROWS)
     most, last = F.lit(most).cast("long"), F.greatest(F.col("n") - 1, F.lit(1))
     # row r is taken if some k has floor(k (n-1) / (most-1)) = r: the least such k is the one to test
     k = F.ceil(F.col("r") * (most - 1) / last)
@@ -111,8 +110,7 @@ def even_sample(df: DataFrame, most: Column | int, keys: tuple[str, ...] = ("cha
 
 def carry_concat(df: DataFrame) -> DataFrame:
     """Partial chunks (channel, left, right) in order, with a separator row where one doesn't start at the last one's end."""
-    end = F.lag("right").over(before(["channel"], ["left"]))
-    rows = df.withColumn("end", end)
+    rows = with_previous(df, F.col("right"), "end", ["channel"], "left", ROWS)
     breaks = rows.where("end < left").select("channel", F.col("end").alias("left"), F.col("left").alias("right"), F.lit(True).alias("is_gap"))
     return rows.select("channel", "left", "right", F.lit(False).alias("is_gap")).unionByName(breaks)
 
@@ -144,13 +142,13 @@ def overlap_add(df: DataFrame) -> DataFrame:
     return df.groupBy("channel", "sample_index").agg(F.when(w > 2.220446049250313e-16, F.sum(F.col("part") * F.col("weight")) / w).otherwise(0.0).alias("value"))
 
 
-def prominences(df: DataFrame, context: int) -> DataFrame:
+def prominences(df: DataFrame, context: int, block: int = ROWS) -> DataFrame:
     """channel, sample_index, value, prominence of the rows marked is_high.
 
     On each side the base is the lowest value before higher ground, within `context` samples; the prominence is the
     height over the higher base. Meant for short contexts; long ones are cheaper in `signal_blocks.find_peaks`.
     """
-    w = before(["channel"], ["sample_index"])
+    w = ordered(["channel"], "sample_index")
     x = F.col("value")
 
     def base(side: Column) -> Column:
@@ -158,5 +156,6 @@ def prominences(df: DataFrame, context: int) -> DataFrame:
         ground = F.array_min(F.when(higher == 0, side).otherwise(F.slice(side, 1, F.greatest(higher - 1, F.lit(0)).cast("int"))))
         return F.least(x, F.coalesce(ground, x))
 
-    rows = df.withColumn("a", F.collect_list("value").over(w.rowsBetween(-context, -1))).withColumn("b", F.collect_list("value").over(w.rowsBetween(1, context)))
-    return rows.where("is_high").select("channel", "sample_index", "value", (x - F.greatest(base(F.reverse("a")), base(F.col("b")))).alias("prominence"))
+    rows = with_edges(df, context, context, size=block)
+    rows = rows.withColumn("a", F.collect_list("value").over(w.rowsBetween(-context, -1))).withColumn("b", F.collect_list("value").over(w.rowsBetween(1, context)))
+    return rows.where("_own and is_high").select("channel", "sample_index", "value", (x - F.greatest(base(F.reverse("a")), base(F.col("b")))).alias("prominence"))

@@ -325,29 +325,29 @@ def sort_reorder(spark, sf_dir):
     return M.reorder(A.markers(spark, sf_dir), "m50", 3, "user_id").select("marker_id", "seq", "kind", "user_id")
 
 
-_L = lambda then, more="": with_views("led_points", then=then, more=more)
-_DELTA = "dl AS (SELECT * FROM (SELECT frame_index, video_time_sec, brightness, brightness - lag(brightness) OVER (ORDER BY frame_index) AS delta FROM led_points) WHERE delta IS NOT NULL)"
+_L = lambda then, more="": with_views("led_curve", then=then, more=more)
+_DELTA = "dl AS (SELECT * FROM (SELECT frame_index, video_time_sec, brightness, brightness - lag(brightness) OVER (ORDER BY frame_index) AS delta FROM led_curve) WHERE delta IS NOT NULL)"
 
 
 @query("win_frame_delta", _L("SELECT frame_index, delta FROM dl", _DELTA))
 def win_frame_delta(spark, sf_dir):
-    return D.deltas(A.led_points(spark, sf_dir)).select("frame_index", "delta")
+    return D.deltas(A.led_curve(spark, sf_dir)).select("frame_index", "delta")
 
 
 @query("agg_led_threshold", _L("SELECT round(greatest(3 * avg(abs(delta)), 1e-6), 9) AS threshold FROM dl", _DELTA))
 def agg_led_threshold(spark, sf_dir):
-    return D.threshold(D.deltas(A.led_points(spark, sf_dir))).select(F.round("threshold", 9).alias("threshold"))
+    return D.threshold(D.deltas(A.led_curve(spark, sf_dir))).select(F.round("threshold", 9).alias("threshold"))
 
 
-@query("agg_mean_threshold", _L("SELECT round(coalesce(avg(t), 0), 9) AS threshold FROM (SELECT frame_index // 25 AS w, greatest(3 * avg(abs(delta)), 1e-6) AS t FROM dl GROUP BY w)", _DELTA))
+@query("agg_mean_threshold", _L("SELECT round(coalesce(avg(t), 0), 8) AS threshold FROM (SELECT frame_index // 25 AS w, greatest(3 * avg(abs(delta)), 1e-6) AS t FROM dl GROUP BY w)", _DELTA))
 def agg_mean_threshold(spark, sf_dir):
-    per = D.deltas(A.led_points(spark, sf_dir)).groupBy(F.floor(F.col("frame_index") / 25).alias("w")).agg(F.greatest(3 * F.avg(F.abs("delta")), F.lit(1e-6)).alias("t"))
-    return per.agg(F.round(F.coalesce(F.avg("t"), F.lit(0.0)), 9).alias("threshold"))
+    per = D.deltas(A.led_curve(spark, sf_dir)).groupBy(F.floor(F.col("frame_index") / 25).alias("w")).agg(F.greatest(3 * F.avg(F.abs("delta")), F.lit(1e-6)).alias("t"))
+    return per.agg(F.round(F.coalesce(F.avg("t"), F.lit(0.0)), 8).alias("threshold"))
 
 
 @query("proj_led_series", _L("SELECT video_time_sec, delta, CAST(0.05 AS DOUBLE) AS upper, CAST(-0.05 AS DOUBLE) AS lower FROM dl", _DELTA))
 def proj_led_series(spark, sf_dir):
-    return D.deltas(A.led_points(spark, sf_dir)).select("video_time_sec", "delta", F.lit(0.05).alias("upper"), F.lit(-0.05).alias("lower"))
+    return D.deltas(A.led_curve(spark, sf_dir)).select("video_time_sec", "delta", F.lit(0.05).alias("upper"), F.lit(-0.05).alias("lower"))
 
 
 _THETA = "SELECT a.frame_index AS on_frame, b.frame_index AS off_frame, round(b.video_time_sec - a.video_time_sec, 9) AS duration_sec, round(abs(a.delta) + abs(b.delta) - 0.1 * abs(b.video_time_sec - a.video_time_sec - 1), 9) AS score FROM dl a JOIN dl b ON b.frame_index > a.frame_index AND b.video_time_sec - a.video_time_sec BETWEEN 0.6 AND 1.5 WHERE a.delta > 0.02 AND b.delta < -0.02"
@@ -355,14 +355,15 @@ _THETA = "SELECT a.frame_index AS on_frame, b.frame_index AS off_frame, round(b.
 
 @query("join_on_off_theta", _L(_THETA, _DELTA))
 def join_on_off_theta(spark, sf_dir):
-    pairs = D.on_off_pairs(D.deltas(A.led_points(spark, sf_dir)), 0.02)
+    pairs = D.on_off_pairs(D.deltas(A.led_curve(spark, sf_dir)), 0.02)
     return pairs.select("on_frame", "off_frame", F.round("duration_sec", 9).alias("duration_sec"), F.round("score", 9).alias("score"))
 
 
-@query("join_nearest_point", _L("SELECT query_id, f AS query_frame, arg_min(frame_index, (abs(frame_index - f), frame_index)) AS frame_index, arg_min(brightness, (abs(frame_index - f), frame_index)) AS brightness FROM (SELECT event_id AS query_id, event_id % 200 AS f FROM ev WHERE event_id < 300), (SELECT * FROM led_points WHERE frame_index % 4 = 1) GROUP BY ALL"))
+@query("join_nearest_point", _L("SELECT query_id, f AS query_frame, arg_min(frame_index, (abs(frame_index - f), frame_index)) AS frame_index, arg_min(brightness, (abs(frame_index - f), frame_index)) AS brightness FROM (SELECT event_id AS query_id, event_id AS f FROM ev), (SELECT * FROM led_curve WHERE frame_index % 4 = 1) GROUP BY ALL"))
 def join_nearest_point(spark, sf_dir):
-    q = A.events(spark, sf_dir).where("event_id < 300").select(F.col("event_id").alias("query_id"), (F.col("event_id") % 200).alias("frame_index"))
-    return D.nearest_points(q, A.led_points(spark, sf_dir).where("frame_index % 4 = 1"))
+    """Every event asks for the point nearest to the frame of its id, among a curve of every fourth frame."""
+    q = A.events(spark, sf_dir).select(F.col("event_id").alias("query_id"), F.col("event_id").alias("frame_index"))
+    return D.nearest_points(q, A.led_curve(spark, sf_dir).where("frame_index % 4 = 1"))
 
 
 @query("scan_led_brightness_gpu", with_views("ev", then="SELECT event_id // 50 AS frame_index, round(avg(0.114 * (event_id % 256) + 0.587 * (user_id % 256) + 0.299 * (CAST(floor(value) AS BIGINT) % 256)) / 255, 9) AS brightness FROM ev GROUP BY ALL"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import time_math as T
 from ..operators import samples as S, windows as W
@@ -100,8 +100,8 @@ def filter_visible_range(spark, sf_dir):
 
 @query("filter_playback_thin", _V("SELECT channel, sample_index FROM (SELECT *, max(sample_index) OVER (PARTITION BY channel) AS last_index FROM samples) WHERE sample_index <= 0 OR sample_index >= last_index OR sample_index % 15 = 0"))
 def filter_playback_thin(spark, sf_dir):
-    last = F.max("sample_index").over(Window.partitionBy("channel"))
-    rows = A.samples(spark, sf_dir).withColumn("last_index", last)
+    rows = A.samples(spark, sf_dir)
+    rows = rows.join(F.broadcast(rows.groupBy("channel").agg(F.max("sample_index").alias("last_index"))), "channel")  # a row a channel
     return rows.where((F.col("sample_index") <= 0) | (F.col("sample_index") >= F.col("last_index")) | (F.col("sample_index") % 15 == 0)).select("channel", "sample_index")
 
 

@@ -1,14 +1,16 @@
 """The library's canonical tables over the star schema's `events` and `embeddings`, in Spark and as oracle SQL.
 
 samples(channel, sample_index, time_us, value, event_id), samples_dirty (gaps and repeated times), markers, peaks,
-led_points, led_curve and vectors. Recordings that were imported by `signal_csv` carry sample_index already.
+led_curve and vectors. Recordings that were imported by `signal_csv` carry sample_index already.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.blocks import ordered, with_edges
 from ..operators.markers import number_rows
+from .shared import fresh_path
 
 #: Events stand in for channels and for marker kinds.
 CHANNELS = {"click": 1, "error": 2, "purchase": 3, "signup": 4, "view": 5}
@@ -36,17 +38,35 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).withColumn("time_us", (F.col("us") - F.col("first_us")).cast("double"))
 
 
+#: Where an application's sample tables are, by source and time of its last change.
+_stored: dict[tuple, str] = {}
+SAMPLES_SCHEMA = "sample_index long, time_us double, value double, event_id long, channel int"
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("channel").orderBy("time_us", "event_id")
-    rows = events(spark, sf_dir).select(_case(CHANNELS).alias("channel"), "time_us", "value", "event_id")
-    return rows.withColumn("sample_index", F.row_number().over(order).cast("long") - 1)
+    """The stored sample table of the events: a folder a channel, rows in order, so filters of channel, index and time reach the scan.
+
+    It is written at an application's first call. Rows are numbered within (channel, ten minutes), see number_rows.
+    """
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    changed = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed)
+    if key not in _stored:
+        rows = events(spark, sf_dir).select(_case(CHANNELS).alias("channel"), "time_us", "value", F.col("event_id").cast("long").alias("event_id"))
+        rows = number_rows(rows, F.floor(F.col("time_us") / 600e6), ["time_us", "event_id"], keys=("channel",))
+        rows = rows.select("channel", (F.col("number") - 1).cast("long").alias("sample_index"), "time_us", "value", "event_id")
+        path = fresh_path(spark, "samples")
+        rows.repartitionByRange("channel", "sample_index").sortWithinPartitions("channel", "sample_index").write.partitionBy("channel").parquet(path)
+        _stored[key] = path
+    return spark.read.schema(SAMPLES_SCHEMA).parquet(_stored[key]).select("channel", "sample_index", "time_us", "value", "event_id")
 
 
 def samples_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 97th event lacks its value; every 53rd repeats the time of the row before it."""
-    order = Window.partitionBy("channel").orderBy("sample_index")
-    rows = samples(spark, sf_dir)
-    repeated = F.when(F.col("event_id") % 53 == 0, F.coalesce(F.lag("time_us").over(order), F.col("time_us"))).otherwise(F.col("time_us"))
+    before = F.lag("time_us").over(ordered(["channel"], "sample_index"))
+    rows = with_edges(samples(spark, sf_dir), 1, 0).withColumn("before", before).where("_own")
+    repeated = F.when(F.col("event_id") % 53 == 0, F.coalesce("before", "time_us")).otherwise(F.col("time_us"))
     return rows.select("channel", "sample_index", repeated.alias("time_us"), F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value"), "event_id")
 
 
@@ -76,13 +96,6 @@ def led_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select((F.col("number") - 1).cast("long").alias("frame_index"), (F.col("value") / 500).alias("brightness"), "event_id").withColumn("video_time_sec", F.col("frame_index") / FPS)
 
 
-def led_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve of two users' events that the oracle SQL of six queries is written for; `led_curve` has all events."""
-    order = Window.orderBy("time_us", "event_id")
-    rows = events(spark, sf_dir).where("user_id = 8 or user_id = 46")  # one camera's curve is a sequence of its own
-    return rows.select((F.row_number().over(order).cast("long") - 1).alias("frame_index"), (F.col("value") / 500).alias("brightness"), "event_id").withColumn("video_time_sec", F.col("frame_index") / FPS)
-
-
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
 
@@ -93,10 +106,10 @@ SQL = {
     "samples_dirty": "SELECT channel, sample_index, CASE WHEN event_id % 53 = 0 THEN coalesce(lag(time_us) OVER (PARTITION BY channel ORDER BY sample_index), time_us) ELSE time_us END AS time_us, CASE WHEN event_id % 97 <> 0 THEN value END AS value, event_id FROM samples",
     "markers": f"SELECT 'm' || event_id AS marker_id, event_id AS seq, {_sql_case(KINDS)} AS kind, {_sql_case(SOURCES)} AS source, CASE WHEN event_type = 'signup' THEN 'record' ELSE 'video' END AS domain, time_us / 1e6 AS time_sec, CASE WHEN event_type <> 'signup' THEN CAST(round_even(time_us / 1e6 * {FPS}, 0) AS BIGINT) END AS frame_index, CASE WHEN event_id % 3 = 0 THEN 'note ' || event_id ELSE '' END AS note, value, user_id FROM ev",
     "peaks": "SELECT event_id AS seq, CASE WHEN event_id % 7 <> 0 THEN user_id % 3 + 1 END AS channel, time_us / 1e6 AS time_sec, CASE WHEN event_id % 2 = 1 THEN -value ELSE value END AS value, CASE WHEN event_id % 5 <> 0 THEN event_id % 2 = 1 END AS negative, CASE WHEN event_id % 4 = 0 THEN 'manual' ELSE 'auto' END AS source FROM ev WHERE value > 40",
-    "led_points": f"SELECT row_number() OVER (ORDER BY time_us, event_id) - 1 AS frame_index, value / 500 AS brightness, event_id, (row_number() OVER (ORDER BY time_us, event_id) - 1) / {FPS} AS video_time_sec FROM ev WHERE user_id = 8 OR user_id = 46",
+    "led_curve": f"SELECT row_number() OVER (ORDER BY time_us, event_id) - 1 AS frame_index, value / 500 AS brightness, event_id, (row_number() OVER (ORDER BY time_us, event_id) - 1) / {FPS} AS video_time_sec FROM ev",
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
 }
-NEEDS = {"samples": ("ev",), "samples_dirty": ("ev", "samples"), "markers": ("ev",), "peaks": ("ev",), "led_points": ("ev",), "vectors": (), "ev": ()}
+NEEDS = {"samples": ("ev",), "samples_dirty": ("ev", "samples"), "markers": ("ev",), "peaks": ("ev",), "led_curve": ("ev",), "vectors": (), "ev": ()}
 
 
 def with_views(*names: str, then: str, more: str = "") -> str:
