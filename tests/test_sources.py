@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from wavemark.functions import settings as S
+from wavemark.functions import settings as S, text as X
 from wavemark.operators import markers as M, samples as O, windows as W
 from wavemark.sources import project as P, signal_csv as C, ttl
 from wavemark.streaming import monitor
@@ -84,19 +84,45 @@ def test_project_round_trip(spark, tmp_path):
 
 
 def test_fingerprint_reads_three_places():
+    asked = []
     a = bytes(3 << 20)
     b = bytearray(a)
     b[(1 << 20) + 5] = 1  # inside the middle sample
-    assert P.fingerprint_of(a) != P.fingerprint_of(bytes(b)) and len(P.fingerprint_of(b"")) == 64
 
-
-def test_settings():
-    assert S.migrate({})["line_noise_method"] == "none" and S.migrate({"regression_harmonics": 2})["regression_all_harmonics"]
-    assert S.problems(S.migrate({"notch_quality": 0})) == ["quality"]
-    assert S.describe(S.migrate({"show_filtered": True, "line_noise_hz": 60})) == "Filtered: bandpass off (low 1 Hz, high 100 Hz), notch 60 Hz (Q=30)"
-    assert len(S.short_status(S.led_status(1, 0, 9, 3, 0.5, 1.0))) == 8
-    with pytest.raises(ValueError):
-        S.from_controls(filtered=True, bandpass=False, low_hz=1, high_hz=2, method="notch", frequency_text=" ", quality=1, window_sec=1, overlap_percent=0, all_harmonics=False)
+    def read(data):
+        return lambda at, n: asked.append((at, n)) or bytes(data[at : at + n])
+
+    assert P.fingerprint_of(len(a), read(a)) != P.fingerprint_of(len(b), read(b)) and len(P.fingerprint_of(0, read(b""))) == 64
+    assert asked[:3] == [(0, 1 << 20), (1 << 20, 1 << 20), (2 << 20, 1 << 20)]
+
+
+def test_settings(spark):
+    def each(*texts, legacy=None):
+        rows = spark.createDataFrame([(k, t, legacy) for k, t in enumerate(texts)], "k int, t string, legacy double")
+        return rows.select("k", S.migrate(F.col("t"), F.col("legacy")).alias("s"))
+
+    s = [r.s for r in each("{}", None, '{"regression_harmonics": 2}', '{"line_noise_frequencies_hz": null, "line_noise_hz": 60}', '{"line_noise_frequencies_hz": [50, 60]}', '{"line_noise_hz": null}').orderBy("k").collect()]
+    assert [x.line_noise_method for x in s] == ["none", "none", "none", "notch", "notch", "none"]
+    assert s[2].regression_all_harmonics and not s[0].regression_all_harmonics
+    assert [(x.line_noise_hz, x.line_noise_frequencies_hz) for x in s[3:]] == [(60.0, [60.0]), (50.0, [50.0, 60.0]), (None, [])]
+    old = [r.s for r in each("{}", '{"line_noise_hz": 60}', legacy=50.0).orderBy("k").collect()]
+    assert [(x.line_noise_hz, x.line_noise_method) for x in old] == [(50.0, "notch"), (60.0, "notch")]
+    broken = {'{"notch_quality": 0}': ["quality"], '{"line_noise_method": "x", "regression_overlap": 1}': ["method", "overlap"], '{"line_noise_frequencies_hz": [0]}': ["frequencies", "frequency"], '{"regression_all_harmonics": 3}': ["all harmonics"], '{"show_filtered": true, "line_noise_method": "notch"}': ["frequencies"]}
+    assert [r.p for r in each(*broken).orderBy("k").select(S.problems(F.col("s")).alias("p")).collect()] == list(broken.values())
+    shown = each('{"show_filtered": true, "line_noise_hz": 60}', '{"line_noise_hz": 60}').orderBy("k").select(S.describe(F.col("s")).alias("d")).collect()
+    assert [r.d for r in shown] == ["Filtered: bandpass off (low 1 Hz, high 100 Hz), notch 60 Hz (Q=30)", "Raw"]
+    form = S.from_controls(filtered=F.lit(True), bandpass=F.lit(False), low_hz=F.lit(1.0), high_hz=F.lit(2.0), method=F.lit("notch"), frequency_text=F.lit(" "), quality=F.lit(1.0), window_sec=F.lit(1.0), overlap_percent=F.lit(0), all_harmonics=F.lit(False))
+    with pytest.raises(Exception, match="a frequency is needed"):
+        spark.range(1).select(form.alias("s")).collect()
+
+
+def test_status_lines(spark):
+    one = spark.createDataFrame([(2, "opencl", 0.25)], "n int, backend string, t double")
+    line = X.led_status({"event_count": F.col("n"), "brightness_backend": F.col("backend"), "scan_elapsed_sec": F.col("t"), "threshold": F.lit(0.0123456), "scan_end_frame": F.lit(900), "points_count": F.lit(46)})
+    got = one.select(line.alias("line")).select("line", X.short_status(F.col("line")).alias("short")).first()
+    assert got.line == "LED detection: Frame delta | 2 intervals | scan frames=0-900 | coarse step=20 frames | refine window=1.0s | points=46 | TTL-guided event limit | requested=2 | threshold=0.012346 | duration=0.6-1.5s target=1.0s | event pairs=2 | scan=0.2s detect=0.0s | brightness=OpenCL | selected=auto | batch=fixed | capacity=0 | batches=0 | max_batch=0"
+    assert got.short == ["LED detection: Frame delta", "2 intervals", "scan frames=0-900", "points=46", "requested=2", "threshold=0.012346", "duration=0.6-1.5s target=1.0s", "scan=0.2s detect=0.0s"]
+    assert one.select(X.short_status(F.lit("")).alias("s")).first().s == []
 
 
 def marker_rows(spark, rows):

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.time_math import coarse_scan_step
 from .blocks import with_largest_before, with_nearest, with_previous, with_run
 
 LEAST = 1e-6
@@ -19,6 +23,70 @@ def frame_brightness(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("frame_index").agg((F.avg(0.114 * F.col("b") + 0.587 * F.col("g") + 0.299 * F.col("r")) / 255).alias("brightness"))
 
 
+def _halved(x: np.ndarray) -> np.ndarray:
+    """The picture (height, width, 3) at half its size: means of the areas that the smaller pixels cover, rounded to 8 bits.
+
+    Even sides give means of two by two, halves rounded up; other sides cover parts of pixels, halves rounded to even.
+    """
+    (h, w), even = x.shape[:2], not (x.shape[0] % 2 or x.shape[1] % 2)
+    if even:
+        return (x.reshape(h // 2, 2, w // 2, 2, 3).astype(np.uint16).sum((1, 3)) + 2 >> 2).astype(np.uint8)
+
+    def shares(n: int) -> np.ndarray:
+        m = max(n // 2, 1)
+        edges = np.arange(m + 1) * (n / m)
+        return np.clip(np.minimum(edges[1:, None], np.arange(1, n + 1)) - np.maximum(edges[:-1, None], np.arange(n)), 0, 1) * (m / n)
+
+    return np.rint(np.einsum("ah,bw,hwc->abc", shares(h), shares(w), x.astype(np.float64))).astype(np.uint8)
+
+
+def mean_grey(frame: np.ndarray, roi: tuple[int, int, int, int] | None = None, rotation: int = 0) -> float:
+    """Mean brightness (0 to 1) of a frame (height, width, blue green red): turned counterclockwise, cut to (x, y, width, height),
+    halved and made grey in 8 bits. A region without pixels is dark."""
+    x = np.rot90(frame, rotation // 90)
+    if roi is not None:
+        x = x[roi[1] : roi[1] + roi[3], roi[0] : roi[0] + roi[2]]
+    if not x.size:
+        return 0.0
+    # Weights of blue, green and red in 14 bits, and the half that rounds.
+    grey = _halved(x).astype(np.int64) @ np.array([1868, 9617, 4899]) + 8192 >> 14
+    return float(grey.mean()) / 255
+
+
+def brightness_curve(frames: DataFrame, *, roi: tuple[int, int, int, int] | None = None, rotation: int = 0, fps: float = 30.0, step: int = 1, start: int = 0, end: int | None = None) -> DataFrame:
+    """frame_index, video_time_sec, brightness of every step-th frame from `start` to `end` (both included).
+
+    `frames` has frame_index, width, height and pixels (binary, rows of blue, green, red bytes). A rotation that isn't a
+    quarter turn counts as none. Frames without pixels, or with too few of them, are left out.
+    """
+    turn = rotation % 360 if rotation % 90 == 0 else 0
+    at = F.col("frame_index")
+    wanted = frames.where((at >= start) & ((at - start) % max(step, 1) == 0))
+    wanted = wanted if end is None else wanted.where(at <= end)
+    whole = wanted.where(F.length("pixels") == F.col("width") * F.col("height") * 3).where("width > 0 and height > 0")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            index = b.column(0).to_numpy()
+            found = [mean_grey(np.frombuffer(p.as_py(), np.uint8).reshape(h, w, 3), roi, turn) for w, h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(index / fps), pa.array(found, pa.float64())], names=["frame_index", "video_time_sec", "brightness"])
+
+    rows = whole.select(at.cast("long").alias("frame_index"), F.col("width").cast("int"), F.col("height").cast("int"), "pixels")
+    return rows.mapInArrow(run, "frame_index long, video_time_sec double, brightness double")
+
+
+def with_cache_key(df: DataFrame, *, path: Column, roi: Column, rotation: Column, fps: Column, start: Column, end: Column) -> DataFrame:
+    """`key`: all that a curve was made from, the step of its coarse scan included."""
+    parts = {"path": path, "roi": roi, "rotation": rotation.cast("int"), "fps": F.coalesce(fps.cast("double"), F.lit(0.0)), "start": start.cast("long"), "end": end.cast("long"), "step": coarse_scan_step(fps)}
+    return df.withColumn("key", F.struct(*(c.alias(n) for n, c in parts.items())))
+
+
+def cached(requests: DataFrame, curves: DataFrame) -> DataFrame:
+    """The requests whose curve is there; a whole picture (no region) is a region of its own."""
+    known = curves.select(F.col("key").alias("known")).distinct()
+    return requests.join(known, F.col("key").eqNullSafe(F.col("known")), "left_semi")
+
+
 def deltas(points: DataFrame, camera: list[str] = ()) -> DataFrame:
     """Change from the frame before, for all frames but the first (of each camera); put in order in blocks of frames."""
     rows = with_previous(points, F.col("brightness"), "_last", list(camera), "frame_index", FRAMES)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.time_math import fixed
+from ..functions.text import format_g6
 
 VIDEO_KINDS = ("led_on", "led_off", "action_start", "action_end", "seizure_like")
 
@@ -56,6 +56,32 @@ def sync(df: DataFrame, ttl_id: str | None = None, video_id: str | None = None)
     return r.select(F.col("t.marker_id").alias("ttl_id"), F.col("v.marker_id").alias("video_id"), (F.col("v.time_sec") - F.col("t.time_sec")).alias("offset_sec"), F.col("v.time_sec").alias("video_origin_sec"))
 
 
+#: How the kinds that may serve as a video reference are shown.
+SYNC_LABELS = {"led_on": "LED On", "action_start": "Action Start"}
+
+
+def sync_status(df: DataFrame, ttl_id: str | None = None, video_id: str | None = None) -> DataFrame:
+    """One row: is_manual, label, is_warning. Ids make it the manual pair; a TTL's number is its rank in time, a video
+    marker's its place among all video markers.
+
+    Two counts over the table decide the numbers, so nothing is numbered as a whole. Equal times go by place.
+    """
+    manual = ttl_id is not None or video_id is not None
+    ttl = (F.col("kind") == "ttl") & (F.col("domain") == "record")
+    video = (F.col("domain") == "video") & (F.col("kind").isin(*SYNC_LABELS) & (F.col("marker_id") == video_id) if manual else F.col("kind") == "led_on")
+    pick = lambda c: F.min(F.when(c, F.struct("time_sec", "seq", "kind")))
+    pair = df.agg(pick(ttl & (F.col("marker_id") == ttl_id) if manual else ttl).alias("t"), pick(video).alias("v"))
+    both = df.crossJoin(F.broadcast(pair))
+    earlier = (F.col("time_sec") < F.col("t.time_sec")) | (F.col("time_sec") == F.col("t.time_sec")) & (F.col("seq") <= F.col("t.seq"))
+    r = both.agg(F.count_if(ttl & earlier).alias("t_no"), F.count_if((F.col("domain") == "video") & (F.col("seq") <= F.col("v.seq"))).alias("v_no"), F.first("t").alias("t"), F.first("v").alias("v"))
+    missing = F.col("t").isNull() | F.col("v").isNull()
+    name = F.create_map(*(F.lit(x) for kv in SYNC_LABELS.items() for x in kv))[F.col("v.kind")]
+    # The texts.
+    found = F.format_string("Sync: " + ("Manual" if manual else "Automatic") + " (TTL #%d <-> Video #%d %s)", F.col("t_no"), F.col("v_no"), name)
+    lost = "Manual sync selection is no longer available. Select sync events again." if manual else "Sync: Automatic selection needs a TTL and an LED On."
+    return r.select(F.lit(manual).alias("is_manual"), F.when(missing, lost).otherwise(found).alias("label"), (missing & F.lit(manual)).alias("is_warning"))
+
+
 def with_offset(df: DataFrame, one: DataFrame) -> DataFrame:
     """Every row with the one row of the synchronisation, which is broadcast."""
     return df.crossJoin(F.broadcast(one.select("offset_sec", "video_origin_sec")))
@@ -131,18 +157,6 @@ def sort_peaks(df: DataFrame, *, channel: int | None = None, polarity: str = "al
     return rows.withColumn("_key", key).orderBy(F.desc("_key") if descending else F.asc("_key"), "seq").drop("_key")
 
 
-def format_g6(x: Column) -> Column:
-    """Six significant digits without trailing zeros, as %.6g writes them."""
-    e = F.floor(F.log10(F.abs(x)))
-    digits = F.greatest(F.lit(0), 5 - e)
-    text = fixed(x, 0)
-    for k in range(1, 10):
-        text = F.when(digits == k, fixed(x, k)).otherwise(text)
-    plain = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    science = F.regexp_replace(F.regexp_replace(F.format_string("%.5e", x), r"(\.\d*?)0+e", "$1e"), r"\.e", "e")
-    return F.when(x == 0, "0").when((e >= -4) & (e < 6), plain).otherwise(science)
-
-
 def peak_note(channel: Column, value: Column, negative: Column) -> Column:
     return F.concat(F.lit("channel="), channel.cast("string"), F.lit(", value="), format_g6(value), F.when(negative, ", negative peak").otherwise(", positive peak"))
 

@@ -125,14 +125,33 @@ def anomaly_counts(df: DataFrame, rate_hz: float) -> DataFrame:
     return g.groupBy("channel").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "duplicate").alias("duplicates"), F.count_if(F.col("kind") == "discontinuity").alias("discontinuities"))
 
 
-def data_check(df: DataFrame, rate_hz: float) -> DataFrame:
-    """The whole check as one table: ordinal, item, channel and number; a summary first, then the anomalous rows."""
-    g = gaps(df, rate_hz).where(F.col("kind").isin("duplicate", "discontinuity"))
-    lost = df.where("value is null or isnan(value)").select("channel", "sample_index", F.lit("missing").alias("kind"))
-    details = g.select("channel", "sample_index", "kind").unionByName(lost)
-    summary = details.groupBy("kind").agg(F.count("*").alias("n"))
-    head = summary.select(F.lit(0).alias("ord"), F.col("kind").alias("item"), F.lit(None).cast("int").alias("channel"), F.col("n").alias("number"))
-    return head.unionByName(details.select(F.lit(1).alias("ord"), F.col("kind").alias("item"), "channel", F.col("sample_index").alias("number")))
+def check_report(wide: DataFrame, rate_hz: float, header_row: int, channels: list[int], file: str, chunk_rows: int = ROWS) -> DataFrame:
+    """ord, Type, File, Value: the rows of a check of a recording (row from 0, time_us, channel_<id>), in the order of `ord`.
+
+    Seven rows of summary, then every missing cell and every valid time that isn't the expected step after the valid
+    time before it, with its line in the file: by chunk of rows, missing cells by column first.
+    """
+    step, row = expected_step(rate_hz), F.col("row")
+    line = F.concat(F.lit("line "), (row + header_row + 2).cast("string"))
+    chunk = F.floor(row / chunk_rows)
+    time = F.when(finite(F.col("time_us")), F.col("time_us").cast("long"))
+    # The texts.
+    shown = F.coalesce(F.concat(time.cast("string"), F.lit(" us")), F.lit("missing"))
+    names = ["Time[us]", *map(str, channels)]
+    cells = [F.struct(F.lit(k).alias("column"), F.lit(n).alias("name"), ~finite(F.col(c).cast("double")) | F.col(c).isNull()) for k, (n, c) in enumerate(zip(names, ["time_us", *(f"channel_{x}" for x in channels)], strict=True))]
+    lost = wide.select("row", F.col("time_us"), F.explode(F.filter(F.array(*cells), lambda x: x["col3"])).alias("x"))
+    missing = lost.select(F.array(chunk, F.lit(0), F.col("x.column"), row).alias("at"), F.lit("Missing value").alias("Type"), line.alias("File"), F.concat(F.lit("time="), shown, F.lit(", channel="), F.col("x.name")).alias("Value"))
+    valid = with_previous(wide.select("row", time.alias("t")).where("t is not null"), F.col("t"), "last", [], "row", ROWS).drop("_block")
+    gap = F.col("t") - F.col("last")
+    value = F.format_string(f"%d -> %d us (actual: %d us, expected: {step} us)", F.col("last"), F.col("t"), gap)
+    odd = valid.where(gap != step).select(F.array(chunk, F.lit(1), F.lit(0), row).alias("at"), F.when(gap == 0, "Duplicate timestamp").otherwise("Time discontinuity").alias("Type"), line.alias("File"), value.alias("Value"))
+    details = missing.unionByName(odd)
+    counted = details.agg(*(F.count_if(F.col("Type") == x).cast("string").alias(n) for n, x in (("m", "Missing value"), ("d", "Duplicate timestamp"), ("j", "Time discontinuity"))))
+    one = counted.crossJoin(wide.agg(F.count("*").cast("string").alias("n")))
+    items = [("Summary", F.lit(file), F.lit("")), ("Rows", F.lit(""), F.col("n")), ("Sample rate", F.lit(""), F.lit(f"{float(rate_hz)} Hz")), ("Expected interval", F.lit(""), F.lit(f"{step} us")), ("Missing values", F.lit(""), F.col("m")), ("Duplicate timestamps", F.lit(""), F.col("d")), ("Discontinuous timestamps", F.lit(""), F.col("j"))]
+    summary = one.select(F.posexplode(F.array(*(F.struct(F.lit(a).alias("Type"), b.alias("File"), c.alias("Value")) for a, b, c in items))).alias("k", "x"))
+    head = summary.select(F.lit(0).alias("part"), F.array(F.col("k").cast("long")).alias("at"), "x.Type", "x.File", "x.Value")
+    return head.unionByName(details.select(F.lit(1).alias("part"), "at", "Type", "File", "Value")).select(F.struct("part", "at").alias("ord"), "Type", "File", "Value")
 
 
 def waveform(df: DataFrame, step: int, origin_sec: float) -> DataFrame:

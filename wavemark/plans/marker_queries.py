@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import time_math as T
-from ..operators import led as D, markers as M
-from ..sources import adapters as A, ttl as TTL
+from ..operators import caches as K, led as D, markers as M
+from ..sources import adapters as A, files, ttl as TTL
 from ..sources.adapters import FPS, with_views
+from ..sources.shared import fresh_path
 from .registry import query
 
 _M = lambda then, more="": with_views("markers", then=then, more=more)
@@ -71,7 +72,12 @@ def sp_event_intervals(spark, sf_dir):
     return M.event_intervals(*_synced(spark, sf_dir))
 
 
-@query("win_interval_warning")
+_WARN = """nv AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS number FROM markers WHERE domain = 'video'),
+lg AS (SELECT *, lag(kind) OVER p AS k, lag(time_sec) OVER p AS t, lag(number) OVER p AS n FROM nv WHERE kind IN ('led_on', 'led_off', 'action_start', 'action_end') WINDOW p AS (PARTITION BY user_id, substr(kind, 1, 3) ORDER BY seq)),
+bd AS (SELECT user_id, number, CASE WHEN k IS NULL OR k IN ('led_off', 'action_end') THEN kind || ' has no start' WHEN time_sec <= t THEN kind || ' isn''t after #' || n END AS problem FROM lg WHERE kind IN ('led_off', 'action_end'))"""
+
+
+@query("win_interval_warning", _M("SELECT user_id, min(number) AS number, arg_min(problem, number) AS problem FROM bd WHERE problem IS NOT NULL GROUP BY user_id", _WARN))
 def win_interval_warning(spark, sf_dir):
     return M.interval_warning(A.markers(spark, sf_dir))
 
@@ -81,10 +87,35 @@ def sink_exportable_rows(spark, sf_dir):
     return M.exportable(*_synced(spark, sf_dir), FPS)
 
 
-@query("sink_markers_csv", _M(f"SELECT seq, kind || ',' || printf('%.6f', {_VIDEO}) || ',' || coalesce(frame_index, CAST(round_even(({_VIDEO}) * 30, 0) AS BIGINT)) || ',' || note AS line FROM markers, sy", _SYNC))
-def sink_markers_csv(spark, sf_dir):
+_NOTE = "CASE WHEN seq % 5 = 0 THEN note || ', \"seen\"' ELSE note END"
+_EXPORT = f"ex AS (SELECT seq, kind AS marker_type, {_VIDEO} AS t, coalesce(frame_index, CAST(round_even(({_VIDEO}) * 30, 0) AS BIGINT)) AS frame_index, {_NOTE} AS note FROM markers, sy)"
+
+
+def _exported(spark, sf_dir):
+    """The exportable rows; every fifth note has a comma and quotes."""
     rows = M.exportable(*_synced(spark, sf_dir), FPS)
-    return rows.select("seq", F.concat_ws(",", "marker_type", T.fixed(F.col("video_time_sec"), 6), "frame_index", "note").alias("line"))
+    return rows.withColumn("note", F.when(F.col("seq") % 5 == 0, F.concat("note", F.lit(', "seen"'))).otherwise(F.col("note")))
+
+
+EXPORTED = ["marker_type", "video_time_sec", "frame_index", "note"]
+
+
+@query("sink_markers_csv", _M("SELECT 'marker_type,video_time_sec,frame_index,note' AS line UNION ALL SELECT marker_type || ',' || printf('%.6f', t) || ',' || frame_index || ',' || CASE WHEN contains(note, '\"') THEN '\"' || replace(note, '\"', '\"\"') || '\"' ELSE note END FROM ex", _SYNC + ", " + _EXPORT))
+def sink_markers_csv(spark, sf_dir):
+    """One CSV file; its lines are read back."""
+    path = fresh_path(spark, "markers") + ".csv"
+    rows = _exported(spark, sf_dir).withColumn("video_time_sec", T.fixed(F.col("video_time_sec"), 6))
+    files.write_csv(rows, path, EXPORTED, ["seq"])
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
+
+
+@query("sink_markers_xlsx", _M("SELECT 0 AS \"row\", 'marker_type' AS marker_type, 'video_time_sec' AS video_time_sec, 'frame_index' AS frame_index, 'note' AS note UNION ALL SELECT row_number() OVER (ORDER BY seq), marker_type, CAST(round(t, 3) AS VARCHAR), CAST(frame_index AS VARCHAR), nullif(note, '') FROM ex", _SYNC + ", " + _EXPORT))
+def sink_markers_xlsx(spark, sf_dir):
+    """One workbook; its cells are read back."""
+    path = fresh_path(spark, "markers") + ".xlsx"
+    rows = _exported(spark, sf_dir).withColumn("video_time_sec", F.round("video_time_sec", 3))
+    files.write_xlsx(rows, path, EXPORTED, ["seq"], "Markers")
+    return files.read_xlsx(spark, path).select("row", *(F.get("cells", k).alias(c) for k, c in enumerate(EXPORTED)))
 
 
 @query("proj_row_number", _M("SELECT seq, kind, number FROM (SELECT *, row_number() OVER (ORDER BY seq) AS number FROM markers WHERE domain = 'video') WHERE kind IN ('led_on', 'action_start')"))
@@ -137,13 +168,15 @@ def scan_ttl_markers(spark, sf_dir):
     return M.replace_where(m, F.col("kind") == "ttl", new)
 
 
-@query("proj_sync_status", _M("SELECT 'TTL #1 <-> Video #' || (SELECT count(*) FROM markers, sy WHERE domain = 'video' AND seq <= (SELECT seq FROM markers, sy WHERE marker_id = video_id)) AS label", _SYNC))
+_STATUS = """nm AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS vno, row_number() OVER (PARTITION BY kind ORDER BY time_sec, seq) AS tno FROM markers)"""
+
+
+@query("proj_sync_status", _M("SELECT false AS is_manual, 'Sync: Automatic (TTL #1 <-> Video #' || vno || ' LED On)' AS label, false AS is_warning FROM nm, sy WHERE marker_id = video_id UNION ALL SELECT true, 'Sync: Manual (TTL #' || a.tno || ' <-> Video #' || b.vno || ' ' || CASE b.kind WHEN 'led_on' THEN 'LED On' ELSE 'Action Start' END || ')', false FROM (SELECT * FROM nm WHERE kind = 'ttl' ORDER BY seq DESC LIMIT 1) a, (SELECT * FROM nm WHERE kind = 'action_start' ORDER BY seq DESC LIMIT 1) b UNION ALL SELECT true, 'Manual sync selection is no longer available. Select sync events again.', true", _SYNC + ", " + _STATUS))
 def proj_sync_status(spark, sf_dir):
-    """The automatic pair: the first TTL in time, and the place of the earliest LED-on among all video markers."""
-    m, one = _synced(spark, sf_dir)
-    led = m.join(F.broadcast(one.select(F.col("video_id").alias("marker_id"))), "marker_id").select(F.col("seq").alias("led_seq"))
-    n = m.where("domain = 'video'").crossJoin(F.broadcast(led)).where("seq <= led_seq").agg(F.count("*").alias("n"))
-    return n.select(F.concat(F.lit("TTL #1 <-> Video #"), F.col("n").cast("string")).alias("label"))
+    """The automatic pair, the pair of the last TTL and the last action start, and a pair whose TTL is gone."""
+    m = A.markers(spark, sf_dir)
+    last = m.agg(*(F.max_by("marker_id", F.when(F.col("kind") == k, F.col("seq"))).alias(k) for k in ("ttl", "action_start"))).first()
+    return M.sync_status(m).unionByName(M.sync_status(m, last.ttl, last.action_start)).unionByName(M.sync_status(m, "gone", last.action_start))
 
 
 @query("proj_led_marker", _M("SELECT 'l' || seq AS marker_id, kind, time_sec, frame_index, value / 500 AS brightness FROM markers WHERE kind IN ('led_on', 'led_off')"))
@@ -260,12 +293,12 @@ def set_delete(spark, sf_dir):
     return _editable(spark, sf_dir).where(~F.col("marker_id").isin("m5", "m6"))
 
 
-@query("set_clear")
+@query("set_clear", _M(_EDIT + " WHERE false"))
 def set_clear(spark, sf_dir):
     return _editable(spark, sf_dir).limit(0)
 
 
-@query("set_add")
+@query("set_add", _M(_EDIT + " UNION ALL SELECT 'added', (SELECT max(seq) FROM markers) + 1, 'led_on', 'manual', 1.0, ''"))
 def set_add(spark, sf_dir):
     """A row with a new id is appended; an id that is there already is an error."""
     m = _editable(spark, sf_dir)
@@ -275,7 +308,7 @@ def set_add(spark, sf_dir):
     return M.replace_where(m, F.lit(False), checked)
 
 
-@query("set_replace_all")
+@query("set_replace_all", _M(_EDIT + " WHERE kind = 'ttl'"))
 def set_replace_all(spark, sf_dir):
     return _editable(spark, sf_dir).where("kind = 'ttl'")
 
@@ -320,7 +353,12 @@ def set_add_manual_marker(spark, sf_dir):
     return M.replace_where(m, F.lit(False), spark.createDataFrame([("manual_marker", 0, "action_start", "manual", 12.5, "")], m.schema))
 
 
-@query("sort_reorder")
+_ORDER = """vd AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM markers WHERE domain = 'video'),
+mv AS (SELECT *, max(CASE WHEN marker_id = 'm50' THEN n END) OVER (PARTITION BY user_id) AS a, least(3, c) AS b FROM vd),
+pl AS (SELECT *, CASE WHEN a IS NULL THEN n WHEN n = a THEN b WHEN a < b AND n > a AND n <= b THEN n - 1 WHEN a > b AND n >= b AND n < a THEN n + 1 ELSE n END AS place FROM mv)"""
+
+
+@query("sort_reorder", _M("SELECT pl.marker_id, vd.seq, pl.kind, pl.user_id FROM pl JOIN vd ON pl.user_id = vd.user_id AND pl.place = vd.n UNION ALL SELECT marker_id, seq, kind, user_id FROM markers WHERE domain <> 'video'", _ORDER))
 def sort_reorder(spark, sf_dir):
     return M.reorder(A.markers(spark, sf_dir), "m50", 3, "user_id").select("marker_id", "seq", "kind", "user_id")
 
@@ -372,14 +410,40 @@ def scan_led_brightness_gpu(spark, sf_dir):
     return D.frame_brightness(pixels).select("frame_index", F.round("brightness", 9).alias("brightness"))
 
 
-@query("topk_led_pairs")
+_FRAMES = """px AS (SELECT event_id // 48 AS frame_index, 7 - (event_id % 48) % 8 AS x, 5 - (event_id % 48) // 8 AS y, event_id % 256 AS b, user_id % 256 AS g, CAST(floor(value) AS BIGINT) % 256 AS r, count(*) OVER (PARTITION BY event_id // 48) AS n FROM ev),
+half AS (SELECT frame_index, x, y, (sum(b) + 2) // 4 AS b, (sum(g) + 2) // 4 AS g, (sum(r) + 2) // 4 AS r FROM (SELECT frame_index, (x - 1) // 2 AS x, (y - 1) // 2 AS y, b, g, r FROM px WHERE n = 48 AND x BETWEEN 1 AND 4 AND y BETWEEN 1 AND 4) GROUP BY ALL)"""
+
+
+@query("scan_led_brightness_cpu", with_views("ev", more=_FRAMES, then="SELECT frame_index, frame_index / 30.0 AS video_time_sec, round(avg((b * 1868 + g * 9617 + r * 4899 + 8192) // 16384) / 255, 9) AS brightness FROM half WHERE frame_index >= 2 AND frame_index % 2 = 0 GROUP BY frame_index"))
+def scan_led_brightness_cpu(spark, sf_dir):
+    """48 events in turn are a frame of 8 by 6 pixels: upside down, a region of 4 by 4, every second frame from the third."""
+    i = F.col("event_id")
+    value = F.col("value").cast("long") % 256
+    pixel = F.struct(i.alias("i"), F.concat(*(F.unhex(F.lpad(F.hex(c.cast("long")), 2, "0")) for c in (i % 256, F.col("user_id") % 256, value))).alias("p"))
+    rows = A.events(spark, sf_dir).groupBy(F.floor(i / 48).alias("frame_index")).agg(F.array_sort(F.collect_list(pixel)).alias("pixels"))
+    whole = F.unhex(F.array_join(F.transform("pixels", lambda x: F.hex(x["p"])), ""))
+    frames = rows.select("frame_index", F.lit(8).alias("width"), F.lit(6).alias("height"), whole.alias("pixels"))
+    return D.brightness_curve(frames, roi=(1, 1, 4, 4), rotation=180, step=2, start=2).withColumn("brightness", F.round("brightness", 9))
+
+
+_SCORED = "SELECT a.frame_index AS x, b.frame_index AS y, abs(a.delta) + abs(b.delta) - 0.1 * abs(b.video_time_sec - a.video_time_sec - 1.0) AS s FROM dl a JOIN dl b ON b.frame_index > a.frame_index AND b.video_time_sec - a.video_time_sec BETWEEN 0.6 AND 1.5 WHERE a.delta > {least} AND b.delta < -{least}"
+_TOP = "SELECT * FROM {src} ORDER BY s DESC, x, y LIMIT 1"
+
+
+def _greedy(least: str) -> str:
+    """The three best pairs in turn, each at least 15 frames from those before."""
+    free = lambda k: f"SELECT {k}.* FROM {k}, t{k} WHERE NOT ({k}.x <= t{k}.y + 15 AND {k}.y >= greatest(t{k}.x - 15, 0))"
+    return f"{_DELTA}, p1 AS ({_SCORED.format(least=least)}), tp1 AS ({_TOP.format(src='p1')}), p2 AS ({free('p1')}), tp2 AS ({_TOP.format(src='p2')}), p3 AS ({free('p2')}), tp3 AS ({_TOP.format(src='p3')}), best AS (SELECT * FROM tp1 UNION ALL SELECT * FROM tp2 UNION ALL SELECT * FROM tp3)"
+
+
+@query("topk_led_pairs", _L("SELECT x AS on_frame, y AS off_frame FROM best", _greedy("0.02")))
 def topk_led_pairs(spark, sf_dir):
     changes = D.deltas(A.led_curve(spark, sf_dir))
     pairs = D.choose_pairs(D.on_off_pairs(changes, 0.02), 3, 15)
     return spark.createDataFrame(pairs, "on_frame long, off_frame long")
 
 
-@query("sp_led_detect")
+@query("sp_led_detect", _L("SELECT 'led_on' AS event_type, frame_index, video_time_sec, brightness FROM led_curve JOIN best ON frame_index = x UNION ALL SELECT 'led_off', frame_index, video_time_sec, brightness FROM led_curve JOIN best ON frame_index = y", _greedy("(SELECT greatest(3 * avg(abs(delta)), 1e-6) FROM dl)")))
 def sp_led_detect(spark, sf_dir):
     return D.detect(A.led_curve(spark, sf_dir), most=3)
 
@@ -390,3 +454,41 @@ def sp_led_refine(spark, sf_dir):
     coarse = D.choose_pairs(D.on_off_pairs(D.deltas(points.where("frame_index % 5 = 0")), 0.01), 3, 15)
     pairs = spark.createDataFrame([(k, a / FPS, b / FPS) for k, (a, b) in enumerate(coarse)], "pair_id int, on_sec double, off_sec double")
     return D.refine(points, pairs)
+
+
+_ENTRIES = """en AS (SELECT 'root' || user_id % 20 AS root, 'c' || event_id % 997 AS path, 'rec' || user_id % 7 AS source, event_id % 10 = 0 AS protected, CAST(floor(value * 100) AS BIGINT) AS size, time_us / 1e6 AS used, event_id FROM ev)"""
+
+
+def _entries(spark, sf_dir):
+    """Events as entries of caches: whose they are, their source, size and time of last use."""
+    i, u = F.col("event_id"), F.col("user_id")
+    name = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    return A.events(spark, sf_dir).select(name("root", u % 20).alias("root"), name("c", i % 997).alias("path"), name("rec", u % 7).alias("source"), (i % 10 == 0).alias("protected"), F.floor(F.col("value") * 100).alias("size"), (F.col("time_us") / 1e6).alias("used"), "event_id")
+
+
+@query("agg_cache_size", with_views("ev", more=_ENTRIES + """, lv AS (SELECT *, sum(size) OVER (PARTITION BY root) - coalesce(sum(CASE WHEN NOT protected THEN size ELSE 0 END) OVER (PARTITION BY root ORDER BY used, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM en WHERE protected OR used > 86400)""", then="SELECT root, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM lv WHERE l <= 60000 OR protected GROUP BY root"))
+def agg_cache_size(spark, sf_dir):
+    """What is left of each cache when what wasn't used since the first day and the oldest beyond a budget is gone."""
+    return K.sizes(K.within_budget(_entries(spark, sf_dir), ["root"], 60_000, 86_400.0), ["root"])
+
+
+@query("topk_brightness_lru", with_views("ev", more=_ENTRIES, then="SELECT root, path, used FROM (SELECT root, path, max(used) AS used, row_number() OVER (PARTITION BY root ORDER BY max(used) DESC, path) AS k FROM en GROUP BY root, path) WHERE k <= 5"))
+def topk_brightness_lru(spark, sf_dir):
+    return K.latest(_entries(spark, sf_dir), ["root"], 5)
+
+
+@query("scan_signal_source_registry", with_views("ev", more=_ENTRIES, then="SELECT path, arg_max(used, event_id) AS used, arg_max(size, event_id) AS size FROM en GROUP BY path"))
+def scan_signal_source_registry(spark, sf_dir):
+    return K.registered(_entries(spark, sf_dir), ["used", "size"], "event_id")
+
+
+@query("set_clear_cache", with_views("ev", more=_ENTRIES, then="SELECT event_id, source FROM en WHERE source <> 'rec3'"))
+def set_clear_cache(spark, sf_dir):
+    return K.without_source(_entries(spark, sf_dir), "rec3").select("event_id", "source")
+
+
+@query("set_reset_sync", _M("SELECT 0 AS markers, NULL::VARCHAR AS ttl_id, NULL::VARCHAR AS video_id, NULL::DOUBLE AS offset_sec, 'Sync: Automatic selection needs a TTL and an LED On.' AS label"))
+def set_reset_sync(spark, sf_dir):
+    """A new video empties the markers; pair, offset and label follow from the empty table."""
+    none = A.markers(spark, sf_dir).where(F.lit(False))
+    return none.agg(F.count("*").alias("markers")).crossJoin(M.sync(none).drop("video_origin_sec")).crossJoin(M.sync_status(none).select("label"))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import time_math as T
 from ..operators import samples as S, windows as W
-from ..sources import adapters as A
+from ..sources import adapters as A, files
 from ..sources.adapters import RATE_HZ, with_views
+from ..sources.shared import fresh_path
 from .registry import query
 
 DAY = 86_400e6
@@ -156,12 +157,26 @@ def win_lag_gap(spark, sf_dir):
     return S.gaps(A.samples_dirty(spark, sf_dir), RATE_HZ).select("channel", "sample_index", "time_us", "gap_us", "kind")
 
 
-_CHECK = _GAPS + ", details AS (SELECT channel, sample_index, kind FROM gaps WHERE kind IN ('duplicate', 'discontinuity') UNION ALL SELECT channel, sample_index, 'missing' FROM samples_dirty WHERE value IS NULL OR isnan(value))"
+_WIDE = """wide AS (SELECT sample_index AS r, CASE WHEN sample_index % 53 = 7 THEN 1000 * sample_index - 1000 WHEN sample_index % 97 <> 11 THEN 1000 * sample_index END AS t, any_value(CASE WHEN channel = 1 THEN value END) AS c1, any_value(CASE WHEN channel = 2 THEN value END) AS c2, any_value(CASE WHEN channel = 3 THEN value END) AS c3 FROM samples_dirty GROUP BY sample_index),
+ms AS (SELECT 'Missing value' AS "Type", 'line ' || r + 5 AS "File", 'time=' || coalesce(t || ' us', 'missing') || ', channel=' || n AS "Value" FROM (SELECT r, t, 'Time[us]' AS n FROM wide WHERE t IS NULL UNION ALL SELECT r, t, '2' FROM wide WHERE c1 IS NULL UNION ALL SELECT r, t, '5' FROM wide WHERE c2 IS NULL UNION ALL SELECT r, t, '260' FROM wide WHERE c3 IS NULL)),
+st AS (SELECT r, t, lag(t) OVER (ORDER BY r) AS l FROM wide WHERE t IS NOT NULL),
+od AS (SELECT CASE WHEN t = l THEN 'Duplicate timestamp' ELSE 'Time discontinuity' END, 'line ' || r + 5, l || ' -> ' || t || ' us (actual: ' || t - l || ' us, expected: 1000 us)' FROM st WHERE t - l <> 1000),
+dt("Type", "File", "Value") AS (SELECT * FROM ms UNION ALL SELECT * FROM od)"""
+_REPORT = """SELECT 'Type' AS "Type", 'File' AS "File", 'Value' AS "Value" UNION ALL SELECT 'Summary', 'rec.csv', NULL UNION ALL SELECT 'Rows', NULL, CAST((SELECT count(*) FROM wide) AS VARCHAR) UNION ALL SELECT 'Sample rate', NULL, '1000.0 Hz' UNION ALL SELECT 'Expected interval', NULL, '1000 us'
+UNION ALL SELECT 'Missing values', NULL, CAST(count_if("Type" = 'Missing value') AS VARCHAR) FROM dt UNION ALL SELECT 'Duplicate timestamps', NULL, CAST(count_if("Type" = 'Duplicate timestamp') AS VARCHAR) FROM dt UNION ALL SELECT 'Discontinuous timestamps', NULL, CAST(count_if("Type" = 'Time discontinuity') AS VARCHAR) FROM dt UNION ALL SELECT * FROM dt"""
 
 
-@query("sink_check_report", _D("SELECT 0 AS ord, kind AS item, NULL::INT AS channel, count(*) AS number FROM details GROUP BY kind UNION ALL SELECT 1, kind, channel, sample_index FROM details", _CHECK))
+@query("sink_check_report", _D(_REPORT, _WIDE))
 def sink_check_report(spark, sf_dir):
-    return S.data_check(A.samples_dirty(spark, sf_dir), RATE_HZ)
+    """A recording of three channels with gaps, repeated and missing times is checked; the report is written as one file and read back."""
+    rows = A.samples_dirty(spark, sf_dir).groupBy(F.col("sample_index").alias("row")).pivot("channel", [1, 2, 3]).agg(F.first("value"))
+    r = F.col("row")
+    time = F.when(r % 53 == 7, (r - 1) * 1000.0).when(r % 97 != 11, r * 1000.0)
+    wide = rows.select("row", time.alias("time_us"), F.col("1").alias("channel_2"), F.col("2").alias("channel_5"), F.col("3").alias("channel_260"))
+    path = fresh_path(spark, "report") + ".csv"
+    columns = ["Type", "File", "Value"]
+    files.write_csv(S.check_report(wide, RATE_HZ, 3, [2, 5, 260], "rec.csv"), path, columns, ["ord"])
+    return spark.read.option("lineSep", "\r\n").schema(", ".join(f"{c} string" for c in columns)).csv(path)
 
 
 @query("agg_axis_limits", _D(f"SELECT channel, min(time_us) / 1e6 AS x_min, max(time_us) / 1e6 AS x_max, min(v) - (max(v) - min(v)) * 0.05 AS y_min, max(v) + (max(v) - min(v)) * 0.05 AS y_max FROM (SELECT *, CASE WHEN {_OK} THEN value END AS v FROM samples_dirty) GROUP BY channel"))
@@ -298,11 +313,6 @@ def sp_three_axis(spark, sf_dir):
     return rows.where(F.floor(F.col("sample_index") / F.col("step")) % 3 == 0).select("channel", "sample_index", "value")
 
 
-@query("st_tumbling", _V("SELECT channel, CAST(floor(time_us / 60e6) AS BIGINT) AS minute, count(*) AS n, round(sum(value), 6) AS total FROM samples GROUP BY ALL"))
-def st_tumbling(spark, sf_dir):
-    return A.samples(spark, sf_dir).groupBy("channel", F.floor(F.col("time_us") / 60e6).alias("minute")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
-
-
 _NOTCH = """sp AS (SELECT vec_id AS channel, k - 1 AS bin, (k - 1) * CAST(7.8125 AS DOUBLE) AS freq, v[k] AS db FROM vectors, range(1, 65) AS t(k)),
 nr AS (SELECT *, abs(freq - 60) <= greatest(60 / 60.0, 15.625) OR abs(freq - 400) <= greatest(400 / 60.0, 15.625) AS near FROM sp),
 bd AS (SELECT *, last_value(CASE WHEN NOT near THEN freq END IGNORE NULLS) OVER p AS fa, last_value(CASE WHEN NOT near THEN db END IGNORE NULLS) OVER p AS da, first_value(CASE WHEN NOT near THEN freq END IGNORE NULLS) OVER q AS fb, first_value(CASE WHEN NOT near THEN db END IGNORE NULLS) OVER q AS db2

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import text as X, time_math as T
+from ..functions import settings as S, text as X, time_math as T, video as V
 from ..sources import adapters as A
 from ..sources.adapters import with_views
 from .registry import query
@@ -229,7 +229,7 @@ def fn_signal_label(spark, sf_dir):
     return numbered(spark, sf_dir, X.signal_label(_unit_text()).alias("label"))
 
 
-@query("fn_channel_label", with_views("ev", then="SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Time[us]' WHEN event_id % 5 <= 3 THEN 'channel ' || ([2, 5, 260])[event_id % 5] ELSE event_type END AS label FROM ev"))
+@query("fn_channel_label", with_views("ev", then="SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'Time[us]' WHEN event_id % 5 <= 3 THEN CAST(([2, 5, 260])[event_id % 5] AS VARCHAR) ELSE event_type END AS label FROM ev"))
 def fn_channel_label(spark, sf_dir):
     return numbered(spark, sf_dir, X.channel_label(F.col("event_id") % 5, F.array(L(2), L(5), L(260)), F.col("event_type")).alias("label"))
 
@@ -259,7 +259,111 @@ def fn_settings_to_json(spark, sf_dir):
     return numbered(spark, sf_dir, F.to_json(F.struct((F.col("event_id") % 2 == 0).alias("bandpass_enabled"), F.col("user_id").alias("low_hz"), F.array(F.col("user_id") + 50, F.col("user_id") + 100).alias("frequencies_hz"))).alias("json"))
 
 
-@query("fn_output_names", with_views("ev", then="SELECT event_id, 'rec_' || user_id || '_check.csv' AS report, 'rec_' || user_id || '_' || event_type || '_' || event_id || 's.png' AS image FROM ev"))
+@query("fn_output_names", with_views("ev", then="SELECT event_id, 'output_data/rec.' || user_id || '_check_report.csv' AS report, 'rec.' || user_id || '_channel_' || event_id % 300 || CASE WHEN event_id % 2 = 0 THEN '_filtered' ELSE '_raw' END || CASE WHEN event_id % 3 = 0 THEN '' ELSE '_' || event_type END || '.png' AS image FROM ev"))
 def fn_output_names(spark, sf_dir):
-    path = F.concat(F.lit("/data/rec_"), F.col("user_id").cast("string"), F.lit(".csv"))
-    return numbered(spark, sf_dir, X.report_name(path).alias("report"), X.image_name(path, F.col("event_type"), F.col("event_id")).alias("image"))
+    path = F.concat(F.lit("/data/rec."), F.col("user_id").cast("string"), F.lit(".csv"))
+    suffix = F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type"))
+    return numbered(spark, sf_dir, X.report_name(path).alias("report"), X.image_name(path, F.col("event_id") % 300, F.col("event_id") % 2 == 0, suffix).alias("image"))
+
+
+@query("sp_roi_map", with_views("ev", then="""SELECT event_id, CAST(trunc((x - 8) * (1920 / 640.0)) AS INTEGER) AS x, CAST(trunc((y - 4) * (1080 / 361.0)) AS INTEGER) AS y, CAST(trunc(w * (1920 / 640.0)) AS INTEGER) AS width, CAST(trunc(h * (1080 / 361.0)) AS INTEGER) AS height FROM (
+SELECT event_id, greatest(xa, 8) AS x, least(xb, 647) - greatest(xa, 8) + 1 AS w, greatest(ya, 4) AS y, least(yb, 364) - greatest(ya, 4) + 1 AS h FROM (
+SELECT event_id, CASE WHEN x2 < x1 - 1 THEN x2 + 1 ELSE x1 END AS xa, CASE WHEN x2 < x1 - 1 THEN x1 - 1 ELSE x2 END AS xb, CASE WHEN y2 < y1 - 1 THEN y2 + 1 ELSE y1 END AS ya, CASE WHEN y2 < y1 - 1 THEN y1 - 1 ELSE y2 END AS yb FROM (
+SELECT event_id, event_id * 7 % 700 AS x1, event_id * 11 % 400 AS y1, event_id * 13 % 700 AS x2, event_id * 17 % 400 AS y2 FROM ev))) WHERE w >= 3 AND h >= 3"""))
+def sp_roi_map(spark, sf_dir):
+    i = F.col("event_id")
+    roi = V.dragged_roi((i * 7 % 700, i * 11 % 400), (i * 13 % 700, i * 17 % 400), (L(8), L(4), L(640), L(361)), (L(1920), L(1080)))
+    return numbered(spark, sf_dir, roi.alias("roi")).where("roi is not null").select("event_id", "roi.*")
+
+
+_STATUS = """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'LED detection completed: no events found' ELSE 'LED detection' END || ': Frame delta | ' || user_id % 5 || ' intervals | scan frames=0-' || event_id || ' | coarse step=20 frames | refine window=1.0s | points=' || user_id
+|| ' | TTL-guided event limit | requested=' || CASE WHEN event_id % 3 = 0 THEN 7 ELSE user_id % 5 END || ' | threshold=' || printf('%.6f', value / 7) || ' | duration=0.6-1.5s target=1.0s | ' || CASE WHEN user_id % 5 = 0 THEN 'no LED event selected' ELSE 'event pairs=' || user_id % 5 END
+|| ' | scan=' || printf('%.1f', event_id * 0.25) || 's detect=0.0s' || CASE event_id % 3 WHEN 0 THEN ' | brightness=CPU' WHEN 1 THEN ' | brightness=OpenCL | selected=auto | batch=fixed | capacity=0 | batches=' || event_id || ' | max_batch=0' ELSE '' END AS status FROM ev"""
+_SHORT = "array_to_string(list_filter(string_split(status, ' | '), lambda p, k: k = 1 OR contains(p, 'interval') OR contains(p, 'scan frames=') OR contains(p, 'points=') OR contains(p, 'requested=') OR contains(p, 'threshold=') OR contains(p, 'duration=') OR contains(p, 'scan=') OR contains(p, 'brightness='))[1:8], ' | ')"
+
+
+@query("fn_led_status", with_views("ev", then=f"SELECT event_id, status, {_SHORT} AS short FROM ({_STATUS})"))
+def fn_led_status(spark, sf_dir):
+    i = F.col("event_id")
+    stats = {
+        "event_count": F.col("user_id") % 5, "scan_outcome": F.when(i % 4 == 0, "no_events"), "scan_end_frame": i, "points_count": F.col("user_id"), "requested_event_count": F.when(i % 3 == 0, 7),
+        "threshold": F.col("value") / 7, "scan_elapsed_sec": i * 0.25, "brightness_backend": F.when(i % 3 == 0, "cpu").when(i % 3 == 1, "opencl"), "opencl_batches": i,
+    }
+    return numbered(spark, sf_dir, X.led_status(stats).alias("status")).select("event_id", "status", F.array_join(X.short_status(F.col("status")), " | ").alias("short"))
+
+
+_HZ = "(user_id + 40)"
+
+
+def _settings_text() -> Column:
+    """Settings as JSON texts of eight kinds: none, old scalar, list, old harmonics, broken ones, other methods."""
+    u = F.col("user_id").cast("string")
+    hz = (F.col("user_id") + 40).cast("string")
+    kinds = (
+        F.lit("{}"), F.concat(F.lit('{"line_noise_hz": '), hz, F.lit(', "show_filtered": true}')), F.concat(F.lit('{"line_noise_frequencies_hz": ['), hz, F.lit(", 120.5], \"show_filtered\": true, \"notch_quality\": 12.5}")),
+        F.concat(F.lit('{"regression_harmonics": 3, "line_noise_method": "regression", "line_noise_hz": '), hz, F.lit(', "show_filtered": true}')), F.lit('{"notch_quality": -1.0, "line_noise_hz": null, "show_filtered": true}'),
+        F.concat(F.lit('{"line_noise_method": "none", "bandpass_enabled": true, "show_filtered": true, "bandpass_low_hz": 0.'), u, F.lit("}")), F.lit('{"notch_quality": "much", "regression_overlap": 1.5, "line_noise_method": "other"}'), F.lit(None).cast("string"),
+    )
+    return F.get(F.array(*kinds), (F.col("event_id") % 8).cast("int"))
+
+
+def _settings() -> Column:
+    return S.migrate(_settings_text(), F.when(F.col("event_id") % 16 == 8, 50.0))
+
+
+_KIND = "event_id % 8"
+_OLD = "event_id % 16 = 8"
+_METHOD = f"CASE {_KIND} WHEN 0 THEN CASE WHEN {_OLD} THEN 'notch' ELSE 'none' END WHEN 1 THEN 'notch' WHEN 2 THEN 'notch' WHEN 3 THEN 'regression' WHEN 4 THEN 'none' WHEN 5 THEN 'none' WHEN 6 THEN 'other' ELSE 'none' END"
+_LIST = f"CASE {_KIND} WHEN 0 THEN CASE WHEN {_OLD} THEN [50.0]::DOUBLE[] ELSE []::DOUBLE[] END WHEN 1 THEN [{_HZ}]::DOUBLE[] WHEN 2 THEN [{_HZ}, 120.5]::DOUBLE[] WHEN 3 THEN [{_HZ}]::DOUBLE[] ELSE []::DOUBLE[] END"
+
+
+@query("fn_migrate_settings", with_views("ev", then=f"SELECT event_id, {_METHOD} AS method, {_LIST} AS hz, CASE {_KIND} WHEN 0 THEN CASE WHEN {_OLD} THEN CAST(50 AS DOUBLE) END WHEN 1 THEN {_HZ} WHEN 2 THEN {_HZ} WHEN 3 THEN {_HZ} END AS first_hz, {_KIND} = 3 AS all_harmonics, CASE {_KIND} WHEN 2 THEN CAST(12.5 AS DOUBLE) WHEN 4 THEN -1 WHEN 6 THEN NULL ELSE 30 END AS quality, {_KIND} BETWEEN 1 AND 5 AS show_filtered FROM ev"))
+def fn_migrate_settings(spark, sf_dir):
+    s = F.col("s")
+    rows = numbered(spark, sf_dir, _settings().alias("s"))
+    return rows.select("event_id", s["line_noise_method"].alias("method"), s["line_noise_frequencies_hz"].alias("hz"), s["line_noise_hz"].alias("first_hz"), s["regression_all_harmonics"].alias("all_harmonics"), s["notch_quality"].alias("quality"), s["show_filtered"].alias("show_filtered"))
+
+
+@query("filter_settings_valid", with_views("ev", then=f"SELECT event_id, CASE {_KIND} WHEN 4 THEN 'quality' WHEN 6 THEN 'method,quality,overlap' ELSE '' END AS broken FROM ev"))
+def filter_settings_valid(spark, sf_dir):
+    return numbered(spark, sf_dir, _settings().alias("s")).select("event_id", F.array_join(S.problems(F.col("s")), ",").alias("broken"))
+
+
+_TEXTS = f"CASE {_KIND} WHEN 1 THEN 'Filtered: bandpass off (low 1 Hz, high 100 Hz), notch ' || {_HZ} || ' Hz (Q=30)' WHEN 2 THEN 'Filtered: bandpass off (low 1 Hz, high 100 Hz), notch ' || {_HZ} || ', 120.5 Hz (Q=12.5)' WHEN 3 THEN 'Filtered: bandpass off (low 1 Hz, high 100 Hz), sinusoidal regression ' || {_HZ} || ' Hz, 4 s, 50% overlap, all harmonics below Nyquist' WHEN 4 THEN 'Filtered: bandpass off (low 1 Hz, high 100 Hz), line-noise removal off' WHEN 5 THEN 'Filtered: bandpass ' || printf('%g', CAST('0.' || user_id AS DOUBLE)) || '-100 Hz, line-noise removal off' ELSE 'Raw' END"
+
+
+@query("fn_filter_description", with_views("ev", then=f"SELECT event_id, {_TEXTS} AS description FROM ev"))
+def fn_filter_description(spark, sf_dir):
+    return numbered(spark, sf_dir, _settings().alias("s")).select("event_id", S.describe(F.col("s")).alias("description"))
+
+
+@query("fn_settings_for_view", with_views("ev", then="SELECT event_id, user_id % 2 = 0 AS show_filtered, CASE WHEN event_id % 8 = 6 THEN CAST(1.5 AS DOUBLE) ELSE 0.5 END AS overlap FROM ev"))
+def fn_settings_for_view(spark, sf_dir):
+    seen = S.for_view(F.when(F.col("event_id") % 5 != 0, _settings()).otherwise(F.when(F.col("event_id") % 8 == 6, _settings())), F.col("user_id") % 2 == 0)
+    return numbered(spark, sf_dir, seen.alias("s")).select("event_id", "s.show_filtered", F.col("s.regression_overlap").alias("overlap"))
+
+
+@query("fn_notch_options", with_views("ev", then=f"SELECT event_id, {_LIST} AS frequencies_hz, CASE {_KIND} WHEN 2 THEN CAST(12.5 AS DOUBLE) ELSE 30 END AS quality_factor FROM ev WHERE {_KIND} IN (1, 2)"))
+def fn_notch_options(spark, sf_dir):
+    return numbered(spark, sf_dir, _settings().alias("s")).select("event_id", S.notch_options(F.col("s")).alias("o")).where("o is not null").select("event_id", "o.*")
+
+
+@query("fn_settings_from_text", with_views("ev", then=f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'notch' ELSE 'regression' END AS method, CASE WHEN event_id % 3 = 0 THEN []::DOUBLE[] ELSE [{_HZ}, 1000]::DOUBLE[] END AS hz, CASE WHEN event_id % 3 <> 0 THEN CAST({_HZ} AS DOUBLE) END AS first_hz, (user_id % 100) / 100 AS overlap FROM ev"))
+def fn_settings_from_text(spark, sf_dir):
+    hz = (F.col("user_id") + 40).cast("string")
+    method = F.get(F.array(*map(F.lit, S.METHODS)), (F.col("event_id") % 3).cast("int"))
+    made = S.from_controls(filtered=F.lit(True), bandpass=F.lit(False), low_hz=F.lit(1.0), high_hz=F.lit(90.0), method=method, frequency_text=F.concat(hz, F.lit(", 1000; "), hz), quality=F.lit(30.0), window_sec=F.lit(4.0), overlap_percent=F.col("user_id") % 100, all_harmonics=F.lit(False))
+    s = F.col("s")
+    return numbered(spark, sf_dir, made.alias("s")).select("event_id", s["line_noise_method"].alias("method"), s["line_noise_frequencies_hz"].alias("hz"), s["line_noise_hz"].alias("first_hz"), s["regression_overlap"].alias("overlap"))
+
+
+@query("scan_video_meta", with_views("ev", then="""SELECT event_id, 'cam' || user_id || CASE WHEN event_id % 3 = 0 THEN '.MP4' WHEN event_id % 3 = 1 THEN '.avi' ELSE '' END AS filename, CASE event_id % 3 WHEN 0 THEN 'mp4' WHEN 1 THEN 'avi' ELSE '' END AS file_format, CASE WHEN event_id % 7 = 0 THEN 'unknown' WHEN event_id % 7 = 1 THEN 'XV' ELSE 'avc1' END AS codec,
+CAST(event_id % 3 * 640 AS INTEGER) AS width, CAST(event_id % 5 * 240 AS INTEGER) AS height, CAST(event_id % 4 * 15 AS DOUBLE) AS detected_fps, CAST(CASE WHEN event_id % 4 = 0 THEN 30 ELSE event_id % 4 * 15 END AS DOUBLE) AS using_fps, CAST(user_id AS BIGINT) AS total_frames, CASE WHEN event_id % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE user_id / (event_id % 4 * 15) END AS detected_duration_sec, CASE WHEN event_id % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE user_id / (event_id % 4 * 15) END AS duration_sec FROM ev"""))
+def scan_video_meta(spark, sf_dir):
+    """A decoder's facts, a row a video, as the library shows them."""
+    i = F.col("event_id")
+    path = F.concat(F.lit("/videos/cam"), F.col("user_id").cast("string"), F.when(i % 3 == 0, ".MP4").when(i % 3 == 1, ".avi").otherwise(""))
+    avc1, xv = (sum(ord(c) << 8 * k for k, c in enumerate(code)) for code in ("avc1", "XV  "))
+    codec = F.when(i % 7 == 0, L(0)).when(i % 7 == 1, L(xv)).otherwise(L(avc1))
+    facts = V.metadata(path, F.when(i % 3 != 0, i % 3 * 640), i % 5 * 240, i % 4 * 15, F.col("user_id"), codec)
+    return numbered(spark, sf_dir, *(c.alias(n) for n, c in facts.items()))

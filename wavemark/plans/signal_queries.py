@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import settings as X
-from ..operators import signal_blocks as B, windows as W
+from ..operators import led as D, markers as M, signal_blocks as B, windows as W
 from ..operators.dsp import Settings
-from ..sources import adapters as A, project as P, signal_csv as C
-from ..sources.adapters import RATE_HZ
+from ..sources import adapters as A, project as P, signal_csv as C, ttl
+from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
 from ..streaming import monitor
 from .registry import query
@@ -41,40 +42,53 @@ def one_row(spark, **values) -> DataFrame:
     return spark.createDataFrame([(k, json.dumps(v)) for k, v in values.items()], "name string, value string")
 
 
-@query("scan_signal_meta")
+_META = """VALUES ('channels', '[2, 5, 260, 8, 13]'), ('sample_rates', '[1000.0, 1000.0, 1000.0, 1000.0, 1000.0]'), ('header_row', '3'), ('data_column_count', '6'), ('time_unit', '"s"'), ('value_unit', '"uV"')"""
+
+
+@query("scan_signal_meta", f"SELECT * FROM ({_META}) AS t(name, value)")
 def scan_signal_meta(spark, sf_dir):
     return one_row(spark, **C.metadata(spark, recording(spark, sf_dir)))
 
 
-@query("scan_signal_info")
+@query("scan_signal_info", f"SELECT * FROM ({_META}, ('channel_count', '5')) AS t(name, value)")
 def scan_signal_info(spark, sf_dir):
     found = C.info(spark, recording(spark, sf_dir))
     return one_row(spark, **{k: v for k, v in found.items() if k not in ("path", "filename")})
 
 
-@query("scan_signal_units")
+@query("scan_signal_units", "SELECT 'value_unit' AS name, '\"uV\"' AS value")
 def scan_signal_units(spark, sf_dir):
     return one_row(spark, value_unit=C.metadata(spark, recording(spark, sf_dir))["value_unit"])
 
 
-@query("scan_data_header")
+@query("scan_data_header", "SELECT 3 AS header_row, 6 AS columns")
 def scan_data_header(spark, sf_dir):
     return spark.createDataFrame([C.data_header(spark, recording(spark, sf_dir))], "header_row long, columns long")
 
 
-@query("scan_signal_frame")
+#: The recording's rows: as long as the longest channel, a column a channel.
+_REC = "rc AS (SELECT sample_index AS k, " + ", ".join(f"any_value(CASE WHEN channel = {k} THEN CAST(CAST(value AS FLOAT) AS DOUBLE) END) AS channel_{c}" for k, c in enumerate(IDS, 1)) + " FROM samples GROUP BY sample_index)"
+
+
+@query("scan_signal_frame", with_views("samples", more=_REC, then='SELECT k AS "row", CAST(k * 1000 AS DOUBLE) AS time_us, round(channel_5, 4) AS channel_5, round(channel_260, 4) AS channel_260 FROM rc'))
 def scan_signal_frame(spark, sf_dir):
-    return C.read(spark, recording(spark, sf_dir), [5, 260])
+    return C.read(spark, recording(spark, sf_dir), [5, 260]).select("row", "time_us", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in ("channel_5", "channel_260")))
 
 
-@query("scan_signal_convert")
+@query("scan_signal_convert", with_views("samples", more=_REC, then=" UNION ALL ".join(f"SELECT CAST({c} AS INTEGER) AS channel, k AS sample_index, CAST(k * 1000 AS DOUBLE) AS time_us, round(channel_{c}, 4) AS value FROM rc" for c in IDS)))
 def scan_signal_convert(spark, sf_dir):
-    return C.checked(C.to_long(C.read(spark, recording(spark, sf_dir))))
+    return C.checked(C.to_long(C.read(spark, recording(spark, sf_dir)))).withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
 @query("scan_chunks_pyarrow")
 def scan_chunks_pyarrow(spark, sf_dir):
-    """Spark's own splits are the chunks: rows and times of each."""
+    """Spark's own splits of the file are the chunks: where each begins, its rows and times. They follow from the session's split size."""
+    return C.chunks(spark, recording(spark, sf_dir))
+
+
+@query("scan_chunks_pandas", with_views("samples", more=_REC, then="SELECT k // 500 AS chunk, count(*) AS n, CAST(min(k) * 1000 AS DOUBLE) AS first_us, CAST(max(k) * 1000 AS DOUBLE) AS last_us FROM rc GROUP BY ALL"))
+def scan_chunks_pandas(spark, sf_dir):
+    """Chunks of 500 rows, whatever the splits."""
     rows = C.read(spark, recording(spark, sf_dir))
     return rows.groupBy(F.floor(F.col("row") / 500).alias("chunk")).agg(F.count("*").alias("n"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"))
 
@@ -85,12 +99,16 @@ def stored(spark, sf_dir) -> str:
     return path
 
 
-@query("sink_signal_store")
+_SIZES = "sz AS (SELECT channel, count(*) AS n FROM samples GROUP BY channel), ln AS (SELECT max(n) AS whole FROM sz)"
+_IDS = "CASE channel " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(IDS, 1)) + " END"
+
+
+@query("sink_signal_store", with_views("samples", more=_SIZES, then=f"SELECT {_IDS} AS channel, whole AS n, n AS with_value FROM sz, ln"))
 def sink_signal_store(spark, sf_dir):
     return spark.read.parquet(stored(spark, sf_dir)).groupBy("channel").agg(F.count("*").alias("n"), F.count("value").alias("with_value"))
 
 
-@query("filter_cache_valid")
+@query("filter_cache_valid", with_views("samples", more=_SIZES, then=f"SELECT {_IDS} AS channel, whole AS n, true AS valid FROM sz, ln UNION ALL SELECT 999, 0, false"))
 def filter_cache_valid(spark, sf_dir):
     path = recording(spark, sf_dir)
     store, rows = fresh_path(spark, "signal-store"), C.read(spark, path)
@@ -98,135 +116,88 @@ def filter_cache_valid(spark, sf_dir):
     return C.stored_valid(spark, store, [*IDS, 999], rows.count())
 
 
-@query("sink_ttl_csv")
+@query("sink_ttl_csv", with_views("markers", then="SELECT 'marker_index,local_time(us),local_time,record_time(us),record_time' AS line UNION ALL SELECT k || ',' || 1722384000000000 + us || ',' || strftime(make_timestamp(1722384000000000 + us) + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || ',' || us || ',' || printf('%02d:%02d:%02d.%06d', us // 3600000000, us // 60000000 % 60, us // 1000000 % 60, us % 1000000) FROM (SELECT row_number() OVER (ORDER BY seq) AS k, CAST(round_even(time_sec * 1000000, 0) AS BIGINT) AS us FROM markers WHERE kind = 'ttl')"))
 def sink_ttl_csv(spark, sf_dir):
-    """Written as CSV and read back by the TTL reader."""
-    from ..sources import ttl
-
-    rows = A.markers(spark, sf_dir).where("kind = 'ttl'").withColumn("us", F.rint(F.col("time_sec") * 1e6).cast("long"))
-    path = fresh_path(spark, "ttl")
-    rows.select((F.lit(1_722_384_000_000_000) + F.col("us")).alias("local_time(us)"), F.col("us").alias("record_time(us)")).write.csv(path, header=True)
-    return ttl.read(spark, path)
-
-
-@query("scan_video_meta")
-def scan_video_meta(spark, sf_dir):
-    """A decoder's facts as columns: the frame rate used (30 where none is detected) and the duration."""
-    facts = A.events(spark, sf_dir).select("event_id", (F.col("event_id") % 4 * 15).cast("double").alias("fps"), F.col("user_id").alias("frames"))
-    used = F.when(F.col("fps") > 0, F.col("fps")).otherwise(30.0)
-    return facts.select("event_id", used.alias("using_fps"), F.when(used > 0, F.col("frames") / used).alias("duration_sec"))
+    """One CSV file, numbered in the table's order; its lines are read back."""
+    us = F.rint(F.col("time_sec") * 1e6).cast("long")
+    rows = A.markers(spark, sf_dir).where("kind = 'ttl'").select("seq", (F.lit(1_722_384_000_000_000) + us).alias("local_us"), us.alias("us"))
+    path = fresh_path(spark, "ttl") + ".csv"
+    ttl.write(M.number_rows(rows, F.floor(F.col("seq") / 100_000), ["seq"], "marker_index"), path)
+    return spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
 
 
-@query("scan_led_brightness_cpu")
-def scan_led_brightness_cpu(spark, sf_dir):
-    """Frames as pixel arrays: stride, 8-bit grey, mean."""
-    pixels = A.events(spark, sf_dir).groupBy(F.floor(F.col("event_id") / 50).alias("frame_index")).agg(F.collect_list((F.col("event_id") % 256).cast("double")).alias("b"), F.collect_list((F.col("user_id") % 256).cast("double")).alias("r"))
-    grey = F.zip_with("b", "r", lambda b, r: F.rint(0.701 * b + 0.299 * r))
-    mean = F.aggregate(grey, F.lit(0.0), lambda a, x: a + x) / F.size("b") / 255
-    return pixels.where("frame_index % 2 = 0").select("frame_index", mean.alias("brightness"))
+_KEYED = """ky AS (SELECT event_id, event_type, 'v' || user_id % 50 AS path, CASE WHEN event_id % 4 <> 0 THEN event_id % 3 END AS x, event_id % 4 * 90 AS rotation, event_id % 2 * 30 AS fps, 0 AS a, 100 * (event_id % 2) AS b, greatest(CAST(round_even(event_id % 2 * 30 * 2 / 3.0, 0) AS BIGINT), 1) AS step FROM ev)"""
 
 
-@query("scan_led_cache")
+@query("scan_led_cache", with_views("ev", more=_KEYED, then="SELECT event_id FROM ky a WHERE event_type <> 'view' AND EXISTS (SELECT 1 FROM ky b WHERE event_type = 'view' AND a.path = b.path AND a.x IS NOT DISTINCT FROM b.x AND a.rotation = b.rotation AND a.fps = b.fps AND a.b = b.b)"))
 def scan_led_cache(spark, sf_dir):
-    """Every event's curve is looked up by the struct of what it was made from, among the curves of all events."""
-    key = F.struct((F.col("user_id") % 3).alias("roi"), (F.col("user_id") % 2).alias("rotation"), F.lit(30.0).alias("fps"))
-    known = A.events(spark, sf_dir).select(key.alias("key"), "event_id")
-    return known.join(known.select("key").distinct(), "key", "left_semi").select("event_id")
+    """Which requests (all events but views) find a curve made before (the views): by path, region, rotation, rate, range and step."""
+    i = F.col("event_id")
+    fps = (i % 2 * 30).cast("double")
+    roi = F.when(i % 4 != 0, F.struct((i % 3).alias("x"), F.lit(2).alias("y"), F.lit(8).alias("width"), F.lit(8).alias("height")))
+    keyed = D.with_cache_key(A.events(spark, sf_dir), path=F.concat(F.lit("v"), (F.col("user_id") % 50).cast("string")), roi=roi, rotation=i % 4 * 90, fps=fps, start=F.lit(0), end=i % 2 * 100)
+    return D.cached(keyed.where("event_type <> 'view'"), keyed.where("event_type = 'view'")).select("event_id")
 
 
 def archive(spark, sf_dir) -> str:
     path = fresh_path(spark, "project") + ".zip"
-    n = A.markers(spark, sf_dir).where("kind = 'ttl'").count()
-    P.save(spark, path, {"version": P.VERSION, "sources": {}}, {"data": {"line_noise_hz": 60.0, "ttl": n}, "sync": {"mode": "auto", "offset": 99.0}})
+    m = A.markers(spark, sf_dir)
+    P.save_project(spark, path, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"], {"data": {"line_noise_hz": 60.0}, "sync": {"mode": "auto", "offset": 99.0}}, m)
     return path
 
 
-@query("scan_project")
+_MIGRATED = '{"show_filtered": false, "bandpass_enabled": false, "bandpass_low_hz": 1.0, "bandpass_high_hz": 100.0, "line_noise_hz": 60.0, "notch_quality": 30.0, "line_noise_method": "notch", "regression_window_seconds": 4.0, "regression_overlap": 0.5, "regression_harmonics": 1, "regression_all_harmonics": false, "line_noise_frequencies_hz": [60.0]}'
+
+
+@query("scan_project", f"SELECT 'version' AS name, '3' AS value UNION ALL SELECT 'settings', '{_MIGRATED}'")
 def scan_project(spark, sf_dir):
     manifest, state = P.load(spark, archive(spark, sf_dir))
     return one_row(spark, version=manifest["version"], settings=state["data"]["lfp_filter_settings"])
 
 
-@query("sink_project")
+@query("sink_project", "SELECT true AS written")
 def sink_project(spark, sf_dir):
     return spark.read.format("binaryFile").load(archive(spark, sf_dir)).select((F.col("length") > 0).alias("written"))
 
 
-@query("scan_project_restore")
-def scan_project_restore(spark, sf_dir):
-    """The stored offset isn't trusted: it follows from the markers again."""
-    from ..operators import markers as M
+_PAIR = "tt AS (SELECT min(time_sec) AS t, arg_min(marker_id, (time_sec, seq)) AS id FROM markers WHERE kind = 'ttl'), vv AS (SELECT min(time_sec) AS t, arg_min(marker_id, (time_sec, seq)) AS id FROM markers WHERE kind = 'led_on')"
+
 
-    P.load(spark, archive(spark, sf_dir))
-    return M.sync(A.markers(spark, sf_dir)).select("ttl_id", "video_id", "offset_sec")
+@query("scan_project_restore", with_views("markers", more=_PAIR, then="SELECT (SELECT count(*) FROM markers) AS markers, 'notch' AS method, tt.id AS ttl_id, vv.id AS video_id, vv.t - tt.t AS offset_sec FROM tt, vv"))
+def scan_project_restore(spark, sf_dir):
+    """Sources checked, markers and settings taken over; the stored offset isn't trusted and follows from the markers."""
+    markers, settings, pair = P.restore(spark, archive(spark, sf_dir))
+    n = markers.agg(F.count("*").alias("markers"))
+    return n.crossJoin(pair).select("markers", F.lit(settings["line_noise_method"]).alias("method"), "ttl_id", "video_id", "offset_sec")
 
 
 @query("join_source_fingerprint")
 def join_source_fingerprint(spark, sf_dir):
-    found = P.fingerprints(spark.read.format("binaryFile").load(f"{sf_dir}/region.parquet"))
-    return P.check_sources(found, found).select("sample_sha256")
+    """The sources of a project that was saved, as they are now, against the fingerprints in it."""
+    manifest, _ = P.load(spark, archive(spark, sf_dir))
+    stored = spark.createDataFrame([(p, x["sample_sha256"]) for p, x in manifest["sources"].items()], "path string, sample_sha256 string")
+    return P.check_sources(P.fingerprints(spark, list(manifest["sources"])), stored).select("sample_sha256")
 
 
 @query("fn_fingerprint")
 def fn_fingerprint(spark, sf_dir):
-    return P.fingerprints(spark.read.format("binaryFile").load([f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet"])).select("size", "sample_sha256")
+    return P.fingerprints(spark, [f"{sf_dir}/region.parquet", f"{sf_dir}/nation.parquet", f"{sf_dir}/events.parquet"]).select("size", "sample_sha256")
 
 
-@query("fn_cache_digest")
+@query("fn_cache_digest", with_views("ev", then="""SELECT event_id, substr(sha256('{"version":1,"source":' || user_id || '}'), 1, 24) AS digest FROM ev"""))
 def fn_cache_digest(spark, sf_dir):
     body = F.to_json(F.struct(F.lit(1).alias("version"), F.col("user_id").alias("source")))
     return A.events(spark, sf_dir).select("event_id", F.substring(F.sha2(body, 256), 1, 24).alias("digest"))
 
 
-def _variants() -> list[dict]:
-    return [{}, {"line_noise_hz": 50.0}, {"line_noise_frequencies_hz": [60.0, 120.0], "show_filtered": True}, {"regression_harmonics": 3, "line_noise_method": "regression", "line_noise_hz": 60.0, "show_filtered": True}, {"notch_quality": -1.0}, {"line_noise_method": "none", "bandpass_enabled": True, "show_filtered": True}]
-
-
-def _each(spark, f) -> DataFrame:
-    return spark.createDataFrame([(k, json.dumps(f(X.migrate(v)))) for k, v in enumerate(_variants())], "variant int, value string")
-
-
-@query("fn_migrate_settings")
-def fn_migrate_settings(spark, sf_dir):
-    return _each(spark, lambda s: s)
-
-
-@query("filter_settings_valid")
-def filter_settings_valid(spark, sf_dir):
-    return _each(spark, X.problems)
-
-
-@query("fn_filter_description")
-def fn_filter_description(spark, sf_dir):
-    return _each(spark, X.describe)
-
-
-@query("fn_settings_for_view")
-def fn_settings_for_view(spark, sf_dir):
-    return _each(spark, lambda s: X.for_view(s, True))
-
-
-@query("fn_notch_options")
-def fn_notch_options(spark, sf_dir):
-    return _each(spark, X.notch_options)
-
-
-@query("fn_settings_from_text")
-def fn_settings_from_text(spark, sf_dir):
-    made = [X.from_controls(filtered=True, bandpass=False, low_hz=1.0, high_hz=90.0, method=m, frequency_text="60, 120; 60", quality=30.0, window_sec=4.0, overlap_percent=50.0, all_harmonics=False) for m in X.METHODS]
-    return spark.createDataFrame([(s["line_noise_method"], json.dumps(s)) for s in made], "method string, value string")
-
-
-@query("fn_led_status")
-def fn_led_status(spark, sf_dir):
-    status = X.led_status(2, 0, 900, 46, 0.0123456, 1.5)
-    return spark.createDataFrame(list(enumerate(X.short_status(status))), "ord int, part string")
-
-
-@query("fn_validate_project")
+@query("fn_validate_project", with_views("markers", then="SELECT seq, CASE WHEN seq % 100 = 0 THEN 'kind' WHEN seq % 101 = 0 THEN 'domain' WHEN seq % 103 = 0 THEN 'time' WHEN seq % 107 = 0 OR domain = 'record' AND seq % 4 = 0 THEN 'frame' ELSE 'id' END AS broken FROM markers WHERE seq % 100 = 0 OR seq % 101 = 0 OR seq % 103 = 0 OR seq % 107 = 0 OR domain = 'record' AND seq % 4 = 0 OR seq % 109 = 0"))
 def fn_validate_project(spark, sf_dir):
+    """Markers with unknown kinds, no domain, times that aren't finite, wrong frames and empty ids."""
+    n = F.col("seq")
     m = A.markers(spark, sf_dir)
-    return P.bad_markers(m.withColumn("kind", F.when(F.col("seq") % 100 == 0, "odd").otherwise(F.col("kind")))).select("marker_id", "broken")
+    frame = F.when(n % 107 == 0, -1).when((F.col("domain") == "record") & (n % 4 == 0), 5).otherwise(F.col("frame_index"))
+    bad = m.withColumns({"frame_index": frame, "kind": F.when(n % 100 == 0, "odd").otherwise(F.col("kind")), "domain": F.when(n % 101 != 0, F.col("domain")), "time_sec": F.when(n % 103 == 0, float("nan")).otherwise(F.col("time_sec")), "marker_id": F.when(n % 109 == 0, "").otherwise(F.col("marker_id"))})
+    return P.bad_markers(bad).select("seq", "broken")
 
 
 @query("sp_prepare")
@@ -292,9 +263,16 @@ def sp_psd(spark, sf_dir):
     return B.psd(samples(spark, sf_dir), RATE_HZ)
 
 
-@query("agg_welch_mean")
+#: Half-overlapping segments of 256 samples (all, where there are fewer) and their discrete Fourier transform, written out.
+_DFT = """sn AS (SELECT channel, count(*) AS n, least(count(*), 256) AS z, least(count(*), 256) - least(count(*), 256) // 2 AS hop FROM samples GROUP BY channel HAVING count(*) >= 8),
+sg AS (SELECT s.channel, z, k, sample_index - k * hop AS j, value FROM samples s JOIN sn ON s.channel = sn.channel, LATERAL (SELECT unnest(range(greatest(sample_index // hop - 2, 0), sample_index // hop + 1)) AS k) WHERE sample_index - k * hop < z AND k * hop + z <= n),
+dm AS (SELECT channel, z, k, j, (value - avg(value) OVER (PARTITION BY channel, k)) * (0.5 - 0.5 * cos(2 * pi() * j / z)) AS x FROM sg),
+ft AS (SELECT channel, z, k, f, sum(x * cos(2 * pi() * f * j / z)) AS re, sum(x * sin(2 * pi() * f * j / z)) AS im FROM dm, range(0, 129) AS t(f) WHERE f <= z // 2 GROUP BY ALL)"""
+
+
+@query("agg_welch_mean", with_views("samples", more=_DFT, then="SELECT channel, f AS bin, round(f * (1000 / z), 9) AS freq, round(avg((re * re + im * im) / (375.0 * z) * CASE WHEN f = 0 OR 2 * f = z THEN 1 ELSE 2 END), 6) AS power FROM ft GROUP BY channel, f, z"))
 def agg_welch_mean(spark, sf_dir):
-    return B.psd(samples(spark, sf_dir), RATE_HZ, most=256)
+    return B.psd(samples(spark, sf_dir), RATE_HZ, most=256).withColumn("power", F.round("power", 6)).withColumn("freq", F.round("freq", 9))
 
 
 @query("sp_spectrogram")
@@ -354,22 +332,76 @@ def _drained(spark, stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-@query("st_carry_last")
+_STREAMED = "gp AS (SELECT *, time_us - lag(time_us) OVER (PARTITION BY channel ORDER BY sample_index) AS g FROM samples_dirty)"
+
+
+@query("st_carry_last", with_views("samples_dirty", more=_STREAMED, then="SELECT channel, count(*) AS n, count_if(g = 0) AS duplicates, count_if(g <> 0 AND g <> 1000) AS discontinuities, arg_max(time_us, sample_index) AS last_us FROM gp GROUP BY channel"))
 def st_carry_last(spark, sf_dir):
     stream, _ = _stream(spark, sf_dir)
     found = _drained(spark, monitor.gap_counts(stream, 1000.0), "update", "gaps")
     return found.groupBy("channel").agg(F.max_by(F.struct("n", "duplicates", "discontinuities", "last_us"), "batch").alias("s")).select("channel", "s.*")
 
 
-@query("st_monotonic")
+@query("st_monotonic", with_views("samples_dirty", then="SELECT channel, count(*) AS n FROM samples_dirty GROUP BY channel"))
 def st_monotonic(spark, sf_dir):
     stream, _ = _stream(spark, sf_dir)
-    return _drained(spark, monitor.gap_counts(stream, 1000.0, strict=True), "update", "monotonic").select("channel", "n")
+    return _drained(spark, monitor.gap_counts(stream, 1000.0, strict=True), "update", "monotonic").groupBy("channel").agg(F.max("n").alias("n"))
 
 
-@query("st_incremental_publish")
+@query("st_incremental_publish", with_views("samples_dirty", then="SELECT channel, count(*) AS n FROM samples_dirty WHERE sample_index % 5 = 0 GROUP BY channel"))
 def st_incremental_publish(spark, sf_dir):
     stream, _ = _stream(spark, sf_dir)
     path = fresh_path(spark, "published")
     monitor.publish(stream, path, 5, fresh_path(spark, "published-state")).awaitTermination()
     return spark.read.parquet(path).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("st_tumbling", with_views("samples_dirty", then="SELECT channel, CAST(floor(time_us / 3600e6) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM samples_dirty GROUP BY ALL"))
+def st_tumbling(spark, sf_dir):
+    """A stream in windows of an hour of event time; each window's last update counts."""
+    stream, _ = _stream(spark, sf_dir)
+    found = _drained(spark, monitor.tumbling(stream, "1 hour", "40 days"), "update", "tumbling")
+    last = found.groupBy("channel", "window").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
+    return last.select("channel", F.floor(F.unix_micros("window.start") / 3_600_000_000).alias("hour"), "s.n", F.round("s.total", 6).alias("total"))
+
+
+@query("st_progress", with_views("samples_dirty", then="SELECT CAST(0 AS DOUBLE) AS first_fraction, CAST(1 AS DOUBLE) AS last_fraction, true AS rising"))
+def st_progress(spark, sf_dir):
+    """The fractions that a stream over the whole table reports."""
+    stream, path = _stream(spark, sf_dir)
+    seen: list[float] = []
+    listener = monitor.Progress(spark.read.parquet(path).count(), seen.append)
+    spark.streams.addListener(listener)
+    try:
+        _drained(spark, stream.select("channel"), "append", "progress")
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        for _ in range(100):  # the last event comes through its own bus
+            if seen[-1:] == [1.0]:
+                break
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(seen[0], seen[-1], seen == sorted(seen))], "first_fraction double, last_fraction double, rising boolean")
+
+
+@query("st_cancel", "SELECT true AS cancelled, false AS written")
+def st_cancel(spark, sf_dir):
+    """A write that is cancelled while it runs leaves no table."""
+    out, tag, ended = fresh_path(spark, "cancelled"), "cancelled-" + fresh_path(spark, "")[-8:], []
+    slow = A.events(spark, sf_dir).repartition(8).mapInArrow(monitor.slowly, "event_id long")
+
+    def job() -> None:
+        try:
+            slow.write.parquet(out)
+        except Exception as e:  # how Spark tells a cancelled job
+            ended.append(str(e))
+
+    thread = InheritableThread(monitor.cancellable(spark, tag, job), session=spark)
+    thread.start()
+    while thread.is_alive():
+        time.sleep(0.2)
+        spark.sparkContext.cancelJobsWithTag(tag)
+    thread.join()
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out + "/_SUCCESS")
+    done = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return spark.createDataFrame([(bool(ended), done)], "cancelled boolean, written boolean")

@@ -6,36 +6,49 @@ import hashlib
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import settings as S
+from ..operators.markers import sync
+from .files import replacing
 
 #: Version and limits of project files, and the bytes a fingerprint reads at each place.
 VERSION, MOST_MANIFEST, MOST_STATE, SAMPLE = 3, 1 << 20, 256 << 20, 1 << 20
 
 
-def fingerprint_of(content: bytes) -> str:
-    """SHA-256 over the size as text, then at the start, middle and end: the offset (8 bytes, little end first) and 1 MiB."""
-    size = len(content)
-    places = {0} | ({(size - SAMPLE) // 2, size - SAMPLE} if size > SAMPLE else set())
+def _places(size: int) -> list[int]:
+    """Where a fingerprint's samples begin: at the start, in the middle and at the end of a file longer than one."""
+    return sorted({0} | ({(size - SAMPLE) // 2, size - SAMPLE} if size > SAMPLE else set()))
+
+
+def fingerprint_of(size: int, read: Callable[[int, int], bytes]) -> str:
+    """SHA-256 over the size as text, then of each sample the offset (8 bytes, little end first) and 1 MiB; `read` is (offset, length)."""
     out = hashlib.sha256(str(size).encode())
-    for at in sorted(places):
-        out.update(at.to_bytes(8, "little") + content[at : at + SAMPLE])
+    for at in _places(size):
+        out.update(at.to_bytes(8, "little") + read(at, min(SAMPLE, size - at)))
     return out.hexdigest()
 
 
-def fingerprints(files: DataFrame) -> DataFrame:
-    """path, size, sample_sha256 of a binaryFile table."""
+def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, size, sample_sha256 of a project's few source files: of each, three ranges are read and nothing else."""
+    jvm, found = spark.sparkContext._jvm, []
+    for path in paths:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        size = fs.getFileStatus(target).getLen()
+        stream = fs.open(target)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [fingerprint_of(x.as_py() or b"") for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.as_py() or b"") for x in b.column(1)], pa.int64()), pa.array(found, pa.string())], names=["path", "size", "sample_sha256"])
+        def read(at: int, length: int, stream=stream) -> bytes:
+            stream.seek(at)
+            return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, length)) if length else b""
 
-    return files.select("path", "content").mapInArrow(run, "path string, size long, sample_sha256 string")
+        try:
+            found.append((path, size, fingerprint_of(size, read)))
+        finally:
+            stream.close()
+    return spark.createDataFrame(found, "path string, size long, sample_sha256 string")
 
 
 def check_sources(found: DataFrame, stored: DataFrame) -> DataFrame:
@@ -54,14 +67,8 @@ def save(spark: SparkSession, path: str, manifest: dict, state: dict) -> None:
             if len(text.encode()) > most:
                 raise ValueError(f"{name} is too large")
             z.writestr(name, text)
-    jvm = spark.sparkContext._jvm
-    target, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".part")
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stream = fs.create(part, True)
-    stream.write(bytearray(out.getvalue()))
-    stream.close()
-    fs.delete(target, False)
-    fs.rename(part, target)
+    with replacing(spark, path) as stream:
+        stream.write(bytearray(out.getvalue()))
 
 
 def load(spark: SparkSession, path: str) -> tuple[dict, dict]:
@@ -77,11 +84,37 @@ def load(spark: SparkSession, path: str) -> tuple[dict, dict]:
     if manifest.get("version") != VERSION:
         raise ValueError(f"version {manifest.get('version')} can't be read")
     data = dict(state.get("data") or {})
-    legacy = data.pop("line_noise_hz", ...)
-    data["lfp_filter_settings"] = S.migrate(data.get("lfp_filter_settings"), legacy)
+    legacy = data.pop("line_noise_hz", None)
+    given = data.get("lfp_filter_settings")
+    row = spark.createDataFrame([(None if given is None else json.dumps(given), legacy)], "given string, legacy double")
+    data["lfp_filter_settings"] = json.loads(row.select(S.to_json(S.migrate(F.col("given"), F.col("legacy")))).first()[0])
     return manifest, state | {"data": data}
 
 
+MARKER_SCHEMA = "marker_id string, seq long, kind string, source string, domain string, time_sec double, frame_index long, note string"
+
+
+def save_project(spark: SparkSession, path: str, sources: list[str], state: dict, markers: DataFrame) -> None:
+    """The archive, with the fingerprints of its sources, and its markers as a table beside it (`<path>.markers`)."""
+    names = [x.split()[0] for x in MARKER_SCHEMA.split(", ")]
+    markers.select(*names).write.mode("overwrite").parquet(path + ".markers")
+    found = {r.path: {"size": r.size, "sample_sha256": r.sample_sha256} for r in fingerprints(spark, sources).collect()}
+    save(spark, path, {"version": VERSION, "sources": found}, state)
+
+
+def restore(spark: SparkSession, path: str) -> tuple[DataFrame, dict, DataFrame]:
+    """(markers, settings, sync): sources checked first, markers replaced as a whole, the offset taken from the markers.
+
+    A source that is gone or isn't the file that was saved is an error. What the archive says about the offset and
+    origins isn't trusted: they follow from the markers.
+    """
+    manifest, state = load(spark, path)
+    stored = spark.createDataFrame([(p, x["sample_sha256"]) for p, x in manifest["sources"].items()], "path string, sample_sha256 string")
+    check_sources(fingerprints(spark, list(manifest["sources"])), stored).collect()  # a few rows, or an error
+    markers = spark.read.schema(MARKER_SCHEMA).parquet(path + ".markers")
+    return markers, state["data"]["lfp_filter_settings"], sync(markers)
+
+
 def bad_markers(markers: DataFrame) -> DataFrame:
     """Rows that break a rule, with the first rule broken; a table without rows here is valid."""
     rules = {

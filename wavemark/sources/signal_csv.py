@@ -5,9 +5,10 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators.blocks import ordered, with_edges
 from ..operators.markers import number_rows
 
 #: Names of the metadata rows.
@@ -89,6 +90,15 @@ def read(spark: SparkSession, path: str, channels: list[int] | None = None) -> D
     return data.select((F.col("row") - m["header_row"] - 2).alias("row"), F.col("time_us").try_cast("double").alias("time_us"), *(F.col(c).try_cast("float").alias(c) for c in wanted))
 
 
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """file_offset, n, first_us, last_us: the data rows of each split that Spark reads the file in."""
+    names = metadata(spark, path)["channels"]
+    schema = StructType([StructField(c, StringType()) for c in ("time_us", *(f"channel_{c}" for c in names))])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
+    time = F.col("time_us").try_cast("double")
+    return rows.select(F.col("_metadata.file_block_start").alias("file_offset"), time.alias("t")).where("t is not null").groupBy("file_offset").agg(F.count("*").alias("n"), F.min("t").alias("first_us"), F.max("t").alias("last_us"))
+
+
 def to_long(wide: DataFrame) -> DataFrame:
     """channel, sample_index, time_us, value."""
     names = [c for c in wide.columns if c.startswith("channel_")]
@@ -98,11 +108,10 @@ def to_long(wide: DataFrame) -> DataFrame:
 
 def checked(long: DataFrame) -> DataFrame:
     """The samples; an error where a time isn't finite or goes backwards (repeats are allowed) or a channel has under two rows."""
-    w = Window.partitionBy("channel").orderBy("sample_index")
-    before = F.lag("time_us").over(w)
-    n = F.count("*").over(Window.partitionBy("channel"))
-    bad = F.when(F.col("time_us").isNull() | F.isnan("time_us") | (F.abs("time_us") == float("inf")), "a time isn't finite").when(F.col("time_us") < before, "times go backwards").when(n < 2, "under two samples")
-    return long.withColumn("time_us", F.when(bad.isNotNull(), F.raise_error(bad).cast("double")).otherwise(F.col("time_us")))
+    rows = with_edges(long, 1, 0).withColumn("_before", F.lag("time_us").over(ordered(["channel"], "sample_index"))).where("_own")
+    rows = rows.join(F.broadcast(long.groupBy("channel").agg(F.count("*").alias("_n"))), "channel")  # a row a channel
+    bad = F.when(F.col("time_us").isNull() | F.isnan("time_us") | (F.abs("time_us") == float("inf")), "a time isn't finite").when(F.col("time_us") < F.col("_before"), "times go backwards").when(F.col("_n") < 2, "under two samples")
+    return rows.withColumn("time_us", F.when(bad.isNotNull(), F.raise_error(bad).cast("double")).otherwise(F.col("time_us"))).select(*long.columns)
 
 
 def store(long: DataFrame, path: str) -> None:
@@ -113,8 +122,8 @@ def store(long: DataFrame, path: str) -> None:
 def stored_valid(spark: SparkSession, path: str, channels: list[int], rows: int) -> DataFrame:
     """channel, n, valid: whether each expected channel is stored with the expected number of rows and rising times."""
     found = spark.read.parquet(path)
-    back = F.col("time_us") < F.lag("time_us").over(Window.partitionBy("channel").orderBy("sample_index"))
-    per = found.withColumn("back", back).groupBy("channel").agg(F.count("*").alias("n"), F.count_if("back").alias("backwards"))
+    back = F.col("time_us") < F.lag("time_us").over(ordered(["channel"], "sample_index"))
+    per = with_edges(found, 1, 0).withColumn("back", back).where("_own").groupBy("channel").agg(F.count("*").alias("n"), F.count_if("back").alias("backwards"))
     wanted = spark.createDataFrame([(c,) for c in channels], "channel int")
     return wanted.join(per, "channel", "left").select("channel", F.coalesce("n", F.lit(0)).alias("n"), ((F.coalesce("n", F.lit(0)) == rows) & (F.coalesce("backwards", F.lit(1)) == 0)).alias("valid"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.time_math import record_time_parts
+from . import files
 
 #: Spellings of the record time's column, in lower case.
 RECORD_NAMES = ("record_time(us)", "recording_time(us)", "record time(us)")
@@ -41,5 +42,16 @@ def parse_rows(df: DataFrame) -> DataFrame:
     return rows.withColumns(dict(zip(names, record_time_parts(F.col("record_time")), strict=True)))
 
 
+def record_text(us: Column) -> Column:
+    """HH:MM:SS.ffffff; hours go on beyond a day."""
+    return F.format_string("%02d:%02d:%02d.%06d", *record_time_parts(us))
+
+
+def write(rows: DataFrame, path: str) -> None:
+    """marker_index, local_us and us of TTL markers as one CSV file in the order of the index."""
+    named = {"marker_index": F.col("marker_index"), "local_time(us)": F.col("local_us"), "local_time": local_text(F.col("local_us")), "record_time(us)": F.col("us"), "record_time": record_text(F.col("us"))}
+    files.write_csv(rows.select(*(c.alias(n) for n, c in named.items())), path, list(named), ["marker_index"])
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     return parse_rows(spark.read.csv(path, header=True))

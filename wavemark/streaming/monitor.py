@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GAP_SCHEMA = "channel int, n long, duplicates long, discontinuities long, last_us double"
@@ -22,17 +26,18 @@ def gap_counts(stream: DataFrame, expected_us: float, strict: bool = False) -> D
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, twice, jumps, last = state.get if state.exists else (0, 0, 0, None)
-        rows = pd.concat(list(batches)).sort_values("sample_index")
-        for t in rows["time_us"].dropna():
-            n += 1
-            if last is not None:
-                if strict and t < last:
-                    raise ValueError(f"time {t} after {last} on channel {key[0]}")
-                twice += t == last
-                jumps += t != last and t - last != expected_us
-            last = float(t)
-        state.update((n, int(twice), int(jumps), last))
-        yield pd.DataFrame({"channel": [key[0]], "n": [n], "duplicates": [int(twice)], "discontinuities": [int(jumps)], "last_us": [last]})
+        held = [(b["sample_index"].to_numpy(), b["time_us"].to_numpy(np.float64)) for b in batches]  # two numbers a row of the trigger
+        index, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        times = times[np.argsort(index, kind="stable")]
+        times = times[~np.isnan(times)]
+        if len(times):
+            steps = np.diff(times) if last is None else np.diff(times, prepend=last)
+            if strict and (steps < 0).any():
+                k = int((steps < 0).argmax()) + (last is None)
+                raise ValueError(f"time {times[k]} goes backwards on channel {key[0]}")
+            n, twice, jumps, last = n + len(times), twice + int((steps == 0).sum()), jumps + int(((steps != 0) & (steps != expected_us)).sum()), float(times[-1])
+        state.update((n, twice, jumps, last))
+        yield pd.DataFrame({"channel": [key[0]], "n": [n], "duplicates": [twice], "discontinuities": [jumps], "last_us": [last]})
 
     rows = stream.select("channel", "sample_index", "time_us")
     return rows.groupBy("channel").applyInPandasWithState(run, GAP_SCHEMA, _STATE, "update", GroupStateTimeout.NoTimeout)
@@ -53,3 +58,53 @@ def publish(stream: DataFrame, path: str, step: int, checkpoint: str):
         batch.where(F.col("sample_index") % step == 0).write.mode("overwrite").parquet(f"{path}/part={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sliding(stream: DataFrame, width: str = "60 seconds", every: str = "30 seconds", late: str = "0 seconds") -> DataFrame:
+    """Rows and sum of values per channel and overlapping window of event time (column ts)."""
+    return stream.withWatermark("ts", late).groupBy(F.window("ts", width, every), "channel").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+class Progress(StreamingQueryListener):
+    """Fractions of a known number of rows that a query has read, as its triggers end; each is handed to `report`."""
+
+    def __init__(self, total: int, report: Callable[[float], None]):
+        self.total, self.done, self.report = max(1, total), 0, report
+
+    def onQueryStarted(self, event) -> None:
+        self.report(0.0)
+
+    def onQueryProgress(self, event) -> None:
+        self.done += event.progress.numInputRows
+        self.report(min(1.0, self.done / self.total))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception is None:
+            self.report(1.0)
+
+
+def cancellable(spark: SparkSession, tag: str, job: Callable[[], None]) -> Callable[[], None]:
+    """Runs `job` under a tag; `cancelJobsWithTag(tag)` of the Spark context, from another thread, ends it.
+
+    Spark's commit protocol leaves nothing of a cancelled write that a reader could see.
+    """
+
+    def run() -> None:
+        spark.sparkContext.addJobTag(tag)
+        try:
+            job()
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+
+    return run
+
+
+def slowly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column, half a second a batch; stands for work that is worth cancelling."""
+    for batch in batches:
+        for _ in range(20):
+            time.sleep(0.5)
+            yield batch.select([0])
