@@ -56,6 +56,17 @@ def test_null_and_repeated_ids(spark):
     assert jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_very_long_texts(spark):
+    r = random.Random(5)
+    long = [f"w{r.randrange(5000)}" for _ in range(40_000)]
+    other = list(long)
+    for k in range(0, 40_000, 60):  # a changed word takes five shingles out of sixty
+        other[k] = "changed"
+    rows = [(3, " ".join(long)), (9, "\n".join(other)), (1, " ".join(long[:20_000])), (5, " ".join(long[:30_000] + other[-10:])), (7, "one " * 30_000)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[9][1] == 3 and got[1][1] == 1
+
+
 def test_divide_skip_counts_whole_overlaps():
     r = np.random.default_rng(5)
     for _ in range(40):

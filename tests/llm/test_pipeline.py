@@ -69,3 +69,64 @@ def test_empty_documents(spark, sf_dir):
     docs = spark.read.parquet(sf_dir + "/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def shingles(t):
+    words = t.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def test_every_stage_equals_a_brute_force_version(spark, sf_dir):
+    """Stage by stage on what the one before kept: decisions by the models' own scores, groups by all pairs of sets,
+    copies by rates and draws, pieces by the tokenizer."""
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from wavemark.llm import language, mixing, quality
+    from wavemark.llm.queries import domain_labels, vocabulary_file
+
+    def rows_of(df):
+        return sorted(((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in df.collect()), key=repr)
+
+    docs = spark.read.parquet(sf_dir + "/documents.parquet")
+    whole = rows_of(docs)
+    # quality
+    weights = quality.learn(docs.select("doc_id", "text"))
+    scores = {t: quality._chance(t, weights[:-1], weights[-1], quality._Shapes()) for _, t, *_ in whole}
+    good = P.Table(P.quality_stage(spark, docs, sf_dir), "t1").read()
+    want = [r for r in whole if scores[r[1]] >= 0.5]
+    assert rows_of(good) == want
+    # language
+    profiles = language.learn_profiles(good.where(~language.held_out(F.col("doc_id"))).select("doc_id", "lang", "text"))
+    judge = language.Judge(profiles, 300)
+    known = P.Table(P.language_stage(spark, good, sf_dir), "t2").read()
+    want = [r for r in want if judge(r[1])[0] != "und"]
+    assert rows_of(known) == want
+    # near duplicates
+    sets, label = [shingles(t) for _, t, *_ in want], list(range(len(want)))
+    for _ in want:
+        for a in range(len(want)):
+            for b in range(a):
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    first = {}
+    for k, r in enumerate(want):
+        if r[0] is not None and (label[k] not in first or r[0] < first[label[k]][0]):
+            first[label[k]] = r
+    one = P.Table(P.duplicate_stage(spark, known, sf_dir), "t3").read()
+    want = sorted([*first.values(), *(r for r in want if r[0] is None)], key=repr)
+    assert rows_of(one) == want
+    # mixing
+    rated = {r.doc_id: r.rate for r in mixing.mix(one, domain_labels(spark, sf_dir), P.TARGETS).collect()}
+    draws = {r.doc_id: r.d for r in one.where("doc_id is not null").select("doc_id", (F.pmod(F.xxhash64("doc_id", "text", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)).alias("d")).collect()}
+    mixed = P.Table(P.mixing_stage(spark, one, sf_dir), "t4").read()
+    copies = {r[0]: int(np.floor(rated[r[0]] + draws[r[0]])) for r in want if r[0] is not None}
+    assert [r for r in rows_of(mixed) if r[0] is not None] == sorted([r for r in want if r[0] is not None for _ in range(copies[r[0]])], key=repr)
+    assert sum(copies.values()) > 100
+    # packing
+    coder, pieces = Tokenizer.from_file(vocabulary_file()), []
+    for doc_id, t, *_ in rows_of(mixed):
+        n = len(coder.encode(t, add_special_tokens=False).ids) + 1
+        pieces += [(str(doc_id), k, at, min(2048, n - at)) for k, at in enumerate(range(0, n, 2048))]
+    got = P.packing_stage(spark, mixed, sf_dir).collect()
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length) for r in got) == sorted(pieces)

@@ -353,7 +353,8 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links), is_first (it is that id).
 
     Null and blank texts have no shingles and link with nothing. A row whose id is null gets a null component. Rows
-    that share an id count as one document with several texts. Other columns are ignored.
+    that share an id count as one document with several texts. Repeated rows are answered each, very long texts by all
+    their shingles. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -362,23 +363,33 @@ def jaccard_classes(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     first = Table(rows.mapInArrow(_signatures(words), schema), "signatures", batch=128).read()
     signatures = first.where("block is null").select("doc_id", "n", "f1", "f2")
     same = signatures.where("n > 0 and doc_id is not null").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first_id"))
-    short = _short_table(known, same, first.where("block is not null").select("block", "part", "counts"), words, percent).read()
+    held: list[Table] = []
+
+    def kept(df: DataFrame, name: str, **how) -> DataFrame:
+        """Written, and deleted at the end."""
+        held.append(Table(df, name, **how))
+        return held[-1].read()
+
+    held.append(_short_table(known, same, first.where("block is not null").select("block", "part", "counts"), words, percent))
+    short = held[-1].read()
     _release(spark)
-    shared = Table(_shared_lists(short, percent), "shared-lists", codec="lz4").read()
+    shared = kept(_shared_lists(short, percent), "shared-lists", codec="lz4")
     _release(spark)
 
-    ends = Table(_end_pairs(shared, percent), "end-pairs").read()
-    likely = Table(_plausible(ends, short, percent), "likely-pairs-1").read()
-    links = Table(_verified(likely, known, words, percent), "links-1", batch=256).read()
+    ends = kept(_end_pairs(shared, percent), "end-pairs")
+    likely = kept(_plausible(ends, short, percent), "likely-pairs-1")
+    links = kept(_verified(likely, known, words, percent), "links-1", batch=256)
     _release(spark)
-    united = Table(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components-1").read()
-    across = Table(_cross_pairs(shared, united, ends, percent), "cross-pairs").read()
-    likely = Table(_plausible(across, short, percent), "likely-pairs-2").read()
-    more = Table(_verified(likely, known, words, percent), "links-2", batch=256).read()
+    united = kept(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "components-1")
+    across = kept(_cross_pairs(shared, united, ends, percent), "cross-pairs")
+    likely = kept(_plausible(across, short, percent), "likely-pairs-2")
+    more = kept(_verified(likely, known, words, percent), "links-2", batch=256)
     _release(spark)
 
     every = links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(_shared_ids(signatures, same))
     final = Table(components(every), "components-2").read()
+    for table in held:  # what follows reads the signatures and the last components alone
+        table.drop()
     by_class = same.join(final, F.col("first_id") == F.col("node"), "left").select("f1", "f2", F.col("n").alias("m"), F.coalesce("component", "first_id").alias("found"))
     joined = signatures.join(by_class, (signatures.f1 == by_class.f1) & (signatures.f2 == by_class.f2) & (signatures.n == by_class.m) & (signatures.n > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))

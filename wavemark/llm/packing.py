@@ -134,7 +134,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048
     """Packs every document (its ids, then `end_id`) into sequences of at most `capacity` ids.
 
     Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Only documents longer than `capacity` are
-    cut. Null and empty texts are one piece with the end id; repeated rows and null ids are packed like any row.
+    cut. Null and empty texts are one piece with the end id; repeated rows and null ids are packed like any row. Very
+    long texts are encoded in pieces that end at blanks. An empty table gives no rows; other columns, also such as are
+    named like those of the result, are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = Table(rows.mapInArrow(_pieces(tokenizer_path, end_id, capacity, by_word), PIECE_SCHEMA), "pieces", batch=128).read()

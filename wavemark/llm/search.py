@@ -347,8 +347,12 @@ def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "do
 
     Terms are runs of ASCII letters (lower-cased), digits and non-ASCII characters; a query is its set of distinct terms.
     Null and empty texts have no terms: as documents they are counted and never found, as queries they find nothing.
-    Rows without an id are left out. Rows that share an id are documents of their own, but one query. Only documents
-    with a score above 0 are returned; the query itself may be among them.
+    Texts are split whole, however long. Rows without an id are left out. Rows that share an id are documents of their
+    own, but one query. Only documents with a score above 0 are returned; the query itself may be among them. An empty
+    table finds nothing; other columns, whatever their names, are ignored.
+
+    A core walks through its share of the shards for a block of queries and returns k rows a query; the work grows with
+    queries times documents, less what is pruned.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
