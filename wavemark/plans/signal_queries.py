@@ -33,7 +33,7 @@ def recording(spark: SparkSession, sf_dir: str) -> str:
     numbers = range(1, len(IDS) + 1)
     rows = samples(spark, sf_dir).groupBy("sample_index").pivot("channel", list(numbers)).agg(F.first("value"))
     wide = rows.select(F.col("sample_index").alias("row"), (F.col("sample_index") * 1000.0).alias("time_us"), *(F.col(str(k)).alias(f"channel_{c}") for k, c in zip(numbers, IDS, strict=True)))
-    path = fresh_path(spark, "recording")
+    path = fresh_path(spark, "recording") + ".csv"
     C.write_csv(wide, path, list(IDS), RATE_HZ)
     return path
 

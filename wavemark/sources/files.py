@@ -46,28 +46,32 @@ def cell(x: Column) -> Column:
     return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
-    """One CSV file: byte order mark, header, rows in order, lines ended by CR LF.
+def write_lines(lines: DataFrame, path: str, head: bytes, line_end: str = "\n") -> None:
+    """One file: `head`, then the lines (column value) in the order of the DataFrame's partitions.
 
-    The rows are sorted and written by many tasks; the driver then copies their parts one after another as streams.
+    Many tasks write parts; the driver copies them one after another as streams and deletes them.
     """
-    spark = df.sparkSession
-    lines = df.orderBy(*order).select(F.concat_ws(",", *(cell(F.col(f"`{c}`")) for c in columns)).alias("value"))
+    spark = lines.sparkSession
     parts, fs = _file_system(spark, path + ".parts")
     fs.delete(parts, True)
-    lines.write.option("lineSep", "\r\n").text(path + ".parts")
-    header = ",".join(f'"{c}"' if "," in c else c for c in columns)
+    lines.write.option("lineSep", line_end).text(path + ".parts")
     with replacing(spark, path) as out:
-        out.write(bytearray(MARK + header.encode() + b"\r\n"))
-        names = sorted(s.getPath().getName() for s in fs.listStatus(parts))
-        for name in names:
+        out.write(bytearray(head))
+        for name in sorted(s.getPath().getName() for s in fs.listStatus(parts)):
             if name.startswith("part-"):
-                source = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.parts/{name}"))
+                source = fs.open(_file_system(spark, f"{path}.parts/{name}")[0])
                 spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
                 source.close()
     fs.delete(parts, True)
 
 
+def write_csv(df: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
+    """One CSV file: byte order mark, header, rows in order, lines ended by CR LF."""
+    lines = df.orderBy(*order).select(F.concat_ws(",", *(cell(F.col(f"`{c}`")) for c in columns)).alias("value"))
+    header = ",".join(f'"{c}"' if "," in c else c for c in columns)
+    write_lines(lines, path, MARK + header.encode() + b"\r\n", "\r\n")
+
+
 _TYPES = """<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>"""
 _RELS = """<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/{kind}" Target="{target}"/></Relationships>"""
 _BOOK = """<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>"""

@@ -10,6 +10,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.blocks import ordered, with_edges
 from ..operators.markers import number_rows
+from .files import write_lines
 
 #: Names of the metadata rows.
 CHANNELS, RATE, TIME, UNITS = "Channels", "Sample Rate", "Time[us]", ("unit", "units")
@@ -129,13 +130,10 @@ def stored_valid(spark: SparkSession, path: str, channels: list[int], rows: int)
 
 
 def write_csv(wide: DataFrame, path: str, channels: list[int], rate_hz: float, unit: str = "uV") -> None:
-    """One CSV with the metadata rows; for exports and fixtures, as a single task writes it in order."""
+    """One CSV file with the metadata rows before the data, which many tasks put in order."""
     def line(name: str, values: list) -> str:
         return ",".join([name, *map(str, values)])
 
     top = [line(CHANNELS, channels), line("Sample Rate[Hz]", [f"{rate_hz:g}"] * len(channels)), line("Unit", [unit] * len(channels)), line(TIME, [f"Channel {c}" for c in channels])]
-    lines = wide.sparkSession.createDataFrame([(-len(top) + k, t) for k, t in enumerate(top)], "row long, value string")
     cells = [F.format_string("%.0f", "time_us"), *(F.coalesce(F.format_string("%.8f", F.col(f"channel_{c}").cast("double")), F.lit("")) for c in channels)]
-    body = wide.select("row", F.concat_ws(",", *cells).alias("value"))
-    lines.unionByName(body).repartition(1).sortWithinPartitions("row").select("value").write.text(path)
-
+    write_lines(wide.orderBy("row").select(F.concat_ws(",", *cells).alias("value")), path, "".join(f"{t}\n" for t in top).encode())
