@@ -73,30 +73,50 @@ def fill_gaps(x: np.ndarray) -> np.ndarray:
     return np.interp(np.arange(len(x)), np.flatnonzero(good), x[good]) if good.any() else np.zeros(len(x))
 
 
-def biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> np.ndarray:
-    """A second-order section from the given state (two delayed values)."""
-    n = len(x)
-    piece = max(16, int(math.sqrt(n)))
+Sections = list[tuple[np.ndarray, np.ndarray]]
+
+
+def through(x: np.ndarray, sections: Sections, states: np.ndarray) -> np.ndarray:
+    """Second-order sections in turn from the given states (two delayed values each).
+
+    Pieces of the signal lie side by side and take a step of every section at a time, all from rest. Beside them runs an
+    input of nothing from each unit state: what it gives is added for the states in which the pieces really start.
+    """
+    n, size = len(x), 2 * len(sections)
+    piece = max(16, int(math.sqrt(n) / 3))
     rows = -(-n // piece)
     padded = np.zeros(rows * piece)
     padded[:n] = x
-    pieces = padded.reshape(rows, piece)
-    out = np.empty((rows, piece))
-    z1, z2 = np.zeros(rows), np.zeros(rows)
-    unit, u1, u2 = np.empty((piece, 2)), np.array([1.0, 0.0]), np.array([0.0, 1.0])
+    pieces = np.zeros((piece, rows + size))
+    pieces[:, :rows] = padded.reshape(rows, piece).T
+    z = np.zeros((size, rows + size))
+    z[:, rows:] = np.eye(size)
+    out, y, part = np.empty((piece, rows + size)), np.empty((len(sections), rows + size)), np.empty(rows + size)
     for k in range(piece):
-        v = pieces[:, k]
-        y = b[0] * v + z1
-        z1, z2 = b[1] * v - a[1] * y + z2, b[2] * v - a[2] * y
-        out[:, k] = y
-        unit[k] = u1  # what each starting state alone would give here
-        u1, u2 = -a[1] * u1 + u2, -a[2] * u1
-    carry, at = np.array([u1, u2]), np.asarray(state, np.float64)
-    states = np.empty((rows, 2))
-    for r in range(rows):
-        states[r] = at
-        at = carry @ at + np.array([z1[r], z2[r]])
-    return (out + states @ unit.T).ravel()[:n]
+        v = pieces[k]
+        for j, (b, a) in enumerate(sections):
+            one, two, w = z[2 * j], z[2 * j + 1], y[j] if j + 1 < len(sections) else out[k]
+            np.multiply(v, b[0], out=w)
+            w += one
+            np.multiply(w, -a[1], out=one)
+            one += two
+            if b[1]:
+                one += np.multiply(v, b[1], out=part)
+            np.multiply(w, -a[2], out=two)
+            if b[2]:
+                two += np.multiply(v, b[2], out=part)
+            v = w
+    carry, at, starts = z[:, rows:], np.asarray(states, np.float64).ravel(), np.empty((rows, size))
+    for r, rest in enumerate(z[:, :rows].T):
+        starts[r] = at
+        at = carry @ at + rest
+    whole = out[:, :rows] + out[:, rows:] @ starts.T
+    return whole.T.ravel()[:n]
+
+
+def biquad(x: np.ndarray, b: np.ndarray, a: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """A second-order section from the given state (two delayed values)."""
+    return through(x, [(b, a)], state)
 
 
 def steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
@@ -105,17 +125,14 @@ def steady(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.array([b[1] - a[1] * gain + b[2] - a[2] * gain, b[2] - a[2] * gain])
 
 
-Sections = list[tuple[np.ndarray, np.ndarray]]
-
-
 def cascade(x: np.ndarray, sections: Sections, first: float | None = None) -> np.ndarray:
     """Sections in turn; with `first`, from the steady state of that constant input."""
-    level = first
-    for b, a in sections:
-        state = np.zeros(2) if level is None else steady(b, a) * level
-        x = biquad(x, b, a, state)
-        level = None if level is None else level * b.sum() / a.sum()
-    return x
+    states, level = np.zeros((len(sections), 2)), first
+    for k, (b, a) in enumerate(sections):
+        if level is not None:
+            states[k] = steady(b, a) * level
+            level = level * b.sum() / a.sum()
+    return through(x, sections, states)
 
 
 def zero_phase(x: np.ndarray, sections: Sections, edge: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import dsp
@@ -33,15 +34,19 @@ def filtered(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, block
     """channel, sample_index, time_us, value after the filters; each block is filtered with context and cut back."""
     halo = dsp.padding(settings, rate_hz)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
-        index = pdf["sample_index"].to_numpy()
-        value = dsp.prepare(pdf["value"].to_numpy(np.float64), rate_hz, settings, int(index[0]))
-        own = index // block == key[1]
-        return pd.DataFrame({"channel": pdf["channel"].to_numpy()[own], "sample_index": index[own], "time_us": pdf["time_us"].to_numpy()[own], "value": value[own]})
-
-    rows = with_halo(df.select("channel", "sample_index", "time_us", "value"), block, halo)
-    return rows.groupBy("channel", "block").applyInPandas(run, "channel int, sample_index long, time_us double, value double")
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        index = rows.column("sample_index").to_numpy()
+        if (np.diff(index) < 0).any():
+            rows = rows.take(pa.array(np.argsort(index, kind="stable")))
+            index = rows.column("sample_index").to_numpy()
+        x = rows.column("value").to_numpy().astype(np.float64)  # nulls are NaN
+        block_no = key[1].as_py()
+        a, b = np.searchsorted(index, (block_no * block, (block_no + 1) * block))
+        value = dsp.prepare(x, rate_hz, settings, int(index[0]))[a:b]
+        return rows.select(["channel", "sample_index", "time_us"]).slice(a, b - a).append_column("value", pa.array(value))
+
+    rows = with_halo(df.select(F.col("channel").cast("int").alias("channel"), "sample_index", "time_us", F.col("value").cast("double").alias("value")), block, halo)
+    return rows.groupBy("channel", "block").applyInArrow(run, "channel int, sample_index long, time_us double, value double")
 
 
 def coarse(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, step: int, block: int = BLOCK) -> DataFrame:
