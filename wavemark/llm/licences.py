@@ -87,19 +87,33 @@ def needed_words(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which every text with a match has one.
 
     A unit that reaches the threshold shares threshold / (2 - threshold) of a template's bigrams at least. Fewer than
-    those are left without a word taken here. Words that a template before has taken come first, then long ones.
+    those are left without a word taken here. In each turn the longer word that helps most templates along is taken, a
+    shorter one where no longer one helps.
     """
-    taken: list[str] = []
-    for _, text in sorted(templates.items(), key=lambda t: len(t[1])):
-        pairs = [tuple(b.split(" ")) for b in bigrams_of(text)]
-        least = next(n for n in range(1, len(pairs) + 1) if 2.0 * n >= threshold * (n + len(pairs)))
-        left = [p for p in pairs if not set(p) & set(taken)]
-        while len(left) >= least:
-            words = sorted({w for p in left for w in p})
-            best = max(words, key=lambda w: (len(w) >= EDGE_LETTERS, sum(w in p for p in left), len(w), w))
-            taken.append(best)
-            left = [p for p in left if best not in p]
-    return [w for w in taken if not any(x != w and x in w for x in taken)]  # a text with the longer one has the shorter one
+    left, spare, taken = {}, {}, []
+    for name, text in templates.items():
+        pairs = [frozenset(b.split(" ")) for b in bigrams_of(text)]
+        left[name] = pairs
+        spare[name] = next(n for n in range(1, len(pairs) + 1) if 2.0 * n >= threshold * (n + len(pairs))) - 1
+    while open_ones := [n for n in sorted(left) if len(left[n]) > spare[n]]:
+        words = sorted({w for n in open_ones for p in left[n] for w in p})
+
+        def gain(w: str, open_ones: list[str] = open_ones) -> tuple:
+            return len(w) >= EDGE_LETTERS, sum(min(len(left[n]) - spare[n], sum(w in p for p in left[n])) / (len(left[n]) - spare[n]) for n in open_ones), w
+
+        taken.append(max(words, key=gain))
+        left = {n: [p for p in pairs if taken[-1] not in p] for n, pairs in left.items()}
+    return [w for w in taken if not any(x != w and x in w and len(x) >= EDGE_LETTERS for x in taken)]  # a text with the longer one has the shorter one
+
+
+def _has_one(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of the words: long ones anywhere, short ones as words of their own."""
+    out, short = F.lit(False), [w for w in words if len(w) < EDGE_LETTERS]
+    lower = F.lower(text)  # more than A-Z becomes small letters, which can't take a word away
+    for word in words:
+        if word not in short:
+            out = out | F.contains(lower, F.lit(word))
+    return out | text.rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") if short else out
 
 
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,10 +135,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
     table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("grams")) for name, b in known))
     most, edges = longest_unit(given, threshold), F.array(*map(F.lit, edge_words(given)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    there = F.lit(False)
-    for word in needed_words(given, threshold):
-        there = there | F.contains(F.col("lower"), F.lit(word))
-    rows = rows.withColumn("lower", F.lower("text"))
+    there = _has_one(F.col("text"), needed_words(given, threshold))
     others = rows.where(~there).select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.lit("").alias("licenses"), F.lit(0).alias("n_matches"))
     plain = F.regexp_replace(F.translate("text", UPPER, LOWER), "[^a-z0-9\n]+", " ")
     held = Table(rows.where(there).select(F.monotonically_increasing_id().alias("key"), "doc_id", plain.alias("plain")), "licence-candidates").read()
