@@ -118,7 +118,7 @@ def interval_warning(df: DataFrame, session: str = "user_id") -> DataFrame:
     orphan = is_end & (F.col("before").isNull() | F.col("before.kind").isin("led_off", "action_end"))
     late = is_end & ~orphan & (F.col("time_sec") <= F.col("before.time_sec"))
     bad = rows.withColumn("problem", F.when(orphan, F.concat(F.col("kind"), F.lit(" has no start"))).when(late, F.concat(F.col("kind"), F.lit(" isn't after #"), F.col("before.number"))))
-    return bad.where("problem is not null").groupBy(session).agg(F.min(F.struct("number", "problem")).alias("m")).select(session, "m.number", "m.problem")
+    return bad.where("problem is not null").groupBy(session).agg(F.min(F.struct("number", "problem")).alias("m")).select(session, F.col("m.number").cast("long").alias("number"), "m.problem")
 
 
 def event_intervals(df: DataFrame, one: DataFrame, session: str = "user_id") -> DataFrame:

@@ -487,7 +487,7 @@ def set_clear_cache(spark, sf_dir):
     return K.without_source(_entries(spark, sf_dir), "rec3").select("event_id", "source")
 
 
-@query("set_reset_sync", _M("SELECT 0 AS markers, NULL::VARCHAR AS ttl_id, NULL::VARCHAR AS video_id, NULL::DOUBLE AS offset_sec, 'Sync: Automatic selection needs a TTL and an LED On.' AS label"))
+@query("set_reset_sync", _M("SELECT CAST(0 AS BIGINT) AS markers, NULL::VARCHAR AS ttl_id, NULL::VARCHAR AS video_id, NULL::DOUBLE AS offset_sec, 'Sync: Automatic selection needs a TTL and an LED On.' AS label"))
 def set_reset_sync(spark, sf_dir):
     """A new video empties the markers; pair, offset and label follow from the empty table."""
     none = A.markers(spark, sf_dir).where(F.lit(False))

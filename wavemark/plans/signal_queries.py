@@ -61,7 +61,7 @@ def scan_signal_units(spark, sf_dir):
     return one_row(spark, value_unit=C.metadata(spark, recording(spark, sf_dir))["value_unit"])
 
 
-@query("scan_data_header", "SELECT 3 AS header_row, 6 AS columns")
+@query("scan_data_header", "SELECT CAST(3 AS BIGINT) AS header_row, CAST(6 AS BIGINT) AS columns")
 def scan_data_header(spark, sf_dir):
     return spark.createDataFrame([C.data_header(spark, recording(spark, sf_dir))], "header_row long, columns long")
 
