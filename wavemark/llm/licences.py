@@ -111,9 +111,9 @@ def _has_one(text: Column, words: list[str]) -> Column:
     out, short = F.lit(False), [w for w in words if len(w) < EDGE_LETTERS]
     lower = F.lower(text)  # more than A-Z becomes small letters, which can't take a word away
     for word in words:
-        if word not in short:
-            out = out | F.contains(lower, F.lit(word))
-    return out | text.rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])") if short else out
+        found = F.contains(lower, F.lit(word))
+        out = out | (found & text.rlike(f"(?i)(?<![a-z0-9]){word}(?![a-z0-9])") if word in short else found)
+    return out
 
 
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,11 +136,10 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
     most, edges = longest_unit(given, threshold), F.array(*map(F.lit, edge_words(given)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     there = _has_one(F.col("text"), needed_words(given, threshold))
-    others = rows.where(~there).select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(None).cast("double").alias("dice"), F.lit("").alias("licenses"), F.lit(0).alias("n_matches"))
     plain = F.regexp_replace(F.translate("text", UPPER, LOWER), "[^a-z0-9\n]+", " ")
-    held = Table(rows.where(there).select(F.monotonically_increasing_id().alias("key"), "doc_id", plain.alias("plain")), "licence-candidates").read()
+    held = Table(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.when(there, plain).alias("plain")), "licence-candidates").read()
 
-    lines = held.select("key", F.posexplode(F.split("plain", "\n")).alias("line", "words")).withColumn("words", F.trim("words")).where("words <> ''")
+    lines = held.where("plain is not null").select("key", F.posexplode(F.split("plain", "\n")).alias("line", "words")).withColumn("words", F.trim("words")).where("words <> ''")
     lines = lines.withColumn("words", F.split("words", " ")).withColumn("n", F.size("words"))
     upto = F.sum("n").over(Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     lines = lines.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("n")).where(F.col("n") <= most).withColumn("edge", F.arrays_overlap("words", edges))
@@ -169,7 +168,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
     found = near.select("key", F.explode(units).alias("u")).select("key", F.explode(compare(F.col("u"))).alias("m"))
     best = found.groupBy("key").agg(F.min(F.struct("m.less", "m.name")).alias("best"), F.array_join(F.array_sort(F.collect_set("m.name")), ",").alias("names"), F.count_distinct("m.line").cast("int").alias("n"))
     matched = held.select("key", "doc_id").join(best, "key", "left")
-    return others.unionByName(matched.select("doc_id", F.col("best.name").alias("license"), (-F.col("best.less")).alias("dice"), F.coalesce("names", F.lit("")).alias("licenses"), F.coalesce("n", F.lit(0)).alias("n_matches")))
+    return matched.select("doc_id", F.col("best.name").alias("license"), (-F.col("best.less")).alias("dice"), F.coalesce("names", F.lit("")).alias("licenses"), F.coalesce("n", F.lit(0)).alias("n_matches"))
 
 
 def oracle_sql(threshold: float = 0.8) -> str:
