@@ -4,7 +4,7 @@ A linear classifier learned from a labelled table gives every document a posteri
 fitted so that the expected token totals of the domains, sum of r * tokens * posterior, come near target shares of the
 token budget. The fit is projected gradient descent on least squares. Posteriors are rounded to a grid, and documents
 with the same posterior have the same rate, so the tokens of each grid cell are added up once and the steps run over the
-cells; a step sends one K-vector to the tasks and brings one back.
+cells; a step sends a K-vector to the tasks and brings sums of K and K x K back.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .common import Table
 DIMENSIONS = 1 << 18
 #: Posteriors are multiples of one to this number.
 GRID = 256
+#: What is added to a step's metric, as a share of its largest axis: rates don't follow differences that are as small as that.
+DAMPING = 0.01
 #: Cells up to this many are broadcast; with three domains there can't be more than 33,153.
 BROADCAST_CELLS = 50_000
 
@@ -123,59 +125,57 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], *, s
     return w, b
 
 
-def rate_column(steps: list[list[float]], ahead: float, size: float, ridge: float) -> Column:
-    """The rate after the given steps, looking `ahead` along the last change, and never under 0.
-
-    Each step is a K-vector and its own look ahead: from y = r + ahead * (r - the rate before) the rate becomes
-    max(0, y - size * (posterior . step + ridge * (y - 1))) (projected gradient with Nesterov's momentum).
-    """
-
-    def look(state: Column, by: Column) -> Column:
-        return state["r"] + by * (state["r"] - state["p"])
-
-    def step(state: Column, e: Column) -> Column:
-        y = look(state, F.element_at(e, -1))
-        slope = F.aggregate(F.zip_with("posterior", F.slice(e, 1, F.size(e) - 1), lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-        return F.struct(F.greatest(F.lit(0.0), y - F.lit(size) * (slope + F.lit(ridge) * (y - 1))).alias("r"), state["r"].alias("p"))
-
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("p"))
+def rate_column(steps: list[list[float]]) -> Column:
+    """The rate after the given steps (K-vectors): from 1, each takes posterior . step off it, and never under 0."""
     if not steps:
         return F.lit(1.0)
-    done = F.aggregate(F.array(*(F.array(*map(F.lit, s)) for s in steps)), start, step, lambda state: look(state, F.lit(ahead)))
-    return F.greatest(F.lit(0.0), done)
 
+    def step(rate: Column, e: Column) -> Column:
+        return F.greatest(F.lit(0.0), rate - F.aggregate(F.zip_with("posterior", e, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x))
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], *, ridge: float = 1e-6, most_steps: int = 200, tolerance: float = 2e-3) -> tuple[Column, list[float], bool]:
+    return F.aggregate(F.array(*(F.array(*map(F.lit, s)) for s in steps)), F.lit(1.0), step)
+
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], *, most_steps: int = 100, tolerance: float = 2e-3) -> tuple[Column, list[float], bool]:
     """(the rate column for `rows` (n_tokens, posterior), the domains' shares at the end, whether they meet the targets).
 
-    The targets are met when no share is off by more than `tolerance` of its target. The steps end there, after
-    `most_steps`, or when ten of them together don't make the error smaller by a hundredth: targets can lie out of
-    reach, as where no document is mostly of a wanted domain, and the rates are then the least squares that there are.
+    A step goes down the gradient of the squared error in the (damped) metric of the Gram matrix of the rows whose rate
+    isn't 0, so few are needed; a step that makes the error larger is halved. The targets are met when no share is off
+    by more than `tolerance` of its target. The steps end there, after `most_steps`, or when five together don't make
+    the error smaller by a tenth: targets can lie out of reach, as where no document is mostly of a wanted domain, and
+    the rates then come as near as they do without telling almost equal documents apart.
     """
     share = np.array(list(targets.values()))
     share = share / share.sum()
-    k, steps, size = len(share), [], None
-
-    def totals(rate: Column) -> np.ndarray:
-        r = rows.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * rate * F.col("posterior")[i]) for i in range(k)), *(F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k))).first()
-        return np.array([float(x or 0) for x in r])
-
-    reached, ahead, left, errors, met = [0.0] * k, 0.0, 0, [], False
+    k = len(share)
+
+    def totals(rate: Column) -> tuple[float, np.ndarray, np.ndarray]:
+        """Tokens, and of the rates: tokens by domain and the Gram matrix of what is left, as shares of the tokens."""
+        rated = rows.withColumn("_rate", rate)
+        left = F.when(F.col("_rate") > 0, F.col("n_tokens"))
+        r = rated.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col("_rate") * F.col("posterior")[i]) for i in range(k)), *(F.sum(left * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k))).first()
+        found = np.array([float(x or 0) for x in r])
+        return found[0], found[1 : 1 + k] / max(found[0], 1.0), found[1 + k :].reshape(k, k) / max(found[0], 1.0)
+
+    steps: list[np.ndarray] = []
+    errors: list[float] = []
+    reached, met = np.zeros(k), False
     for _ in range(most_steps):
-        found = totals(rate_column(steps, ahead, size or 1.0, ridge))
-        budget = max(found[0], 1.0)
-        if size is None:
-            size = float(1 / (np.linalg.eigvalsh(found[1 + k :].reshape(k, k) / budget).max() + ridge))
-        reached = (found[1 : 1 + k] / budget).tolist()
-        error = found[1 : 1 + k] / budget - share
-        errors.append(float(np.sqrt((error**2).sum())))
-        met = bool((np.abs(error) <= tolerance * share).all())
-        if met or not found[0] or len(errors) > 20 and min(errors[-10:]) > 0.99 * min(errors[:-10]):
+        tokens, now, gram = totals(rate_column([x.tolist() for x in steps]))
+        error = now - share
+        size = float(np.sqrt((error**2).sum()))
+        if errors and size > errors[-1]:
+            steps[-1] = steps[-1] / 2
+            if np.abs(steps[-1]).max() > 1e-9:
+                continue
+            steps.pop()  # no way down is left
+            break
+        errors.append(size)
+        reached, met = now, bool((np.abs(error) <= tolerance * share).all())
+        if met or not tokens or len(errors) > 5 and errors[-1] > 0.9 * errors[-6]:
             break
-        left = 0 if len(errors) > 1 and errors[-1] > errors[-2] else left + 1  # momentum begins anew where the error grows
-        steps.append([*error.tolist(), ahead])
-        ahead = left / (left + 3)
-    return rate_column(steps, ahead, size or 1.0, ridge), reached, met
+        steps.append(np.linalg.solve(gram + DAMPING * max(float(np.linalg.eigvalsh(gram)[-1]), 1e-12) * np.eye(k), error))
+    return rate_column([x.tolist() for x in steps]), reached.tolist(), met
 
 
 def _rated(table: DataFrame, targets: dict[str, float]) -> DataFrame:
