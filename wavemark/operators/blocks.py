@@ -41,7 +41,7 @@ def ordered(keys: list[str], *order):
 def with_previous(df: DataFrame, value: Column, name: str, keys: list[str], at: str, size: float, ties: tuple[str, ...] = ()) -> DataFrame:
     """`name`: the value in the row before, in the order of `at` and `ties`; null in a key's first row. Keeps `_block`."""
     order = [at, *ties]
-    rows = in_blocks(df, at, size).withColumn("_v", F.struct(value.alias("v")))
+    rows = in_blocks(df, at, size).withColumn("_v", F.struct(value.alias("v"))).repartition(*keys, "_block")  # once for both
     carried = _ends(rows, keys, {"_carried": F.max_by("_v", F.struct(*order))})
     before = F.coalesce(F.lag("_v").over(ordered(keys, *order)), F.col("_carried"))
     return rows.join(carried, [*keys, "_block"]).withColumn(name, before["v"]).drop("_v", "_carried")
@@ -49,7 +49,7 @@ def with_previous(df: DataFrame, value: Column, name: str, keys: list[str], at:
 
 def with_nearest(df: DataFrame, value: Column, before: str, after: str, keys: list[str], at: str, size: float) -> DataFrame:
     """The nearest values that aren't null at or before each row, and at or after it; rows with equal `at` see each other's."""
-    rows = in_blocks(df, at, size).withColumn("_v", value)
+    rows = in_blocks(df, at, size).withColumn("_v", value).repartition(*keys, "_block")
     there = F.when(F.col("_v").isNotNull(), F.col(at))
     back, ahead = _ends(rows, keys, {"_back": F.max_by("_v", there)}), _ends(rows, keys, {"_ahead": F.min_by("_v", there)}, ahead=True)
     up = F.last("_v", True).over(ordered(keys, F.asc(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -60,7 +60,7 @@ def with_nearest(df: DataFrame, value: Column, before: str, after: str, keys: li
 
 def with_largest_before(df: DataFrame, value: str, name: str, keys: list[str], at: str, size: float, ties: tuple[str, ...] = ()) -> DataFrame:
     """`name`: the largest value of all rows before, in the order of `at` and `ties`. Keeps `_block`."""
-    rows = in_blocks(df, at, size)
+    rows = in_blocks(df, at, size).repartition(*keys, "_block")
     per = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_most"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*keys, "_block", F.max("_most").over(earlier).alias("_most"))
@@ -78,7 +78,7 @@ def with_run(rows: DataFrame, starts: Column, name: str, keys: list[str], at: st
 
 def with_number(df: DataFrame, number: str, count: str, keys: list[str], at: str, size: float, ties: tuple[str, ...] = ()) -> DataFrame:
     """`number`: the row's place in its key from 0; `count`: the key's rows."""
-    rows = in_blocks(df, at, size)
+    rows = in_blocks(df, at, size).repartition(*keys, "_block")
     per = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*keys)
     before = F.coalesce(F.sum("_n").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

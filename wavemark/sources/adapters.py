@@ -6,6 +6,8 @@ led_curve and vectors. Recordings that were imported by `signal_csv` carry sampl
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.blocks import ordered, with_edges
@@ -38,28 +40,36 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).withColumn("time_us", (F.col("us") - F.col("first_us")).cast("double"))
 
 
-#: Where an application's sample tables are, by source and time of its last change.
+#: Where an application's stored tables are, by name, source and time of its last change.
 _stored: dict[tuple, str] = {}
-SAMPLES_SCHEMA = "sample_index long, time_us double, value double, event_id long, channel int"
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored sample table of the events: a folder a channel, rows in order, so filters of channel, index and time reach the scan.
-
-    It is written at an application's first call. Rows are numbered within (channel, ten minutes), see number_rows.
-    """
+def stored(spark: SparkSession, sf_dir: str, name: str, schema: str, order: list[str], make: Callable[[], DataFrame], by: list[str] = ()) -> DataFrame:
+    """A table over the events that is written once an application, at its first use: folders by `by`, rows in order within files."""
     jvm = spark.sparkContext._jvm
     source = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
     changed = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(source).getModificationTime()
-    key = (spark.sparkContext.applicationId, sf_dir, changed)
+    key = (spark.sparkContext.applicationId, name, sf_dir, changed)
     if key not in _stored:
+        path = fresh_path(spark, name)
+        make().repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy(*by).parquet(path)
+        _stored[key] = path
+    return spark.read.schema(schema).parquet(_stored[key])
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sample table of the events: a folder a channel, rows in order, so filters of channel, index and time reach the scan.
+
+    Rows are numbered within (channel, ten minutes), see number_rows.
+    """
+
+    def make() -> DataFrame:
         rows = events(spark, sf_dir).select(_case(CHANNELS).alias("channel"), "time_us", "value", F.col("event_id").cast("long").alias("event_id"))
         rows = number_rows(rows, F.floor(F.col("time_us") / 600e6), ["time_us", "event_id"], keys=("channel",))
-        rows = rows.select("channel", (F.col("number") - 1).cast("long").alias("sample_index"), "time_us", "value", "event_id")
-        path = fresh_path(spark, "samples")
-        rows.repartitionByRange("channel", "sample_index").sortWithinPartitions("channel", "sample_index").write.partitionBy("channel").parquet(path)
-        _stored[key] = path
-    return spark.read.schema(SAMPLES_SCHEMA).parquet(_stored[key]).select("channel", "sample_index", "time_us", "value", "event_id")
+        return rows.select("channel", (F.col("number") - 1).cast("long").alias("sample_index"), "time_us", "value", "event_id")
+
+    schema = "sample_index long, time_us double, value double, event_id long, channel int"
+    return stored(spark, sf_dir, "samples", schema, ["channel", "sample_index"], make, ["channel"]).select("channel", "sample_index", "time_us", "value", "event_id")
 
 
 def samples_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +101,14 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def led_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as one frame of a single curve, numbered in buckets of a day."""
-    rows = number_rows(events(spark, sf_dir), F.floor(F.col("time_us") / 86_400e6), ["time_us", "event_id"])
-    return rows.select((F.col("number") - 1).cast("long").alias("frame_index"), (F.col("value") / 500).alias("brightness"), "event_id").withColumn("video_time_sec", F.col("frame_index") / FPS)
+    """The stored curve of a frame an event, numbered in buckets of a day."""
+
+    def make() -> DataFrame:
+        rows = number_rows(events(spark, sf_dir), F.floor(F.col("time_us") / 86_400e6), ["time_us", "event_id"])
+        return rows.select((F.col("number") - 1).cast("long").alias("frame_index"), (F.col("value") / 500).alias("brightness"), F.col("event_id").cast("long").alias("event_id"))
+
+    curve = stored(spark, sf_dir, "led-curve", "frame_index long, brightness double, event_id long", ["frame_index"], make)
+    return curve.withColumn("video_time_sec", F.col("frame_index") / FPS)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
