@@ -10,43 +10,27 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import dsp
 from .blocks import with_previous, with_run
+from .pieces import over_blocks
 from .samples import EPSILON, finite
 from .windows import overlap_add
 
 BLOCK = 250_000
 
 
-def with_halo(df: DataFrame, block: int, halo: int) -> DataFrame:
-    """Each row once per block that needs it: its own, and those within the halo; `last` is the channel's last index."""
-    last = df.groupBy("channel").agg(F.max("sample_index").alias("last"))
-    rows = df.join(F.broadcast(last), "channel")  # a row a channel
-    i = F.col("sample_index")
-    first, final = F.greatest(F.floor((i - halo) / block), F.lit(0).cast("long")), F.least(F.floor((i + halo) / block), F.floor(F.col("last") / block))
-    return rows.withColumn("block", F.explode(F.sequence(first, final)))
-
-
 def filtered(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, block: int = BLOCK) -> DataFrame:
     """channel, sample_index, time_us, value after the filters; each block is filtered with context and cut back."""
     halo = dsp.padding(settings, rate_hz)
 
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        index = rows.column("sample_index").to_numpy()
-        if (np.diff(index) < 0).any():
-            rows = rows.take(pa.array(np.argsort(index, kind="stable")))
-            index = rows.column("sample_index").to_numpy()
-        x = rows.column("value").to_numpy().astype(np.float64)  # nulls are NaN
-        block_no = key[1].as_py()
-        a, b = np.searchsorted(index, (block_no * block, (block_no + 1) * block))
-        value = dsp.prepare(x, rate_hz, settings, int(index[0]))[a:b]
-        return rows.select(["channel", "sample_index", "time_us"]).slice(a, b - a).append_column("value", pa.array(value))
+    def run(channel: int, number: int, at: np.ndarray, time: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+        a, b = np.searchsorted(at, (number * block, (number + 1) * block))
+        found = dsp.prepare(value, rate_hz, settings, int(at[0]))[a:b]
+        return {"channel": np.full(b - a, channel, np.int32), "sample_index": at[a:b], "time_us": time[a:b], "value": found}
 
-    rows = with_halo(df.select(F.col("channel").cast("int").alias("channel"), "sample_index", "time_us", F.col("value").cast("double").alias("value")), block, halo)
-    return rows.groupBy("channel", "block").applyInArrow(run, "channel int, sample_index long, time_us double, value double")
+    return over_blocks(df, block, halo, run, "channel int, sample_index long, time_us double, value double")
 
 
 def coarse(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, step: int, block: int = BLOCK) -> DataFrame:
@@ -130,22 +114,22 @@ def find_peaks(df: DataFrame, rate_hz: float, *, settings: dsp.Settings | None =
     s = F.stddev_pop(v)
     stats = rows.groupBy("channel").agg(F.avg(v).alias("mean"), F.when(s > 0, s).otherwise(EPSILON).alias("sigma"))
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
-        x, index = pdf["value"].to_numpy(np.float64), pdf["sample_index"].to_numpy()
-        mean, sigma = pdf["mean"].iloc[0], pdf["sigma"].iloc[0]
-        up, down = dsp.candidate_masks(x, mean + height_sigma * sigma, mean - height_sigma * sigma)
-        out = []
+    limits = {r.channel: (r.mean, r.sigma) for r in stats.collect()}  # a row a channel
+
+    def run(channel: int, number: int, at: np.ndarray, time: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+        mean, sigma = limits[channel]
+        mean, sigma = (np.nan, np.nan) if mean is None else (mean, sigma)
+        up, down = dsp.candidate_masks(value, mean + height_sigma * sigma, mean - height_sigma * sigma)
+        parts = []
         for sign, mask in ((1, up), (-1, down)):
-            at, found = dsp.block_peaks(sign * x, mask, sign * mean + height_sigma * sigma, prominence_sigma * sigma, distance, context)
-            own = index[at] // block == key[1]
-            out.append(pd.DataFrame({"channel": np.int32(key[0]), "sample_index": index[at][own], "time_sec": pdf["time_us"].to_numpy()[at][own] / 1e6, "value": x[at][own], "negative": sign < 0, "prominence": found[own]}))
-        return pd.concat(out)
+            tops, found = dsp.block_peaks(sign * value, mask, sign * mean + height_sigma * sigma, prominence_sigma * sigma, distance, context)
+            own = at[tops] // block == number
+            parts.append((tops[own], np.full(int(own.sum()), sign < 0), found[own]))
+        tops, negative, found = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return {"channel": np.full(len(tops), channel, np.int32), "sample_index": at[tops], "time_sec": time[tops] / 1e6, "value": value[tops], "negative": negative, "prominence": found}
 
     schema = "channel int, sample_index long, time_sec double, value double, negative boolean, prominence double"
-    halo = with_halo(rows, block, context).join(F.broadcast(stats), "channel")
-    candidates = halo.groupBy("channel", "block").applyInPandas(run, schema)
-    return nms(candidates, distance, block)
+    return nms(over_blocks(rows, block, context, run, schema), distance, block)
 
 
 def _by_runs(rows: DataFrame, ties: tuple[str, ...], distance: int, keep: Callable[[pd.DataFrame], np.ndarray], block: int) -> DataFrame:
