@@ -245,11 +245,11 @@ def prepare(x: np.ndarray, rate_hz: float, s: Settings | None, offset: int = 0)
 
 
 def segment_power(x: np.ndarray, rate_hz: float, hann: bool = True) -> np.ndarray:
-    """One-sided power density of a segment without its mean."""
-    n = len(x)
+    """One-sided power density of a segment, or of each row's, without its mean."""
+    n = x.shape[-1]
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n) if hann else np.ones(n)
-    p = np.abs(np.fft.rfft((x - x.mean()) * w)) ** 2 / (rate_hz * (w**2).sum())
-    p[1 : -1 if n % 2 == 0 else None] *= 2
+    p = np.abs(np.fft.rfft((x - x.mean(-1, keepdims=True)) * w)) ** 2 / (rate_hz * (w**2).sum())
+    p[..., 1 : -1 if n % 2 == 0 else None] *= 2
     return p
 
 

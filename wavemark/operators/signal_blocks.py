@@ -30,7 +30,8 @@ def filtered(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, block
         found = dsp.prepare(value, rate_hz, settings, int(at[0]))[a:b]
         return {"channel": np.full(b - a, channel, np.int32), "sample_index": at[a:b], "time_us": time[a:b], "value": found}
 
-    return over_blocks(df, block, halo, run, "channel int, sample_index long, time_us double, value double")
+    rows = over_blocks(df, block, halo, run, "channel int, sample_index long, time_us double, value double")
+    return rows.withColumn("time_us", F.when(~F.isnan("time_us"), F.col("time_us")))
 
 
 def coarse(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, step: int, block: int = BLOCK) -> DataFrame:
@@ -68,36 +69,44 @@ def regression(df: DataFrame, settings: dsp.Settings, rate_hz: float) -> DataFra
     return df.select("channel", "sample_index", "value").join(noise, ["channel", "sample_index"], "left").select("channel", "sample_index", (F.col("value") - F.coalesce("noise", F.lit(0.0))).alias("value"))
 
 
-def _segments(df: DataFrame, most: int, rate_hz: float) -> DataFrame:
-    """channel, segment, start, size, power per bin: half-overlapping segments, a part at the end left out."""
+def _segments(df: DataFrame, most: int, rate_hz: float, summed: bool) -> DataFrame:
+    """channel, segment, bin, freq, power, centre_sec: half-overlapping segments of `most` samples (all, where a channel has
+    fewer), a part at the end left out. With `summed` a block's segments are added up: `segment` is their number.
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
-        size = int(pdf["size"].iloc[0])
-        x = dsp.fill_gaps(pdf["value"].to_numpy(np.float64))
-        if len(x) < size:
-            return pd.DataFrame({"channel": [], "segment": [], "bin": [], "freq": [], "power": [], "centre_sec": []}).astype({"channel": np.int32, "segment": np.int64, "bin": np.int64})
-        p = dsp.segment_power(x, rate_hz, hann=size >= 8)
-        at = (int(pdf["sample_index"].iloc[0]) + size / 2) / rate_hz
-        return pd.DataFrame({"channel": np.int32(key[0]), "segment": np.int64(key[1]), "bin": np.arange(len(p)), "freq": np.fft.rfftfreq(size, 1 / rate_hz), "power": p, "centre_sec": at})
-
-    n = df.groupBy("channel").agg(F.count("*").alias("n")).withColumn("size", F.least(F.col("n"), F.lit(most).cast("long")))
-    rows = df.select("channel", "sample_index", "value").join(F.broadcast(n), "channel")
-    hop = F.col("size") - F.floor(F.col("size") / 2)
-    i = F.col("sample_index")
-    first = F.greatest(F.floor((i - F.col("size")) / hop) + 1, F.lit(0).cast("long"))
-    final = F.least(F.floor(i / hop), F.floor((F.col("n") - F.col("size")) / hop))
-    dealt = rows.where(first <= final).withColumn("segment", F.explode(F.sequence(first, final)))
-    return dealt.groupBy("channel", "segment").applyInPandas(run, "channel int, segment long, bin long, freq double, power double, centre_sec double")
+    A block has the segments that begin in it. Blocks are whole multiples of the step between segments.
+    """
+    known = df.groupBy("channel").agg(F.count("*").alias("n"), F.max("sample_index").alias("last")).collect()  # a row a channel
+    sizes, counts = {r.channel: min(r.n, most) for r in known}, {r.channel: r.last + 1 for r in known}
+    step = most - most // 2
+    block = step * max(1, BLOCK // step)
+
+    def run(channel: int, number: int, at: np.ndarray, time: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+        size = sizes[channel]
+        starts = np.arange(number * block, min((number + 1) * block, counts[channel] - size + 1), step) if size == most else np.zeros(int(number == 0), np.int64)
+        first, end = np.searchsorted(at, starts), np.searchsorted(at, starts + size)
+        whole = end - first == size
+        starts, first = starts[whole], first[whole]
+        power = [dsp.segment_power(np.stack([dsp.fill_gaps(value[a : a + size]) for a in first[k : k + 64]]), rate_hz, hann=size >= 8) for k in range(0, len(first), 64)]
+        if not power:
+            return {}
+        freq, n = np.fft.rfftfreq(size, 1 / rate_hz), len(starts)
+        if summed:
+            power, segment, centre, n = [sum(p.sum(0) for p in power)], np.array([n]), np.zeros(1), 1
+        else:
+            segment, centre = starts // step if size == most else np.zeros(1, np.int64), (starts + size / 2) / rate_hz
+        bins = len(freq)
+        return {"channel": np.full(n * bins, channel, np.int32), "segment": np.repeat(segment, bins), "bin": np.tile(np.arange(bins), n), "freq": np.tile(freq, n), "power": np.concatenate(power).ravel(), "centre_sec": np.repeat(centre, bins)}
+
+    return over_blocks(df.withColumn("time_us", F.lit(0.0)), block, most, run, "channel int, segment long, bin long, freq double, power double, centre_sec double")
 
 
 def psd(df: DataFrame, rate_hz: float, most: int = 4096) -> DataFrame:
     """channel, bin, freq, power: the mean over half-overlapping Hann segments; one plain periodogram under 8 samples."""
-    return _segments(df, most, rate_hz).groupBy("channel", "bin", "freq").agg(F.avg("power").alias("power"))
+    return _segments(df, most, rate_hz, summed=True).groupBy("channel", "bin", "freq").agg((F.sum("power") / F.sum("segment")).alias("power"))
 
 
 def spectrogram(df: DataFrame, rate_hz: float, most: int = 512) -> DataFrame:
-    return _segments(df, most, rate_hz).select("channel", "segment", "centre_sec", "bin", "freq", "power")
+    return _segments(df, most, rate_hz, summed=False).select("channel", "segment", "centre_sec", "bin", "freq", "power")
 
 
 def find_peaks(df: DataFrame, rate_hz: float, *, settings: dsp.Settings | None = None, height_sigma: float = 8.0, prominence_sigma: float = 6.0, distance_sec: float = 1.0, context_sec: float = 2.0, block: int = BLOCK) -> DataFrame:
