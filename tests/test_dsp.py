@@ -92,7 +92,8 @@ def test_blocks_agree_with_the_whole(spark):
     got, want = column(B.filtered(table(spark, x), s, RATE, block=2500)), dsp.prepare(x, RATE, s)
     assert np.abs(got - want)[500:-500].max() < 2e-3
     r = Settings(True, method="regression", frequencies=(60.0,), window_sec=2.0)
-    assert np.allclose(column(B.regression(table(spark, x), r, RATE)), dsp.regression(x, RATE, r), atol=1e-9)
+    for block in (700, 2500, 250_000):
+        assert np.allclose(column(B.regression(table(spark, x), r, RATE, block)), dsp.regression(x, RATE, r), atol=1e-9)
 
 
 def test_psd_of_a_tone(spark):
@@ -128,3 +129,22 @@ def test_prominence_by_windows_equals_the_kernel(spark):
     x = np.random.default_rng(9).normal(size=400)
     got = {r.sample_index: r.prominence for r in W.prominences(W.local_extrema(table(spark, x), 0.5, -9.0), 15).collect()}
     assert got and all(abs(v - dsp.prominence(x, k, 15)) < 1e-12 for k, v in got.items())
+
+
+def test_blocks_hold_nulls_gaps_and_several_channels(spark, monkeypatch):
+    from wavemark.operators import pieces
+
+    monkeypatch.setattr(pieces, "HELD", 50)  # several pieces of a block in a task
+    r = np.random.default_rng(2)
+    rows = [(c, int(i), None if i % 50 == 3 else float(i), None if i % 17 == 0 else float(r.normal())) for c in (1, 4) for i in range(300) if i // 40 != 3]
+    df = spark.createDataFrame(rows, "channel int, sample_index long, time_us double, value double").repartition(5)
+
+    def run(channel, number, at, time, value):
+        own = at // 32 == number
+        return {"channel": np.full(int(own.sum()), channel, np.int32), "sample_index": at[own], "n": np.full(int(own.sum()), len(at))}
+
+    got = sorted(tuple(x) for x in pieces.over_blocks(df, 32, 10, run, "channel int, sample_index long, n long").collect())
+    there = {c: [i for k, i, *_ in rows if k == c] for c in (1, 4)}
+    assert got == sorted((c, i, sum(i // 32 * 32 - 10 <= j < i // 32 * 32 + 42 for j in there[c])) for c in there for i in there[c])
+    same = B.filtered(df, None, 1000.0, 32).orderBy("channel", "sample_index").collect()
+    assert [(x.channel, x.sample_index, x.time_us) for x in same] == sorted([(c, i, t) for c, i, t, _ in rows], key=lambda x: x[:2])

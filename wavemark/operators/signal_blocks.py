@@ -16,7 +16,6 @@ from . import dsp
 from .blocks import with_previous, with_run
 from .pieces import over_blocks
 from .samples import EPSILON, finite
-from .windows import overlap_add
 
 BLOCK = 250_000
 
@@ -45,28 +44,29 @@ def overview_filtered(df: DataFrame, settings: dsp.Settings, rate_hz: float, ste
     return filtered(thin, settings, rate_hz / step, block)
 
 
-def regression(df: DataFrame, settings: dsp.Settings, rate_hz: float) -> DataFrame:
-    """channel, sample_index, value without the sinusoids: a task per window of the absolute grid, then overlap-add.
+def regression(df: DataFrame, settings: dsp.Settings, rate_hz: float, block: int = BLOCK) -> DataFrame:
+    """channel, sample_index, value without the sinusoids: windows of the absolute grid, overlap-added.
 
-    Windows are the same whatever the blocks, so the result doesn't depend on any partitioning.
+    Windows are the same whatever the blocks, and a block sees every window that its samples lie in, so the result doesn't
+    depend on any partitioning.
     """
     frequencies = dsp.regressed_frequencies(settings, rate_hz)
     size, hop = dsp.window_shape(settings, rate_hz)
-    least = 2 * len(frequencies) + 2
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_index")
-        index = pdf["sample_index"].to_numpy()
-        if len(index) < least:
-            return pd.DataFrame({"channel": [], "sample_index": [], "part": [], "weight": []}).astype({"channel": np.int32, "sample_index": np.int64})
-        part = dsp.sinusoids(pdf["value"].to_numpy(np.float64), rate_hz, frequencies)
-        return pd.DataFrame({"channel": pdf["channel"].to_numpy(), "sample_index": index, "part": part, "weight": np.hanning(size + 2)[1:-1][index - key[1] * hop]})
-
-    i = F.col("sample_index")
-    k = F.explode(F.sequence(F.greatest(F.floor((i - size) / hop) + 1, F.lit(0).cast("long")), F.floor(i / hop)))
-    parts = df.select("channel", "sample_index", "value").withColumn("window", k).groupBy("channel", "window").applyInPandas(run, "channel int, sample_index long, part double, weight double")
-    noise = overlap_add(parts).withColumnRenamed("value", "noise")
-    return df.select("channel", "sample_index", "value").join(noise, ["channel", "sample_index"], "left").select("channel", "sample_index", (F.col("value") - F.coalesce("noise", F.lit(0.0))).alias("value"))
+    least, shape = 2 * len(frequencies) + 2, np.hanning(size + 2)[1:-1]
+
+    def run(channel: int, number: int, at: np.ndarray, time: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+        a, b = np.searchsorted(at, (number * block, (number + 1) * block))
+        noise, weight = np.zeros(len(at)), np.zeros(len(at))
+        for k in range(max((int(at[a]) - size) // hop + 1, 0), int(at[b - 1]) // hop + 1):
+            i, j = np.searchsorted(at, (k * hop, k * hop + size))
+            if j - i >= least:
+                w = shape[at[i:j] - k * hop]
+                noise[i:j] += dsp.sinusoids(value[i:j], rate_hz, frequencies) * w
+                weight[i:j] += w
+        noise = np.divide(noise, weight, out=np.zeros_like(noise), where=weight > EPSILON)
+        return {"channel": np.full(b - a, channel, np.int32), "sample_index": at[a:b], "value": (value - noise)[a:b]}
+
+    return over_blocks(df.withColumn("time_us", F.lit(0.0)), block, size, run, "channel int, sample_index long, value double")
 
 
 def _segments(df: DataFrame, most: int, rate_hz: float, summed: bool) -> DataFrame:
