@@ -23,7 +23,7 @@ from .byte_words import hashes
 from .common import Table
 
 #: Documents and list entries of a shard at most; documents of a block.
-SHARD_DOCS, SHARD_ENTRIES, BLOCK = 16_384, 2_000_000, 64
+SHARD_DOCS, SHARD_ENTRIES, BLOCK = 16_384, 1_250_000, 64
 #: Bytes of a shard's rows of long lists.
 ROW_BYTES = 32 << 20
 #: Queries that are sent to all tasks at a time (some 5 kB each, with a few hundred terms), and that a shard handles at a time.
@@ -110,14 +110,15 @@ class Shard:
     def of(cls, doc: np.ndarray, key: np.ndarray, tf: np.ndarray, ids: list[int], lengths: np.ndarray) -> Shard:
         """From the entries in the order of documents; the documents get new numbers."""
         order = np.argsort(key, kind="stable")
-        found, starts = np.unique(key[order], return_index=True)
+        doc, tf, key = doc[order], tf[order], key[order]
+        found, starts = np.unique(key, return_index=True)
         starts = np.append(starts, len(key)).astype(np.int64)
-        doc, tf = doc[order], tf[order]
+        del order, key
         placed = alike_together(found, starts, doc, lengths)
-        number = np.empty(len(placed), np.int64)
+        number = np.empty(len(placed), np.int32)
         number[placed] = np.arange(len(placed))
         doc = number[doc]
-        order = np.lexsort((doc, np.repeat(np.arange(len(found)), np.diff(starts))))
+        order = np.lexsort((doc, np.repeat(np.arange(len(found), dtype=np.int32), np.diff(starts))))
         small = np.uint16 if tf.max(initial=0) < 1 << 16 else np.int32
         return cls(found, starts, doc[order].astype(np.uint16), tf[order].astype(small), np.array(ids, np.int64)[placed], lengths[placed])
 
@@ -265,6 +266,7 @@ def _index(shard_docs: int):
 
         def close() -> pa.RecordBatch:
             doc, key, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             lengths = np.bincount(doc, tf, len(ids)).astype(np.int64)
             columns = [[f"{part}-{number}"], [len(ids)], [int(tf.sum())], [Shard.of(doc, key, tf, ids, lengths).dumps()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "docs", "terms", "lists"])
@@ -275,13 +277,12 @@ def _index(shard_docs: int):
             while at < rows:  # a batch may end one shard and begin the next
                 some = min(rows, at + shard_docs - len(ids))
                 a, b = np.searchsorted(doc, (at, some))
-                held.append((doc[a:b] - at + len(ids), key[a:b], tf[a:b]))
+                held.append(((doc[a:b] - at + len(ids)).astype(np.int32), key[a:b], tf[a:b].astype(np.int32)))
                 ids += batch.column(0).slice(at, some - at).to_pylist()
                 entries, at = entries + b - a, some
                 if len(ids) == shard_docs or entries >= SHARD_ENTRIES:
                     yield close()
                     number, ids, entries = number + 1, [], 0
-                    held.clear()
         if ids:
             yield close()
 
