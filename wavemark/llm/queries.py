@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embeddings, extraction, jaccard, language, licences, mixing, packing, quality, search, token_output
+from . import embeddings, extraction, jaccard, language, licences, mixing, neighbours, packing, quality, search, token_output, whitening
 from .common import table
 
 
@@ -65,6 +65,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=32)
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 QUERIES = {
     "op1_token_output": op1_token_output,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -76,5 +85,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_language_id": op10_language_id,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
 }
 ORACLE_SQL: dict[str, str] = {"op8_license_scan": licences.oracle_sql()}
