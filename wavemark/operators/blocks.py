@@ -58,6 +58,24 @@ def with_nearest(df: DataFrame, value: Column, before: str, after: str, keys: li
     return rows.withColumn(before, F.coalesce(up, "_back")).withColumn(after, F.coalesce(down, "_ahead")).drop("_v", "_back", "_ahead", "_block")
 
 
+def with_latest(df: DataFrame, value: Column, name: str, keys: list[str], at: str, size: float) -> DataFrame:
+    """`name`: the value of the last row at or before each row where it isn't null; of rows with equal `at`, any one's. Drops `_block`."""
+    rows = in_blocks(df, at, size).withColumn("_v", value).repartition(*keys, "_block")
+    back = _ends(rows, keys, {"_back": F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(at)))})
+    inside = F.last("_v", True).over(ordered(keys, at).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.join(back, [*keys, "_block"]).withColumn(name, F.coalesce(inside, "_back")).drop("_v", "_back", "_block")
+
+
+def with_sum_before(df: DataFrame, value: str, name: str, keys: list[str], at: str, size: float, ties: tuple[str, ...] = ()) -> DataFrame:
+    """`name`: the sum of the value over all rows before, in the order of `at` and `ties`; 0 in a key's first row. Drops `_block`."""
+    rows = in_blocks(df, at, size).repartition(*keys, "_block")
+    per = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum(value).over(ordered(keys, at, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(per, [*keys, "_block"]).withColumn(name, F.col("_before") + inside).drop("_before", "_block")
+
+
 def with_largest_before(df: DataFrame, value: str, name: str, keys: list[str], at: str, size: float, ties: tuple[str, ...] = ()) -> DataFrame:
     """`name`: the largest value of all rows before, in the order of `at` and `ties`. Keeps `_block`."""
     rows = in_blocks(df, at, size).repartition(*keys, "_block")

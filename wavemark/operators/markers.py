@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import format_g6
+from .blocks import ROWS, with_latest, with_number, with_previous
 
 VIDEO_KINDS = ("led_on", "led_off", "action_start", "action_end", "seizure_like")
 
@@ -87,34 +88,30 @@ def with_offset(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(one.select("offset_sec", "video_origin_sec")))
 
 
-def pair_intervals(df: DataFrame, start_kind: str, end_kind: str, session: str = "user_id") -> DataFrame:
+def pair_intervals(df: DataFrame, start_kind: str, end_kind: str, session: str = "user_id", block: int = ROWS) -> DataFrame:
     """Starts and ends of a session paired in table order: the latest start counts, the first later-timed end closes it.
 
     An end that isn't later leaves the start open; so of the ends after one start (and before the next) the first with a
-    greater time is its partner, which needs a window and a grouping but no fold.
+    greater time is its partner, which needs the latest start of each row and a grouping but no fold. A session is put in
+    order in blocks of its places, so a long one is no task of its own.
     """
-    rows = df.where(F.col("kind").isin(start_kind, end_kind))
-    is_start = F.col("kind") == start_kind
-    w = Window.partitionBy(session).orderBy("seq")
-    rows = rows.withColumn("island", F.sum(is_start.cast("int")).over(w)).where("island > 0")
-    start = F.max(F.when(is_start, F.struct("time_sec", "marker_id"))).over(Window.partitionBy(session, "island"))
-    ends = rows.withColumn("s", start).where(~is_start & (F.col("time_sec") > F.col("s.time_sec")))
-    first = ends.groupBy(session, "island").agg(F.min(F.struct("seq", "time_sec", "marker_id")).alias("e"), F.first("s").alias("s"))
+    rows = df.where(F.col("kind").isin(start_kind, end_kind)).select(session, "seq", "kind", "time_sec", "marker_id")
+    start = F.when(F.col("kind") == start_kind, F.struct("seq", "time_sec", "marker_id"))
+    ends = with_latest(rows, start, "s", [session], "seq", block).where((F.col("kind") == end_kind) & (F.col("time_sec") > F.col("s.time_sec")))
+    first = ends.groupBy(session, "s").agg(F.min(F.struct("seq", "time_sec", "marker_id")).alias("e"))
     return first.select(session, F.col("s.marker_id").alias("start_marker_id"), F.col("e.marker_id").alias("end_marker_id"), F.col("s.time_sec").alias("start_sec"), F.col("e.time_sec").alias("end_sec"))
 
 
-def interval_warning(df: DataFrame, session: str = "user_id") -> DataFrame:
+def interval_warning(df: DataFrame, session: str = "user_id", block: int = ROWS) -> DataFrame:
     """session, number, problem: the first LED or action end without an open start, or not after it; numbers count video markers.
 
     Unlike pairing, only up to the first violation matters, so before it every end closes its start.
     """
-    rows = df.where("domain = 'video'")
-    w = Window.partitionBy(session).orderBy("seq")
-    rows = rows.withColumn("number", F.row_number().over(w)).withColumn("pair", F.when(F.col("kind").startswith("led"), "led").otherwise("action"))
-    rows = rows.where(F.col("kind").isin(*VIDEO_KINDS[:4]))
-    p = Window.partitionBy(session, "pair").orderBy("seq")
+    rows = df.where("domain = 'video'").select(session, "seq", "kind", "time_sec")
+    rows = with_number(rows, "number", "_count", [session], "seq", block).drop("_count").withColumn("number", F.col("number") + 1)
+    rows = rows.where(F.col("kind").isin(*VIDEO_KINDS[:4])).withColumn("pair", F.when(F.col("kind").startswith("led"), "led").otherwise("action"))
+    rows = with_previous(rows, F.struct("kind", "time_sec", "number"), "before", [session, "pair"], "seq", block).drop("_block")
     is_end = F.col("kind").isin("led_off", "action_end")
-    rows = rows.withColumn("before", F.lag(F.struct("kind", "time_sec", "number")).over(p))
     orphan = is_end & (F.col("before").isNull() | F.col("before.kind").isin("led_off", "action_end"))
     late = is_end & ~orphan & (F.col("time_sec") <= F.col("before.time_sec"))
     bad = rows.withColumn("problem", F.when(orphan, F.concat(F.col("kind"), F.lit(" has no start"))).when(late, F.concat(F.col("kind"), F.lit(" isn't after #"), F.col("before.number"))))
@@ -186,17 +183,17 @@ def update_where(df: DataFrame, which: Column, **values: Column) -> DataFrame:
     return df
 
 
-def reorder(df: DataFrame, marker_id: str, number: int, session: str) -> DataFrame:
+def reorder(df: DataFrame, marker_id: str, number: int, session: str, block: int = ROWS) -> DataFrame:
     """The marker moved to the given place among its session's video markers; other kinds of rows keep their slots.
 
-    Slots (seq values) of the video markers stay the same set; the markers move along them.
+    Slots (seq values) of the video markers stay the same set; the markers move along them. Only the rows between the old
+    and the new place move, by one slot each.
     """
-    w = Window.partitionBy(session).orderBy("seq")
-    video = df.where("domain = 'video'").withColumn("n", F.row_number().over(w))
-    moved = F.max(F.when(F.col("marker_id") == marker_id, F.col("n"))).over(Window.partitionBy(session))
-    rows = video.withColumn("old", moved).withColumn("to", F.least(F.lit(number), F.count("*").over(Window.partitionBy(session))))
+    video = with_number(df.where("domain = 'video'"), "n", "count", [session], "seq", block).withColumn("n", F.col("n") + 1)
+    moved = video.where(F.col("marker_id") == marker_id).groupBy(session).agg(F.max("n").alias("old"), F.least(F.lit(number), F.max("count")).alias("to"))
+    rows = video.join(F.broadcast(moved), session, "left")  # a row a session that has the marker, one as ids differ
     n, a, b = F.col("n"), F.col("old"), F.col("to")
     place = F.when(a.isNull(), n).when(n == a, b).when((a < b) & (n > a) & (n <= b), n - 1).when((a > b) & (n >= b) & (n < a), n + 1).otherwise(n)
-    slots = rows.select(F.col(session).alias("_s"), n.alias("_n"), F.col("seq").alias("_seq"))
+    slots = video.select(F.col(session).alias("_s"), n.alias("_n"), F.col("seq").alias("_seq"))
     placed = rows.withColumn("place", place).join(slots, (F.col(session) == F.col("_s")) & (F.col("place") == F.col("_n"))).withColumn("seq", F.col("_seq"))
     return placed.select(*df.columns).unionByName(df.where("domain <> 'video'"))
