@@ -71,9 +71,9 @@ def with_sum_before(df: DataFrame, value: str, name: str, keys: list[str], at: s
     rows = in_blocks(df, at, size).repartition(*keys, "_block")
     per = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    per = per.select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carried"))
     inside = F.coalesce(F.sum(value).over(ordered(keys, at, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(per, [*keys, "_block"]).withColumn(name, F.col("_before") + inside).drop("_before", "_block")
+    return rows.join(per, [*keys, "_block"]).withColumn(name, F.col("_carried") + inside).drop("_carried", "_block")
 
 
 def with_largest_before(df: DataFrame, value: str, name: str, keys: list[str], at: str, size: float, ties: tuple[str, ...] = ()) -> DataFrame:

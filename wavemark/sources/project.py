@@ -8,7 +8,7 @@ import json
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import settings as S
 from ..operators.markers import sync
@@ -115,8 +115,8 @@ def restore(spark: SparkSession, path: str) -> tuple[DataFrame, dict, DataFrame]
     return markers, state["data"]["lfp_filter_settings"], sync(markers)
 
 
-def bad_markers(markers: DataFrame) -> DataFrame:
-    """Rows that break a rule, with the first rule broken; a table without rows here is valid."""
+def broken_rule() -> Column:
+    """The first rule that a marker's row breaks, null for a sound one."""
     rules = {
         "kind": F.col("kind").isin("ttl", "led_on", "led_off", "action_start", "action_end", "seizure_like", "lfp_peak"),
         "domain": F.col("domain").isin("video", "record"),
@@ -127,4 +127,9 @@ def bad_markers(markers: DataFrame) -> DataFrame:
     first = F.lit(None).cast("string")
     for name, rule in reversed(rules.items()):
         first = F.when(~F.coalesce(rule, F.lit(False)), name).otherwise(first)
-    return markers.withColumn("broken", first).where("broken is not null")
+    return first
+
+
+def bad_markers(markers: DataFrame) -> DataFrame:
+    """Rows that break a rule, with the first rule broken; a table without rows here is valid."""
+    return markers.withColumn("broken", broken_rule()).where("broken is not null")
