@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from wavemark.catalog import QUERIES
-from wavemark.operators import dsp
+from wavemark.operators import dsp, signal_blocks as B
 from wavemark.plans import signal_queries as S
 from wavemark.sources import adapters as A, project as P
 
@@ -71,6 +71,28 @@ def test_gaps_are_filled_over_whole_channels(spark, whole):
     same(QUERIES["sp_prepare"](spark, SF).collect(), picked(want, lambda c, i: True), 1e-12)
 
 
+GAPS = {1: [(999, 1000), (1000, 1001), (1998, 2003)], 2: [(0, 1), (499, 1501)], 3: [(0, 1100)], 4: [(1700, 2500)], 5: [(0, 2500)], 6: [(0, 600), (601, 1999), (2000, 2500)]}
+
+
+@pytest.mark.parametrize("settings", [None, S.BAND, S.NOTCH])
+def test_gaps_at_and_over_block_edges(spark, settings):
+    """Gaps that touch, cross and swallow blocks: values are those of the whole channel filled, then filtered in blocks."""
+    n, block, r = 2500, 500, np.random.default_rng(5)
+    values = {c: r.normal(size=n) for c in GAPS}
+    for c, gaps in GAPS.items():
+        for a, b in gaps:
+            values[c][a:b] = r.choice([np.nan, np.inf], size=b - a)
+    rows = [(c, i, 1000.0 * i, None if c % 2 and np.isnan(v[i]) else float(v[i])) for c, v in values.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "channel int, sample_index long, time_us double, value double").repartition(3, "sample_index")
+    pad = dsp.padding(settings, RATE)
+    want = {}
+    for c, v in values.items():
+        v = dsp.fill_gaps(v)
+        parts = [dsp.prepare(v[max(a - pad, 0) : a + block + pad], RATE, settings)[a - max(a - pad, 0) :][:block] for a in range(0, n, block)]
+        want[c] = dict(enumerate(np.concatenate(parts)))
+    same(B.filtered(df, settings, RATE, block).collect(), want, 1e-9)
+
+
 def test_filters(spark, whole):
     band, notch = filtered(whole, S.BAND), in_blocks(whole, S.NOTCH)
     every = lambda c, i: True

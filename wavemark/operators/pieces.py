@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows that a task holds before it passes its pieces on.
 HELD = 1 << 19
@@ -54,10 +54,40 @@ def _cut(block: int, halo: int):
     return run
 
 
-def over_blocks(df: DataFrame, block: int, halo: int, run: Run, schema: str) -> DataFrame:
+def _nearest_outside(rows: DataFrame, block: int, halo: int) -> DataFrame:
+    """channel, block, sample_index, value: of each block with rows, the nearest finite samples before and after what it holds.
+
+    What ends before block b begins (its halo included) has (index + halo) // size < b, and what starts after it has
+    (index - halo) // size > b: of each such number the last (first) finite sample is kept, and only those, a few a
+    block, meet in a window of the channel.
+    """
+    i, v = F.col("sample_index"), F.col("value")
+    point = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), F.struct("sample_index", "value"))
+    parts = []
+    for number, best, order in ((F.floor((i + halo) / block), F.max(point), F.asc("block")), (F.floor((i - halo) / block), F.min(point), F.desc("block"))):
+        ends = rows.groupBy("channel", number.alias("block")).agg(best.alias("p"))
+        own = rows.select("channel", F.floor(i / block).alias("block")).distinct()
+        both = own.join(ends, ["channel", "block"], "full")
+        w = Window.partitionBy("channel").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        parts.append(both.withColumn("q", F.last("p", True).over(w)))
+    return parts[0].unionByName(parts[1]).where("q is not null and block >= 0").select("channel", F.col("block").cast("long").alias("block"), "q.sample_index", "q.value")
+
+
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of one sample each; they have no time."""
+    for batch in batches:
+        at, value = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.float64)
+        missing = np.full(1, np.nan).tobytes()
+        columns = batch.column(0), batch.column(1), pa.array([x.tobytes() for x in at], pa.binary()), pa.array([missing] * len(at), pa.binary()), pa.array([x.tobytes() for x in value], pa.binary())
+        yield pa.RecordBatch.from_arrays(list(columns), names=_NAMES)
+
+
+def over_blocks(df: DataFrame, block: int, halo: int, run: Run, schema: str, *, filled: bool = False) -> DataFrame:
     """The rows that `run` makes of each block of `df` (channel, sample_index, time_us, value) that has rows of its own.
 
-    `run` gets a block's rows with those within `halo` before and after it, and returns columns of `schema`.
+    `run` gets a block's rows with those within `halo` before and after it, and returns columns of `schema`. With `filled`
+    values that aren't finite are given as if the whole channel had been filled: linear in the index between the nearest
+    finite samples, however far they lie beyond the block, the nearest one's value at an end, 0 in a channel without any.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -67,9 +97,18 @@ def over_blocks(df: DataFrame, block: int, halo: int, run: Run, schema: str) ->
         if (np.diff(at) < 0).any():
             order = np.argsort(at, kind="stable")
             at, time, value = at[order], time[order], value[order]
+        if filled:
+            good = np.isfinite(value)
+            if not good.all():
+                value = np.interp(at, at[good], value[good]) if good.any() else np.zeros(len(at))
+            held = slice(*np.searchsorted(at, (number * block - halo, (number + 1) * block + halo)))
+            at, time, value = at[held], time[held], value[held]
         found = run(channel, number, at, time, value) if ((at // block) == number).any() else {}
         return pa.table({n: found[n] for n in names}) if found else pa.table({n: [] for n in names}, schema=empty)
 
     empty = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]]) for x in schema.split(", ")])
     rows = df.select(F.col("channel").cast("int").alias("channel"), F.col("sample_index").cast("long").alias("sample_index"), F.col("time_us").cast("double").alias("time_us"), F.col("value").cast("double").alias("value"))
-    return rows.mapInArrow(_cut(block, halo), PIECE_SCHEMA).groupBy("channel", "block").applyInArrow(join, schema)
+    pieces = rows.mapInArrow(_cut(block, halo), PIECE_SCHEMA)
+    if filled:
+        pieces = pieces.unionByName(_nearest_outside(rows, block, halo).mapInArrow(_points, PIECE_SCHEMA))
+    return pieces.groupBy("channel", "block").applyInArrow(join, schema)

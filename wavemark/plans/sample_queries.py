@@ -231,12 +231,12 @@ def win_plateau(spark, sf_dir):
     return W.plateaus(flat)
 
 
-_FILL = """g AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN sample_index END IGNORE NULLS) OVER b AS ai, last_value(value IGNORE NULLS) OVER b AS av,
+FILL = """g AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN sample_index END IGNORE NULLS) OVER b AS ai, last_value(value IGNORE NULLS) OVER b AS av,
 first_value(CASE WHEN value IS NOT NULL THEN sample_index END IGNORE NULLS) OVER f AS bi, first_value(value IGNORE NULLS) OVER f AS bv FROM samples_dirty
 WINDOW b AS (PARTITION BY channel ORDER BY sample_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), f AS (PARTITION BY channel ORDER BY sample_index ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("win_interp_gaps", _D("SELECT channel, sample_index, round(CASE WHEN ai IS NULL AND bi IS NULL THEN 0 WHEN ai IS NULL THEN bv WHEN bi IS NULL OR ai = bi THEN av ELSE av + (bv - av) * (sample_index - ai) / (bi - ai) END, 9) AS filled FROM g", _FILL))
+@query("win_interp_gaps", _D("SELECT channel, sample_index, round(CASE WHEN ai IS NULL AND bi IS NULL THEN 0 WHEN ai IS NULL THEN bv WHEN bi IS NULL OR ai = bi THEN av ELSE av + (bv - av) * (sample_index - ai) / (bi - ai) END, 9) AS filled FROM g", FILL))
 def win_interp_gaps(spark, sf_dir):
     return W.fill_gaps(A.samples_dirty(spark, sf_dir)).select("channel", "sample_index", F.round("filled", 9).alias("filled"))
 

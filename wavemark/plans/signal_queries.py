@@ -15,6 +15,7 @@ from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
 from ..streaming import monitor
 from .registry import query
+from .sample_queries import FILL
 
 BAND = Settings(True, bandpass=True, low_hz=5.0, high_hz=100.0)
 NOTCH = Settings(True, method="notch", frequencies=(60.0,))
@@ -200,9 +201,9 @@ def fn_validate_project(spark, sf_dir):
     return P.bad_markers(bad).select("seq", "broken")
 
 
-@query("sp_prepare")
+@query("sp_prepare", with_views("samples_dirty", more=FILL, then="SELECT channel, sample_index, time_us, round(CASE WHEN ai IS NULL AND bi IS NULL THEN 0 WHEN ai IS NULL THEN bv WHEN bi IS NULL OR ai = bi THEN av ELSE av + (bv - av) * (sample_index - ai) / (bi - ai) END, 9) AS value FROM g"))
 def sp_prepare(spark, sf_dir):
-    return B.filtered(A.samples_dirty(spark, sf_dir), None, RATE_HZ, BLOCK)
+    return B.filtered(A.samples_dirty(spark, sf_dir), None, RATE_HZ, BLOCK).withColumn("value", F.round("value", 9))
 
 
 @query("sp_bandpass")
