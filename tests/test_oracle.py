@@ -43,7 +43,7 @@ def test_same_rows(name, spark, duck):
 
 #: Queries without oracle SQL, and where they are compared with NumPy, brute force or the files themselves.
 COMPARED = {
-    "test_registered.py": {"sp_bandpass", "sp_notch", "sp_regression", "sp_segment_filtered", "sp_overview_filtered", "sp_coarse", "sp_plot_segment", "sp_display_segment", "sp_export_waveform", "sp_psd", "sp_spectrogram", "sp_find_peaks", "topk_peak_nms", "topk_peak_distance", "fn_fingerprint", "join_source_fingerprint", "scan_chunks_pyarrow"},
+    "test_registered.py": {"sp_bandpass", "sp_notch", "sp_regression", "sp_segment_filtered", "sp_overview_filtered", "sp_coarse", "sp_plot_segment", "sp_display_segment", "sp_export_waveform", "sp_psd", "sp_spectrogram", "sp_find_peaks", "topk_peak_nms", "topk_peak_distance", "fn_fingerprint", "join_source_fingerprint"},
     "test_whole_curve.py": {"sp_led_refine"},
     "test_peak_display.py": {"sp_peak_display"},
 }

@@ -21,6 +21,8 @@ BAND = Settings(True, bandpass=True, low_hz=5.0, high_hz=100.0)
 NOTCH = Settings(True, method="notch", frequencies=(60.0,))
 SINES = Settings(True, method="regression", frequencies=(60.0,), window_sec=0.5)
 BLOCK = 1000
+#: Bytes of a recording's window, small enough for several in a small table.
+CHUNK_BYTES = 40_000
 #: Channel ids in recordings, by the number of the samples' channel from 1.
 IDS = (2, 5, 260, 8, 13)
 
@@ -81,10 +83,14 @@ def scan_signal_convert(spark, sf_dir):
     return C.checked(C.to_long(C.read(spark, recording(spark, sf_dir)))).withColumn("value", F.round(F.col("value").cast("double"), 4))
 
 
-@query("scan_chunks_pyarrow")
+#: The recording's lines with their lengths, and where each begins after the header.
+_LINES = "tx AS (SELECT sample_index AS k, " + ", ".join(f"coalesce(any_value(CASE WHEN channel = {k} THEN printf('%.8f', value) END), '') AS c{k}" for k in range(1, len(IDS) + 1)) + " FROM samples GROUP BY sample_index), ll AS (SELECT k, sum(1 + length(concat_ws(',', printf('%.0f', k * 1000.0), " + ", ".join(f"c{k}" for k in range(1, len(IDS) + 1)) + "))) OVER (ORDER BY k) AS upto, 1 + length(concat_ws(',', printf('%.0f', k * 1000.0), " + ", ".join(f"c{k}" for k in range(1, len(IDS) + 1)) + ")) AS size FROM tx)"
+
+
+@query("scan_chunks_pyarrow", with_views("samples", more=_LINES, then=f"SELECT CAST((upto - size) // {CHUNK_BYTES} AS INTEGER) AS \"window\", count(*) AS n, CAST(min(k) * 1000 AS DOUBLE) AS first_us, CAST(max(k) * 1000 AS DOUBLE) AS last_us FROM ll GROUP BY 1"))
 def scan_chunks_pyarrow(spark, sf_dir):
-    """Spark's own splits of the file are the chunks: where each begins, its rows and times. They follow from the session's split size."""
-    return C.chunks(spark, recording(spark, sf_dir))
+    """Windows of bytes: a line is in the one that it begins in."""
+    return C.chunks(spark, recording(spark, sf_dir), CHUNK_BYTES)
 
 
 @query("scan_chunks_pandas", with_views("samples", more=_REC, then="SELECT k // 500 AS chunk, count(*) AS n, CAST(min(k) * 1000 AS DOUBLE) AS first_us, CAST(max(k) * 1000 AS DOUBLE) AS last_us FROM rc GROUP BY ALL"))

@@ -23,6 +23,17 @@ def _file_system(spark: SparkSession, path: str):
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark understands it."""
+    found, fs = _file_system(spark, path)
+    return fs.makeQualified(found).toString()
+
+
+def file_size(spark: SparkSession, path: str) -> int:
+    found, fs = _file_system(spark, path)
+    return fs.getFileStatus(found).getLen()
+
+
 @contextmanager
 def replacing(spark: SparkSession, path: str):
     """A stream to `<path>.part`, which takes the target's place when all is written; after an error it is gone."""

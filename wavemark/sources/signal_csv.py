@@ -1,56 +1,60 @@
-"""Signal recordings as CSV with a few rows of metadata before the data, and as Parquet partitioned by channel."""
+"""Signal recordings as CSV with rows of metadata before the data, and as Parquet partitioned by channel.
+
+Files that Python can open are read in windows of bytes (`recording_source`), others by Spark's own CSV reader.
+"""
 
 from __future__ import annotations
 
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.blocks import ordered, with_edges
 from ..operators.markers import number_rows
-from .files import write_lines
+from .files import file_size, qualified, write_lines
+from .recording_source import AFTER_HEADER, CHANNELS, TIME, WINDOW, Recordings, can_open, describe, known_channels, top_of
 
-#: Names of the metadata rows.
-CHANNELS, RATE, TIME, UNITS = "Channels", "Sample Rate", "Time[us]", ("unit", "units")
-#: Rows that are looked at before the data's header must have come, and after it for a unit.
-HEAD_ROWS, AFTER_HEADER = 64, 8
 MICROVOLT = ("uv", "µv", "μv")
+#: Rows that are looked at first for the header, where only Spark can read the file.
+HEAD_ROWS = 64
+#: Windows whose row numbers are sent to every task; more are joined by a shuffle.
+FEW_WINDOWS = 1 << 20
 
 
-def head(spark: SparkSession, path: str, rows: int = HEAD_ROWS) -> list[list[str]]:
+def head(spark: SparkSession, path: str, rows: int) -> list[list[str]]:
     """The first rows of the file; a bounded read on the driver."""
     lines = [r.value for r in spark.read.text(path).limit(rows).collect()]
-    return list(csv.reader(io.StringIO("\n".join(lines).removeprefix("﻿"))))
+    return list(csv.reader(io.StringIO("\n".join(lines).removeprefix("\ufeff"))))
 
 
 def normalize_unit(unit: str) -> str:
     return "uV" if unit.lower().replace(" ", "") in MICROVOLT else " ".join(unit.split())
 
 
+def _is_header(line: Column) -> Column:
+    return F.trim(F.get(F.split(F.ltrim(line), ","), 0)).isin(TIME, f'"{TIME}"')
+
+
+def _top_by_spark(spark: SparkSession, path: str) -> dict:
+    """As `top_of`: first rows, ever more of them as long as there is a header further down."""
+    rows, asked = head(spark, path, HEAD_ROWS), HEAD_ROWS
+    while describe(rows)["header_row"] is None and len(rows) >= asked:
+        if asked == HEAD_ROWS and spark.read.text(path).where(_is_header(F.col("value"))).isEmpty():
+            break
+        rows, asked = head(spark, path, 8 * asked), 8 * asked
+    header = describe(rows)["header_row"]
+    if header is not None and len(rows) <= header + AFTER_HEADER:
+        rows = head(spark, path, header + 2 * AFTER_HEADER)
+    return describe(rows)
+
+
 def metadata(spark: SparkSession, path: str) -> dict:
-    """channels, sample_rates, header_row (from 0), data_column_count, time_unit and value_unit."""
-    found = {"channels": [], "sample_rates": [], "header_row": None, "data_column_count": None, "time_unit": "s", "value_unit": ""}
-    after = 0
-    for k, raw in enumerate(head(spark, path)):
-        row = [v.strip() for v in raw]
-        if not row:
-            continue
-        if row[0] == CHANNELS:
-            found["channels"] = [int(v) for v in row[1:] if v]
-        elif row[0].startswith(RATE):
-            found["sample_rates"] = [float(v) for v in row[1:] if v]
-        elif row[0] == TIME:
-            found["header_row"], found["data_column_count"] = k, sum(map(bool, row))
-        if row[0].lower() in UNITS:
-            found["value_unit"] = next((v for v in row[1:] if v), found["value_unit"])
-        if found["header_row"] is not None:
-            after += 1
-            if found["value_unit"] or after > AFTER_HEADER:
-                break
-    found["value_unit"] = normalize_unit(found["value_unit"])
-    return found
+    """channels, sample_rates, header_row (from 0), data_column_count, time_unit and value_unit; see `describe`."""
+    full = qualified(spark, path)
+    found = top_of(full)[0] if can_open(full) else _top_by_spark(spark, path)
+    return found | {"value_unit": normalize_unit(found["value_unit"])}
 
 
 def info(spark: SparkSession, path: str) -> dict:
@@ -59,7 +63,7 @@ def info(spark: SparkSession, path: str) -> dict:
 
 
 def data_header(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(row, columns) of the first row whose first cell is the time header; a ValueError if there is none near the top."""
+    """(row, columns) of the first row whose first cell is the time header; a ValueError if there is none."""
     m = metadata(spark, path)
     if m["header_row"] is None:
         raise ValueError(f"no {TIME} row")
@@ -70,34 +74,53 @@ def preview(spark: SparkSession, path: str, rows: int = 8) -> list[list[str]]:
     return head(spark, path, rows)
 
 
-def read(spark: SparkSession, path: str, channels: list[int] | None = None) -> DataFrame:
+def _source(spark: SparkSession, window_bytes: int) -> DataFrameReader:
+    spark.dataSource.register(Recordings)
+    pushes = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("recording").option("windowBytes", window_bytes).option("pushdown", pushes)
+
+
+def read(spark: SparkSession, path: str, channels: list[int] | None = None, window_bytes: int = WINDOW) -> DataFrame:
     """row, time_us (double) and channel_<id> (float) of the asked channels, in the file's order.
 
-    Cells that aren't numbers are null. Channel ids are ids, not positions; one that isn't there is an error.
+    Only the asked channels are parsed. Cells that aren't numbers are null, blank lines aren't rows. Channel ids are ids,
+    not positions; one that isn't there is an error. A window's first row is the sum of the lines before it, which are
+    counted without parsing them.
     """
     m = metadata(spark, path)
     if m["header_row"] is None:
         raise ValueError(f"no {TIME} row")
-    known = m["channels"] or list(range(1, m["data_column_count"]))
+    known = known_channels(m)
     if missing := set(channels or []) - set(known):
         raise ValueError(f"unknown channels {sorted(missing)}")
-    columns = ["time_us", *(f"channel_{c}" for c in known)]
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path)
-    at = F.monotonically_increasing_id()  # grows along the file: splits come in order
-    rows = rows.withColumn("_at", at)
-    data = number_rows(rows, F.shiftright("_at", 33), ["_at"], "row").where(F.col("row") > m["header_row"] + 1)
-    wanted = [f"channel_{c}" for c in channels or known]
-    return data.select((F.col("row") - m["header_row"] - 2).alias("row"), F.col("time_us").try_cast("double").alias("time_us"), *(F.col(c).try_cast("float").alias(c) for c in wanted))
-
-
-def chunks(spark: SparkSession, path: str) -> DataFrame:
-    """file_offset, n, first_us, last_us: the data rows of each split that Spark reads the file in."""
-    names = metadata(spark, path)["channels"]
-    schema = StructType([StructField(c, StringType()) for c in ("time_us", *(f"channel_{c}" for c in names))])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
-    time = F.col("time_us").try_cast("double")
-    return rows.select(F.col("_metadata.file_block_start").alias("file_offset"), time.alias("t")).where("t is not null").groupBy("file_offset").agg(F.count("*").alias("n"), F.min("t").alias("first_us"), F.max("t").alias("last_us"))
+    wanted = channels or known
+    full = qualified(spark, path)
+    if not can_open(full):
+        return _read_by_spark(spark, path, m["header_row"], known, wanted)
+    rows = _source(spark, window_bytes).option("channels", ",".join(map(str, wanted))).load(full)
+    sizes = _source(spark, window_bytes).option("what", "windows").load(full)
+    earlier = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # a row a window
+    first = sizes.select("window", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("first"))
+    few = file_size(spark, full) <= FEW_WINDOWS * window_bytes
+    return rows.join(F.broadcast(first) if few else first, "window").select((F.col("first") + F.col("line")).alias("row"), "time_us", *(f"channel_{c}" for c in wanted))
+
+
+def _read_by_spark(spark: SparkSession, path: str, header_row: int, known: list[int], wanted: list[int]) -> DataFrame:
+    """The same by Spark's CSV reader. A file's splits come in order, so that its rows can be numbered by them; this is for
+    one file, not a folder."""
+    schema = StructType([StructField(c, StringType()) for c in ["time_us", *(f"channel_{c}" for c in known)]])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
+    header = rows.where(F.trim("time_us") == TIME).agg(F.min("_at").alias("_header"))
+    data = rows.crossJoin(F.broadcast(header)).where(F.col("_at") > F.col("_header"))  # one row
+    numbered = number_rows(data, F.shiftright("_at", 33), ["_at"], "row")
+    return numbered.select((F.col("row") - 1).alias("row"), F.col("time_us").try_cast("double").alias("time_us"), *(F.col(f"channel_{c}").try_cast("float").alias(f"channel_{c}") for c in wanted))
+
+
+def chunks(spark: SparkSession, path: str, window_bytes: int = WINDOW) -> DataFrame:
+    """window, n, first_us, last_us: the rows with a time that each window of bytes after the header has; only times are parsed."""
+    full = qualified(spark, path)
+    rows = _source(spark, window_bytes).option("channels", "").load(full)
+    return rows.where("time_us is not null").groupBy("window").agg(F.count("*").alias("n"), F.min("time_us").alias("first_us"), F.max("time_us").alias("last_us"))
 
 
 def to_long(wide: DataFrame) -> DataFrame:
