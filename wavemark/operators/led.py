@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.time_math import coarse_scan_step
-from .blocks import with_largest_before, with_nearest, with_previous, with_run
+from .blocks import with_largest_before, with_nearest, with_previous
+from .dominance import select
 
 LEAST = 1e-6
 #: Frames of a curve that are compared in one task.
@@ -114,32 +113,17 @@ def on_off_pairs(changes: DataFrame, least: DataFrame | float | None = None, *,
     return pairs.select(*camera, "threshold", "on_frame", "off_frame", "on_sec", "off_sec", "duration_sec", score.alias("score"))
 
 
-def choose_pairs(pairs: DataFrame, most: int, gap_frames: int) -> list[tuple[int, int]]:
+def choose_pairs(pairs: DataFrame, most: int, gap_frames: int, block: int = FRAMES) -> list[tuple[int, int]]:
     """The best pairs in turn, none overlapping another's range widened by the gap; the first found wins ties.
 
-    Pairs whose widened ranges don't touch can't keep each other out, so runs of touching ones are decided apart, each
-    at most `most` times, and the best of all runs are the answer.
+    The first so many of all that a selection in turn takes are its best ones, so the pairs are chosen in blocks of
+    frames (see `dominance`) and the best of the chosen ones are the answer.
     """
-    rows = with_largest_before(pairs.select("on_frame", "off_frame", "score"), "off_frame", "_far", [], "on_frame", FRAMES, ("off_frame",))
-    runs = with_run(rows, F.coalesce(F.col("on_frame") > F.col("_far") + gap_frames, F.lit(True)), "run", [], "on_frame", ("off_frame",))
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken = []
-        for _, one in pdf.sort_values(["score", "on_frame", "off_frame"], ascending=[False, True, True]).groupby("run", sort=False):
-            starts, ends, kept = [], [], []  # of the pairs taken, in order
-            for k, (a, b) in enumerate(zip(one["on_frame"].tolist(), one["off_frame"].tolist(), strict=True)):
-                at = bisect_left(starts, a)
-                if (at == 0 or a > ends[at - 1] + gap_frames) and (at == len(starts) or b < starts[at] - gap_frames):
-                    starts.insert(at, a)
-                    ends.insert(at, b)
-                    kept.append(k)
-                    if len(kept) == most:
-                        break
-            taken.append(one.iloc[kept])
-        return pd.concat(taken)[["on_frame", "off_frame", "score"]]
-
-    # whole runs, many to a group: those that begin in the same block of frames
-    chosen = runs.drop("_far").groupBy(F.floor(F.col("run") / FRAMES)).applyInPandas(decide, "on_frame long, off_frame long, score double")
+    rows = pairs.select("on_frame", "off_frame", "score")
+    longest = rows.agg(F.max(F.col("off_frame") - F.col("on_frame"))).first()[0]
+    if longest is None:
+        return []
+    chosen = select(rows, [], "on_frame", "off_frame", [("score", False), ("on_frame", True), ("off_frame", True)], gap=gap_frames, longest=longest, block=max(block, gap_frames + longest))
     return [(r.on_frame, r.off_frame) for r in chosen.orderBy(F.desc("score"), "on_frame", "off_frame").limit(most).collect()]
 
 

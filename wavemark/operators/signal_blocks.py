@@ -6,14 +6,11 @@ bounded, so one long recording spreads over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import dsp
-from .blocks import with_previous, with_run
+from .dominance import select
 from .pieces import over_blocks
 from .samples import EPSILON, finite
 
@@ -117,8 +114,7 @@ def find_peaks(df: DataFrame, rate_hz: float, *, settings: dsp.Settings | None =
     """channel, sample_index, time_sec, value, negative, prominence of the peaks of both polarities.
 
     First pass: mean and deviation of a channel's finite values. Second: candidates of each block with context, kept by
-    the block that owns them. Last: the strongest of near ones, over both polarities; candidates further apart than the
-    distance don't affect each other, so runs of near ones are decided apart.
+    the block that owns them. Last: the strongest of near ones, over both polarities (see `dominance`).
     """
     rows = filtered(df, settings, rate_hz, block) if settings is not None else df.select("channel", "sample_index", "time_us", "value")
     distance = max(1, round(rate_hz * distance_sec))
@@ -145,26 +141,14 @@ def find_peaks(df: DataFrame, rate_hz: float, *, settings: dsp.Settings | None =
     return nms(over_blocks(rows, block, context, run, schema), distance, block)
 
 
-def _by_runs(rows: DataFrame, ties: tuple[str, ...], distance: int, keep: Callable[[pd.DataFrame], np.ndarray], block: int) -> DataFrame:
-    """The rows that `keep` chooses of each run of rows nearer than the distance; whole runs are dealt by the block they begin in."""
-    order, names = ["sample_index", *ties], rows.columns
-    found = with_previous(rows, F.col("sample_index"), "_last", ["channel"], "sample_index", block, ties)
-    runs = with_run(found, F.coalesce(F.col("sample_index") - F.col("_last") >= distance, F.lit(True)), "run", ["channel"], "sample_index", ties)
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        edges = np.flatnonzero(np.diff(pdf["run"].to_numpy(), prepend=-1))
-        parts = [pdf.iloc[a:b] for a, b in zip(edges, np.append(edges[1:], len(pdf)), strict=True)]
-        return pd.concat([one[keep(one)] for one in parts])[names]
-
-    return runs.drop("_last").groupBy("channel", F.floor(F.col("run") / block)).applyInPandas(decide, rows.schema)
-
-
 def nms(candidates: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
-    """The strongest of near candidates, over both polarities."""
-    return _by_runs(candidates, ("negative",), distance, lambda one: dsp.strongest(one["sample_index"].to_numpy(), one["prominence"].to_numpy(), one["value"].to_numpy(), distance), block)
+    """The strongest of near candidates, over both polarities: by prominence, size and index."""
+    order = [("prominence", False), ("_size", False), ("sample_index", True), ("negative", True)]
+    rows = candidates.withColumn("_size", F.abs("value"))
+    return select(rows, ["channel"], "sample_index", "sample_index", order, gap=distance - 1, longest=0, block=max(block, distance)).drop("_size")
 
 
 def distant(df: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
-    """Rows (channel, sample_index, value) left when higher ones take out all nearer than the distance."""
-    return _by_runs(df.select("channel", "sample_index", "value"), (), distance, lambda one: dsp.keep_distant(one["sample_index"].to_numpy(), one["value"].to_numpy(), distance), block)
+    """Rows (channel, sample_index, value) left when higher ones, the later of equals first, take out all nearer than the distance."""
+    rows = df.select("channel", "sample_index", "value")
+    return select(rows, ["channel"], "sample_index", "sample_index", [("value", False), ("sample_index", False)], gap=distance - 1, longest=0, block=max(block, distance))
