@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavemark.functions import settings as S, text as X
-from wavemark.operators import markers as M, samples as O, windows as W
+from wavemark.operators import intervals as I, markers as M, samples as O, windows as W
 from wavemark.sources import project as P, signal_csv as C, ttl
 from wavemark.streaming import monitor
 
@@ -149,11 +149,11 @@ def test_reorder_moves_among_video_rows(spark):
 
 def test_peak_intervals_and_points(spark):
     t = spark.createDataFrame([(1, x) for x in (1.0, 1.5, 12.0, float("nan"))], "channel int, time_sec double")
-    assert sorted((r.left, r.right) for r in W.peak_intervals(t).collect()) == [(0.0, 2.5), (11.0, 13.0)]
+    assert sorted((r.left, r.right) for r in I.peak_intervals(t).collect()) == [(0.0, 2.5), (11.0, 13.0)]
     iv = spark.createDataFrame([(1, 0.0, 1.0), (1, 2.0, 5.0)], "channel int, left double, right double")
     assert sum(r.points for r in W.allocate_points(iv, 101).collect()) == 101
     long = spark.createDataFrame([(1, float(x)) for x in range(100)], "channel int, time_sec double")
-    assert max(r.right - r.left for r in W.peak_intervals(long).collect()) <= 30
+    assert max(r.right - r.left for r in I.peak_intervals(long).collect()) <= 30
 
 
 def test_row_numbers_over_buckets(spark):

@@ -113,7 +113,7 @@ def on_off_pairs(changes: DataFrame, least: DataFrame | float | None = None, *,
     return pairs.select(*camera, "threshold", "on_frame", "off_frame", "on_sec", "off_sec", "duration_sec", score.alias("score"))
 
 
-def choose_pairs(pairs: DataFrame, most: int, gap_frames: int, block: int = FRAMES) -> list[tuple[int, int]]:
+def choose_pairs(pairs: DataFrame, most: int, gap_frames: int, block: int = FRAMES // 10) -> list[tuple[int, int]]:
     """The best pairs in turn, none overlapping another's range widened by the gap; the first found wins ties.
 
     The first so many of all that a selection in turn takes are its best ones, so the pairs are chosen in blocks of

@@ -62,28 +62,6 @@ def merge_ranges(df: DataFrame, touch: float = 1e-9, width: float = 3600.0) -> D
     return islands.groupBy("channel", "_island").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("_island")
 
 
-def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float = 30.0, width: float = 3600.0) -> DataFrame:
-    """Neighbourhoods of peak times united from left to right while the union stays short enough.
-
-    Times that are close enough to touch form runs, found in blocks of `width` seconds; only a run's times meet in one fold.
-    """
-    radius = max(float(context_sec), 0.0)
-    span = max(float(longest_sec), 2 * radius)
-    times = df.where(finite(F.col("time_sec"))).select("channel", "time_sec").distinct()
-    rows = with_previous(times, F.col("time_sec"), "_last", ["channel"], "time_sec", width)
-    rows = with_run(rows, F.coalesce(F.col("time_sec") - radius > F.col("_last") + radius, F.lit(True)), "run", ["channel"], "time_sec")
-    runs = rows.groupBy("channel", "run").agg(F.array_sort(F.collect_list("time_sec")).alias("times"))
-    empty = F.array().cast("array<struct<left: double, right: double>>")
-
-    def step(done: Column, t: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        fits = (F.size(done) > 0) & (t - radius <= last["right"]) & (F.greatest(last["right"], t + radius) - last["left"] <= span)
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["left"].alias("left"), F.greatest(last["right"], t + radius).alias("right"))))
-        return F.when(fits, grown).otherwise(F.concat(done, F.array(F.struct((t - radius).alias("left"), (t + radius).alias("right")))))
-
-    return runs.select("channel", F.explode(F.aggregate("times", empty, step)).alias("i")).select("channel", "i.left", "i.right")
-
-
 def allocate_points(df: DataFrame, budget: Column | int) -> DataFrame:
     """A point budget (a column: each channel's own) dealt to the ranges (channel, left, right) by duration: largest remainders get what is left over."""
     length = F.greatest(F.col("right") - F.col("left"), F.lit(0.0))

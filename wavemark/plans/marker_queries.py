@@ -254,7 +254,7 @@ fo AS (SELECT channel, list_reduce(ts[2:], lambda a, t: CASE WHEN t - 300 <= a[l
 
 @query("win_merge_peak_intervals", _P("SELECT channel, a[2 * k - 1] AS \"left\", a[2 * k] AS \"right\" FROM fo, LATERAL (SELECT unnest(range(1, len(a) // 2 + 1)) AS k)", _FOLD))
 def win_merge_peak_intervals(spark, sf_dir):
-    from ..operators.windows import peak_intervals
+    from ..operators.intervals import peak_intervals
 
     t = A.peaks(spark, sf_dir).select(F.coalesce("channel", F.lit(0)).alias("channel"), (F.floor(F.col("time_sec") / 400) * 400).cast("double").alias("time_sec"))
     return peak_intervals(t, 300.0, 2000.0)

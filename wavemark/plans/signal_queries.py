@@ -8,7 +8,7 @@ import time
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import led as D, markers as M, signal_blocks as B, windows as W
+from ..operators import intervals as I, led as D, markers as M, signal_blocks as B, windows as W
 from ..operators.dsp import Settings
 from ..sources import adapters as A, project as P, signal_csv as C, ttl
 from ..sources.adapters import RATE_HZ, with_views
@@ -312,7 +312,7 @@ def sp_peak_display(spark, sf_dir):
     tops = rows.where("value > 100")
     markers = W.even_sample(tops, budget // 4)
     left_over = tops.groupBy("channel").agg((F.lit(budget) - F.least(F.count("*"), F.lit(budget // 4))).alias("budget"))
-    intervals = W.peak_intervals(tops.select("channel", (F.col("time_us") / 1e6).alias("time_sec")), 300.0, 3000.0)
+    intervals = I.peak_intervals(tops.select("channel", (F.col("time_us") / 1e6).alias("time_sec")), 300.0, 3000.0)
     spans = W.allocate_points(intervals.join(F.broadcast(left_over), "channel"), F.col("budget"))
     # an interval is at most 3000 s long: rows and intervals meet on 3000 s buckets
     k = F.explode(F.sequence(F.floor(F.col("left") / 3000), F.floor(F.col("right") / 3000)))
