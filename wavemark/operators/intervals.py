@@ -70,7 +70,7 @@ def _in_blocks(times: DataFrame, width: float, reach: float) -> DataFrame:
     return times.withColumn("block", block).withColumn("own", F.floor(t / width) == F.col("block"))
 
 
-def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float = 30.0, width: float = 3600.0) -> DataFrame:
+def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float = 30.0, width: float = 21_600.0) -> DataFrame:
     """channel, left, right: neighbourhoods (context_sec around each of a channel's times) united in order of time: one
     that touches the union joins it if that doesn't become longer than longest_sec (twice the context at least), else it
     begins the next. Times that aren't finite are left out, equal ones count once.
