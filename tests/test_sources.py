@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from wavemark.functions import settings as S, text as X
 from wavemark.operators import intervals as I, markers as M, samples as O, windows as W
 from wavemark.sources import project as P, signal_csv as C, ttl
-from wavemark.streaming import monitor
 
 CHANNELS = (2, 5, 260)
 
@@ -160,17 +159,3 @@ def test_row_numbers_over_buckets(spark):
     df = spark.range(1000).withColumn("v", F.col("id") * 7 % 1000)
     got = M.number_rows(df, F.floor(F.col("v") / 64), ["v"]).collect()
     assert all(r.number == r.v + 1 for r in got)
-
-
-def test_stream_counts_equal_batch_counts(spark, tmp_path):
-    rows = [(1, i, float(t), 1.0) for i, t in enumerate([0, 100_000, 100_000, 300_000, 400_000, 900_000])]
-    batch = spark.createDataFrame(rows, "channel int, sample_index long, time_us double, value double")
-    for k in range(3):
-        batch.where(f"sample_index between {2 * k} and {2 * k + 1}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    seen = []
-    q = monitor.gap_counts(stream, 100_000.0).writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = O.anomaly_counts(batch, 10.0).first()
-    last = max(seen, key=lambda r: r.n)
-    assert (last.n, last.duplicates, last.discontinuities) == (want.n, want.duplicates, want.discontinuities)

@@ -54,13 +54,18 @@ def _cut(block: int, halo: int):
     return run
 
 
-def _nearest_outside(rows: DataFrame, block: int, halo: int) -> DataFrame:
+def _typed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("channel").cast("int").alias("channel"), F.col("sample_index").cast("long").alias("sample_index"), F.col("time_us").cast("double").alias("time_us"), F.col("value").cast("double").alias("value"))
+
+
+def nearest_outside(df: DataFrame, block: int, halo: int) -> DataFrame:
     """channel, block, sample_index, value: of each block with rows, the nearest finite samples before and after what it holds.
 
     What ends before block b begins (its halo included) has (index + halo) // size < b, and what starts after it has
     (index - halo) // size > b: of each such number the last (first) finite sample is kept, and only those, a few a
     block, meet in a window of the channel.
     """
+    rows = _typed(df)
     i, v = F.col("sample_index"), F.col("value")
     point = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), F.struct("sample_index", "value"))
     parts = []
@@ -82,12 +87,13 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(list(columns), names=_NAMES)
 
 
-def over_blocks(df: DataFrame, block: int, halo: int, run: Run, schema: str, *, filled: bool = False) -> DataFrame:
+def over_blocks(df: DataFrame, block: int, halo: int, run: Run, schema: str, *, filled: bool = False, outside: DataFrame | None = None) -> DataFrame:
     """The rows that `run` makes of each block of `df` (channel, sample_index, time_us, value) that has rows of its own.
 
     `run` gets a block's rows with those within `halo` before and after it, and returns columns of `schema`. With `filled`
     values that aren't finite are given as if the whole channel had been filled: linear in the index between the nearest
     finite samples, however far they lie beyond the block, the nearest one's value at an end, 0 in a channel without any.
+    `outside` is `nearest_outside` of the whole table, where `df` is a part of it.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -107,8 +113,9 @@ def over_blocks(df: DataFrame, block: int, halo: int, run: Run, schema: str, *,
         return pa.table({n: found[n] for n in names}) if found else pa.table({n: [] for n in names}, schema=empty)
 
     empty = pa.schema([(x.split()[0], {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]]) for x in schema.split(", ")])
-    rows = df.select(F.col("channel").cast("int").alias("channel"), F.col("sample_index").cast("long").alias("sample_index"), F.col("time_us").cast("double").alias("time_us"), F.col("value").cast("double").alias("value"))
+    rows = _typed(df)
     pieces = rows.mapInArrow(_cut(block, halo), PIECE_SCHEMA)
     if filled:
-        pieces = pieces.unionByName(_nearest_outside(rows, block, halo).mapInArrow(_points, PIECE_SCHEMA))
+        outside = nearest_outside(df, block, halo) if outside is None else outside
+        pieces = pieces.unionByName(outside.mapInArrow(_points, PIECE_SCHEMA))
     return pieces.groupBy("channel", "block").applyInArrow(join, schema)

@@ -17,10 +17,11 @@ from .samples import EPSILON, finite
 BLOCK = 250_000
 
 
-def filtered(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, block: int = BLOCK) -> DataFrame:
+def filtered(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, block: int = BLOCK, outside: DataFrame | None = None) -> DataFrame:
     """channel, sample_index, time_us, value after the filters; each block is filtered with context and cut back.
 
-    Gaps are filled over the whole channel first, whatever the blocks. The regression of sinusoids refuses gaps.
+    Gaps are filled over the whole channel first, whatever the blocks (`outside`: see over_blocks). The regression of
+    sinusoids refuses gaps.
     """
     halo = dsp.padding(settings, rate_hz)
     filled = settings is None or not settings.show_filtered or settings.method != "regression"
@@ -30,7 +31,7 @@ def filtered(df: DataFrame, settings: dsp.Settings | None, rate_hz: float, block
         found = dsp.prepare(value, rate_hz, settings, int(at[0]))[a:b]
         return {"channel": np.full(b - a, channel, np.int32), "sample_index": at[a:b], "time_us": time[a:b], "value": found}
 
-    rows = over_blocks(df, block, halo, run, "channel int, sample_index long, time_us double, value double", filled=filled)
+    rows = over_blocks(df, block, halo, run, "channel int, sample_index long, time_us double, value double", filled=filled, outside=outside)
     return rows.withColumn("time_us", F.when(~F.isnan("time_us"), F.col("time_us")))
 
 

@@ -13,7 +13,7 @@ from ..operators.dsp import Settings
 from ..sources import adapters as A, project as P, signal_csv as C, ttl
 from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
-from ..streaming import monitor
+from ..streaming import monitor, publishing
 from .registry import query
 from .sample_queries import FILL
 
@@ -345,22 +345,26 @@ _STREAMED = "gp AS (SELECT *, time_us - lag(time_us) OVER (PARTITION BY channel
 @query("st_carry_last", with_views("samples_dirty", more=_STREAMED, then="SELECT channel, count(*) AS n, count_if(g = 0) AS duplicates, count_if(g <> 0 AND g <> 1000) AS discontinuities, arg_max(time_us, sample_index) AS last_us FROM gp GROUP BY channel"))
 def st_carry_last(spark, sf_dir):
     stream, _ = _stream(spark, sf_dir)
-    found = _drained(spark, monitor.gap_counts(stream, 1000.0), "update", "gaps")
-    return found.groupBy("channel").agg(F.max_by(F.struct("n", "duplicates", "discontinuities", "last_us"), "batch").alias("s")).select("channel", "s.*")
+    path = fresh_path(spark, "gaps")
+    monitor.follow_gaps(stream, path, fresh_path(spark, "gaps-state"), 1000.0).awaitTermination()
+    return monitor.read_gaps(spark, path, 1000.0).drop("backwards")
 
 
 @query("st_monotonic", with_views("samples_dirty", then="SELECT channel, count(*) AS n FROM samples_dirty GROUP BY channel"))
 def st_monotonic(spark, sf_dir):
     stream, _ = _stream(spark, sf_dir)
-    return _drained(spark, monitor.gap_counts(stream, 1000.0, strict=True), "update", "monotonic").groupBy("channel").agg(F.max("n").alias("n"))
+    path = fresh_path(spark, "monotonic")
+    monitor.follow_gaps(stream, path, fresh_path(spark, "monotonic-state"), 1000.0, strict=True).awaitTermination()
+    return monitor.read_gaps(spark, path, 1000.0).select("channel", "n")
 
 
 @query("st_incremental_publish", with_views("samples_dirty", then="SELECT channel, count(*) AS n FROM samples_dirty WHERE sample_index % 5 = 0 GROUP BY channel"))
 def st_incremental_publish(spark, sf_dir):
-    stream, _ = _stream(spark, sf_dir)
+    """Ranges of a filtered channel, those nearest to sample 700 first; all parts are read when the last one is ready."""
     path = fresh_path(spark, "published")
-    monitor.publish(stream, path, 5, fresh_path(spark, "published-state")).awaitTermination()
-    return spark.read.parquet(path).groupBy("channel").agg(F.count("*").alias("n"))
+    for _ in publishing.publish(A.samples_dirty(spark, sf_dir), BAND, RATE_HZ, 5, path, wanted=700, size=BLOCK):
+        pass
+    return publishing.read_ready(spark, path).groupBy("channel").agg(F.count("*").alias("n"))
 
 
 @query("st_tumbling", with_views("samples_dirty", then="SELECT channel, CAST(floor(time_us / 3600e6) AS BIGINT) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM samples_dirty GROUP BY ALL"))
