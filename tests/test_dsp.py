@@ -127,7 +127,7 @@ def test_prominence_by_windows_equals_the_kernel(spark):
     from wavemark.operators import windows as W
 
     x = np.random.default_rng(9).normal(size=400)
-    got = {r.sample_index: r.prominence for r in W.prominences(W.local_extrema(table(spark, x), 0.5, -9.0), 15).collect()}
+    got = {r.sample_index: r.prominence for r in B.prominences(W.local_extrema(table(spark, x), 0.5, -9.0), 15).collect()}
     assert got and all(abs(v - dsp.prominence(x, k, 15)) < 1e-12 for k, v in got.items())
 
 

@@ -7,7 +7,6 @@ pieces' starts follow from each other by a small matrix, and the states' own res
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -299,6 +298,35 @@ def prominence(x: np.ndarray, k: int, reach: int) -> float:
     return float(x[k] - max(base))
 
 
+def _powers(x: np.ndarray, pick: np.ufunc, reach: int) -> list[np.ndarray]:
+    """`pick` over each run of 1, 2, 4, ... values up to the reach, by where the run begins."""
+    out = [x]
+    while 2 * (step := 1 << (len(out) - 1)) <= min(reach, len(x)):
+        out.append(pick(out[-1][:-step], out[-1][step:]))
+    return out
+
+
+def prominences(x: np.ndarray, at: np.ndarray, reach: int) -> np.ndarray:
+    """The same for many peaks at once, by runs of powers of two: no work of the reach for each; missing values are passed over."""
+    missing = np.isnan(x)
+    low, high = _powers(np.where(missing, np.inf, x), np.minimum, reach), _powers(np.where(missing, -np.inf, x), np.maximum, reach)
+    top, bases = x[at], []
+    for back in (True, False):
+        base, place = np.full(len(at), np.inf), at if back else at + 1
+        left = np.minimum(reach, at if back else len(x) - 1 - at)  # values that may still be passed
+        for k in range(len(low) - 1, -1, -1):
+            begin = place - (1 << k) if back else place
+            some = np.flatnonzero(left >= 1 << k)
+            some = some[high[k][begin[some]] <= top[some]]
+            base[some] = np.minimum(base[some], low[k][begin[some]])
+            place = place.copy()
+            place[some] += -(1 << k) if back else 1 << k
+            left = left.copy()
+            left[some] -= 1 << k
+        bases.append(np.minimum(base, top))
+    return top - np.maximum(*bases)
+
+
 def block_peaks(x: np.ndarray, mask: np.ndarray, height: float, least: float, distance: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(indices, prominences): plateaus, height, distance, then prominence."""
     at = plateau_middles(x, mask)
@@ -308,15 +336,3 @@ def block_peaks(x: np.ndarray, mask: np.ndarray, height: float, least: float, di
     found = np.array([prominence(x, k, reach) for k in at])
     good = found >= least if len(at) else np.zeros(0, bool)
     return at[good], found[good]
-
-
-def strongest(index: np.ndarray, prominences: np.ndarray, values: np.ndarray, distance: int) -> np.ndarray:
-    """Which candidates stay: by prominence, size, index in turn, each keeping off all nearer than the distance."""
-    keep, taken = np.zeros(len(index), bool), []  # taken ones in order: only the two beside an index can be near it
-    for k in np.lexsort((index, -np.abs(values), -prominences)):
-        x = int(index[k])
-        at = bisect_left(taken, x)
-        if (at == 0 or x - taken[at - 1] >= distance) and (at == len(taken) or taken[at] - x >= distance):
-            keep[k] = True
-            taken.insert(at, x)
-    return keep

@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.time_math import coarse_scan_step
-from .blocks import with_largest_before, with_nearest, with_previous
+from .blocks import with_largest_before, with_latest, with_nearest, with_previous
 from .dominance import select
+from .windows import merge_ranges
 
 LEAST = 1e-6
 #: Frames of a curve that are compared in one task.
 FRAMES = 100_000
+#: United ranges that become conditions.
+FEW_RANGES = 64
 
 
 def frame_brightness(pixels: DataFrame) -> DataFrame:
@@ -137,11 +140,24 @@ def nearest_points(queries: DataFrame, points: DataFrame, camera: list[str] = ()
     return rows.select(*camera, "query_id", F.col("f").alias("query_frame"), best["frame_index"].alias("frame_index"), best["brightness"].alias("brightness"))
 
 
-def outside_ranges(df: DataFrame, ranges: list[tuple[int, int]], start: Column, end: Column) -> DataFrame:
-    """Rows whose closed range meets none of the given ones."""
-    for a, b in ranges:
-        df = df.where(~((start <= b) & (end >= a)))
-    return df
+def outside_ranges(df: DataFrame, ranges: DataFrame | list[tuple[int, int]], start: Column, end: Column, few: int = FEW_RANGES, block: int = FRAMES) -> DataFrame:
+    """Rows whose closed range meets none of the given closed ones (left, right); rows without both ends are left out.
+
+    The ranges are united first, so that of those which begin no later than a row ends only the last can meet it. A few
+    united ranges become conditions that a scan may take over; for more, rows and ranges are put in one order, in blocks.
+    """
+    spark = df.sparkSession
+    given = ranges if isinstance(ranges, DataFrame) else spark.createDataFrame([(float(a), float(b)) for a, b in ranges], "left double, right double")
+    united = merge_ranges(given.select(F.lit(0).alias("channel"), F.col("left").cast("double").alias("left"), F.col("right").cast("double").alias("right")).where("left <= right"), 0.0, block)
+    first = united.select("left", "right").limit(few + 1).collect()
+    if len(first) <= few:
+        for a, b in first:
+            df = df.where(~((start <= b) & (end >= a)))
+        return df.where(start.isNotNull() & end.isNotNull())
+    rows = df.where(start.isNotNull() & end.isNotNull()).select(end.cast("double").alias("_at"), start.cast("double").alias("_from"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.lit(None).cast("double").alias("_right"))
+    marks = united.select(F.col("left").alias("_at"), F.lit(None).cast("double").alias("_from"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col("right").alias("_right"))
+    found = with_latest(rows.unionByName(marks), F.col("_right"), "_last", [], "_at", block).where("_row is not null and (_last is null or _last < _from)")
+    return found.select("_row.*")
 
 
 def detect(points: DataFrame, *, fps: float = 30.0, most: int = 1, gap_sec: float = 0.5) -> DataFrame:

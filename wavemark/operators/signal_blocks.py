@@ -153,3 +153,18 @@ def distant(df: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
     """Rows (channel, sample_index, value) left when higher ones, the later of equals first, take out all nearer than the distance."""
     rows = df.select("channel", "sample_index", "value")
     return select(rows, ["channel"], "sample_index", "sample_index", [("value", False), ("sample_index", False)], gap=distance - 1, longest=0, block=max(block, distance))
+
+
+def prominences(df: DataFrame, context: int, block: int = BLOCK) -> DataFrame:
+    """channel, sample_index, value, prominence of the rows marked is_high.
+
+    On each side the base is the lowest value before higher ground, within `context` samples; the prominence is the
+    height over the higher base. A block holds its samples and the context beside it, whatever the context's length.
+    """
+
+    def run(channel: int, number: int, at: np.ndarray, marked: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
+        tops = np.flatnonzero((marked > 0) & (at // block == number))
+        return {"channel": np.full(len(tops), channel, np.int32), "sample_index": at[tops], "value": value[tops], "prominence": dsp.prominences(value, tops, context)}
+
+    marked = df.withColumn("time_us", F.col("is_high").cast("double"))
+    return over_blocks(marked, block, context, run, "channel int, sample_index long, value double, prominence double")

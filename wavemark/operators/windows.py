@@ -118,22 +118,3 @@ def overlap_add(df: DataFrame) -> DataFrame:
     """Weighted mean of window contributions per sample (channel, sample_index, part, weight); 0 where nothing covers."""
     w = F.sum("weight")
     return df.groupBy("channel", "sample_index").agg(F.when(w > 2.220446049250313e-16, F.sum(F.col("part") * F.col("weight")) / w).otherwise(0.0).alias("value"))
-
-
-def prominences(df: DataFrame, context: int, block: int = ROWS) -> DataFrame:
-    """channel, sample_index, value, prominence of the rows marked is_high.
-
-    On each side the base is the lowest value before higher ground, within `context` samples; the prominence is the
-    height over the higher base. Meant for short contexts; long ones are cheaper in `signal_blocks.find_peaks`.
-    """
-    w = ordered(["channel"], "sample_index")
-    x = F.col("value")
-
-    def base(side: Column) -> Column:
-        higher = F.array_position(F.transform(side, lambda v: v > x), True)
-        ground = F.array_min(F.when(higher == 0, side).otherwise(F.slice(side, 1, F.greatest(higher - 1, F.lit(0)).cast("int"))))
-        return F.least(x, F.coalesce(ground, x))
-
-    rows = with_edges(df, context, context, size=block)
-    rows = rows.withColumn("a", F.collect_list("value").over(w.rowsBetween(-context, -1))).withColumn("b", F.collect_list("value").over(w.rowsBetween(1, context)))
-    return rows.where("_own and is_high").select("channel", "sample_index", "value", (x - F.greatest(base(F.reverse("a")), base(F.col("b")))).alias("prominence"))

@@ -225,6 +225,15 @@ def filter_exclude_ranges(spark, sf_dir):
     return D.outside_ranges(m, [(10_000_000, 20_000_000), (40_000_000, 50_000_000)], F.col("frame_index"), F.col("frame_index") + 15).select("seq", "frame_index")
 
 
+@query("filter_exclude_marker_ranges", _M("SELECT seq, frame_index FROM markers a WHERE kind LIKE 'led%' AND NOT EXISTS (SELECT 1 FROM markers b WHERE b.kind LIKE 'action%' AND a.frame_index <= b.frame_index + 3000 AND a.frame_index + 15 >= b.frame_index - 3000)"))
+def filter_exclude_marker_ranges(spark, sf_dir):
+    """Brightness markers that lie away from every action: as many ranges to leave out as there are action markers."""
+    m = A.markers(spark, sf_dir).where("frame_index is not null")
+    frame = F.col("frame_index")
+    actions = m.where(F.col("kind").startswith("action")).select((frame - 3000).alias("left"), (frame + 3000).alias("right"))
+    return D.outside_ranges(m.where(F.col("kind").startswith("led")), actions, frame, frame + 15).select("seq", "frame_index")
+
+
 @query("filter_stale_result", _M("SELECT seq, user_id FROM (SELECT *, max(seq) OVER (PARTITION BY user_id) AS newest, arg_max(kind, seq) OVER (PARTITION BY user_id) AS k FROM markers) WHERE seq = newest AND kind = k"))
 def filter_stale_result(spark, sf_dir):
     """A result counts if its request is the session's latest and its source is the current one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import time_math as T
-from ..operators import samples as S, windows as W
+from ..operators import samples as S, signal_blocks as B, windows as W
 from ..sources import adapters as A, files
 from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
@@ -333,4 +333,4 @@ cut AS (SELECT *, coalesce(nullif(list_position(list_transform(list_reverse(a),
 
 @query("win_prominence", _V("SELECT channel, sample_index, value, value - greatest(least(value, coalesce(list_min((list_reverse(a))[1:i - 1]), value)), least(value, coalesce(list_min(b[1:j - 1]), value))) AS prominence FROM cut", _SIDES))
 def win_prominence(spark, sf_dir):
-    return W.prominences(W.local_extrema(A.samples(spark, sf_dir), 50.0, -1.0), 12)
+    return B.prominences(W.local_extrema(A.samples(spark, sf_dir), 50.0, -1.0), 12)
