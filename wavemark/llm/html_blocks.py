@@ -26,6 +26,12 @@ _ROWS = (*_LISTS, "tr")
 _PARTS = re.compile(r"""<!--|<!|<\?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""")
 _HINTS = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Hidden elements that can't hold each other.
+_APART = ("button", "select")
+#: What ends a comment; one that begins with > or -> is over at once.
+_COMMENT_END = re.compile(r"--!?>")
+_EMPTY_COMMENT = re.compile(r"-?>")
+_PAIRED = {name: re.compile(rf"<(/?){name}(?=[\s/>])([^>]*)>", re.I) for name in HIDDEN - RAW}
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|$)[^>]*>?", re.I) for name in RAW}
 
 
@@ -48,18 +54,39 @@ class _Open(NamedTuple):
 _ROOT = _Open("body", (), ())
 
 
+def _without_end(page: str, name: str) -> set[int]:
+    """Where the element is opened and never closed; an end tag closes the last one that is open.
+
+    Of elements that can't hold each other, one that is opened ends the chance of the one before.
+    """
+    open_: list[int] = []
+    found: set[int] = set()
+    for m in _PAIRED[name].finditer(page):
+        if not m[1]:
+            if not m[2].endswith("/"):
+                if name in _APART:
+                    found.update(open_)
+                    open_.clear()
+                open_.append(m.start())
+        elif open_:
+            open_.pop()
+    return found | set(open_)
+
+
 def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]:
     """The page's leaf blocks; white space inside one is a single space, and character references are decoded.
 
     Elements may be nested as deep as they like. Of the ancestors' classes, ids and roles those in `known` are kept, and
-    those of the outermost element that has any; all, if nothing is known.
+    those of the outermost element that has any; all, if nothing is known. A hidden element that is never closed (button,
+    svg, object and so on) hides what follows up to the next block, or the next of its kind, not the rest of the page.
     """
     found: list[Block] = []
     stack: list[_Open] = []
     inside_of: Counter[str] = Counter()
     text: list[str] = []
     linked: list[str] = []
-    links, hidden, opened = 0, [], Counter()
+    links, hidden, opened = 0, [], Counter()  # hidden: name and whether it has no end
+    endless: dict[str, set[int]] = {}
     page = page or ""
 
     def flush() -> None:
@@ -90,8 +117,11 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
-            end, width = (page.find("-->", at), 3) if m[0] == "<!--" else (page.find(">", at), 1)
-            at = end + width if end >= 0 else len(page)
+            if m[0] == "<!--":
+                end = _EMPTY_COMMENT.match(page, at) or _COMMENT_END.search(page, at)
+                at = end.end() if end else len(page)
+            else:
+                at = page.find(">", at) + 1 or len(page)
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not closing and name in RAW:
@@ -101,11 +131,16 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
             if closing and name == "head":
                 hidden, opened = [], Counter()
             elif closing and opened[name]:  # it ends with all that was left open in it
-                while (last := hidden.pop()) != name:
+                while (last := hidden.pop()[0]) != name:
                     opened[last] -= 1
                 opened[name] -= 1
             elif not closing and not attributes.endswith("/"):
-                hidden.append(name)
+                if name not in endless:
+                    endless[name] = _without_end(page, name)
+                if hidden and hidden[-1] == (name, True):
+                    hidden.pop()
+                    opened[name] -= 1
+                hidden.append((name, m.start() in endless[name]))
                 opened[name] += 1
         elif name == "body":
             hidden, opened = [], Counter()  # whatever the head left open ends here
@@ -115,6 +150,8 @@ def blocks(page: str | None, known: Container[str] | None = None) -> list[Block]
         elif name == "br":
             text.append("\n")
         elif name in BLOCK:
+            while hidden and hidden[-1][1]:
+                opened[hidden.pop()[0]] -= 1
             flush()
             links = 0
             if closing:

@@ -5,19 +5,19 @@ from __future__ import annotations
 import html
 import random
 
-#: Names that authors of pages give to parts around the article.
+#: Names that authors of pages give to parts around the article, in English, German, French and Spanish.
 AROUND = {
-    "menu": "nav menu navbar navigation topnav links breadcrumb breadcrumbs tabs toc pagination pager".split(),
-    "header": "header masthead banner top brand site logo toolbar".split(),
-    "footer": "footer bottom copyright legal colophon imprint".split(),
-    "side": "sidebar side aside widget rail secondary related recommended trending popular tags promo".split(),
-    "ad": "ad ads advert advertisement sponsored sponsor promo banner adsbox commercial".split(),
-    "notice": "cookie consent notice alert gdpr popup modal overlay newsletter subscribe paywall disclaimer warning".split(),
-    "share": "share social follow buttons toolbar meta byline".split(),
-    "comments": "comments comment replies reply discussion respond disqus thread reader feedback".split(),
-    "form": "search login signup form subscribe contact".split(),
+    "menu": "nav menu navbar navigation topnav links breadcrumb breadcrumbs tabs toc pagination pager navigationsleiste hauptmenue menue menuprincipal navegacion".split(),
+    "header": "header masthead banner top brand site logo toolbar kopf kopfzeile kopfbereich entete bandeau cabecera encabezado".split(),
+    "footer": "footer bottom copyright legal colophon imprint fuss fusszeile impressum piedpage pied mentions pie piepagina".split(),
+    "side": "sidebar side aside widget rail secondary related recommended trending popular tags promo seitenleiste seitenspalte randspalte verwandt beliebt laterale barrelaterale colonne lateral barralateral columna relacionados".split(),
+    "ad": "ad ads advert advertisement sponsored sponsor promo banner adsbox commercial werbung anzeige anzeigen reklame publicite pub annonce annonces publicidad anuncio anuncios patrocinado".split(),
+    "notice": "cookie consent notice alert gdpr popup modal overlay newsletter subscribe paywall disclaimer warning hinweis meldung datenschutz bandeau avis avertissement aviso privacidad".split(),
+    "share": "share social follow buttons toolbar meta byline teilen partager compartir".split(),
+    "comments": "comments comment replies reply discussion respond disqus thread reader feedback kommentare kommentar diskussion antworten commentaires commentaire reponses reactions comentarios comentario opiniones respuestas".split(),
+    "form": "search login signup form subscribe contact suche anmeldung kontakt formular recherche connexion formulaire buscar contacto formulario".split(),
 }
-WITHIN = "article content post entry story main body text page copy prose maincontent".split()
+WITHIN = "article content post entry story main body text page copy prose maincontent artikel inhalt beitrag contenu corps texte articulo contenido cuerpo noticia".split()
 
 
 def page(seed: int) -> tuple[str, list[bool]]:
@@ -74,10 +74,13 @@ def page(seed: int) -> tuple[str, list[bool]]:
             links(r.randint(2, 8)) if r.random() < 0.6 else [put("p", sentence(), False) for _ in range(r.randint(1, 3))]
         elif kind == "comments":
             put(r.choice(["h3", "h2", "p"]), f"{r.randint(1, 40)} {word()}", False)
+            list_, item = r.choice([("", "div"), ("", "div"), ("ol", "li"), ("ul", "li")])
+            out.append(f"<{list_}{named(kind)}>" if list_ else "")
             for _ in range(r.randint(1, 6)):
-                out.append(f"<div{named(kind)}>")
+                out.append(f"<{item}{named(kind) if item == 'div' or r.random() < 0.3 else ''}>")
                 put("p", " ".join(sentence() for _ in range(r.randint(1, 4))), False)
-                out.append("</div>")
+                out.append(f"</{item}>")
+            out.append(f"</{list_}>" if list_ else "")
         elif kind == "form":
             put("p", sentence(1, 5), False)
             out.append('<input type="text"><button>' + word() + "</button>")
