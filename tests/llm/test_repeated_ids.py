@@ -36,3 +36,22 @@ def test_stage_keeps_every_text_that_resembles_nothing(spark):
     assert len(kept) == len(set(kept)) == 5 and set(kept) <= set(rows)
     assert {(4, p), (2, s), (None, p)} <= set(kept)
     assert sum(x in (q, near(q)) for _, x in kept) == 1 and sum(x == t for _, x in kept) == 1
+
+
+def test_columns_of_any_names_come_through_every_stage(spark, tmp_path):
+    """Names that the stages use inside, and the row that stays of several with one id and one text."""
+    clashing = ["own", "lo", "n", "print", "id", "several", "c0", "c1", "__judged text", "inner0", "INNER1", "_text", "rate", "doc id", "r", "copies", "posterior"]
+    texts = ["the river and the stone that was in the long valley with a green hill " + text(k) for k in range(30)]
+    rows = [(k, t, "en", "s", len(t), *(f"{c}{k}" for c in clashing)) for k, t in enumerate(texts)]
+    twice = [(3, texts[3], "en", f"s{x}", 5, *(f"{c}-{x}" for c in clashing)) for x in "zab"]
+    docs = spark.createDataFrame(rows + twice, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing))
+    spark.createDataFrame([(k, 1, k % 2) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    known = {tuple(r) for r in docs.collect()}
+    for name, stage in P.STAGES[:4]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= known
+        if name == "near_duplicates":
+            kept = {r.doc_id: tuple(r) for r in got.collect()}
+            assert got.count() == 30 and kept[3] == min((x for x in known if x[0] == 3), key=lambda x: x[3])
+            again = stage(spark, docs.repartition(7, "source"), str(tmp_path))
+            assert sorted(map(tuple, again.collect())) == sorted(kept.values())

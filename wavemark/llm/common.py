@@ -65,6 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame) -> str:
+    """A name that no column of the table has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"inner{k}") not in taken)
+
+
 def cpu_env() -> None:
     """One thread a Python worker; executors already run a task per core."""
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "RAYON_NUM_THREADS"):

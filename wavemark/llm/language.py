@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import free_name
+
 #: Characters counted at a time; longer texts are counted in pieces that share their edges.
 PIECE = 1 << 22
 SPACE = 32
@@ -157,7 +159,7 @@ def keep_identified(docs: DataFrame, *, size: int = 300, sample_rows: int = 20_0
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     profiles = docs.sparkSession.sparkContext.broadcast(learn_profiles(rows.where(~held_out(F.col("doc_id"))), size=size, sample_rows=sample_rows))
-    judged = docs.select("*", F.col(text_col).cast("string").alias("__judged text"))
+    judged = docs.select("*", F.col(text_col).cast("string").alias(free_name(docs)))
     return judged.mapInArrow(_filter(profiles, size), docs.schema)
 
 

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import free_name
+
 #: Frequent function words of English, German, French and Spanish.
 FUNCTION_WORDS = frozenset(
     """the of and to in that is was for it with as his on be at by this are or from an which
@@ -242,5 +244,5 @@ def keep_good(docs: DataFrame, *, threshold: float = 0.5, sample_rows: int = 20_
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(learn(rows, sample_rows=sample_rows).tobytes())
-    judged = docs.select("*", F.col(text_col).cast("string").alias("__judged text"))
+    judged = docs.select("*", F.col(text_col).cast("string").alias(free_name(docs)))
     return judged.mapInArrow(_filter(model, threshold), docs.schema)
