@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 
@@ -199,14 +200,59 @@ def window_shape(s: Settings, rate_hz: float) -> tuple[int, int]:
     return n, max(round(n * (1 - s.overlap)), 1)
 
 
+def _design(n: int, rate_hz: float, frequencies: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(waves, design) of n samples: sines and cosines of the frequencies, and these with a constant and a trend."""
+    t = 2 * np.pi * np.arange(n)[:, None] / rate_hz * np.array(frequencies)
+    waves = np.concatenate((np.sin(t), np.cos(t)), 1)
+    return waves, np.concatenate((waves, np.ones((n, 1)), np.linspace(-1, 1, n)[:, None]), 1)
+
+
+@lru_cache(maxsize=8)
+def _solved(n: int, rate_hz: float, frequencies: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(waves, what gives their weights from n samples): the same for every whole window, so solved once."""
+    waves, design = _design(n, rate_hz, frequencies)
+    return waves, np.linalg.pinv(design)[: waves.shape[1]]
+
+
 def sinusoids(x: np.ndarray, rate_hz: float, frequencies: list[float]) -> np.ndarray:
     """The least-squares part of x in sines and cosines of the frequencies, fitted along with a constant and a trend."""
-    t = 2 * np.pi * np.arange(len(x))[:, None] / rate_hz * np.array(frequencies)
-    waves = np.concatenate((np.sin(t), np.cos(t)), 1)
-    design = np.concatenate((waves, np.ones((len(x), 1)), np.linspace(-1, 1, len(x))[:, None]), 1)
+    waves, design = _design(len(x), rate_hz, tuple(frequencies))
     return waves @ np.linalg.lstsq(design, x, rcond=None)[0][: waves.shape[1]]
 
 
+#: Whole windows that are solved by one product of matrices.
+TOGETHER = 256
+
+
+def without_sinusoids(x: np.ndarray, at: int, rate_hz: float, frequencies: list[float], size: int, hop: int, windows: range) -> np.ndarray:
+    """x, whose first sample has the index `at`, without the weighted mean of what its windows hold of the sinusoids.
+
+    A window begins at its number times the hop. Whole ones are solved together; what x holds of others one by one, if it
+    is enough.
+    """
+    if not np.isfinite(x).all():
+        raise ValueError("regression can't fill gaps")
+    shape, noise, weight = np.hanning(size + 2)[1:-1], np.zeros(len(x)), np.zeros(len(x))
+    starts = np.array(windows, np.int64) * hop - at
+    whole = (starts >= 0) & (starts + size <= len(x))
+    if whole.any():
+        waves, solve = _solved(size, rate_hz, tuple(frequencies))
+        views = np.lib.stride_tricks.sliding_window_view(x, size)
+        for k in range(0, int(whole.sum()), TOGETHER):
+            some = starts[whole][k : k + TOGETHER]
+            parts = (views[some] @ solve.T) @ waves.T * shape
+            for a, part in zip(some.tolist(), parts, strict=True):
+                noise[a : a + size] += part
+                weight[a : a + size] += shape
+    for start in starts[~whole].tolist():
+        a, b = max(start, 0), min(start + size, len(x))
+        if b - a >= 2 * len(frequencies) + 2:
+            w = shape[a - start : b - start]
+            noise[a:b] += sinusoids(x[a:b], rate_hz, frequencies) * w
+            weight[a:b] += w
+    return x - np.divide(noise, weight, out=np.zeros_like(noise), where=weight > np.finfo(float).eps)
+
+
 def regression(x: np.ndarray, rate_hz: float, s: Settings, offset: int = 0) -> np.ndarray:
     """x without the sinusoids of overlapping windows, which lie on whole multiples of the hop of the absolute index."""
     frequencies = regressed_frequencies(s, rate_hz)
@@ -214,15 +260,7 @@ def regression(x: np.ndarray, rate_hz: float, s: Settings, offset: int = 0) -> n
     least = 2 * len(frequencies) + 2
     if size < least or len(x) < least:
         raise ValueError(f"regression needs {least} samples")
-    weight, total, noise = np.hanning(size + 2)[1:-1], np.zeros(len(x)), np.zeros(len(x))
-    start = max(0, -(-(offset - size + 1) // hop) * hop)
-    for at in range(start, offset + len(x), hop):
-        a, b = max(at - offset, 0), min(at + size - offset, len(x))
-        if b - a >= least:
-            w = weight[a - (at - offset) : b - (at - offset)]
-            noise[a:b] += w * sinusoids(x[a:b], rate_hz, frequencies)
-            total[a:b] += w
-    return x - np.where(total > np.finfo(float).eps, noise / np.where(total > 0, total, 1), 0)
+    return without_sinusoids(x, offset, rate_hz, frequencies, size, hop, range(max(0, -(-(offset - size + 1) // hop)), -(-(offset + len(x)) // hop)))
 
 
 def prepare(x: np.ndarray, rate_hz: float, s: Settings | None, offset: int = 0) -> np.ndarray:

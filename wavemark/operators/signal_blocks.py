@@ -50,23 +50,16 @@ def regression(df: DataFrame, settings: dsp.Settings, rate_hz: float, block: int
     """channel, sample_index, value without the sinusoids: windows of the absolute grid, overlap-added.
 
     Windows are the same whatever the blocks, and a block sees every window that its samples lie in, so the result doesn't
-    depend on any partitioning.
+    depend on any partitioning. A channel's samples have no holes in their index; values that aren't finite are an error.
     """
     frequencies = dsp.regressed_frequencies(settings, rate_hz)
     size, hop = dsp.window_shape(settings, rate_hz)
-    least, shape = 2 * len(frequencies) + 2, np.hanning(size + 2)[1:-1]
 
     def run(channel: int, number: int, at: np.ndarray, time: np.ndarray, value: np.ndarray) -> dict[str, np.ndarray]:
         a, b = np.searchsorted(at, (number * block, (number + 1) * block))
-        noise, weight = np.zeros(len(at)), np.zeros(len(at))
-        for k in range(max((int(at[a]) - size) // hop + 1, 0), int(at[b - 1]) // hop + 1):
-            i, j = np.searchsorted(at, (k * hop, k * hop + size))
-            if j - i >= least:
-                w = shape[at[i:j] - k * hop]
-                noise[i:j] += dsp.sinusoids(value[i:j], rate_hz, frequencies) * w
-                weight[i:j] += w
-        noise = np.divide(noise, weight, out=np.zeros_like(noise), where=weight > EPSILON)
-        return {"channel": np.full(b - a, channel, np.int32), "sample_index": at[a:b], "value": (value - noise)[a:b]}
+        windows = range(max((int(at[a]) - size) // hop + 1, 0), int(at[b - 1]) // hop + 1)
+        left = dsp.without_sinusoids(value, int(at[0]), rate_hz, frequencies, size, hop, windows)
+        return {"channel": np.full(b - a, channel, np.int32), "sample_index": at[a:b], "value": left[a:b]}
 
     return over_blocks(df.withColumn("time_us", F.lit(0.0)), block, size, run, "channel int, sample_index long, value double")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .blocks import ROWS, ordered, with_edges, with_largest_before, with_nearest, with_number, with_previous, with_run
+from .markers import number_rows
 from .samples import finite
 
 
@@ -63,16 +64,19 @@ def merge_ranges(df: DataFrame, touch: float = 1e-9, width: float = 3600.0) -> D
 
 
 def allocate_points(df: DataFrame, budget: Column | int) -> DataFrame:
-    """A point budget (a column: each channel's own) dealt to the ranges (channel, left, right) by duration: largest remainders get what is left over."""
-    length = F.greatest(F.col("right") - F.col("left"), F.lit(0.0))
-    all_ = Window.partitionBy("channel")
-    rows = df.withColumn("length", length).withColumn("whole", F.sum("length").over(all_)).withColumn("k", F.count("*").over(all_))
-    points = F.lit(budget).cast("double")
-    share = F.when(F.col("whole") > 0, F.col("length") * (points / F.col("whole"))).otherwise(points / F.col("k"))
-    rows = rows.withColumn("share", share).withColumn("base", F.floor("share"))
-    left_over = F.lit(budget) - F.sum("base").over(all_)
-    place = F.row_number().over(before(["channel"], [F.desc(F.col("share") - F.col("base")), "left"]))
-    return rows.withColumn("points", F.col("base") + F.when(place <= left_over, 1).otherwise(0)).select("channel", "left", "right", "points")
+    """A point budget (a column: each channel's own) dealt to the ranges (channel, left, right) by duration: largest remainders get what is left over.
+
+    Sums are a row a channel; ranges are put in order of their remainders in buckets of those.
+    """
+    rows = df.withColumn("length", F.greatest(F.col("right") - F.col("left"), F.lit(0.0))).withColumn("points", F.lit(budget).cast("double"))
+    per = rows.groupBy("channel").agg(F.sum("length").alias("whole"), F.count("*").alias("k"))
+    rows = rows.join(F.broadcast(per), "channel")
+    share = F.when(F.col("whole") > 0, F.col("length") * (F.col("points") / F.col("whole"))).otherwise(F.col("points") / F.col("k"))
+    rows = rows.withColumn("share", share).withColumn("base", F.floor("share")).withColumn("rest", F.col("share") - F.col("base"))
+    given = rows.groupBy("channel").agg(F.sum("base").alias("given"))
+    ranked = number_rows(rows, F.floor((1 - F.col("rest")) * 1024), [F.desc("rest"), "left"], "place", ("channel",))
+    more = F.when(F.col("place") <= F.col("points") - F.col("given"), 1).otherwise(0)
+    return ranked.join(F.broadcast(given), "channel").select("channel", "left", "right", (F.col("base") + more).alias("points"))
 
 
 def even_sample(df: DataFrame, most: Column | int, keys: tuple[str, ...] = ("channel",)) -> DataFrame:

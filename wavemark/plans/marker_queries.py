@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time_math as T
 from ..operators import caches as K, led as D, markers as M
-from ..sources import adapters as A, files, ttl as TTL
+from ..sources import adapters as A, containers, files, ttl as TTL
 from ..sources.adapters import FPS, with_views
 from ..sources.shared import fresh_path
 from .registry import query
@@ -501,3 +501,37 @@ def set_reset_sync(spark, sf_dir):
     """A new video empties the markers; pair, offset and label follow from the empty table."""
     none = A.markers(spark, sf_dir).where(F.lit(False))
     return none.agg(F.count("*").alias("markers")).crossJoin(M.sync(none).drop("video_origin_sec")).crossJoin(M.sync_status(none).select("label"))
+
+
+def _number(x, little: bool):
+    """Four bytes of a whole number in hex."""
+    h = F.lpad(F.hex(x.cast("long")), 8, "0")
+    return F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))) if little else h
+
+
+def _container(width, height, fps, frames, little: bool):
+    """The head of a video file in hex: AVI (little-endian) or MP4, of fixed length."""
+    text = lambda s: F.lit(s.encode().hex())
+    n = lambda x: _number(x if not isinstance(x, int) else F.lit(x), little)
+    none = lambda k: F.lit("00" * k)
+    if little:
+        main = [text("avih"), n(56), none(16), n(frames), none(12), n(width), n(height), none(16)]
+        stream = [text("LIST"), n(68), text("strlstrh"), n(56), text("vidsH264"), none(12), n(1), n(fps), n(0), n(frames), none(20)]
+        return F.concat(text("RIFF"), n(156), text("AVI LIST"), n(144), text("hdrl"), *main, *stream)
+    box = lambda size, name: [n(size), text(name)]
+    track = [*box(92, "tkhd"), none(76), n(width * 65536), n(height * 65536)]
+    media = [*box(32, "mdhd"), none(12), n(fps * 100), n(frames * 100), none(4), *box(32, "hdlr"), none(8), text("vide"), none(12)]
+    table = [*box(32, "stsd"), none(4), n(1), n(16), text("avc1"), none(8), *box(24, "stts"), none(4), n(1), n(frames), n(100)]
+    return F.concat(*box(16, "ftyp"), text("isom"), none(4), *box(252, "moov"), *box(244, "trak"), *track, *box(144, "mdia"), *media, *box(72, "minf"), *box(64, "stbl"), *table)
+
+
+@query("scan_video_container", with_views("ev", then="""SELECT event_id, CASE WHEN event_id % 10 NOT IN (4, 7) THEN CASE event_id % 2 WHEN 0 THEN 'riff' ELSE 'iso' END END AS container, CASE WHEN event_id % 10 NOT IN (4, 7) THEN CASE event_id % 2 WHEN 0 THEN 'H264' ELSE 'avc1' END END AS codec,
+CASE WHEN event_id % 10 NOT IN (4, 7) THEN CAST(64 + event_id % 7 * 16 AS INTEGER) END AS width, CASE WHEN event_id % 10 NOT IN (4, 7) THEN CAST(48 + event_id % 5 * 16 AS INTEGER) END AS height, CASE WHEN event_id % 10 NOT IN (4, 7) THEN CAST(25 + event_id % 3 * 5 AS DOUBLE) END AS fps,
+CASE WHEN event_id % 10 NOT IN (4, 7) THEN user_id + 1 END AS frames, CASE event_id % 10 WHEN 4 THEN 'unknown' WHEN 7 THEN 'truncated' END AS problem FROM ev"""))
+def scan_video_container(spark, sf_dir):
+    """Heads of video files made from the events, AVI and MP4 in turn; some broken off, some of no known kind."""
+    i = F.col("event_id")
+    facts = [64 + i % 7 * 16, 48 + i % 5 * 16, 25 + i % 3 * 5, F.col("user_id") + 1]
+    head = F.when(i % 2 == 0, _container(*facts, little=True)).otherwise(_container(*facts, little=False))
+    head = F.when(i % 10 == 4, F.repeat(F.lit("00"), 40)).when(i % 10 == 7, F.substring(head, 1, 300)).otherwise(head)
+    return containers.container_facts(A.events(spark, sf_dir).select("event_id", F.unhex(head).alias("content")), "event_id", "content")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import time_math as T
-from ..operators import samples as S, signal_blocks as B, windows as W
+from ..operators import images as I, samples as S, signal_blocks as B, windows as W
 from ..sources import adapters as A, files
 from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
@@ -334,3 +334,29 @@ cut AS (SELECT *, coalesce(nullif(list_position(list_transform(list_reverse(a),
 @query("win_prominence", _V("SELECT channel, sample_index, value, value - greatest(least(value, coalesce(list_min((list_reverse(a))[1:i - 1]), value)), least(value, coalesce(list_min(b[1:j - 1]), value))) AS prominence FROM cut", _SIDES))
 def win_prominence(spark, sf_dir):
     return B.prominences(W.local_extrema(A.samples(spark, sf_dir), 50.0, -1.0), 12)
+
+
+PICTURE = (1200, 300)  # pixels
+_SPAN = "bd AS (SELECT min(time_us) AS l, max(time_us) AS r FROM samples), px AS (SELECT channel, sample_index, value, CAST(least(floor((time_us - l) / (r - l) * 1200), 1199) AS INTEGER) AS px FROM samples, bd WHERE value IS NOT NULL AND isfinite(value))"
+
+
+def _columns(spark, sf_dir):
+    rows = A.samples(spark, sf_dir)
+    left, right = rows.agg(F.min("time_us"), F.max("time_us")).first()
+    return I.pixel_columns(rows, left, right, PICTURE[0])
+
+
+@query("agg_pixel_columns", _V('SELECT channel, px, arg_min(value, sample_index) AS "first", arg_max(value, sample_index) AS "last", min(value) AS low, max(value) AS high FROM px GROUP BY channel, px', _SPAN))
+def agg_pixel_columns(spark, sf_dir):
+    return _columns(spark, sf_dir)
+
+
+@query("sink_images", _V("SELECT 'channel' || channel || '_raw.svg' AS file, 'Channel ' || channel AS title, CAST(4 * count(DISTINCT px) AS INTEGER) AS points, CAST(min(px) AS DOUBLE) AS first_x, CAST(max(px) AS DOUBLE) AS last_x, CAST(13.64 AS DOUBLE) AS top, CAST(286.36 AS DOUBLE) AS bottom FROM px GROUP BY channel", _SPAN))
+def sink_images(spark, sf_dir):
+    """A picture a channel; the files are read back: how many points their line has and how far they reach."""
+    path = fresh_path(spark, "images")
+    title = F.concat(F.lit("Channel "), F.col("channel").cast("string"))
+    I.write_svg(I.as_svg(_columns(spark, sf_dir), *PICTURE, title), path)
+    files_ = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("svg"))
+    ys = F.transform("points", lambda p: p[1])
+    return I.read_svg(files_).select("file", "title", F.size("points").alias("points"), F.array_min("points")[0].alias("first_x"), F.array_max("points")[0].alias("last_x"), F.array_min(ys).alias("top"), F.array_max(ys).alias("bottom"))

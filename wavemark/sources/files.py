@@ -17,7 +17,8 @@ from pyspark.sql.types import NumericType
 MARK, MOST_ROWS = b"\xef\xbb\xbf", 1_048_576
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The path and its file system, as Spark's JVM has them."""
     jvm = spark.sparkContext._jvm
     found = jvm.org.apache.hadoop.fs.Path(path)
     return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -25,20 +26,20 @@ def _file_system(spark: SparkSession, path: str):
 
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with its scheme, as Spark understands it."""
-    found, fs = _file_system(spark, path)
+    found, fs = file_system(spark, path)
     return fs.makeQualified(found).toString()
 
 
 def file_size(spark: SparkSession, path: str) -> int:
-    found, fs = _file_system(spark, path)
+    found, fs = file_system(spark, path)
     return fs.getFileStatus(found).getLen()
 
 
 @contextmanager
 def replacing(spark: SparkSession, path: str):
     """A stream to `<path>.part`, which takes the target's place when all is written; after an error it is gone."""
-    target, fs = _file_system(spark, path)
-    part, _ = _file_system(spark, path + ".part")
+    target, fs = file_system(spark, path)
+    part, _ = file_system(spark, path + ".part")
     stream = fs.create(part, True)
     try:
         yield stream
@@ -63,14 +64,14 @@ def write_lines(lines: DataFrame, path: str, head: bytes, line_end: str = "\n")
     Many tasks write parts; the driver copies them one after another as streams and deletes them.
     """
     spark = lines.sparkSession
-    parts, fs = _file_system(spark, path + ".parts")
+    parts, fs = file_system(spark, path + ".parts")
     fs.delete(parts, True)
     lines.write.option("lineSep", line_end).text(path + ".parts")
     with replacing(spark, path) as out:
         out.write(bytearray(head))
         for name in sorted(s.getPath().getName() for s in fs.listStatus(parts)):
             if name.startswith("part-"):
-                source = fs.open(_file_system(spark, f"{path}.parts/{name}")[0])
+                source = fs.open(file_system(spark, f"{path}.parts/{name}")[0])
                 spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
                 source.close()
     fs.delete(parts, True)
