@@ -148,3 +148,21 @@ def test_blocks_hold_nulls_gaps_and_several_channels(spark, monkeypatch):
     assert got == sorted((c, i, sum(i // 32 * 32 - 10 <= j < i // 32 * 32 + 42 for j in there[c])) for c in there for i in there[c])
     same = B.filtered(df, None, 1000.0, 32).orderBy("channel", "sample_index").collect()
     assert [(x.channel, x.sample_index, x.time_us) for x in same] == sorted([(c, i, t) for c, i, t, _ in rows], key=lambda x: x[:2])
+
+
+def test_regression_windows_solved_together_equal_those_solved_alone():
+    r = np.random.default_rng(12)
+    for n, offset, s in ((900, 0, Settings(True, method="regression", frequencies=(60.0,), window_sec=0.3)), (2500, 417, Settings(True, method="regression", frequencies=(50.0, 60.0), window_sec=1.0, overlap=0.75, all_harmonics=True)), (90, 30, Settings(True, method="regression", frequencies=(60.0,), window_sec=0.3))):
+        x = r.normal(size=n) + 3 * np.sin(2 * np.pi * 60 * np.arange(n) / RATE)
+        frequencies, (size, hop) = dsp.regressed_frequencies(s, RATE), dsp.window_shape(s, RATE)
+        shape, noise, weight = np.hanning(size + 2)[1:-1], np.zeros(n), np.zeros(n)
+        for start in range(0, offset + n, hop):
+            a, b = max(start - offset, 0), min(start + size - offset, n)
+            if b - a >= 2 * len(frequencies) + 2:
+                w = shape[a + offset - start : b + offset - start]
+                noise[a:b] += dsp.sinusoids(x[a:b], RATE, frequencies) * w
+                weight[a:b] += w
+        want = x - np.where(weight > 0, noise / np.where(weight > 0, weight, 1), 0)
+        assert np.allclose(dsp.regression(x, RATE, s, offset), want, atol=1e-9)
+    with pytest.raises(ValueError, match="gaps"):
+        dsp.without_sinusoids(np.array([1.0, np.nan]), 0, RATE, [60.0], 10, 5, range(1))
