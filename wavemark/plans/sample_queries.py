@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time_math as T
 from ..operators import images as I, samples as S, signal_blocks as B, windows as W
-from ..sources import adapters as A, files
+from ..sources import adapters as A, files, levels
 from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
 from .registry import query
@@ -25,7 +25,10 @@ def scan_csv_preview(spark, sf_dir):
 
 @query("scan_coarse", _V("SELECT channel, sample_index, time_us, value FROM samples WHERE sample_index % 7 = 0"))
 def scan_coarse(spark, sf_dir):
-    return S.stride(A.samples(spark, sf_dir), 7).select("channel", "sample_index", "time_us", "value")
+    """From stored levels: a read of every 7th row opens the files of that level alone."""
+    path = fresh_path(spark, "levels")
+    levels.write_levels(A.samples(spark, sf_dir), path, (7, 70))
+    return levels.read_level(spark, path, 7)
 
 
 @query("proj_channel", _V("SELECT channel, sample_index, value FROM samples WHERE channel = 2"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import intervals as I, led as D, markers as M, signal_blocks as B, windows as W
 from ..operators.dsp import Settings
-from ..sources import adapters as A, project as P, signal_csv as C, ttl
+from ..sources import adapters as A, levels, project as P, signal_csv as C, ttl
 from ..sources.adapters import RATE_HZ, with_views
 from ..sources.shared import fresh_path
 from ..streaming import monitor, publishing
@@ -240,7 +240,10 @@ def sp_overview_filtered(spark, sf_dir):
 
 @query("sp_coarse")
 def sp_coarse(spark, sf_dir):
-    return B.coarse(samples(spark, sf_dir), BAND, RATE_HZ, 9, BLOCK)
+    """Filtered at full resolution, kept as levels, read from the one for the step."""
+    path = fresh_path(spark, "filtered-levels")
+    levels.write_levels(B.filtered(samples(spark, sf_dir), BAND, RATE_HZ, BLOCK), path, (9, 90))
+    return levels.read_level(spark, path, 9).withColumn("value", F.col("value").cast("float"))
 
 
 @query("sp_plot_segment")
