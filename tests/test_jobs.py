@@ -141,10 +141,15 @@ def test_protocol_of_a_session_longer_than_a_block(spark):
     assert got["n8.2"].note == "w" and got["n8.1"].partner_id is None  # no later than its start
 
 
-def test_command_line(tmp_path):
+@pytest.mark.parametrize(("job", "paths", "said", "found"), [
+    (protocols, {"conversations": f"{SF}/conversations.parquet", "output": "out"}, "parts are new or changed", "protocol/part=0"),
+    (intake, {"events": f"{SF}/events.parquet", "output": "out", "checkpoint": "mark"}, "read 1000 rows, rejected 0", "samples/day=2024-01-01/channel=1"),
+])
+def test_command_lines(tmp_path, job, paths, said, found):
     config = tmp_path / "config.json"
-    config.write_text(json.dumps(default_config(protocols.__file__) | {"sessions_a_part": 50}))
+    config.write_text(json.dumps(default_config(job.__file__)))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    done = subprocess.run([sys.executable, "-m", "jobs.session_protocols", "--conversations", f"{SF}/conversations.parquet", "--output", f"{tmp_path}/out", "--config", str(config)], cwd=root, capture_output=True, text=True, timeout=300)
+    given = [x for name, path in paths.items() for x in (f"--{name}", path if path.startswith("/") else f"{tmp_path}/{path}")]
+    done = subprocess.run([sys.executable, "-m", job.__name__, *given, "--config", str(config)], cwd=root, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
-    assert "parts are new or changed" in done.stderr and any("part=0" in f for f in files(f"{tmp_path}/out/protocol"))
+    assert said in done.stderr and any(f"out/{found}" in f for f in files(f"{tmp_path}/out"))
