@@ -1,3 +1,5 @@
+import itertools
+from collections import Counter
 import zlib
 
 import numpy as np
@@ -122,3 +124,23 @@ def test_packing_places_every_piece(spark):
             at += length
         assert at <= 64
     assert len(by) <= -(-sum(r.length for r in got) // 64) + 1
+
+
+def test_sum_index_follows_what_is_taken():
+    """After any takings the index equals one built anew, and every combination it gives is there and fills its gap."""
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        capacity = int(r.choice([5, 17, 64]))
+        counts = {int(x): int(n) for x, n in zip(r.integers(1, capacity + 1, 30), r.choice([1, 1, 2, 5], 30), strict=True)}
+        sums = packing.Sums(counts, capacity)
+        while (some := np.flatnonzero(sums.free)).size:
+            sums.take(length := int(r.choice(some)), int(r.integers(1, sums.free[length] + 1)))
+            anew = packing.Sums({int(x): int(sums.free[x]) for x in np.flatnonzero(sums.free)}, capacity)
+            assert all(np.array_equal(getattr(anew, x), getattr(sums, x)) for x in ("has", "pairs", "triples"))
+            for beside in np.flatnonzero(sums.free).tolist():
+                found, gap = sums.filling(capacity - beside, beside), capacity - beside
+                left = [x for x in np.flatnonzero(sums.free).tolist() for _ in range(min(3, int(sums.free[x]) - (x == beside)))]
+                there = gap > 0 and any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(left, k)) if len(left) < 18 else None
+                assert there is None or (found is not None) == there
+                if found:
+                    assert sum(found) == gap and all(sums.free[x] >= n for x, n in Counter((beside, *found)).items())

@@ -1,7 +1,8 @@
 """Best-fit packing of documents into fixed token budgets by exact-complement hashing.
 
 Only the number of pieces of each length decides how they are packed, so the plan is made on the driver from a
-histogram of at most `capacity` rows, and each piece finds its place from its rank among the pieces of its length.
+histogram of at most `capacity` rows, with an index of the sums of one, two and three lengths, and each piece finds its
+place from its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -20,61 +21,88 @@ from .tokens import crc, encoder
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, rank_in_part long"
 
 
-def exact_partner(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths with free pieces whose sum is `gap`, longest first; None if there are none."""
-    if gap <= 0:
+class Sums:
+    """Index of what one, two and three free pieces can sum to, kept up to date while pieces are taken.
+
+    `pairs` counts the pairs of lengths of each sum, `triples` the lengths that complete a pair to it. Pieces are only
+    taken, so every length and every sum leaves the index once, and each time costs a pass over the sums.
+    """
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.free = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            if not 0 < length <= capacity:
+                raise ValueError(f"length {length} is outside 1..{capacity}")
+            self.free[length] += n
+        self.has = self.free > 0
+        one = self.has.astype(np.int64)
+        twice = np.zeros(capacity + 1, np.int64)
+        half = np.arange(capacity // 2 + 1)
+        twice[2 * half] = self.has[half]
+        self.pairs = (np.convolve(one, one)[: capacity + 1] + twice) // 2
+        self.pairs[2 * half] -= self.free[half] == 1  # a length is its own partner from two pieces on
+        self.triples = np.convolve(one, (self.pairs > 0).astype(np.int64))[: capacity + 1]
+
+    def _lose(self, sums: np.ndarray) -> None:
+        """A pair less for each of the sums."""
+        self.pairs[sums] -= 1
+        for s in sums[self.pairs[sums] == 0].tolist():
+            self.triples[s:] -= self.has[: len(self.has) - s]
+
+    def take(self, length: int, n: int) -> None:
+        before, end = int(self.free[length]), len(self.free)
+        self.free[length] -= n
+        if before >= 2 > before - n and 2 * length < end:
+            self._lose(np.array([2 * length]))
+        if before == n:
+            self.has[length] = False
+            self.triples[length:] -= self.pairs[: end - length] > 0
+            self._lose(length + np.flatnonzero(self.has[: end - length]))
+
+    def _two(self, total: int) -> Iterator[tuple[int, int]]:
+        """Pairs of lengths of this sum, the longest piece first."""
+        a = np.arange(total - 1, total - total // 2 - 1, -1)
+        for x in a[self.has[a] & self.has[total - a]].tolist():
+            yield x, total - x
+
+    def filling(self, gap: int, beside: int) -> tuple[int, ...] | None:
+        """One, two or three lengths whose sum is `gap`, with free pieces besides one of the length `beside`; the fewest
+        pieces and of those the longest first; None if there are none."""
+
+        def free(*lengths: int) -> bool:
+            return all(self.free[x] >= n for x, n in Counter((beside, *lengths)).items())
+
+        if gap <= 0:
+            return None
+        if free(gap):
+            return (gap,)
+        if self.pairs[gap] and (two := next((t for t in self._two(gap) if free(*t)), None)):
+            return two
+        if self.triples[gap]:
+            below = np.arange(gap)
+            for a in np.flatnonzero(self.has[:gap] & (self.pairs[gap - below] > 0))[::-1].tolist():
+                if 3 * a < gap:
+                    break
+                if two := next((t for t in self._two(gap - a) if free(a, *t)), None):
+                    return (a, *two)
         return None
-    if free[gap]:
-        return (gap,)
-    has = free > 0
-
-    def pair(total: int) -> tuple[int, int] | None:
-        """The index of pair sums: the complement of each length is looked up among the lengths that have pieces."""
-        half = total // 2
-        a = np.arange(total - 1, total - half - 1, -1)  # the longer one, from total-1 down to ceil(total/2)
-        hit = has[a] & has[total - a]
-        if total % 2 == 0 and half and len(a) and a[-1] == half:
-            hit[-1] = free[half] >= 2
-        k = int(hit.argmax()) if len(hit) else 0
-        return (int(a[k]), int(total - a[k])) if len(hit) and hit[k] else None
-
-    if (two := pair(gap)) is not None:
-        return two
-    for a in np.flatnonzero(has[:gap])[::-1]:
-        a = int(a)
-        if 3 * a < gap:
-            break
-        if a and gap - a >= 2 and (two := pair(gap - a)) is not None:
-            three = (a, *two)
-            if all(free[x] >= n for x, n in Counter(three).items()):
-                return three
-    return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """(number of sequences, [(length, pieces of it in each)]) such that every piece is used once."""
-    free = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        if not 0 < length <= capacity:
-            raise ValueError(f"length {length} is outside 1..{capacity}")
-        free[length] += n
+    sums = Sums(counts, capacity)
     made: list[tuple[int, list[tuple[int, int]]]] = []
-    if free[capacity]:
-        made.append((int(free[capacity]), [(capacity, 1)]))
-        free[capacity] = 0
+    if whole := int(sums.free[capacity]):
+        made.append((whole, [(capacity, 1)]))
+        sums.take(capacity, whole)
     for longest in range(capacity - 1, 0, -1):
-        while free[longest]:
-            free[longest] -= 1
-            found = exact_partner(free, capacity - longest)
-            free[longest] += 1
-            if found is None:
-                break
+        while sums.free[longest] and (found := sums.filling(capacity - longest, longest)) is not None:
             need = Counter((longest, *found))
-            n = min(int(free[x]) // k for x, k in need.items())
+            n = min(int(sums.free[x]) // k for x, k in need.items())
             for x, k in need.items():
-                free[x] -= n * k
+                sums.take(x, n * k)
             made.append((n, sorted(need.items(), reverse=True)))
-    return made + best_fit(free, capacity)
+    return made + best_fit(sums.free, capacity)
 
 
 def best_fit(free: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
