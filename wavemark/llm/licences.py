@@ -1,8 +1,8 @@
 """Licence scan with DataFrame functions alone: Dice coefficient over word bigrams, size bounds before comparing.
 
 Texts without any of the words that a match must have are done with where they are read. The lines of the others are
-put together in stretches of twice the longest unit, and every run of lines that can be a unit is compared with the
-templates whose size allows it.
+dealt to stretches of twice the longest unit. Only stretches that hold enough of a template's bigrams are put together,
+and every run of their lines that can be a unit is compared with the templates whose size allows it.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def needed_words(templates: dict[str, str], threshold: float) -> list[str]:
     for name, text in templates.items():
         pairs = [frozenset(b.split(" ")) for b in bigrams_of(text)]
         left[name] = pairs
-        spare[name] = next(n for n in range(1, len(pairs) + 1) if 2.0 * n >= threshold * (n + len(pairs))) - 1
+        spare[name] = fewest_shared(len(pairs), threshold) - 1
     while open_ones := [n for n in sorted(left) if len(left[n]) > spare[n]]:
         words = sorted({w for n in open_ones for p in left[n] for w in p})
 
@@ -116,6 +116,26 @@ def _has_one(text: Column, words: list[str]) -> Column:
     return out
 
 
+def fewest_shared(size: int, threshold: float) -> int:
+    """Bigrams of a template with so many that a match shares at least."""
+    return next(n for n in range(1, size + 1) if 2.0 * n >= threshold * (n + size))
+
+
+def _likely(dealt: DataFrame, known: list[tuple[str, list[str]]], threshold: float) -> DataFrame:
+    """key, stretch of the stretches that hold as many of a template's bigrams as a match needs, wherever they stand.
+
+    Each line's bigrams, with the one over its beginning, meet those of the templates in a join with a table of fixed size.
+    """
+    wanted = [(k, n, gram) for k, (_, grams) in enumerate(known) for n, gram in enumerate(grams)]
+    least = F.array(*(F.lit(fewest_shared(len(grams), threshold)) for _, grams in known))
+    table = dealt.sparkSession.createDataFrame(wanted, "template int, number int, gram string")
+    words = F.when(F.col("word_before").isNotNull(), F.concat(F.array("word_before"), F.col("words"))).otherwise(F.col("words"))
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = dealt.where(F.size(words) > 1).select("key", "stretch", F.explode(pairs).alias("gram"))
+    shared = grams.join(F.broadcast(table), "gram").groupBy("key", "stretch", "template").agg(F.size(F.collect_set("number")).alias("n"))
+    return shared.where(F.col("n") >= F.get(least, F.col("template"))).select("key", "stretch").distinct()
+
+
 def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, license, dice, licenses, n_matches.
 
@@ -141,13 +161,15 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
 
     lines = held.where("plain is not null").select("key", F.posexplode(F.split("plain", "\n")).alias("line", "words")).withColumn("words", F.trim("words")).where("words <> ''")
     lines = lines.withColumn("words", F.split("words", " ")).withColumn("n", F.size("words"))
-    upto = F.sum("n").over(Window.partitionBy("key").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    lines = lines.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("n")).where(F.col("n") <= most).withColumn("edge", F.arrays_overlap("words", edges))
+    order = Window.partitionBy("key").orderBy("line")
+    lines = lines.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("word_before", F.lag(F.element_at("words", -1)).over(order))
+    lines = lines.withColumn("first", F.col("upto") - F.col("n")).where(F.col("n") <= most).withColumn("edge", F.arrays_overlap("words", edges))
     # a unit that begins in one stretch of `most` words ends in it or the next
     at = F.floor(F.col("first") / most)
     dealt = lines.withColumn("stretch", F.explode(F.array(at, at - 1)))
+    likely = _likely(dealt, known, threshold)
     one = F.struct("line", "first", "upto", "edge", (at == F.col("stretch")).alias("own"), "words")
-    near = dealt.groupBy("key", "stretch").agg(F.array_sort(F.collect_list(one)).alias("a"), F.max((at == F.col("stretch")) & F.col("edge")).alias("any")).where("any")
+    near = dealt.join(likely, ["key", "stretch"], "left_semi").groupBy("key", "stretch").agg(F.array_sort(F.collect_list(one)).alias("a"), F.max((at == F.col("stretch")) & F.col("edge")).alias("any")).where("any")
 
     def ends_of(s: Column) -> Column:
         return F.filter("a", lambda t: t["edge"] & (t["line"] >= s["line"]) & (t["upto"] - s["first"] <= most))
@@ -157,7 +179,7 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
         pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
         return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
-    units = F.flatten(F.transform(F.filter("a", lambda s: s["own"] & s["edge"]), lambda s: F.transform(ends_of(s), lambda t: F.struct(s["line"].alias("line"), grams_of(s, t).alias("grams")))))
+    units = F.transform(ends_of(F.col("s")), lambda t: F.struct(F.col("s.line").alias("line"), grams_of(F.col("s"), t).alias("grams")))
 
     def compare(u: Column) -> Column:
         n = F.size(u["grams"])
@@ -165,7 +187,8 @@ def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, threshold:
         scored = F.transform(fits, lambda t: F.struct((-(2.0 * F.size(F.array_intersect(u["grams"], t["grams"])) / (n + F.size(t["grams"])))).alias("less"), t["name"].alias("name"), u["line"].alias("line")))
         return F.filter(scored, lambda s: s["less"] <= -threshold)
 
-    found = near.select("key", F.explode(units).alias("u")).select("key", F.explode(compare(F.col("u"))).alias("m"))
+    begun = near.select("key", "a", F.explode(F.filter("a", lambda s: s["own"] & s["edge"])).alias("s"))  # a row holds the units of one line
+    found = begun.select("key", F.explode(units).alias("u")).select("key", F.explode(compare(F.col("u"))).alias("m"))
     best = found.groupBy("key").agg(F.min(F.struct("m.less", "m.name")).alias("best"), F.array_join(F.array_sort(F.collect_set("m.name")), ",").alias("names"), F.count_distinct("m.line").cast("int").alias("n"))
     matched = held.select("key", "doc_id").join(best, "key", "left")
     return matched.select("doc_id", F.col("best.name").alias("license"), (-F.col("best.less")).alias("dice"), F.coalesce("names", F.lit("")).alias("licenses"), F.coalesce("n", F.lit(0)).alias("n_matches"))
