@@ -72,6 +72,36 @@ def test_the_csv_reader_of_spark_gives_the_same(spark, tmp_path, monkeypatch):
             assert C.metadata(spark, path) == top and table(C.read(spark, path, [260, 5])) == rows
 
 
+def test_a_folder_of_parts(spark, tmp_path, monkeypatch):
+    """Parts in the order of their numbers, the metadata in the first; the same as one file, by either reader."""
+    one = written(tmp_path, odd=[x for x in ODD if x[0] != 399])
+    lines = open(one, encoding="utf-8").read().splitlines(keepends=True)
+    folder = tmp_path / "parts.csv"
+    folder.mkdir()
+    for k, (a, b) in enumerate(((0, 4), (4, 4), (4, 30), (30, 31), (31, 999))):
+        (folder / f"part-{k:05d}-x.txt").write_text("".join(lines[a:b]), encoding="utf-8")
+    (folder / "part-100000-x.txt").write_text("")
+    (folder / "_SUCCESS").write_text("")
+    (folder / ".part-00000-x.txt.crc").write_bytes(b"\xff")
+    want, top = wanted(one), C.metadata(spark, one)
+    for size in (300, 1 << 20):
+        assert C.metadata(spark, str(folder)) == top and table(C.read(spark, str(folder), window_bytes=size)) == want
+    assert C.preview(spark, str(folder), 6) == C.preview(spark, one, 6) and len(C.preview(spark, one, 6)) == 6
+    with monkeypatch.context() as m:
+        m.setattr(C, "can_open", lambda path: False)
+        assert C.metadata(spark, str(folder)) == top and table(C.read(spark, str(folder))) == want
+        assert C.preview(spark, str(folder), 6) == C.preview(spark, one, 6)
+
+
+def test_written_in_parts_or_as_one_file(spark, tmp_path):
+    wide = spark.range(5000).selectExpr("id AS row", "id * 1000.0D AS time_us", "float(id % 7) AS channel_3", "float(if(id % 5 = 0, NULL, id)) AS channel_12").repartition(6)
+    for k, single in enumerate((False, True)):
+        path = f"{tmp_path}/{k}.csv"
+        C.write_csv(wide, path, [3, 12], 1000.0, one_file=single)
+        got = C.read(spark, path, window_bytes=9000).orderBy("row").collect()
+        assert got == wide.orderBy("row").collect() and C.metadata(spark, path)["channels"] == [3, 12]
+
+
 def test_only_asked_channels_are_read_and_filters_reach_the_source(spark, tmp_path):
     path = written(tmp_path, odd=ODD)
     df = C.read(spark, path, [260], window_bytes=1000)

@@ -30,11 +30,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(found).toString()
 
 
-def file_size(spark: SparkSession, path: str) -> int:
-    found, fs = file_system(spark, path)
-    return fs.getFileStatus(found).getLen()
-
-
 @contextmanager
 def replacing(spark: SparkSession, path: str):
     """A stream to `<path>.part`, which takes the target's place when all is written; after an error it is gone."""

@@ -3,7 +3,7 @@
     spark.dataSource.register(Recordings)
     spark.read.format("recording").option("channels", "2,260").load("/data/one.csv")
 
-gives window, line, time_us and channel_<id>. A window has the lines that begin in its bytes; `line` counts them from 0, so
+gives window, line, time_us and channel_<id>. The path is a file or a folder of parts (see `Parts`). A window has the lines that begin in its bytes; `line` counts them from 0, so
 that a line's row is its window's first row plus that. With the option `what` = `windows` there is a row a window instead
 (window, lines), for which nothing is parsed. The header may be any number of rows down. Comparisons of time_us with
 numbers leave out rows while a window is read, where the session allows it (spark.sql.python.filterPushdown.enabled).
@@ -31,20 +31,54 @@ WINDOW = 32 << 20
 _READ = 1 << 16
 
 
-def open_file(path: str) -> tuple[pa.NativeFile, int]:
-    """The file and its size. Paths are URIs or local ones."""
+def _system(path: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system and the path in it. Paths are URIs or local ones."""
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
-    system, inner = pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+    return pa_fs.FileSystem.from_uri(path) if "://" in path else (pa_fs.LocalFileSystem(), path)
+
+
+def open_file(path: str) -> tuple[pa.NativeFile, int]:
+    """The file and its size."""
+    system, inner = _system(path)
     return system.open_input_file(inner), system.get_file_info(inner).size
 
 
+class Parts:
+    """A recording's bytes: one file, or the files of a folder one after another in the order of their numbers.
+
+    Each of a folder's files ends with a whole line, as Spark writes them; files with names of `_` or `.` don't count.
+    """
+
+    def __init__(self, path: str):
+        self._fs, inner = _system(path)
+        info = self._fs.get_file_info(inner)
+        if info.type == pa_fs.FileType.Directory:
+            found = [f for f in self._fs.get_file_info(pa_fs.FileSelector(inner)) if f.is_file and f.base_name[0] not in "_."]
+            self._files = sorted(found, key=lambda f: (len(f.base_name), f.base_name))
+        else:
+            self._files = [info] if info.is_file else []
+        if not self._files:
+            raise FileNotFoundError(path)
+        self._starts = np.concatenate(([0], np.cumsum([f.size for f in self._files]))).tolist()
+        self.size = self._starts[-1]
+
+    def read_at(self, at: int, n: int) -> bytes:
+        """Up to n bytes from a place on, over files' ends."""
+        parts, end = [], min(at + n, self.size)
+        for info, start in zip(self._files, self._starts, strict=False):
+            a, b = max(at, start), min(end, start + info.size)
+            if a < b:
+                with self._fs.open_input_file(info.path) as file:
+                    parts.append(file.read_at(b - a, a - start))
+        return b"".join(parts)
+
+
 def can_open(path: str) -> bool:
     try:
-        file, _ = open_file(path)
-    except (OSError, ValueError, NotImplementedError):  # a file system that only Spark knows, or a folder
+        Parts(path)
+    except (OSError, ValueError, NotImplementedError):  # a file system that only Spark knows, or nothing there
         return False
-    file.close()
     return True
 
 
@@ -79,18 +113,23 @@ def cells_of(line: bytes | str) -> list[str]:
     return next(csv.reader([text.rstrip("\r\n").removeprefix("﻿")]), [])
 
 
-def top_rows(file: pa.NativeFile) -> tuple[list[list[str]], int | None]:
-    """The rows up to the header and the few after it, and the byte after the header; all rows and None without one."""
-    rows, at, rest, data_at, after = [], 0, b"", None, 0
+def top_rows(file: Parts, most: int | None = None) -> tuple[list[list[str]], int | None]:
+    """The rows up to the header and the few after it, and the byte after the header; all rows and None without one.
+    With `most`, so many rows whatever they are."""
+    rows, at, read, rest, data_at, after = [], 0, 0, b"", None, 0
     while True:
-        chunk = file.read(_READ)
+        chunk = file.read_at(read, _READ)
+        read += len(chunk)
         *lines, rest = (rest + chunk).split(b"\n")
         if not chunk and rest:
             lines, rest = [*lines, rest], b""
         for line in lines:
             at += len(line) + 1
             rows.append(cells_of(line))
-            if data_at is None and rows[-1] and rows[-1][0].strip() == TIME:
+            if most is not None:
+                if len(rows) == most:
+                    return rows, None
+            elif data_at is None and rows[-1] and rows[-1][0].strip() == TIME:
                 data_at = at
             elif data_at is not None and (after := after + bool(rows[-1])) >= AFTER_HEADER:
                 return rows, data_at
@@ -99,9 +138,7 @@ def top_rows(file: pa.NativeFile) -> tuple[list[list[str]], int | None]:
 
 
 def top_of(path: str) -> tuple[dict, int | None]:
-    file, _ = open_file(path)
-    with file:
-        rows, data_at = top_rows(file)
+    rows, data_at = top_rows(Parts(path))
     return describe(rows), data_at
 
 
@@ -149,31 +186,28 @@ class RecordingReader(DataSourceReader):
         self.filters: list[Filter] = []
 
     def partitions(self) -> list[Window]:
-        _, data_at = top_of(self.path)
-        file, size = open_file(self.path)
-        file.close()
-        starts = range(data_at, max(size, data_at + 1), self.window_bytes)
-        return [Window(k, a, min(a + self.window_bytes, size)) for k, a in enumerate(starts)]
+        file = Parts(self.path)
+        _, data_at = top_rows(file)
+        starts = range(data_at, max(file.size, data_at + 1), self.window_bytes)
+        return [Window(k, a, min(a + self.window_bytes, file.size)) for k, a in enumerate(starts)]
 
     def _lines(self, window: Window) -> bytes:
         """The whole lines that begin in the window."""
-        file, size = open_file(self.path)
-        with file:
-            before = int(window.number > 0)  # a window that follows a line's end has that line's successor
-            file.seek(window.start - before)
-            body = file.read(window.end - window.start + before)
-            if before:
-                cut = body.find(b"\n")
-                if cut < 0 or cut + 1 == len(body):
-                    return b""  # within one line, or before one that begins in the next window
-                body = body[cut + 1 :]
-            parts, at = [body], window.end
-            while at < size and not parts[-1].endswith(b"\n"):
-                more = file.read(_READ)
-                at += len(more)
-                cut = more.find(b"\n")
-                parts.append(more if cut < 0 else more[: cut + 1])
-            return b"".join(parts)
+        file = Parts(self.path)
+        before = int(window.number > 0)  # a window that follows a line's end has that line's successor
+        body = file.read_at(window.start - before, window.end - window.start + before)
+        if before:
+            cut = body.find(b"\n")
+            if cut < 0 or cut + 1 == len(body):
+                return b""  # within one line, or before one that begins in the next window
+            body = body[cut + 1 :]
+        parts, at = [body], window.end
+        while at < file.size and not parts[-1].endswith(b"\n"):
+            more = file.read_at(at, _READ)
+            at += len(more)
+            cut = more.find(b"\n")
+            parts.append(more if cut < 0 else more[: cut + 1])
+        return b"".join(parts)
 
     def read(self, partition: Window) -> Iterator[pa.RecordBatch]:
         body = self._lines(partition)

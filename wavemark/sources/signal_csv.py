@@ -13,8 +13,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.blocks import ordered, with_edges
 from ..operators.markers import number_rows
-from .files import file_size, qualified, write_lines
-from .recording_source import AFTER_HEADER, CHANNELS, TIME, WINDOW, Recordings, can_open, describe, known_channels, top_of
+from .files import qualified, write_lines
+from .recording_source import AFTER_HEADER, CHANNELS, TIME, WINDOW, Parts, Recordings, can_open, describe, known_channels, top_of, top_rows
 
 MICROVOLT = ("uv", "µv", "μv")
 #: Rows that are looked at first for the header, where only Spark can read the file.
@@ -23,10 +23,19 @@ HEAD_ROWS = 64
 FEW_WINDOWS = 1 << 20
 
 
+def _in_order(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows of a reader with where they stand: file (numbers in order), the split's first byte, and the place in it."""
+    name = F.col("_metadata.file_name")
+    return rows.select("*", F.struct(F.length(name).alias("n"), name.alias("name"), F.col("_metadata.file_block_start").alias("start")).alias("_split"), F.monotonically_increasing_id().alias("_at"))
+
+
 def head(spark: SparkSession, path: str, rows: int) -> list[list[str]]:
-    """The first rows of the file; a bounded read on the driver."""
-    lines = [r.value for r in spark.read.text(path).limit(rows).collect()]
-    return list(csv.reader(io.StringIO("\n".join(lines).removeprefix("\ufeff"))))
+    """The first rows of the file, or of a folder's parts in order; a bounded read on the driver."""
+    full = qualified(spark, path)
+    if can_open(full):
+        return top_rows(Parts(full), rows)[0]
+    lines = _in_order(spark, spark.read.text(path)).orderBy("_split", "_at").limit(rows).collect()
+    return list(csv.reader(io.StringIO("\n".join(r.value for r in lines).removeprefix("\ufeff"))))
 
 
 def normalize_unit(unit: str) -> str:
@@ -101,18 +110,17 @@ def read(spark: SparkSession, path: str, channels: list[int] | None = None, wind
     sizes = _source(spark, window_bytes).option("what", "windows").load(full)
     earlier = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, -1)  # a row a window
     first = sizes.select("window", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("first"))
-    few = file_size(spark, full) <= FEW_WINDOWS * window_bytes
+    few = Parts(full).size <= FEW_WINDOWS * window_bytes
     return rows.join(F.broadcast(first) if few else first, "window").select((F.col("first") + F.col("line")).alias("row"), "time_us", *(f"channel_{c}" for c in wanted))
 
 
 def _read_by_spark(spark: SparkSession, path: str, header_row: int, known: list[int], wanted: list[int]) -> DataFrame:
-    """The same by Spark's CSV reader. A file's splits come in order, so that its rows can be numbered by them; this is for
-    one file, not a folder."""
+    """The same by Spark's CSV reader; rows are numbered in the order of files and splits."""
     schema = StructType([StructField(c, StringType()) for c in ["time_us", *(f"channel_{c}" for c in known)]])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path).withColumn("_at", F.monotonically_increasing_id())
-    header = rows.where(F.trim("time_us") == TIME).agg(F.min("_at").alias("_header"))
-    data = rows.crossJoin(F.broadcast(header)).where(F.col("_at") > F.col("_header"))  # one row
-    numbered = number_rows(data, F.shiftright("_at", 33), ["_at"], "row")
+    rows = _in_order(spark, spark.read.schema(schema).option("mode", "PERMISSIVE").option("enforceSchema", True).csv(path))
+    header = rows.where(F.trim("time_us") == TIME).agg(F.min(F.struct("_split", "_at")).alias("_header"))
+    data = rows.crossJoin(F.broadcast(header)).where(F.struct("_split", "_at") > F.col("_header"))  # one row
+    numbered = number_rows(data, F.col("_split"), ["_at"], "row")
     return numbered.select((F.col("row") - 1).alias("row"), F.col("time_us").try_cast("double").alias("time_us"), *(F.col(f"channel_{c}").try_cast("float").alias(f"channel_{c}") for c in wanted))
 
 
@@ -152,11 +160,16 @@ def stored_valid(spark: SparkSession, path: str, channels: list[int], rows: int)
     return wanted.join(per, "channel", "left").select("channel", F.coalesce("n", F.lit(0)).alias("n"), ((F.coalesce("n", F.lit(0)) == rows) & (F.coalesce("backwards", F.lit(1)) == 0)).alias("valid"))
 
 
-def write_csv(wide: DataFrame, path: str, channels: list[int], rate_hz: float, unit: str = "uV") -> None:
-    """One CSV file with the metadata rows before the data, which many tasks put in order."""
+def write_csv(wide: DataFrame, path: str, channels: list[int], rate_hz: float, unit: str = "uV", one_file: bool = False) -> None:
+    """CSV with the metadata rows before the data, which many tasks put in order: a folder of parts, the metadata in the
+    first; or, for other programs, one file, whose bytes then pass through the driver."""
     def line(name: str, values: list) -> str:
         return ",".join([name, *map(str, values)])
 
     top = [line(CHANNELS, channels), line("Sample Rate[Hz]", [f"{rate_hz:g}"] * len(channels)), line("Unit", [unit] * len(channels)), line(TIME, [f"Channel {c}" for c in channels])]
     cells = [F.format_string("%.0f", "time_us"), *(F.coalesce(F.format_string("%.8f", F.col(f"channel_{c}").cast("double")), F.lit("")) for c in channels)]
-    write_lines(wide.orderBy("row").select(F.concat_ws(",", *cells).alias("value")), path, "".join(f"{t}\n" for t in top).encode())
+    lines = wide.orderBy("row").select(F.concat_ws(",", *cells).alias("value"))
+    if one_file:
+        write_lines(lines, path, "".join(f"{t}\n" for t in top).encode())
+    else:
+        wide.sparkSession.createDataFrame([(t,) for t in top], "value string").coalesce(1).union(lines).write.mode("overwrite").text(path)
