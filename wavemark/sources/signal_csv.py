@@ -167,7 +167,7 @@ def write_csv(wide: DataFrame, path: str, channels: list[int], rate_hz: float, u
         return ",".join([name, *map(str, values)])
 
     top = [line(CHANNELS, channels), line("Sample Rate[Hz]", [f"{rate_hz:g}"] * len(channels)), line("Unit", [unit] * len(channels)), line(TIME, [f"Channel {c}" for c in channels])]
-    cells = [F.format_string("%.0f", "time_us"), *(F.coalesce(F.format_string("%.8f", F.col(f"channel_{c}").cast("double")), F.lit("")) for c in channels)]
+    cells = [F.format_string("%.0f", "time_us"), *(F.when(F.col(f"channel_{c}").isNull(), "").otherwise(F.format_string("%.8f", F.col(f"channel_{c}").cast("double"))) for c in channels)]
     lines = wide.orderBy("row").select(F.concat_ws(",", *cells).alias("value"))
     if one_file:
         write_lines(lines, path, "".join(f"{t}\n" for t in top).encode())
