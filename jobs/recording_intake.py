@@ -1,13 +1,15 @@
 """Takes recordings in as their files arrive: cleaned samples by day and channel, and a check report of each day.
 
 A file stream with a checkpoint reads each file of the input once. A batch's rows are kept as they came in a folder of
-their own (`arrived`); then the days that the batch touches are put together anew from all that ever arrived for them, so
-that late rows, rows delivered twice and batches that run again give the same tables. Days that a batch doesn't touch are
-neither read nor written.
+their own (`arrived`). Once the stream has taken all there is, the days that its batches touch are put together anew from
+all that ever arrived for them, once however many batches there were; so late rows, rows delivered twice and batches that
+run again give the same tables. Other days are neither read nor written. The mark says up to which batch that is done: a
+run that broke off before is made good by the next one. A changed config holds for the days touched from then on.
 
     arrived/state=.../day=.../batch=...   rows as they came; state `taken`, or `rejected` (no id, no time, unknown type)
     samples/day=.../channel=...           one row an event, with its step from the sample before it that day
     report/day=...                        a row a channel: counts, missing values, repeated times, long gaps, limits
+    mark                                  one row: the last batch whose days are put together
 """
 
 from __future__ import annotations
@@ -74,27 +76,45 @@ def day_report(samples: DataFrame) -> DataFrame:
     )
 
 
+def _last_batch(spark: SparkSession, path: str) -> int:
+    """The mark; -1 without one, which means that all days are to be put together."""
+    try:
+        found = spark.read.schema("batch long").parquet(path).agg(F.max("batch").alias("last")).first().last
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = None
+    return -1 if found is None else found
+
+
+def put_together(spark: SparkSession, paths: dict[str, str], config: dict) -> None:
+    """Writes samples and report of every day with rows in a batch after the mark, then the mark."""
+    last = _last_batch(spark, paths["mark"])
+    taken = spark.read.schema(_ARRIVED).parquet(paths["arrived"]).where("state = 'taken'")
+    new = taken.where(F.col("batch") > last)
+    newest = new.agg(F.max("batch").alias("batch")).first().batch
+    if newest is None:
+        log.info("nothing new since batch %d", last)
+        return
+    days = F.broadcast(new.where(F.col("batch") <= newest).select("day").distinct())  # a row a day
+    rows = checked_samples(taken.join(days, "day", "left_semi"), config["long_gap_us"], config["block_us"])
+    _replace(rows.hint("rebalance", "day", "channel"), paths["samples"], "day", "channel")
+    written = spark.read.schema(_SAMPLES).parquet(paths["samples"]).join(days, "day", "left_semi")
+    _replace(day_report(written).hint("rebalance", "day"), paths["report"], "day")
+    n = spark.read.schema(_REPORT).parquet(paths["report"]).join(days, "day", "left_semi").agg(F.count_distinct("day").alias("days"), F.sum("n").alias("n")).first()
+    log.info("batches %d to %d: wrote %d samples of %d days to %s", last + 1, newest, n.n, n.days, paths["samples"])
+    spark.createDataFrame([(newest,)], "batch long").write.mode("overwrite").parquet(paths["mark"])
+
+
 def run(spark: SparkSession, *, events: str, output: str, checkpoint: str, config: dict) -> dict[str, str]:
     """Takes in what is new among the event files and returns the paths of the tables; with nothing new nothing is written."""
-    paths = {name: f"{output.rstrip('/')}/{name}" for name in ("arrived", "samples", "report")}
+    paths = {name: f"{output.rstrip('/')}/{name}" for name in ("arrived", "samples", "report", "mark")}
 
     def take(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
         _replace(_arrivals(batch, config["channels"], number), paths["arrived"], "state", "day", "batch")
-        arrived = session.read.schema(_ARRIVED).parquet(paths["arrived"])
-        mine = arrived.where(F.col("batch") == number)
+        mine = batch.sparkSession.read.schema(_ARRIVED).parquet(paths["arrived"]).where(F.col("batch") == number)
         found = {r["state"]: r["n"] for r in mine.groupBy("state").agg(F.count("*").alias("n")).collect()}
         log.info("batch %d: read %d rows, rejected %d", number, sum(found.values()), found.get("rejected", 0))
-        if not found.get("taken"):
-            return
-        days = F.broadcast(mine.where("state = 'taken'").select("day").distinct())  # a row a day
-        touched = arrived.where("state = 'taken'").join(days, "day", "left_semi")
-        rows = checked_samples(touched, config["long_gap_us"], config["block_us"])
-        _replace(rows.hint("rebalance", "day", "channel"), paths["samples"], "day", "channel")
-        written = session.read.schema(_SAMPLES).parquet(paths["samples"]).join(days, "day", "left_semi")
-        _replace(day_report(written).hint("rebalance", "day"), paths["report"], "day")
-        n = session.read.schema(_REPORT).parquet(paths["report"]).join(days, "day", "left_semi").agg(F.count_distinct("day").alias("days"), F.sum("n").alias("n")).first()
-        log.info("batch %d: wrote %d samples of %d days to %s", number, n.n, n.days, paths["samples"])
 
     names = ["event_id", "ts", "event_type", "value"]
     try:
@@ -112,7 +132,7 @@ def run(spark: SparkSession, *, events: str, output: str, checkpoint: str, confi
     stream = reader.parquet(events)
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    log.info("took in what was new in %s", events)
+    put_together(spark, paths, config)
     return paths
 
 

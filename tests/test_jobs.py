@@ -81,6 +81,11 @@ def test_a_batch_that_runs_again(spark, tmp_path):
     shutil.rmtree(f"{where['checkpoint']}/commits")
     intake.run(spark, **where, config=config)
     assert [rows(x) for x in intake.read(spark, paths)] == want
+    # a run that stopped after the stream, while days were put together: the next one does them
+    for half_done in ("mark", "report"):
+        shutil.rmtree(paths[half_done])
+    intake.run(spark, **where, config=config)
+    assert [rows(x) for x in intake.read(spark, paths)] == want and os.path.exists(paths["mark"])
 
 
 def test_intake_writes_only_days_that_are_touched(spark, tmp_path):
