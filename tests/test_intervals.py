@@ -41,6 +41,11 @@ def test_equal_to_the_walk(spark, name, times, radius, longest):
         assert sorted((r.left, r.right) for r in got if r.channel == c) == walk(map(float, some), radius, longest)
 
 
+def test_no_times(spark):
+    for rows in ([], [(1, None), (1, math.nan)]):
+        assert peak_intervals(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
 def test_a_run_of_very_many_times(spark):
     times = np.arange(100_000) * 0.01  # one run through 25 blocks
     started = time.time()

@@ -63,3 +63,22 @@ def test_ranges_that_touch_and_odd_rows(spark, few):
     got = led.outside_ranges(df, ranges, F.col("a"), F.col("b"), few, 7)
     assert sorted(map(tuple, got.collect())) == [(0, 9), (31, 39), (41, 50), (50, 60)]
     assert led.outside_ranges(df, [], F.col("a"), F.col("b"), few).count() == 8 and led.outside_ranges(df.limit(0), ranges, F.col("a"), F.col("b"), few).count() == 0
+
+
+def test_repeated_ranges_are_united_once(spark):
+    """Equal ranges and equal left ends, in any order of rows."""
+    r = np.random.default_rng(11)
+    ranges = [(c, float(a), float(a + n)) for c in (1, 2) for a, n in zip(r.integers(0, 3000, 900), r.integers(0, 6, 900), strict=True)] * 3
+    want = set()
+    for c in (1, 2):
+        united = []
+        for _, a, b in sorted(x for x in ranges if x[0] == c):
+            if united and a <= united[-1][1]:
+                united[-1][1] = max(united[-1][1], b)
+            else:
+                united.append([a, b])
+        want |= {(c, a, b) for a, b in united}
+    df = spark.createDataFrame(ranges, "channel int, left double, right double")
+    for parts in (1, 5, 13):
+        got = W.merge_ranges(df.repartition(parts), width=100.0).select("channel", "left", "right").collect()
+        assert len(got) == len(want) and set(map(tuple, got)) == want

@@ -111,8 +111,9 @@ def exact_median(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """keys and `median` of positive values: equal values are counted first and written, and of those only the ones in the
     bins of the middle ranks, a 256th of an octave wide, are put in order."""
     path = fresh_path(df.sparkSession, "value-counts")
-    df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.log2(value) * 256)).write.parquet(path)
-    counts = df.sparkSession.read.parquet(path)
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n")).withColumn("_bin", F.floor(F.log2(value) * 256))
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(path)
     bins = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_n"))
     w = Window.partitionBy(*keys)
     upto = F.sum("_n").over(w.orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -82,9 +82,13 @@ def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float =
     width = max(width, 2 * reach)
     schema_of = f"channel {df.schema['channel'].dataType.simpleString()}"
     times = df.where(finite(F.col("time_sec"))).select("channel", F.col("time_sec").cast("double").alias("time_sec")).distinct()
-    path = fresh_path(spark, "interval-times")
-    _in_blocks(times, width, reach).write.parquet(path)
-    blocks = spark.read.parquet(path)
+
+    def written(rows: DataFrame, name: str) -> DataFrame:
+        at = fresh_path(spark, name)
+        rows.write.parquet(at)
+        return spark.read.schema(rows.schema).parquet(at)
+
+    blocks = written(_in_blocks(times, width, reach), "interval-times")
 
     def of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, Block, int, int]:
         pdf = pdf.sort_values("time_sec", ignore_index=True)
@@ -106,11 +110,6 @@ def peak_intervals(df: DataFrame, context_sec: float = 1.0, longest_sec: float =
         left, right = (block.t[[p[k] for p in found]] for k in (0, 1))
         return pd.DataFrame({"channel": pdf["channel"].iloc[0], "left": left - radius, "right": right + radius}, columns=["channel", "left", "right"])
 
-    def written(rows: DataFrame, name: str) -> DataFrame:
-        at = fresh_path(spark, name)
-        rows.write.parquet(at)
-        return spark.read.schema(rows.schema).parquet(at)
-
     left = written(blocks.groupBy("channel", "block").applyInPandas(jumps, f"{schema_of}, entry double, exit double"), "interval-jumps")
     nan = F.isnan("entry") | F.col("entry").isNull()
     entries = left.where(nan).select("channel", F.col("exit").alias("time_sec")).distinct()

@@ -58,8 +58,8 @@ def regression_windows(df: DataFrame, window: int, hop: int, columns: int) -> Da
 
 def merge_ranges(df: DataFrame, touch: float = 1e-9, width: float = 3600.0) -> DataFrame:
     """Ranges (channel, left, right) that overlap or touch, united. Left ends are put in order within blocks of `width`."""
-    rows = with_largest_before(df, "right", "_far", ["channel"], "left", width, ("right",))
-    islands = with_run(rows, F.coalesce(F.col("left") > F.col("_far") + touch, F.lit(True)), "_island", ["channel"], "left", ("right",))
+    rows = with_largest_before(df.groupBy("channel", "left").agg(F.max("right").alias("right")), "right", "_far", ["channel"], "left", width)  # a row a left end: no ties
+    islands = with_run(rows, F.coalesce(F.col("left") > F.col("_far") + touch, F.lit(True)), "_island", ["channel"], "left")
     return islands.groupBy("channel", "_island").agg(F.min("left").alias("left"), F.max("right").alias("right")).drop("_island")
 
 
