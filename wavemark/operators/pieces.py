@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.shared import fresh_path
+
 #: Rows that a task holds before it passes its pieces on.
 HELD = 1 << 19
 PIECE_SCHEMA = "channel int, block long, at binary, time_us binary, value binary"
@@ -68,11 +70,15 @@ def nearest_outside(df: DataFrame, block: int, halo: int) -> DataFrame:
     rows = _typed(df)
     i, v = F.col("sample_index"), F.col("value")
     point = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), F.struct("sample_index", "value"))
+    number = lambda shift: F.floor((i + shift) / block)
+    found = rows.groupBy("channel", number(halo).alias("upto"), number(-halo).alias("since"), number(0).alias("block")).agg(F.max(point).alias("last"), F.min(point).alias("first"))
+    path = fresh_path(df.sparkSession, "finite-samples")
+    found.write.parquet(path)  # a few rows a block, from one scan
+    cells = df.sparkSession.read.schema(found.schema).parquet(path)
     parts = []
-    for number, best, order in ((F.floor((i + halo) / block), F.max(point), F.asc("block")), (F.floor((i - halo) / block), F.min(point), F.desc("block"))):
-        ends = rows.groupBy("channel", number.alias("block")).agg(best.alias("p"))
-        own = rows.select("channel", F.floor(i / block).alias("block")).distinct()
-        both = own.join(ends, ["channel", "block"], "full")
+    for name, best, order in (("upto", F.max("last"), F.asc("block")), ("since", F.min("first"), F.desc("block"))):
+        ends = cells.groupBy("channel", F.col(name).alias("block")).agg(best.alias("p"))
+        both = cells.select("channel", "block").distinct().join(ends, ["channel", "block"], "full")
         w = Window.partitionBy("channel").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         parts.append(both.withColumn("q", F.last("p", True).over(w)))
     return parts[0].unionByName(parts[1]).where("q is not null and block >= 0").select("channel", F.col("block").cast("long").alias("block"), "q.sample_index", "q.value")
