@@ -80,6 +80,15 @@ def fixed(x: Column, digits: int) -> Column:
     return F.when(F.abs(p) < 2.0**53, F.format_string(f"%.{digits}f", (whole + up.cast("long")) / scale)).otherwise(F.format_string(f"%.{digits}f", x))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The number with so many decimals: its product with the power of ten rounded, halves away from zero, as SQL engines do.
+
+    Spark's round goes by the number's shortest text instead, so a text that ends in 5 goes up wherever its value lies.
+    """
+    scale = float(10**digits)
+    return F.round(x * scale) / scale
+
+
 def format_tick(t: Column, origin: Column) -> Column:
     """No, one or two decimals from 100, from 10 and below."""
     x = relative_time(t, origin)

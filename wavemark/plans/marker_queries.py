@@ -113,7 +113,7 @@ def sink_markers_csv(spark, sf_dir):
 def sink_markers_xlsx(spark, sf_dir):
     """One workbook; its cells are read back."""
     path = fresh_path(spark, "markers") + ".xlsx"
-    rows = _exported(spark, sf_dir).withColumn("video_time_sec", F.round("video_time_sec", 3))
+    rows = _exported(spark, sf_dir).withColumn("video_time_sec", T.rounded(F.col("video_time_sec"), 3))
     files.write_xlsx(rows, path, EXPORTED, ["seq"], "Markers")
     return files.read_xlsx(spark, path).select("row", *(F.get("cells", k).alias(c) for k, c in enumerate(EXPORTED)))
 
