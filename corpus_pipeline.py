@@ -27,7 +27,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows without a letter (`und`; null and empty texts among them). Rows, ids and columns as in quality_stage."""
+    """Drops the rows whose language can't be told.
+
+    These are texts without a letter (null and empty ones among them; the quality stage mostly drops them before), texts
+    of none of the languages learned, without an n-gram in common, and texts that no language fits with a score of one
+    half (of a few letters, or evenly mixed). Rows, ids and columns as in quality_stage.
+    """
     hold_wide_rows(spark)
     return language.keep_identified(docs)
 

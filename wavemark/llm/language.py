@@ -14,6 +14,8 @@ from .common import free_name
 #: Characters counted at a time; longer texts are counted in pieces that share their edges.
 PIECE = 1 << 22
 SPACE = 32
+#: The least score of a language that is told: it outweighs all the others together, or equals them.
+MAJORITY = 0.5
 _letters: np.ndarray | None = None
 
 
@@ -108,23 +110,36 @@ class Judge:
             order = np.argsort(profiles[name])
             self.sorted.append((profiles[name][order], order))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        """(language, score): the smallest distance, the first name on a tie; `und` and 0 without letters.
-
-        Distances are divided by the greatest possible one; the score is the best language's share under weights
-        exp(-40 x distance), so texts as far from all languages score 1 / languages.
-        """
+    def distances(self, text: str | None) -> np.ndarray | None:
+        """Distances from each language, divided by the greatest possible one; None without letters or languages."""
         keys, counts = grams(text) if text else (np.empty(0, np.int64), None)
         if not len(keys) or not self.names:
-            return "und", 0.0
+            return None
         mine, distances = top(keys, counts, self.size), []
         rank = np.arange(len(mine))
         for known, ranks in self.sorted:
             at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
             distances.append(np.where(known[at] == mine, np.abs(rank - ranks[at]), self.size).sum() / (self.size * len(mine)))
-        d = np.array(distances)
-        weight = np.exp(-40 * (d - d.min()))
-        return self.names[int(d.argmin())], float(weight.max() / weight.sum())
+        return np.array(distances)
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        """(language, score): the smallest distance, the first name on a tie; `und` and 0 without letters.
+
+        The score is the best language's share under weights exp(-40 x distance), so texts as far from all languages
+        score 1 / languages.
+        """
+        d = self.distances(text)
+        return ("und", 0.0) if d is None else (self.names[int(d.argmin())], _share(d))
+
+    def tells(self, text: str | None) -> bool:
+        """Whether a language shares an n-gram with the text and has a score of one half at least."""
+        d = self.distances(text)
+        return d is not None and bool(d.min() < 1) and _share(d) >= MAJORITY
+
+
+def _share(d: np.ndarray) -> float:
+    weight = np.exp(-40 * (d - d.min()))
+    return float(weight.max() / weight.sum())
 
 
 def _predict(profiles, size: int):
@@ -140,22 +155,24 @@ def _predict(profiles, size: int):
 
 
 def _filter(profiles, size: int):
-    """Rows whose last column, the text, has a language; without that column."""
+    """Rows whose last column, the text, has a language that can be told; without that column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(profiles.value, size)
         for batch in batches:
             at = batch.num_columns - 1
-            yield batch.remove_column(at).filter(pa.array([judge(t.as_py())[0] != "und" for t in batch.column(at)], pa.bool_()))
+            yield batch.remove_column(at).filter(pa.array([judge.tells(t.as_py()) for t in batch.column(at)], pa.bool_()))
 
     return run
 
 
 def keep_identified(docs: DataFrame, *, size: int = 300, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs`, with all their columns, whose language `identify` finds; the others (`und`) go.
+    """The rows of `docs`, with all their columns, whose language can be told, see Judge.tells; the others go.
 
-    Null, empty and very long texts, null ids, repeated rows and empty tables are as for identify. Columns of any names
-    come back as they were; the text column may be of any type that casts to a string.
+    These are texts without a letter (`und`), texts that share no n-gram with any language learned, and texts too short
+    or too mixed for one of three or more languages to make up half of the weight. Null, empty and very long texts, null
+    ids, repeated rows and empty tables are as for identify. Columns of any names come back as they were; the text column
+    may be of any type that casts to a string.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     profiles = docs.sparkSession.sparkContext.broadcast(learn_profiles(rows.where(~held_out(F.col("doc_id"))), size=size, sample_rows=sample_rows))
