@@ -1,10 +1,14 @@
 """The workbook of markers on tables made for it: times whose shortest text ends in 5."""
 
+import zipfile
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from wavemark.catalog import ORACLE_SQL, QUERIES
 from wavemark.functions import time_math as T
+from wavemark.sources import files
 
 
 def test_products_decide_what_is_rounded(spark):
@@ -24,3 +28,25 @@ def test_workbook_times_equal_sql(spark, tmp_path):
     want = con.execute(ORACLE_SQL["sink_markers_xlsx"]).fetchall()
     got = QUERIES["sink_markers_xlsx"](spark, folder)
     assert sorted(map(tuple, got.collect())) == sorted(want) and "1051778.094" in {r[2] for r in want}
+
+
+def test_rows_go_on_in_further_sheets(spark, tmp_path):
+    """A sheet of 5 rows and its header; full last sheets, one row more, no row."""
+    for n in (0, 5, 6, 17):
+        path = str(tmp_path / f"{n}.xlsx")
+        rows = spark.range(n).select(F.col("id").alias("k"), F.concat(F.lit("a < b\n"), F.col("id")).alias("note"), F.when(F.col("id") % 3 > 0, F.col("id") * 1e7).alias("x")).repartition(4)
+        files.write_xlsx(rows, path, ["k", "note", "x"], ["k"], "Markers", most_rows=6)
+        got = [tuple(r) for r in files.read_xlsx(spark, path, most_rows=6).orderBy("row").collect()]
+        assert got == [(0, ["k", "note", "x"]), *((k + 1, [str(k), f"a < b\n{k}", repr(k * 1e7) if k % 3 else None]) for k in range(n))]
+        with zipfile.ZipFile(path) as z:
+            sheets = [x for x in z.namelist() if "worksheets/" in x and "_rels" not in x]
+            assert len(sheets) == max(1, -(-n // 5)) and all(z.read(x).count(b"<row>") <= 6 and b">note<" in z.read(x) for x in sheets)
+            assert (b'name="Markers 4"' in z.read("xl/workbook.xml")) == (n == 17)
+    assert not [p.name for p in tmp_path.iterdir() if not p.name.endswith((".xlsx", ".crc"))]
+
+
+def test_a_continued_sheet_has_to_be_full(spark, tmp_path):
+    path = str(tmp_path / "book.xlsx")
+    files.write_xlsx(spark.range(7), path, ["id"], ["id"], "Markers", most_rows=4)
+    with pytest.raises(Exception, match="has 4 rows of 5, though another continues it"):
+        files.read_xlsx(spark, path, most_rows=5).collect()
