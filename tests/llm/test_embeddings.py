@@ -108,3 +108,18 @@ def test_audits_leave_out_the_query_itself():
     assert (found, there) == (0, 0) and ef >= embeddings.BEAM
     graph.layers[-1].nbr[:] = -1  # a broken graph finds nothing but where it starts: the beam widens as far as it can
     assert embeddings.audited(graph, v, 0.999, True)[0] == 400
+
+
+def test_audits_ask_for_links_not_for_neighbours_far_off():
+    """Without links the beam stays as narrow as finds vectors at the threshold, however hard the nearest others are to find."""
+    r = np.random.default_rng(9)
+    v = r.normal(size=(6000, 64)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    which, made = embeddings.planted(v, 0.95 - embeddings.SLACK, 512)
+    assert np.allclose((made * v[which]).sum(1), 0.95, atol=1e-6) and np.allclose(np.linalg.norm(made, axis=1), 1, atol=1e-6)
+    graph = hnsw.Graph.build(v)
+    ef, found, there = embeddings.audited(graph, v, 0.95 - embeddings.SLACK, True)
+    assert (ef, found, there) == (embeddings.BEAM, 0, 0)
+    rows, nodes = graph.within(made, 0.95 - embeddings.SLACK, ef)
+    assert len(np.unique(rows[nodes == which[rows]])) >= 0.995 * len(which)
+    assert embeddings.planted(np.ones((1, 1), np.float32), 0.95, 9)[1].shape == (1, 1)

@@ -22,8 +22,8 @@ from .hnsw import Graph
 
 #: Bytes that the vectors and the graph of a shard take in a worker, about.
 SHARD_BYTES = 128 << 20
-#: First beam; queries that an audit compares with all vectors of a shard; the shares of links, and of nearest others, that it asks for.
-BEAM, AUDITED, RECALL, NEAREST = 48, 64, 0.995, 0.9
+#: First beam; queries that an audit compares with all vectors of a shard, and queries that it makes up; the share of links that it asks for.
+BEAM, AUDITED, PLANTED, RECALL = 48, 64, 512, 0.995
 #: Single-precision searches look this much below the threshold; double precision then decides.
 SLACK = 1e-4
 
@@ -48,26 +48,39 @@ def _build(narrow: bool):
     return run
 
 
+def planted(v: np.ndarray, least: float, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, queries): vectors drawn from v, each turned any way by as much as a link may be and no more."""
+    draw = np.random.default_rng(len(v))
+    which = np.sort(draw.permutation(len(v))[:many])
+    base = v[which].astype(np.float64)
+    aside = draw.standard_normal(base.shape)
+    aside -= (aside * base).sum(1, keepdims=True) * base
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-300)
+    cosine = min(1.0, least + SLACK)
+    return which, (cosine * base + sqrt(1 - cosine**2) * aside).astype(np.float32)
+
+
 def audited(graph: Graph, q: np.ndarray, least: float, own: bool) -> tuple[int, int, int]:
-    """(beam, links found, links there are) of a sample of queries, with the beam doubled until the sample is content.
+    """(beam, links found, links there are) of a sample of queries, with the beam doubled until the audit is content.
 
-    It is content with its share of the links, and of the nearest vectors where a query has no link, that brute force
-    finds. `own`: the queries are the graph's vectors, and a query itself counts as neither.
+    It is content with its share of the links that brute force finds for the sample, and with the same share of the links
+    of made-up queries (`planted`): these have a link each, as far away as links are, however rare links are in the data.
+    `own`: the queries are the graph's vectors, and a query itself doesn't count.
     """
     ef, base = BEAM, graph.layers[-1].v
     sample = np.sort(np.random.default_rng(len(q)).permutation(len(q))[:AUDITED])
-    near = q[sample] @ base.T
+    truth = q[sample] @ base.T >= least
     if own:
-        near[np.arange(len(sample)), sample] = -2
-    truth, best = near >= least, near.argmax(1)
-    lonely = np.flatnonzero(~truth.any(1) & (near.max(1) > -2))
+        truth[np.arange(len(sample)), sample] = False
+    which, made = planted(base, least, PLANTED)
     while True:
-        hit, seen = np.zeros_like(truth), np.zeros(len(sample), bool)
-        for a, rows, nodes, beam in graph.steps(q[sample], least, ef):
+        hit, met = np.zeros_like(truth), np.zeros(len(which), bool)
+        for a, rows, nodes, _ in graph.steps(q[sample], least, ef):
             hit[a + rows, nodes] = True
-            seen[a : a + len(beam)] = (beam == best[a : a + len(beam), None]).any(1)
+        for a, rows, nodes, _ in graph.steps(made, least, ef):
+            met[a + rows[nodes == which[a + rows]]] = True
         found = int((hit & truth).sum())
-        if ef >= len(base) or found >= RECALL * truth.sum() and seen[lonely].sum() >= NEAREST * len(lonely):
+        if ef >= len(base) or found >= RECALL * truth.sum() and met.sum() >= RECALL * len(which):
             return ef, found, int(truth.sum())
         ef = min(2 * ef, len(base))
 
@@ -163,6 +176,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, least_shards
     bytes_each = (8 + (4 if narrow else 8)) * (counted.dims or 1) + 256
     shards = max(least_shards or ceil(sqrt(4 * spark.sparkContext.defaultParallelism)), ceil(counted.n * bytes_each / SHARD_BYTES))
     placed = classes.select("number", "embedding", "size", dims.alias("dims"), F.pmod(F.xxhash64("number"), F.lit(shards).cast("long")).alias("shard"))
+    placed = placed.repartitionByRange(shards, "shard")  # a shard a task: by hashes, and put together by size, several would go to one
     built = Table(placed.groupBy("shard", "dims").applyInPandas(_build(narrow), "shard long, dims int, graph binary, vectors binary, number binary, size binary"), "vector-graphs", batch=1, codec="none")
     index = built.read()
     graphs = index.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shard"))))

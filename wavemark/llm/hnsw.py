@@ -20,54 +20,61 @@ class Layer:
 
     def search(self, q: np.ndarray, entry: np.ndarray, ef: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of each query's beam, best first, -1 where there are fewer than ef."""
-        rows = len(q)
-        ids = np.full((rows, ef), -1, np.int32)
-        sims = np.full((rows, ef), -2, np.float32)
-        seen = np.zeros((rows, len(self.v)), bool)
-        done = np.ones((rows, ef), bool)
+        rows, wall = len(q), len(self.v) + 1
+        k = min(wide, ef)
         first = entry[:, :ef]
-        at = np.arange(rows)[:, None]
         good = first >= 0
-        seen[np.broadcast_to(at, first.shape)[good], first[good]] = True
+        ids = np.full((rows, ef), -1, np.int32)
+        sims = np.full((rows, ef), -2, np.float32)
         ids[:, : first.shape[1]] = first
         sims[:, : first.shape[1]] = np.where(good, np.einsum("bed,bd->be", self.v[first], q), -2)
-        done[:, : first.shape[1]] = ~good
+        out_ids, out_sims = ids.copy(), sims.copy()
+        todo = np.where(ids >= 0, sims, -3)  # what is still to be expanded
+        fresh = np.ones(rows * wall, bool)  # a row a query; its first place stands for no node
+        base = np.arange(rows, dtype=np.int64) * wall + 1
+        fresh[base - 1] = False
+        fresh[(first + base[:, None])[good]] = False
         live = np.arange(rows)
         while len(live):
-            s = np.where(done[live], -3, sims[live])
-            k = min(wide, ef)
-            pick = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < ef else np.broadcast_to(np.arange(ef), s.shape).copy()
-            value = np.take_along_axis(s, pick, 1)
+            pick = np.argpartition(todo, ef - k, axis=1)[:, ef - k :] if k < ef else np.broadcast_to(np.arange(ef), todo.shape)
+            value = np.take_along_axis(todo, pick, 1)
             going = value.max(1) > -3
-            live, pick, value = live[going], pick[going], value[going]
-            if not len(live):
-                break
-            node = np.where(value > -3, np.take_along_axis(ids[live], pick, 1), -1)
-            mark = done[live]
-            np.put_along_axis(mark, pick, True, 1)
-            done[live] = mark
-            near = np.where(node[:, :, None] >= 0, self.nbr[node], -1).reshape(len(live), -1)
-            near = np.sort(near, axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            owner = np.broadcast_to(live[:, None], near.shape)
-            fresh = (near >= 0) & ~seen[owner, near]
-            r, c = np.nonzero(fresh)
-            found = near[r, c]
-            seen[live[r], found] = True
-            value = np.full(near.shape, -2, np.float32)
-            value[r, c] = np.einsum("nd,nd->n", self.v[found], q[live[r]])
-            all_ids = np.concatenate((ids[live], np.where(fresh, near, -1)), 1)
-            all_sims = np.concatenate((sims[live], value), 1)
-            all_done = np.concatenate((done[live], ~fresh), 1)
-            top = np.argpartition(-all_sims, ef - 1, axis=1)[:, :ef]
-            ids[live], sims[live], done[live] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+            if not going.all():
+                out_ids[live[~going]], out_sims[live[~going]] = ids[~going], sims[~going]
+                live, pick, value, ids, sims, todo, base, q = (x[going] for x in (live, pick, value, ids, sims, todo, base, q))
+                if not len(live):
+                    break
+            near = self.nbr.take(np.take_along_axis(ids, pick, 1), axis=0)
+            near[value <= -3] = -1
+            np.put_along_axis(todo, pick, -3, 1)
+            at = near.reshape(len(live), -1) + base[:, None]
+            at = np.sort(at[fresh.take(at)])
+            if not len(at):
+                continue
+            at = at[np.append(True, at[1:] != at[:-1])]
+            fresh[at] = False
+            r = np.searchsorted(base, at, "right") - 1
+            found = at - base[r]
+            value = np.einsum("nd,nd->n", self.v.take(found, axis=0), q.take(r, axis=0))
+            better = value > sims.min(1)[r]
+            r, found, value = r[better], found[better], value[better]
+            count = np.bincount(r, minlength=len(live))
+            most = int(count.max())
+            if not most:
+                continue
+            place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            more_ids, more_sims, more_todo = np.full((len(live), most), -1, np.int32), np.full((len(live), most), -2, np.float32), np.full((len(live), most), -3, np.float32)
+            more_ids[r, place], more_sims[r, place], more_todo[r, place] = found, value, value
+            all_sims = np.concatenate((sims, more_sims), 1)
+            top = np.argpartition(all_sims, most, axis=1)[:, most:]
+            ids, sims, todo = (np.take_along_axis(x, top, 1) for x in (np.concatenate((ids, more_ids), 1), all_sims, np.concatenate((todo, more_todo), 1)))
+        order = np.argsort(-out_sims, axis=1, kind="stable")
+        return np.take_along_axis(out_ids, order, 1), np.take_along_axis(out_sims, order, 1)
 
     def choose(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
         """The links to keep of candidates in order: first those nearer to the node than to any kept one, then the rest."""
         v = self.v[ids]
-        pair = np.einsum("bcd,bed->bce", v, v)
+        pair = v @ v.transpose(0, 2, 1)
         valid = ids >= 0
         kept, near, count = np.zeros(ids.shape, bool), np.full(ids.shape, -2, np.float32), np.zeros(len(ids), np.int64)
         for c in range(ids.shape[1]):
@@ -169,7 +176,7 @@ class Graph:
         step = max(1, min(512, (1 << 26) // max(1, len(base.v))))
         for a in range(0, len(q), step):
             some, rows, nodes = q[a : a + step], [], []
-            ids, sims = base.search(some, self.entries(some), ef)
+            ids, sims = base.search(some, self.entries(some), ef, 8)
             hit = (sims >= least) & (ids >= 0)
             for r in np.flatnonzero(hit.any(1)):
                 seen = np.zeros(len(base.v), bool)
