@@ -113,3 +113,17 @@ def test_pruning_changes_nothing(monkeypatch, at_a_time):
                 base += len(s.ids)
         want = [d for d in np.lexsort((ids, -np.round(scores, 9)))[:10] if scores[d] > 0]
         assert np.allclose(best[n][0], scores[want]) and len(best[n][0]) == len(want)
+
+
+def test_queries_with_like_terms_are_handled_together(spark):
+    """Of two kinds of queries that share no term, one comes after the other; their terms and weights stay theirs."""
+    r = random.Random(3)
+    asked = {i: sorted(r.sample(range(1000 * (i % 2), 1000 * (i % 2) + 90), r.choice([5, 30]))) for i in range(160)}
+    pairs = spark.createDataFrame([(i, [(t, t % 7 + 1) for t in r.sample(x, len(x))], 0) for i, x in asked.items()], "query_id long, pairs array<struct<term: long, df: long>>, part int")
+    ids, starts, numbers, terms, idfs, _ = search._block(pairs.repartition(3), 0, 500, 9.0)
+    assert sorted(ids.tolist()) == list(range(160)) and (np.diff(ids % 2) != 0).sum() == 1
+    for n, i in enumerate(ids.tolist()):
+        own = numbers[starts[n] : starts[n + 1]]
+        assert terms[own].tolist() == asked[i] and np.allclose(idfs[own], [math.log1p((500 - t % 7 - 0.5) / (t % 7 + 1.5)) for t in asked[i]])
+    empty = search._block(pairs.limit(0), 0, 500, 9.0)
+    assert [len(x) for x in empty[:5]] == [0, 1, 0, 0, 0]

@@ -24,10 +24,10 @@ from .common import Table
 
 #: Documents and list entries of a shard at most; documents of a block.
 SHARD_DOCS, SHARD_ENTRIES, BLOCK = 16_384, 1_250_000, 64
-#: Bytes of a shard's rows of long lists.
-ROW_BYTES = 32 << 20
+#: Bytes of a shard's rows of long lists; a list is a row where its entries, once a query, times this are as many as all pairs.
+ROW_BYTES, ROW_WORTH = 32 << 20, 1024
 #: Queries that are sent to all tasks at a time (some 5 kB each, with a few hundred terms), and that a shard handles at a time.
-QUERY_BLOCK, AT_A_TIME = 8192, 256
+QUERY_BLOCK, AT_A_TIME = 8192, 512
 #: Entries of short lists that are added at a time.
 ENTRIES_AT_A_TIME = 1 << 19
 #: Bytes of texts that are split into terms at a time; longer texts are cut at blanks.
@@ -97,7 +97,7 @@ def alike_together(terms: np.ndarray, starts: np.ndarray, docs: np.ndarray, leng
     there -= there.mean(1, keepdims=True)
     main = np.linalg.eigh(there @ there.T)[1][:, ::-1][:, :axes]
     side = (main.T @ there > 0).astype(np.int64)
-    return np.lexsort((lengths, (side << np.arange(len(side))[:, None]).sum(0)))
+    return np.lexsort((lengths, (side << np.arange(len(side))[::-1, None]).sum(0)))
 
 
 class Shard:
@@ -132,37 +132,56 @@ class Shard:
         return cls(**np.load(io.BytesIO(data)))
 
     def prepare(self, average: float) -> None:
-        """Impacts (scores without the idf), block maxima of long lists, and every document's own terms and counts."""
+        """Impacts (scores without the idf), and every document's own terms and counts."""
         n = len(self.ids)
         self.blocks = -(-n // BLOCK)
         self.norm = K1 * (1 - B + B * self.lengths / average)
         self.sizes = np.diff(self.starts)
         tf = self.tfs.astype(np.float32)
         self.impact = tf * np.float32(K1 + 1) / (tf + self.norm.astype(np.float32)[self.docs])
-        # Long lists are rows over all documents: a block of them is then one matrix.
-        longest = np.argsort(-self.sizes, kind="stable")[: ROW_BYTES // (4 * self.blocks * BLOCK) if n else 0]
-        longest = longest[self.sizes[longest] >= max(32, n // 32)]
         self.row_of = np.full(len(self.terms), -1, np.int32)
-        self.row_of[longest] = np.arange(len(longest))
-        self.rows = np.zeros((len(longest), self.blocks * BLOCK), np.float32)
-        for r, x in enumerate(longest):
-            span = slice(self.starts[x], self.starts[x + 1])
-            self.rows[r, self.docs[span]] = self.impact[span]
-        self.maxima = self.rows.reshape(len(longest), self.blocks, BLOCK).max(2)
+        # Runs of entries of one list in one block, and what the entries of each reach at most.
+        block = (self.docs // BLOCK).astype(np.int64) + np.repeat(np.arange(len(self.terms)), self.sizes) * self.blocks
+        run = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.empty(0, np.int64)
+        self.maxima = np.maximum.reduceat(self.impact, run) if len(run) else self.impact
+        self.run_block = (block[run] % max(1, self.blocks)).astype(np.int32)
+        self.runs = np.searchsorted(run, self.starts)
         by_doc = np.argsort(self.docs, kind="stable")
-        self.own_terms = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)[by_doc]
+        self.own_keys = self.docs[by_doc].astype(np.int64) * len(self.terms) + np.repeat(np.arange(len(self.terms), dtype=np.int32), self.sizes)[by_doc]
         self.own_tfs = self.tfs[by_doc]
-        self.own_starts = np.concatenate(([0], np.cumsum(np.bincount(self.docs, minlength=n)))).astype(np.int64)
-
-    def exact(self, docs: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Scores in double precision, added in the order of the terms, which is the same in every shard."""
-        a, n = self.own_starts[docs], self.own_starts[docs + 1] - self.own_starts[docs]
-        owner, entry = _ranges(a, n)
-        term = self.own_terms[entry]
-        at = np.minimum(np.searchsorted(t, term), len(t) - 1)
-        hit = t[at] == term
-        owner, at, tf = owner[hit], at[hit], self.own_tfs[entry[hit]].astype(np.float64)
-        return np.bincount(owner, w[at] * (tf * (K1 + 1) / (tf + self.norm[docs[owner]])), len(docs))
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where the terms' lists are, -1 for terms that the shard lacks."""
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
+
+    def exact(self, q: np.ndarray, docs: np.ndarray, owner: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Scores of (query, document) in double precision, added in the order of the terms, which is the same in every shard.
+
+        `owner`, `t`, `w`: the queries' terms and weights, in order of query and term.
+        """
+        begin = np.searchsorted(owner, q)
+        size = np.searchsorted(owner, q, "right") - begin
+        load = np.cumsum(size)
+        out, a = np.zeros(len(docs)), 0
+        while a < len(docs):
+            b = max(a + 1, int(np.searchsorted(load, load[a] - size[a] + ENTRIES_AT_A_TIME, "right")))
+            pair, entry = _ranges(begin[a:b], size[a:b])
+            look = docs[a:b][pair] * len(self.terms) + t[entry]
+            at = np.minimum(np.searchsorted(self.own_keys, look), len(self.own_keys) - 1)
+            hit = self.own_keys[at] == look
+            pair, entry, tf = pair[hit], entry[hit], self.own_tfs[at[hit]].astype(np.float64)
+            out[a:b] = np.bincount(pair, w[entry] * (tf * (K1 + 1) / (tf + self.norm[docs[a:b]][pair])), b - a)
+            a = b
+        return out
+
+    def _rows(self, t: np.ndarray, queries: int) -> np.ndarray:
+        """The lists that are cheaper as rows over all documents than entry by entry, for terms t of so many queries."""
+        load = np.bincount(t, minlength=len(self.terms)) * self.sizes
+        worth = np.flatnonzero(load * ROW_WORTH >= queries * self.blocks * BLOCK)
+        most = max(1, ROW_BYTES // (4 * self.blocks * BLOCK))
+        return worth if len(worth) <= most else np.sort(worth[np.argpartition(-load[worth], most - 1)[:most]])
 
     def _short_sums(self, owner: np.ndarray, t: np.ndarray, w: np.ndarray, queries: int) -> np.ndarray:
         """Each query's sums over the lists t, for every document."""
@@ -180,28 +199,42 @@ class Shard:
             a = b
         return out
 
-    def top(self, starts: np.ndarray, terms: np.ndarray, idfs: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]]) -> int:
-        """Improves each query's `best` (scores, ids: at most k, best first, ties by id). Returns how many blocks were pivots."""
-        queries, width, n = len(best), self.blocks * BLOCK, len(self.ids)
-        at = np.searchsorted(self.terms, terms)
-        hit = at < len(self.terms)
-        hit[hit] = self.terms[at[hit]] == terms[hit]
+    def top(self, starts: np.ndarray, terms: np.ndarray, idfs: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]], at: np.ndarray | None = None) -> int:
+        """Improves each query's `best` (scores, ids: at most k, best first, ties by id). Returns how many blocks were pivots.
+
+        `at`: the terms' places, where they are known.
+        """
+        queries, width = len(best), self.blocks * BLOCK
+        at = self.places(terms) if at is None else at
+        hit = at >= 0
         owner, t, w = np.repeat(np.arange(queries), np.diff(starts))[hit], at[hit], idfs[hit]
         if not len(t):
             return 0
+        # Lists that the queries use much are rows over all documents: a block of them is then one matrix.
+        worth = self._rows(t, queries)
+        rows, maxima = np.zeros((self.blocks, len(worth), BLOCK), np.float32), np.zeros((len(worth), self.blocks), np.float32)
+        r, entry = _ranges(self.starts[worth], self.sizes[worth])
+        d = self.docs[entry]
+        rows[d // BLOCK, r, d % BLOCK] = self.impact[entry]
+        r, run = _ranges(self.runs[worth], self.runs[worth + 1] - self.runs[worth])
+        maxima[r, self.run_block[run]] = self.maxima[run]
+        self.row_of[worth] = np.arange(len(worth))
         row = self.row_of[t]
+        self.row_of[worth] = -1
         long = row >= 0
-        weight = np.zeros((queries, len(self.rows)), np.float32)
+        weight = np.zeros((queries, len(worth)), np.float32)
         weight[owner[long], row[long]] = w[long]
         short = self._short_sums(owner[~long], t[~long], w[~long].astype(np.float32), queries)
-        bound = weight @ self.maxima + short.reshape(queries, self.blocks, BLOCK).max(2)
-        slack = (1e-5 * np.maximum(1.0, weight.sum(1) * (K1 + 1) + short.max(1))).astype(np.float32)  # sums are in single precision here
+        highest = short.reshape(queries, self.blocks, BLOCK).max(2)
+        bound = weight @ maxima + highest
+        slack = (1e-5 * np.maximum(1.0, weight.sum(1) * (K1 + 1) + highest.max(1))).astype(np.float32)  # sums are in single precision here
         top = np.full((queries, k), -np.inf, np.float32)
         for q, (scores, _) in enumerate(best):
             top[q, : len(scores)] = scores
-        floor = top.min(1) - slack
+        kth = top.min(1)
+        floor = kth - slack
         pivot = (bound > 0) & (bound >= floor[:, None] - slack[:, None])
-        first = np.where(pivot.any(1), bound.argmax(1), -1)
+        first = np.where(pivot.any(1) & (kth == -np.inf), bound.argmax(1), -1)  # where shards before left less than k
         found_q: list[np.ndarray] = []
         found_d: list[np.ndarray] = []
         found_s: list[np.ndarray] = []
@@ -209,19 +242,25 @@ class Shard:
 
         def score(b: int, who: np.ndarray) -> None:
             span = slice(b * BLOCK, (b + 1) * BLOCK)
-            some = weight[who] @ self.rows[:, span] + short[who, span]
-            near = (some > 0) & (some >= floor[who, None])
-            r, c = np.nonzero(near)
-            if not len(r):
+            if 2 * len(who) > queries:  # cheaper than to gather their weights
+                some = (weight @ rows[b] + short[:, span])[who]
+            else:
+                some = weight[who] @ rows[b] + short[who, span]
+            peak = some.max(1)
+            high = np.flatnonzero((peak > 0) & (peak >= floor[who]))
+            if not len(high):
                 return
+            who, some, peak = who[high], some[high], peak[high]
+            r, c = np.nonzero((some > 0) & (some >= floor[who, None]))
             found_q.append(who[r])
             found_d.append(b * BLOCK + c)
             found_s.append(some[r, c])
-            better = np.flatnonzero((some > top[who].min(1)[:, None]).any(1))
+            better = np.flatnonzero(peak > kth[who])
             if len(better):
                 both = np.concatenate((top[who[better]], some[better]), 1)
                 top[who[better]] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                floor[who[better]] = top[who[better]].min(1) - slack[who[better]]
+                kth[who[better]] = top[who[better]].min(1)
+                floor[who[better]] = kth[who[better]] - slack[who[better]]
 
         for b in np.unique(first[first >= 0]).tolist():
             who = np.flatnonzero(first == b)
@@ -241,10 +280,10 @@ class Shard:
         q, d = q[stay], d[stay]
         order = np.argsort(q, kind="stable")
         q, d = q[order], d[order]
-        ends = np.searchsorted(owner, np.arange(queries + 1))
-        for x, a, b in zip(*np.unique(q, return_index=True), np.append(np.unique(q, return_index=True)[1][1:], len(q)), strict=True):
-            mine = slice(ends[x], ends[x + 1])
-            scores = np.concatenate((best[x][0], self.exact(d[a:b], t[mine], w[mine])))
+        exact = self.exact(q, d, owner, t, w)
+        some, begin = np.unique(q, return_index=True)
+        for x, a, b in zip(some, begin, np.append(begin[1:], len(q)), strict=True):
+            scores = np.concatenate((best[x][0], exact[a:b]))
             ids = np.concatenate((best[x][1], self.ids[d[a:b]]))
             rank = np.lexsort((ids, -scores))[:k]
             rank = rank[scores[rank] > 0]
@@ -309,16 +348,17 @@ def _search(block, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row is a shard. All queries of the block run against it, from the k best that the shards before left."""
-        ids, starts, terms, idfs, average = block.value
+        ids, starts, numbers, terms, idfs, average = block.value
         best = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
         for batch in batches:
             for data in batch.column(0):
                 shard = Shard.loads(data.as_py())
                 shard.prepare(average)
+                places = shard.places(terms)  # once for all queries
                 for a in range(0, len(ids), AT_A_TIME):
                     span = starts[a : a + AT_A_TIME + 1]
-                    some = best[a : a + AT_A_TIME]
-                    shard.top(span - span[0], terms[span[0] : span[-1]], idfs[span[0] : span[-1]], k, some)
+                    some, own = best[a : a + AT_A_TIME], numbers[span[0] : span[-1]]
+                    shard.top(span - span[0], terms[own], idfs[own], k, some, places[own])
                     best[a : a + AT_A_TIME] = some
         for a in range(0, len(ids), AT_A_TIME):
             some = best[a : a + AT_A_TIME]
@@ -329,18 +369,22 @@ def _search(block, k: int):
 
 
 def _block(pairs: DataFrame, part: int, documents: int, average: float) -> tuple:
-    """The queries of a block: ids, where each one's terms start, sorted terms and their idf. QUERY_BLOCK bounds its rows."""
+    """The queries of a block, alike ones together: ids, where each one's terms start, numbers of its terms in order; the
+    sorted terms and their idf. QUERY_BLOCK bounds its rows."""
     found = pairs.where(F.col("part") == part).select("query_id", "pairs.term", "pairs.df").toArrow()
-    ids, starts, terms, idfs = [], [0], [], []
-    for query_id, term, df in zip(found.column(0).to_pylist(), found.column(1), found.column(2), strict=True):
-        term, df = term.values.to_numpy(), df.values.to_numpy().astype(np.float64)
-        order = np.argsort(term)
-        ids.append(query_id)
-        starts.append(starts[-1] + len(term))
-        terms.append(term[order])
-        idfs.append(np.log1p((documents - df[order] + 0.5) / (df[order] + 0.5)))
-    empty = [np.empty(0)]
-    return np.array(ids, np.int64), np.array(starts), np.concatenate(terms or empty).astype(np.int64), np.concatenate(idfs or empty), average
+    ids, lists = found.column(0).to_numpy(), [pa.chunked_array(found.column(c)).combine_chunks() if found.num_rows else None for c in (1, 2)]
+    if not found.num_rows:
+        return ids.astype(np.int64), np.zeros(1, np.int64), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0), average
+    sizes = np.diff(lists[0].offsets.to_numpy())
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    terms, one, number = np.unique(lists[0].flatten().to_numpy(), return_index=True, return_inverse=True)
+    df = lists[1].flatten().to_numpy()[one].astype(np.float64)
+    order = np.lexsort((owner, number))
+    placed = alike_together(terms, np.searchsorted(number[order], np.arange(len(terms) + 1)), owner[order], sizes)
+    rank = np.empty(len(placed), np.int64)
+    rank[placed] = np.arange(len(placed))
+    number = number[np.lexsort((number, rank[owner]))]
+    return ids[placed].astype(np.int64), np.concatenate(([0], np.cumsum(sizes[placed]))), number.astype(np.int32), terms, np.log1p((documents - df + 0.5) / (df + 0.5)), average
 
 
 def top_k(docs: DataFrame, queries: DataFrame, *, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
